@@ -27,7 +27,7 @@ SIZES = {"trees": 20, "rounds": 10, "forest_depth": 6, "boost_depth": 4}
 STARTS = 3
 
 # A linear model given by hand, one coefficient per feature in feature order.
-COEFFICIENTS = [round(((i * 37) % 19 - 9) / 10 + 0.05, 2) for i in range(40)]
+COEFFICIENTS = [round(((i * 37) % 19 - 9) / 10 + 0.05 + i / 1000, 3) for i in range(40)]
 
 # User-supplied rules.
 CUSTOM_RULES = [
@@ -912,9 +912,16 @@ def stream_call_windows(spark, folder):
 
 @query
 def stream_trailing_windows(spark, folder):
-    """Sliding 15-minute windows every 5 minutes, as metric points."""
+    """Sliding 15-minute windows every 5 minutes that the watermark has closed."""
     windows = monitors.call_windows(monitors.call_stream(_event_stream(spark, folder)), slide="5 minutes")
-    return monitors.run_available(monitors.call_metrics(windows), "sliding")
+    return monitors.run_available(windows, "sliding").select("window_start", "window_end", "calls", "errors")
+
+
+@query
+def stream_metric_points(spark, folder):
+    """Tumbling hours as rows of the metrics table."""
+    windows = monitors.call_windows(monitors.call_stream(_event_stream(spark, folder)), "1 hour", None)
+    return monitors.run_available(monitors.call_metrics(windows), "points")
 
 
 @query

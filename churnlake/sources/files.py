@@ -46,10 +46,8 @@ def read_scoring_csv(spark: SparkSession, path: str, max_rows: int | None = None
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether every line of the text is valid UTF-8 (Latin-1 keeps the bytes as they are)."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
-    line_bytes = F.encode("value", "ISO-8859-1").cast("string")
-    return lines.where(~F.is_valid_utf8(line_bytes)).isEmpty()
+    """Whether every line is valid UTF-8; the text source hands the bytes through as they are."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:

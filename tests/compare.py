@@ -27,7 +27,7 @@ def _cell(value):
         return str(value)
     if isinstance(value, (int, float)) or type(value).__name__ == "Decimal":
         number = float(value)
-        return "nan" if math.isnan(number) else f"{number:.10g}" if number else "0"
+        return "nan" if math.isnan(number) else repr(number) if number else "0"
     return str(value)
 
 
