@@ -22,6 +22,7 @@ def build_session(app: str = "churnlake", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")   # no stack capture per column call
     )
     if master:
         builder = builder.master(master)
