@@ -10,9 +10,9 @@ from pyspark.sql.types import BooleanType
 from churnlake import config as c
 from churnlake.operators.cleaning import is_number
 from churnlake.operators.encoding import vocabularies
-from churnlake.operators.ordering import fitted_quantiles
+from churnlake.operators.ordering import collect_quantiles, value_counts
 
-_ESTIMATE_ERROR = 0.01
+_ESTIMATE_ERROR = 0.05        # of the sketch; ten of them must separate a column from the limit
 
 
 @dataclass
@@ -59,16 +59,11 @@ def id_like_columns(df: DataFrame, columns: list[str], ratio: float = c.ID_LIKE_
     return [x for i, x in enumerate(near) if exact[f"d{i}"] / row["n"] > ratio]
 
 
-def smallest_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Most frequent value per text column, the smallest on a tie."""
-    if not columns:
-        return {}
-    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).cast("string").alias("value"))
-                                for x in columns]))
-    counts = (df.select(cells.alias("cell")).select("cell.*").where(F.col("value").isNotNull())
-              .groupBy("column", "value").agg(F.count("*").alias("n")))
-    best = counts.groupBy("column").agg(F.min(F.struct(-F.col("n"), "value"))["value"].alias("value")).collect()
-    return {r["column"]: r["value"] for r in best}
+def smallest_modes(counts: DataFrame) -> dict[str, str]:
+    """Most frequent word per column of a value-count table, the smallest on a tie."""
+    words = counts.where(F.col("word").isNotNull())
+    best = words.groupBy("metric").agg(F.min(F.struct(-F.col("n"), "word"))["word"].alias("word")).collect()
+    return {r["metric"]: r["word"] for r in best}
 
 
 def auto_prepare(df: DataFrame, hint: str = "churn", ratio: float = c.ID_LIKE_RATIO, keep: list[str] = ()) -> PreparedTable:
@@ -84,8 +79,9 @@ def auto_prepare(df: DataFrame, hint: str = "churn", ratio: float = c.ID_LIKE_RA
     flags = [x for x in used if isinstance(df.schema[x].dataType, BooleanType)]
     text = [x for x in used if x not in numeric and x not in flags]
 
-    medians = fitted_quantiles(df, numeric) if numeric else {}
-    modes = smallest_modes(df, [*text, *flags])
+    counts = value_counts(df, numeric, [*text, *flags])
+    medians = collect_quantiles(counts, numeric) if numeric else {}
+    modes = smallest_modes(counts) if text or flags else {}
     filled = df.withColumns({
         **{x: F.coalesce(F.col(x).cast("double"), F.lit(medians[x]).cast("double"), F.lit(0.0)) for x in numeric},
         **{x: F.coalesce(F.col(x).cast("string"), F.lit(modes.get(x, "unknown"))) for x in [*text, *flags]},

@@ -9,22 +9,26 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from churnlake import config as c
-from churnlake.operators.ordering import fitted_quantiles
+from churnlake.functions.scoring import lookup
+from churnlake.operators.ordering import collect_quantiles, value_counts
 
 _MISSING = "Missing"
+_MOST_WORDS = 5_000
 
 
-def vocabularies(df: DataFrame, columns: list[str], most: int = 5_000) -> dict[str, list[str]]:
-    """Sorted distinct values per column; refuses vocabularies too large to be columns."""
-    if not columns:
-        return {}
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(x).alias("column"), F.coalesce(F.col(x).cast("string"), F.lit(_MISSING)).alias("value"))
-        for x in columns]))
-    rows = df.select(cells.alias("cell")).select("cell.*").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} categories: drop the free-text columns among {columns}")
-    return {x: sorted(r["value"] for r in rows if r["column"] == x) for x in columns}
+def vocabularies(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Sorted distinct values per column."""
+    return _vocabularies_of_counts(value_counts(df, [], columns), columns) if columns else {}
+
+
+def _vocabularies_of_counts(counts: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Words per column on the driver; refuses vocabularies too large to be columns."""
+    words = counts.where(F.col("metric").isin(columns)).select(
+        "metric", F.coalesce("word", F.lit(_MISSING)).alias("word")).distinct()
+    rows = words.limit(_MOST_WORDS + 1).collect()
+    if len(rows) > _MOST_WORDS:
+        raise ValueError(f"more than {_MOST_WORDS} categories: drop the free-text columns among {columns}")
+    return {x: sorted(r["word"] for r in rows if r["metric"] == x) for x in columns}
 
 
 @dataclass
@@ -79,10 +83,28 @@ def moments(df: DataFrame, medians: dict[str, float | None]) -> tuple[dict, dict
     return ({x: row[f"m{i}"] for i, x in enumerate(columns)}, {x: row[f"s{i}"] for i, x in enumerate(columns)})
 
 
+def _moments_of_counts(counts: DataFrame, medians: dict[str, float]) -> tuple[dict, dict]:
+    """The same from value counts: a mean, then the mean squared distance from it."""
+    rows = counts.where(F.col("metric").isin(list(medians)))
+    value = F.coalesce("value", lookup(F.col("metric"), medians, 0.0))
+
+    def mean(x: Column) -> dict[str, float]:
+        weighed = rows.groupBy("metric").agg((F.sum(x * F.col("n")) / F.sum("n")).alias("m")).collect()
+        return {r["metric"]: r["m"] for r in weighed}
+    means = mean(value)
+    squares = mean(F.pow(value - lookup(F.col("metric"), means, 0.0), F.lit(2)))
+    return {x: means[x] for x in medians}, {x: squares[x] ** 0.5 for x in medians}
+
+
 def fit_encoder(df: DataFrame) -> Encoder:
-    """Fit on a cleaned, binary-encoded frame; only columns that are present take part."""
+    """Fit on a cleaned, binary-encoded frame; only columns that are present take part.
+
+    One scan: medians, moments and vocabularies all come from the table of distinct values.
+    """
     numeric = [x for x in c.NUMERIC if x in df.columns]
     nominal = [x for x in c.NOMINAL if x in df.columns]
-    medians = {x: v or 0.0 for x, v in fitted_quantiles(df, numeric).items()}
-    means, deviations = moments(df, medians)
-    return Encoder(medians, means, deviations, vocabularies(df, nominal), [x for x in c.BINARY if x in df.columns])
+    counts = value_counts(df, numeric, nominal)
+    medians = {x: v or 0.0 for x, v in collect_quantiles(counts, numeric).items()}
+    means, deviations = _moments_of_counts(counts, medians)
+    return Encoder(medians, means, deviations, _vocabularies_of_counts(counts, nominal),
+                   [x for x in c.BINARY if x in df.columns])

@@ -8,6 +8,7 @@ from churnlake import config as c
 from churnlake.session import cut_lineage
 
 _POSITION_BITS = 33            # monotonically_increasing_id: partition in the bits above, row below
+_WINDOW_VALUES = 1_000_000     # distinct values that may be summed up in one window per group
 _DEEP_PAGE = 100_000           # rows a top-n may hold before paging switches to row numbers
 
 
@@ -56,43 +57,65 @@ def page_info(df: DataFrame, page: int, size: int) -> DataFrame:
         (F.lit(page) < pages).alias("has_next"), F.lit(page > 1).alias("has_prev"))
 
 
-def exact_quantiles(df: DataFrame, metrics: list[str], probabilities: list[float], keys: list[str] = ()) -> DataFrame:
-    """Interpolated quantiles per key and metric: rows (keys, metric, probability, value).
+def value_counts(df: DataFrame, numeric: list[str], nominal: list[str] = (), keys: list[str] = ()) -> DataFrame:
+    """Rows (keys, metric, value, word, n): every column's distinct values with their counts, one scan.
 
-    Values are counted first, so repeats never travel. The counts are sorted by range; per slice sums
-    tell which slice holds a rank, and only that slice is scanned row by row.
+    Repeats meet in the map-side aggregate. Numbers are in ``value``, words in ``word``; nulls count too.
+    The result is frozen, so that all statistics come from the same scan.
     """
-    keys = list(keys)
-    group = [*keys, "metric"]
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
-    counts = (
-        df.select(*keys, cells.alias("cell")).select(*keys, "cell.*").where(F.col("value").isNotNull())
-        .groupBy(*group, "value").agg(F.count("*").alias("n"))
-    )
-    slices = _sorted_slices(counts, [F.col(x) for x in [*group, "value"]])
+    cells = [F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("value"),
+                      F.lit(None).cast("string").alias("word")) for x in numeric]
+    cells += [F.struct(F.lit(x).alias("metric"), F.lit(None).cast("double").alias("value"),
+                       F.col(x).cast("string").alias("word")) for x in nominal]
+    long = df.select(*keys, F.explode(F.array(*cells)).alias("cell")).select(*keys, "cell.*")
+    return cut_lineage(long.groupBy(*keys, "metric", "value", "word").agg(F.count("*").alias("n")))
 
+
+def _running_counts(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Append ``through`` (rows up to and including the value) and ``total`` of the group.
+
+    A short table of values takes one window per group. A long one is sorted by range; sums per slice
+    give each slice its offset, and windows stay inside a slice.
+    """
     per_group = Window.partitionBy(*group)
+    if counts.count() <= _WINDOW_VALUES:
+        running = per_group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns({"through": F.sum("n").over(running), "total": F.sum("n").over(per_group)})
+    slices = _sorted_slices(counts, [F.col(x) for x in [*group, "value"]])
     earlier = per_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = slices.groupBy(*group, "_slice").agg(F.sum("n").alias("slice_n"))    # at most groups + slices rows
+    offsets = slices.groupBy(*group, "_slice").agg(F.sum("n").alias("_n")).select(   # at most groups + slices rows
+        *group, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(per_group).alias("total"))
+    inside = Window.partitionBy(*group, "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return slices.join(offsets, [*group, "_slice"]).withColumn("through", F.col("_before") + F.sum("n").over(inside))
+
+
+def quantiles_of_counts(counts: DataFrame, probabilities: list[float], keys: list[str] = ()) -> DataFrame:
+    """Interpolated quantiles of a value-count table: rows (keys, metric, probability, value)."""
+    group = [*keys, "metric"]
+    running = _running_counts(counts.where(F.col("value").isNotNull()).select(*group, "value", "n"), group)
     position = (F.col("total") - 1) * F.col("probability")
-    wanted = (
-        sums.withColumns({"before": F.coalesce(F.sum("slice_n").over(earlier), F.lit(0)),
-                          "total": F.sum("slice_n").over(per_group)})
-        .withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    near = (
+        running.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
         .withColumns({"low": F.floor(position), "high": F.ceil(position), "share": position - F.floor(position)})
-        .where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("slice_n") > F.col("low")))
+        .where((F.col("through") > F.col("low")) & (F.col("through") - F.col("n") <= F.col("high")))
     )
-    running = (Window.partitionBy(*group, "probability", "_slice").orderBy("value")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = slices.join(wanted, [*group, "_slice"]).withColumn("through", F.col("before") + F.sum("n").over(running))
-    low = F.min(F.when(F.col("through") > F.col("low"), F.col("value")))
+    low = F.min("value")
     high = F.min(F.when(F.col("through") > F.col("high"), F.col("value")))
-    return ranked.groupBy(*group, "probability").agg((low + (high - low) * F.first("share")).alias("value"))
+    return near.groupBy(*group, "probability").agg((low + (high - low) * F.first("share")).alias("value"))
+
+
+def exact_quantiles(df: DataFrame, metrics: list[str], probabilities: list[float], keys: list[str] = ()) -> DataFrame:
+    """Exact interpolated quantiles per key and metric."""
+    return quantiles_of_counts(value_counts(df, metrics, keys=list(keys)), probabilities, list(keys))
 
 
 def fitted_quantiles(df: DataFrame, metrics: list[str], probability: float = 0.5) -> dict[str, float]:
     """One quantile per column on the driver: as many numbers as columns."""
-    rows = exact_quantiles(df, metrics, [probability]).select("metric", "value").collect()
+    return collect_quantiles(value_counts(df, metrics), metrics, probability)
+
+
+def collect_quantiles(counts: DataFrame, metrics: list[str], probability: float = 0.5) -> dict[str, float]:
+    rows = quantiles_of_counts(counts, [probability]).select("metric", "value").collect()
     found = {r["metric"]: r["value"] for r in rows}
     return {m: found.get(m) for m in metrics}

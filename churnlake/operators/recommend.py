@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from churnlake import config as c
+from churnlake.functions.arrays import unfold
 from churnlake.functions.rounding import half_even
 
 
@@ -98,18 +99,19 @@ def _with_rule_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.withColumns({x: F.lit(None) for x in absent}), absent
 
 
-def ranked_rules(p: Column, charges: Column, segment: Column | None, rules: list[Rule], cap: int, floor: float) -> Column:
+def ranked_rules(p: Column, charges: Column, weight: Column, segment: Column | None, rules: list[Rule], cap: int,
+                 floor: float) -> Column:
     """Array of the fired rules, ranked by priority, savings, rule order; cut to ``cap``."""
     entries = []
     for number, rule in enumerate(rules, 1):
         priority = F.lit(rule.priority)
         if segment is not None and rule.segments:
-            boosted = F.greatest(F.lit(1), priority - 1)
-            priority = F.when(segment.isin(*rule.segments), boosted).otherwise(priority)
-        savings = half_even(charges * rule.multiplier * (p * 0.5 + 0.5))
+            priority = F.when(segment.isin(*rule.segments), max(1, rule.priority - 1)).otherwise(rule.priority)
+        savings = half_even(charges * rule.multiplier * weight)
         slim = F.struct(priority.alias("priority"), (-savings).alias("rank"), F.lit(number).alias("number"))
-        entries.append(F.when((p >= floor) & F.expr(rule.when), slim))
-    ranked = F.slice(F.sort_array(F.array_compact(F.array(*entries))), 1, cap)
+        entries.append(F.when(F.expr(rule.when), slim))
+    kept = F.when(p >= floor, cap).otherwise(0)
+    ranked = F.slice(F.sort_array(F.array_compact(F.array(*entries))), F.lit(1), kept)
     texts = F.array(*[
         F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.action).alias("action"),
                  F.lit(r.multiplier).alias("multiplier"), F.lit(r.reason).alias("reason")) for r in rules])
@@ -126,16 +128,19 @@ def recommend(df: DataFrame, p: str = "churn_probability", segment: str | None =
               cap: int = c.MAX_RECOMMENDATIONS, floor: float = c.MIN_RECOMMEND_PROBABILITY) -> DataFrame:
     """Append ``recommendations`` and ``top_action``. Rules, cap and floor are the caller's to replace."""
     df, absent = _with_rule_columns(df)
-    charges = F.coalesce(F.col("MonthlyCharges").cast("double"), F.lit(c.DEFAULT_CHARGE))
     label = F.col(segment) if segment and segment in df.columns else None
-    ranked = ranked_rules(F.coalesce(F.col(p), F.lit(0.0)), charges, label, rules or RULES, cap, floor)
+    chance = F.coalesce(F.col(p), F.lit(0.0))
+    df = df.withColumns({"_p": chance, "_weight": chance * 0.5 + 0.5,
+                         "_charges": F.coalesce(F.col("MonthlyCharges").cast("double"), F.lit(c.DEFAULT_CHARGE))})
+    ranked = ranked_rules(F.col("_p"), F.col("_charges"), F.col("_weight"), label, rules or RULES, cap, floor)
     top = F.coalesce(F.try_element_at("recommendations", F.lit(1))["action"], F.lit(c.NO_ACTION))
-    return df.withColumn("recommendations", ranked).withColumn("top_action", top).drop(*absent)
+    return (df.withColumn("recommendations", ranked).withColumn("top_action", top)
+            .drop(*absent, "_p", "_weight", "_charges"))
 
 
 def recommendation_rows(df: DataFrame, key: str = c.ID) -> DataFrame:
     """One row per recommendation, shaped for the recommendation table."""
-    return df.select(F.col(key).alias("customer_id"), F.explode("recommendations").alias("r")).select(
+    return unfold(df, F.col("recommendations"), [F.col(key).alias("customer_id")], "r").select(
         "customer_id", "r.rule_name", F.col("r.action").alias("recommended_action"), "r.estimated_savings",
         "r.priority")
 

@@ -126,12 +126,14 @@ def model_input(df: DataFrame, charges_median: float | None = None, drop_duplica
 
 def train_customers(df: DataFrame, models: list[str] | None = None, **sizes) -> TrainingRun:
     """Clean, split, fit the encoder on the training part only, train, select."""
-    ready = model_input(df, drop_duplicates=True)
+    ready = model_input(df, drop_duplicates=True).persist(StorageLevel.MEMORY_AND_DISK)
     split = stratified_split(ready)
     encoder = fit_encoder(split.where(F.col("split") == "train").drop("split"))
     matrix = encoder.matrix(split, keep=[c.ID, c.TARGET, "split"]).withColumn("label", F.col(c.TARGET).cast("double"))
     train = matrix.where(F.col("split") == "train").select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
     test = matrix.where(F.col("split") == "test").select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    train.count(), test.count()
+    ready.unpersist()
     fitted, seconds, aucs, best = train_all(train, test, models, **sizes)
     return TrainingRun(encoder, fitted, best, aucs, seconds, encoder.feature_names, train, test)
 

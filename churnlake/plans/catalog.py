@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnlake import config as c, schemas
 from churnlake.functions import revenue, scoring, text
+from churnlake.functions.arrays import unfold
 from churnlake.functions.features import engineer_features, feature_columns
 from churnlake.functions.rounding import half_even
 from churnlake.operators import (
@@ -15,7 +16,7 @@ from churnlake.operators import (
     ordering, portfolio, recommend, scenarios, segments, splitting, training, validation,
 )
 from churnlake.plans import batch_run, customer_scoring, entities, summary
-from churnlake.session import work_path
+from churnlake.session import cut_lineage, work_path
 from churnlake.sources import adapters, files
 from churnlake.streaming import monitors
 
@@ -182,7 +183,7 @@ def replace_recommendations(spark, folder):
     old = entities.recommendation_table(spark, folder).select(
         "customer_id", "rule_name", "estimated_savings", "priority")
     new = recommend.recommendation_rows(entities.recommended_customers(spark, folder)).drop("recommended_action")
-    return maintenance.replace_by_key(old, new, "customer_id")
+    return maintenance.replace_by_key(old, cut_lineage(new), "customer_id")     # the new set is read twice
 
 
 @query
@@ -310,8 +311,8 @@ def feature_matrix(spark, folder):
     from pyspark.ml.functions import vector_to_array
     ready = _encoder_input(spark, folder)
     matrix = encoding.fit_encoder(ready).matrix(ready, keep=["customerID"])
-    return matrix.select("customerID", F.posexplode(vector_to_array("features")).alias("position", "value")).select(
-        "customerID", "position", half_even(F.col("value"), 6).alias("value"))
+    rows = unfold(matrix, vector_to_array("features"), ["customerID"], "value", "place")
+    return rows.select("customerID", (F.col("place") - 1).alias("position"), half_even(F.col("value"), 6).alias("value"))
 
 
 @query
@@ -518,8 +519,8 @@ def _explained(spark, folder) -> DataFrame:
 
 @query
 def row_explanations(spark, folder):
-    rows = _explained(spark, folder).select("customerID", F.posexplode("explanation").alias("i", "e"))
-    return rows.select("customerID", (F.col("i") + 1).alias("place"), "e.feature",
+    rows = unfold(_explained(spark, folder), F.col("explanation"), ["customerID"], "e", "place")
+    return rows.select("customerID", "place", "e.feature",
                        half_even(F.col("e.feature_value"), 6).alias("feature_value"), "e.shap_value", "e.impact")
 
 
@@ -561,7 +562,8 @@ def stored_explanations(spark, folder):
     """Explanations to JSON text and back, then as a map."""
     stored = _explained(spark, folder).select("customerID", explain.to_text(F.col("explanation")).alias("shap_values"))
     back = stored.select("customerID", explain.flatten(explain.from_text(F.col("shap_values"))).alias("m"))
-    return back.select("customerID", F.explode("m").alias("feature", "shap_value"))
+    return unfold(back, F.map_entries("m"), ["customerID"], "e").select(
+        "customerID", F.col("e.key").alias("feature"), F.col("e.value").alias("shap_value"))
 
 
 # -- segments --------------------------------------------------------------------------------------
@@ -597,8 +599,8 @@ def rule_segments(spark, folder):
 
 # -- recommendations -------------------------------------------------------------------------------
 def _recommendation_rows(df: DataFrame) -> DataFrame:
-    rows = df.select("customerID", F.posexplode("recommendations").alias("i", "r"))
-    return rows.select("customerID", (F.col("i") + 1).alias("place"), "r.rule_name", "r.action", "r.priority",
+    rows = unfold(df, F.col("recommendations"), ["customerID"], "r", "place")
+    return rows.select("customerID", "place", "r.rule_name", "r.action", "r.priority",
                        "r.estimated_savings", "r.savings_multiplier", "r.triggered_by")
 
 

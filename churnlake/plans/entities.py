@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnlake import config as c
+from churnlake.functions.arrays import unfold
 from churnlake.functions.scoring import rule_segment, with_scorecard
 from churnlake.operators import activity, alerts, recommend
 from churnlake.sources import adapters
@@ -24,8 +25,8 @@ def recommendation_table(spark: SparkSession, folder: str) -> DataFrame:
     latest = activity.latest_per_customer(adapters.predictions(spark, folder)).select(
         F.col("customer_id").alias(c.ID), "churn_probability", "created_at")
     scored = adapters.customers(spark, folder).join(latest, c.ID).withColumn("segment", rule_segment())
-    rows = recommend.recommend(scored).select(
-        F.col(c.ID).alias("customer_id"), "created_at", F.explode("recommendations").alias("r"))
+    rows = unfold(recommend.recommend(scored), F.col("recommendations"),
+                  [F.col(c.ID).alias("customer_id"), "created_at"], "r")
     return rows.select(
         "customer_id", "r.rule_name", F.col("r.action").alias("recommended_action"), "r.estimated_savings",
         "r.priority", ((F.col("customer_id") + F.col("r.priority")) % 3 == 0).alias("is_completed"), "created_at")

@@ -6,7 +6,7 @@ a customer with very many orders costs one partial-aggregate row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnlake import schemas
 from churnlake.functions.scoring import churn_label, risk_category, risk_score
@@ -16,16 +16,44 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _yes(flag: Column) -> Column:
-    return F.when(flag, "Yes").otherwise("No")
-
-
-def _even(key: Column, divisor: int) -> Column:
-    return F.floor(key / divisor) % 2 == 0
-
-
-def _addon(key: Column, net: Column, divisor: int) -> Column:
-    return F.when(net == "No", "No internet service").otherwise(_yes(_even(key, divisor)))
+def _addon(divisor: int) -> str:
+    return (f"CASE WHEN net = 'No' THEN 'No internet service' WHEN floor(k / {divisor}) % 2 = 0 THEN 'Yes' "
+            "ELSE 'No' END")
+
+
+# canonical column -> SQL over the joined customer row
+_CUSTOMER_COLUMNS = {
+    "customerID": "k",
+    "gender": "if(k % 2 = 0, 'Male', 'Female')",
+    "SeniorCitizen": "if(k % 25 < 4, 1, 0)",
+    "Partner": "if(floor(k / 5) % 2 = 0, 'Yes', 'No')",
+    "Dependents": "if(k % 10 < 3, 'Yes', 'No')",
+    "tenure": "cast(k % 73 AS int)",
+    "PhoneService": "if(k % 10 = 9, 'No', 'Yes')",
+    "MultipleLines": "CASE WHEN k % 10 = 9 THEN 'No phone service' WHEN floor(k / 7) % 2 = 0 THEN 'Yes' ELSE 'No' END",
+    "InternetService": "net",
+    "OnlineSecurity": _addon(11),
+    "OnlineBackup": _addon(13),
+    "DeviceProtection": _addon(17),
+    "TechSupport": _addon(3),
+    "StreamingTV": _addon(19),
+    "StreamingMovies": _addon(23),
+    "Contract": "CASE c_mktsegment WHEN 'MACHINERY' THEN 'One year' WHEN 'FURNITURE' THEN 'Two year' "
+                "ELSE 'Month-to-month' END",
+    "PaperlessBilling": "if(floor(k / 4) % 2 = 0, 'Yes', 'No')",
+    "PaymentMethod": "element_at(array('Electronic check', 'Mailed check', 'Bank transfer (automatic)', "
+                     "'Credit card (automatic)'), c_nationkey % 4 + 1)",
+    "MonthlyCharges": "charges",
+    "TotalCharges": "if(k % 33 = 0, '', cast(cast(floor(charges * (k % 73)) AS bigint) AS string))",
+    "InactiveDays": "cast(idle % 91 AS int)",
+    "SubscriptionType": "CASE WHEN charges > 80 THEN 'Premium' WHEN charges > 50 THEN 'Standard' ELSE 'Basic' END",
+}
+_CHURNED = """
+    cast(((customerID * 7919 + 104729) % 1000) / 1000.0D < greatest(0.02D, least(0.95D,
+        if(Contract = 'Month-to-month', 0.35D, 0.0D) + if(PaymentMethod = 'Electronic check', 0.15D, 0.0D)
+        + if(InternetService = 'Fiber optic', 0.10D, 0.0D) + if(PaperlessBilling = 'Yes', 0.05D, 0.0D)
+        + 0.20D / (tenure + 1) + InactiveDays * 0.15D / 90)) AS int)
+"""
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,56 +62,16 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     last = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"))
     newest = orders.agg(F.max("o_orderdate")).scalar()
 
-    k = F.col("c_custkey")
-    charges = F.lit(10) + (F.col("c_acctbal") + 1000) / 100
-    net = F.element_at(F.array(F.lit("DSL"), F.lit("Fiber optic"), F.lit("No")), (k % 3 + 1).cast("int"))
-    phone = F.when(k % 10 == 9, "No").otherwise("Yes")
-    payments = F.array(*[F.lit(x) for x in (
-        "Electronic check", "Mailed check", "Bank transfer (automatic)", "Credit card (automatic)")])
-    base = (
-        table(spark, folder, "customer")
-        .select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    joined = (
+        table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
         .join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
-        .select(
-            k.alias("customerID"),
-            F.when(k % 2 == 0, "Male").otherwise("Female").alias("gender"),
-            F.when(k % 25 < 4, 1).otherwise(0).alias("SeniorCitizen"),
-            _yes(_even(k, 5)).alias("Partner"),
-            _yes(k % 10 < 3).alias("Dependents"),
-            (k % 73).cast("int").alias("tenure"),
-            phone.alias("PhoneService"),
-            F.when(phone == "No", "No phone service").otherwise(_yes(_even(k, 7))).alias("MultipleLines"),
-            net.alias("InternetService"),
-            _addon(k, net, 11).alias("OnlineSecurity"),
-            _addon(k, net, 13).alias("OnlineBackup"),
-            _addon(k, net, 17).alias("DeviceProtection"),
-            _addon(k, net, 3).alias("TechSupport"),
-            _addon(k, net, 19).alias("StreamingTV"),
-            _addon(k, net, 23).alias("StreamingMovies"),
-            F.when(F.col("c_mktsegment") == "MACHINERY", "One year")
-            .when(F.col("c_mktsegment") == "FURNITURE", "Two year")
-            .otherwise("Month-to-month").alias("Contract"),
-            _yes(_even(k, 4)).alias("PaperlessBilling"),
-            F.element_at(payments, F.col("c_nationkey") % 4 + 1).alias("PaymentMethod"),
-            charges.alias("MonthlyCharges"),
-            F.when(k % 33 == 0, "").otherwise(
-                F.floor(charges * (k % 73)).cast("bigint").cast("string")).alias("TotalCharges"),
-            (F.coalesce(F.datediff(newest, "last_order"), F.lit(90)) % 91).cast("int").alias("InactiveDays"),
-            F.when(charges > 80, "Premium").when(charges > 50, "Standard").otherwise("Basic")
-            .alias("SubscriptionType"),
-        )
-    )
-    score = (
-        F.when(F.col("Contract") == "Month-to-month", 0.35).otherwise(0.0)
-        + F.when(F.col("PaymentMethod") == "Electronic check", 0.15).otherwise(0.0)
-        + F.when(F.col("InternetService") == "Fiber optic", 0.10).otherwise(0.0)
-        + F.when(F.col("PaperlessBilling") == "Yes", 0.05).otherwise(0.0)
-        + F.lit(0.20) / (F.col("tenure") + 1)
-        + F.col("InactiveDays") * 0.15 / 90
+        .select(F.col("c_custkey").alias("k"), "c_nationkey", "c_mktsegment",
+                F.expr("10 + (c_acctbal + 1000) / 100").alias("charges"),
+                F.expr("element_at(array('DSL', 'Fiber optic', 'No'), cast(c_custkey % 3 + 1 AS int))").alias("net"),
+                F.coalesce(F.datediff(newest, "last_order"), F.lit(90)).alias("idle"))
     )
-    draw = ((F.col("customerID") * 7919 + 104729) % 1000) / 1000.0
-    churned = draw < F.greatest(F.lit(0.02), F.least(F.lit(0.95), score))
-    return base.withColumn("Churn", churned.cast("int"))
+    columns = joined.selectExpr(*[f"{text} AS {name}" for name, text in _CUSTOMER_COLUMNS.items()])
+    return columns.withColumn("Churn", F.expr(_CHURNED))
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
