@@ -71,8 +71,10 @@ def normalise_responses(df: DataFrame, response: str = "response", charges: str
                         order: list[Column] | None = None) -> DataFrame:
     """Parse JSON answers; clamp, re-derive and fill; unreadable answers become a neutral row.
 
-    With ``order`` the rows are numbered from 1.
+    With ``order`` the rows are numbered from 1, before any parsing.
     """
+    if order:
+        df = with_row_number(df, order)
     parsed = F.from_json(unfence(F.col(response)), _RESPONSE,
                          {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
     given = F.col("_a.churn_probability")
@@ -82,7 +84,7 @@ def normalise_responses(df: DataFrame, response: str = "response", charges: str
     monthly = F.coalesce(F.nullif(F.col(charges), F.lit(0.0)), F.lit(c.DEFAULT_CHARGE))
     risk = simple_risk(F.col("_p"), monthly)
     stated = ok & (F.coalesce(F.col("_a.revenue_risk.expected_annual_loss"), F.lit(0.0)) != 0)
-    out = (
+    return (
         df.withColumn("_a", parsed).withColumn("_value", value).withColumn("_p", p)
         .select(
             *df.columns,
@@ -99,4 +101,3 @@ def normalise_responses(df: DataFrame, response: str = "response", charges: str
             *[F.when(stated, F.col(f"_a.revenue_risk.{n}")).otherwise(x).alias(n) for n, x in risk.items()],
         )
     )
-    return with_row_number(out, order) if order else out
