@@ -19,10 +19,8 @@ def lifetime_value(charges: Column, months: int = c.REMAINING_MONTHS, margin: fl
 
 def savings_total(recommendations: Column) -> Column:
     """Monthly savings over an array of recommendations."""
-    amounts = F.transform(recommendations, lambda r: r["estimated_savings"].cast("decimal(30,2)"))
-    total = F.aggregate(amounts, F.lit(0).cast("decimal(38,2)"),
-                        lambda acc, x: (acc + x).cast("decimal(38,2)"))
-    return F.coalesce(total.cast("double"), F.lit(0.0))
+    total = F.aggregate(recommendations, F.lit(0.0), lambda acc, r: acc + r["estimated_savings"])
+    return F.coalesce(half_even(total), F.lit(0.0))
 
 
 def customer_risk(p: Column, charges: Column, recommendations: Column | None = None) -> dict[str, Column]:

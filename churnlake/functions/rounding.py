@@ -1,24 +1,32 @@
-"""Rounding and exact sums."""
+"""Rounding and exact sums in primitive arithmetic, inside generated code.
+
+Values count as decimals with eight places: every product of a price and a probability fits. Scaled to
+whole hundred-millionths they are integers, so ties are real ties and sums do not depend on row order.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, WindowSpec, functions as F
+
+_PLACES = 8
+_SCALE = 10.0 ** _PLACES
+
 
-# eight decimals keep every product of a price and a probability; sums get the widest type
-_ROW = "decimal(30,8)"
-_SUM = "decimal(38,8)"
+def _units(col: Column) -> Column:
+    return F.rint(col.cast("double") * _SCALE)
 
 
 def half_even(col: Column, digits: int = 2) -> Column:
-    """Banker's rounding of the decimal value, so that binary noise never decides a tie."""
-    return F.bround(col.cast(_ROW), digits).cast("double")
+    """Banker's rounding of the eight-place value; never a negative zero."""
+    return F.rint(_units(col) / 10.0 ** (_PLACES - digits)) / 10.0 ** digits + F.lit(0.0)
 
 
-def exact_sum(col: Column) -> Column:
-    """Sum that does not depend on how rows are partitioned."""
-    return F.sum(col.cast(_ROW)).cast(_SUM)
+def exact_sum(col: Column, window: WindowSpec | None = None) -> Column:
+    """Sum that does not depend on how rows are partitioned; wide enough for any table."""
+    total = F.sum(_units(col).cast("bigint").cast("decimal(20,0)"))
+    return (total.over(window) if window else total).cast("double") / _SCALE
 
 
 def exact_avg(col: Column) -> Column:
     """Mean of the non-null values over an exact sum; null for an empty group."""
-    return F.try_divide(exact_sum(col).cast("double"), F.count(col))
+    return F.try_divide(exact_sum(col), F.count(col))

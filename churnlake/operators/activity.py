@@ -20,12 +20,13 @@ def moment(as_of: datetime | Column | None, table: DataFrame, column: str = "cre
     return as_of if isinstance(as_of, Column) else F.lit(as_of)
 
 
-def latest_per_customer(predictions: DataFrame) -> DataFrame:
+def latest_per_customer(predictions: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exactly one row per customer (null is a customer too): newest, then highest id.
 
     A max over a struct combines on the map side, so a customer with very many rows costs one row per task.
+    ``columns`` keeps the struct, and with it the scan and the shuffle, to what is used.
     """
-    rest = [x for x in predictions.columns if x not in ("customer_id", "created_at", "prediction_id")]
+    rest = [x for x in columns or predictions.columns if x not in ("customer_id", "created_at", "prediction_id")]
     newest = F.max(F.struct("created_at", "prediction_id", *rest)).alias("_newest")
     return predictions.groupBy("customer_id").agg(newest).select("customer_id", "_newest.*")
 
@@ -49,8 +50,8 @@ def latest_customers(predictions: DataFrame, customers: DataFrame) -> DataFrame:
 
 def customers_by_risk(customers: DataFrame, predictions: DataFrame, risk: str | None = None) -> DataFrame:
     """Customers with their latest score, one risk band if given."""
-    score = latest_per_customer(predictions).select(
-        F.col("customer_id").alias(c.ID), "prediction_label", "churn_probability", "risk_score")
+    wanted = ["prediction_label", "churn_probability", "risk_score"]
+    score = latest_per_customer(predictions, wanted).select(F.col("customer_id").alias(c.ID), *wanted)
     if risk is None:
         return customers.join(score, c.ID, "left")
     return customers.join(score.where(F.col("prediction_label") == risk), c.ID)
@@ -75,7 +76,7 @@ def list_predictions(predictions: DataFrame, customers: DataFrame, risk: str | N
 
 
 def risk_distribution(predictions: DataFrame) -> DataFrame:
-    return latest_per_customer(predictions).groupBy("prediction_label").agg(F.count("*").alias("customers"))
+    return latest_per_customer(predictions, ["prediction_label"]).groupBy("prediction_label").agg(F.count("*").alias("customers"))
 
 
 def daily_trend(predictions: DataFrame, as_of=None, days: int = TREND_DAYS) -> DataFrame:

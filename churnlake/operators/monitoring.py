@@ -23,18 +23,17 @@ def trailing_series(df: DataFrame, keys: list[str], value: str, ts: str = "creat
     history, to the next one, so a window task holds two buckets of one key however long the log is.
     """
     per_second = df.groupBy(*keys, epoch_seconds(F.col(ts)).alias("second")).agg(
-        F.count("*").alias("n"), F.coalesce(exact_sum(F.col(value)), F.lit(0).cast("decimal(38,8)")).alias("s"))
+        F.count("*").alias("n"), F.coalesce(exact_sum(F.col(value)), F.lit(0.0)).alias("s"))
     bucket = F.floor(F.col("second") / seconds)
     homes = F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")),
                               F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own"))))
     window = Window.partitionBy(*keys, "home.bucket").orderBy("second").rangeBetween(-seconds, 0)
     return (
         per_second.withColumn("home", homes)
-        .withColumns({"calls": F.sum("n").over(window), "total": F.sum("s").over(window)})
+        .withColumns({"calls": F.sum("n").over(window), "total": exact_sum(F.col("s"), window)})
         .where("home.own")
         .select(*keys, F.timestamp_seconds("second").cast("timestamp_ntz").alias("second"), "calls",
-                F.col("total").cast("double").alias("total"),
-                half_even(F.col("total").cast("double") / F.col("calls"), 4).alias("mean"))
+                "total", half_even(F.col("total") / F.col("calls"), 4).alias("mean"))
     )
 
 
@@ -45,7 +44,7 @@ def trailing_totals(df: DataFrame, value: str, as_of=None, ts: str = "created_at
     start = now - F.make_dt_interval(secs=F.lit(seconds))
     mean = F.coalesce(exact_avg(F.col(value)), F.lit(0.0))
     return df.where((F.col(ts) >= start) & (F.col(ts) <= now)).agg(
-        F.count("*").alias("calls"), F.coalesce(exact_sum(F.col(value)).cast("double"), F.lit(0.0)).alias("total"),
+        F.count("*").alias("calls"), F.coalesce(exact_sum(F.col(value)), F.lit(0.0)).alias("total"),
         half_even(mean, 4).alias("mean"))
 
 

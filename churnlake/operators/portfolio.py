@@ -30,12 +30,12 @@ def portfolio_risk(df: DataFrame) -> DataFrame:
         F.count_if(high).alias("high_risk_count"),
         F.count_if((p >= c.MEDIUM_RISK) & ~high).alias("medium_risk_count"),
         F.count_if(p < c.MEDIUM_RISK).alias("low_risk_count"),
-        exact_sum(charges).cast("double").alias("revenue"),
-        exact_sum(charges * p).cast("double").alias("loss"),
-        F.coalesce(exact_sum(F.when(high, charges)).cast("double"), F.lit(0.0)).alias("worst"),
-        exact_sum(lifetime_value(charges) * p).cast("double").alias("ltv"),
+        exact_sum(charges).alias("revenue"),
+        exact_sum(charges * p).alias("loss"),
+        F.coalesce(exact_sum(F.when(high, charges)), F.lit(0.0)).alias("worst"),
+        exact_sum(lifetime_value(charges) * p).alias("ltv"),
         exact_avg(p).alias("mean_p"),
-        *([F.coalesce(exact_sum(F.col("estimated_savings")).cast("double"), F.lit(0.0)).alias("savings")]
+        *([F.coalesce(exact_sum(F.col("estimated_savings")), F.lit(0.0)).alias("savings")]
           if "estimated_savings" in df.columns else []))
     annual = F.col("loss") * 12
     recoverable = F.col("savings") * 12 if "estimated_savings" in df.columns else annual * c.RECOVERY_SHARE
@@ -56,7 +56,7 @@ def risk_by_segment(df: DataFrame) -> DataFrame:
     _need(df, "segment", "churn_probability", "MonthlyCharges")
     p, charges = F.col("churn_probability"), F.col("MonthlyCharges")
     return df.groupBy("segment").agg(
-        half_even(exact_sum(charges * p).cast("double") * 12).alias("expected_annual_loss"),
+        half_even(exact_sum(charges * p) * 12).alias("expected_annual_loss"),
         half_even(exact_avg(p), 4).alias("avg_churn_probability"))
 
 
@@ -75,8 +75,8 @@ def portfolio_stats(df: DataFrame) -> DataFrame:
     money = []
     if "MonthlyCharges" in df.columns:
         charges = F.col("MonthlyCharges")
-        aggregates += [exact_sum(charges).cast("double").alias("revenue"),
-                       exact_sum(charges * p).cast("double").alias("loss")]
+        aggregates += [exact_sum(charges).alias("revenue"),
+                       exact_sum(charges * p).alias("loss")]
         loss = half_even(F.col("loss"))
         money = [half_even(F.col("revenue")).alias("total_monthly_revenue"), loss.alias("expected_monthly_loss"),
                  half_even(loss * 12).alias("expected_annual_loss")]
@@ -91,5 +91,5 @@ def segment_distribution(df: DataFrame) -> DataFrame:
 
 def live_annual_loss(latest: DataFrame) -> DataFrame:
     """Annual loss over latest predictions joined with customers."""
-    total = exact_sum(F.col("MonthlyCharges") * F.col("churn_probability")).cast("double") * 12
+    total = exact_sum(F.col("MonthlyCharges") * F.col("churn_probability")) * 12
     return latest.agg(F.coalesce(half_even(total), F.lit(0.0)).alias("expected_annual_revenue_loss"))

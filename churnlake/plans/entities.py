@@ -22,7 +22,7 @@ def recommended_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 def recommendation_table(spark: SparkSession, folder: str) -> DataFrame:
     """Recommendations of every customer at the latest prediction, stamped with its time."""
-    latest = activity.latest_per_customer(adapters.predictions(spark, folder)).select(
+    latest = activity.latest_per_customer(adapters.predictions(spark, folder), ["churn_probability"]).select(
         F.col("customer_id").alias(c.ID), "churn_probability", "created_at")
     scored = adapters.customers(spark, folder).join(latest, c.ID).withColumn("segment", rule_segment())
     rows = unfold(recommend.recommend(scored), F.col("recommendations"),

@@ -12,7 +12,7 @@ def executive_summary(customers: DataFrame, predictions: DataFrame, calls: DataF
     """One row; where both sides name a value, the live one wins."""
     latest = activity.latest_customers(predictions, customers)
     band = F.col("prediction_label")
-    bands = activity.latest_per_customer(predictions).agg(
+    bands = activity.latest_per_customer(predictions, ["prediction_label"]).agg(
         F.count_if(band == "High").alias("high_risk"), F.count_if(band == "Medium").alias("medium_risk"),
         F.count_if(band == "Low").alias("low_risk"))
     return activity.combine_rows({
