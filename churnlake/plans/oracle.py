@@ -391,7 +391,7 @@ ORACLES: dict[str, str] = {
         sized AS (SELECT customer_id, 'predictions' AS table_name FROM pred UNION ALL
         SELECT customer_id, 'alerts' FROM alert UNION ALL SELECT customer_id, 'recommendations' FROM rec_table)
         SELECT customer_id, count(*) AS rows, table_name FROM sized
-        WHERE customer_id NOT IN (SELECT customerID FROM gone) GROUP BY ALL""",
+        WHERE NOT EXISTS (SELECT 1 FROM gone WHERE customerID = customer_id) GROUP BY ALL""",
     "unlink_alerts": f"""WITH {ALERTS} SELECT CASE WHEN o_totalprice / 500000 >= 0.5e0 THEN prediction_id END AS prediction_id,
         customer_id, alert_type, created_at FROM alert JOIN orders ON o_orderkey = prediction_id""",
     "insert_new_users": f"""WITH {USERS} SELECT email, user_id FROM users UNION ALL

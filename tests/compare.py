@@ -16,7 +16,7 @@ def duck(folder: str):
     connection = duckdb.connect()
     for path in glob.glob(f"{folder}/*.parquet"):
         name = os.path.basename(path)[: -len(".parquet")]
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path + "/*.parquet" if os.path.isdir(path) else path}')")
     return connection
 
 
