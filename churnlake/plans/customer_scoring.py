@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from churnlake.functions.features import engineer_features
 from churnlake.functions.revenue import customer_risk
 from churnlake.operators import explain, recommend
-from churnlake.operators.cleaning import canonical_columns, number, with_defaults
+from churnlake.operators.cleaning import canonical_columns, column_number, with_defaults
 from churnlake.operators.encoding import Encoder
 from churnlake.operators.segments import Segmenter
 from churnlake.operators.training import model_input, score_batch
@@ -28,7 +28,7 @@ def with_explanation(df: DataFrame, encoder: Encoder, model, means: list[float],
 def score_customers(df: DataFrame, encoder: Encoder, model, segmenter: Segmenter, means: list[float]) -> DataFrame:
     """Every customer with prediction, segment, recommendations, revenue risk and explanation."""
     ready = with_defaults(canonical_columns(df))
-    ready = ready.withColumns({x: F.coalesce(number(F.col(x)), F.lit(0.0))
+    ready = ready.withColumns({x: F.coalesce(column_number(ready, x), F.lit(0.0))
                                for x in ("tenure", "MonthlyCharges", "InactiveDays") if x in ready.columns})
     scored = segmenter.assign(engineer_features(score_batch(ready, encoder, model)))
     advised = recommend.recommend(scored)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "churnlake", master: str | None = None, shuffle_partitions: int | None = None,
@@ -53,7 +53,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/churnlake/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: later stages scan only the columns they need."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: freezes the rows so that later stages all see the same values."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
