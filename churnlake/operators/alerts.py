@@ -9,6 +9,7 @@ from churnlake.functions.rounding import half_even
 from churnlake.operators.activity import moment
 
 
+# Fixed text: the wording of the alert message.
 def _message(customer: Column, p: Column, band: Column, inactive: Column, loss: Column) -> Column:
     percent = half_even(p * 100, 1).cast("decimal(5,1)").cast("string")
     return F.concat(

@@ -70,6 +70,7 @@ def global_importance_fallback(importances: DataFrame) -> DataFrame:
     return importances.withColumn("direction", F.lit(_UP))
 
 
+# Fixed text: the wording of the narrative.
 def narrative(p: Column, explanation: Column) -> Column:
     """One or two sentences: probability, drivers and protective factors among the top five."""
     top = F.slice(explanation, 1, 5)

@@ -358,7 +358,7 @@ ORACLES: dict[str, str] = {
     # sources and sinks
     "raw_csv_scan": CLEAN_ALL,
     "scoring_csv_scan": "",
-    "training_csv_scan": f"""WITH {CUST} SELECT 'Québec' AS region, Contract, count(*) AS rows, sum(Churn) AS churners,
+    "training_csv_scan": f"""WITH {CUST} SELECT 'Québec' AS region, Contract, count(*) AS rows, CAST(sum(Churn) AS BIGINT) AS churners,
         max(tenure) AS max_tenure FROM cust GROUP BY Contract""",
     "table_scans": f"""WITH {TABLE}, {ALERTS[len(CUST) + 1 + len(PRED) + 1:]}
         SELECT 'customers' AS table_name, count(*) AS rows FROM customer UNION ALL
