@@ -33,6 +33,9 @@ def build_session(app: str = "churnlake", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}     # a local master's own folder, per application
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
@@ -43,9 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="churnlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _LOCAL_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="churnlake-"))
 
 
 def work_path(spark: SparkSession, name: str) -> str:
