@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from churnlake.llm import quality_rules, sharding
+from churnlake.llm import hidden_markov, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_extendible_sharding": sharding.op1_extendible_sharding,
+    "op5_hidden_markov": hidden_markov.op5_hidden_markov,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
