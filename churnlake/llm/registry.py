@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from churnlake.llm import hidden_markov, ngram_join, quality_rules, sharding, toxicity
+from churnlake.llm import hidden_markov, line_dedup, ngram_join, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_extendible_sharding": sharding.op1_extendible_sharding,
     "op5_hidden_markov": hidden_markov.op5_hidden_markov,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
