@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from churnlake.llm import hidden_markov, line_dedup, ngram_join, quality_rules, sharding, toxicity
+from churnlake.llm import byte_bpe, hidden_markov, line_dedup, ngram_join, packing, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_extendible_sharding": sharding.op1_extendible_sharding,
+    "op2_config_lp_packing": packing.op2_config_lp_packing,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_hidden_markov": hidden_markov.op5_hidden_markov,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
