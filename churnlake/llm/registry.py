@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnlake.llm import byte_bpe, hidden_markov, line_dedup, ngram_join, packing, quality_rules, sharding, toxicity
+from churnlake.llm import byte_bpe, hidden_markov, line_dedup, ngram_join, packing, quality_rules, sharding, tag_paths, toxicity
 
 QUERIES = {
     "op1_extendible_sharding": sharding.op1_extendible_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_tag_paths": tag_paths.op9_tag_paths,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
