@@ -81,7 +81,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _order(survey: DataFrame) -> Order:
-    sums = survey.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("texts").alias("n")).toPandas()
+    sums = survey.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("texts").alias("n")).toArrow().to_pandas()
     counts = np.zeros(1 << BUCKET_BITS, np.int64)            # 2 ** BUCKET_BITS rows at most
     counts[sums["bucket"].to_numpy().astype(np.int64)] = sums["n"].to_numpy()
     order = np.argsort(counts, kind="stable")
