@@ -73,7 +73,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()          # HEAD rows
+    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow().to_pandas()          # HEAD rows
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     hashes = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -197,7 +197,7 @@ def train(sequences: DataFrame, vocab: Vocabulary) -> Parameters:
                                              ["slot", *[f"c{i}" for i in range(STATES)]])
 
         counted = sequences.select("ids").mapInArrow(run, "slot long, " + ", ".join(f"c{i} double" for i in range(STATES)))
-        sums = counted.groupBy("slot").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(STATES)]).toPandas()
+        sums = counted.groupBy("slot").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(STATES)]).toArrow().to_pandas()
         table = np.zeros((1 + STATES + len(vocab.counts), STATES))      # bounded by HEAD
         table[sums["slot"].to_numpy().astype(int) + 1 + STATES] = sums[[f"c{i}" for i in range(STATES)]].to_numpy()
         p = _normalised(table[0], table[1:1 + STATES], table[1 + STATES:], vocab)

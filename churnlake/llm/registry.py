@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from churnlake.llm import byte_bpe, hidden_markov, line_dedup, ngram_join, packing, quality_rules, sharding, tag_paths, toxicity
+from churnlake.llm import byte_bpe, hidden_markov, line_dedup, ngram_join, packing, projection_forest, quality_rules, sharding, tag_paths, toxicity
 
 QUERIES = {
     "op1_extendible_sharding": sharding.op1_extendible_sharding,
     "op2_config_lp_packing": packing.op2_config_lp_packing,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op4_projection_forest": projection_forest.op4_projection_forest,
     "op5_hidden_markov": hidden_markov.op5_hidden_markov,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_toxicity": toxicity.op7_toxicity,

@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         *[F.sum(c).alias(c) for c in ("ordinary", "toxic")]).first()
     if not sums["ordinary"] or not sums["toxic"]:
         return None
-    rows = counts.where(F.col("ordinary") + F.col("toxic") >= LEAST_COUNT).toPandas()    # bounded by LABELLED texts
+    rows = counts.where(F.col("ordinary") + F.col("toxic") >= LEAST_COUNT).toArrow().to_pandas()    # bounded by LABELLED texts
     everything = sums["ordinary"] + sums["toxic"]
 
     def shared(count):
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, x.T)], ["toxic", "a", "b", "c"])
 
     seen = used.where("curve").select("text", F.col("toxic").cast("double")).mapInArrow(
-        compare, "toxic double, a double, b double, c double").toPandas()            # bounded by LABELLED
+        compare, "toxic double, a double, b double, c double").toArrow().to_pandas()            # bounded by LABELLED
     if seen["toxic"].nunique() < 2:
         return None
     return model._replace(curve=_fit_curve(seen[["a", "b", "c"]].to_numpy(), seen["toxic"].to_numpy()))
