@@ -22,8 +22,9 @@ def half_even(col: Column, digits: int = 2) -> Column:
 
 
 def exact_sum(col: Column, window: WindowSpec | None = None) -> Column:
-    """Sum that does not depend on how rows are partitioned; wide enough for any table."""
-    total = F.sum(_units(col).cast("bigint").cast("decimal(20,0)"))
+    """Sum that does not depend on how rows are partitioned; wide enough for any table. A value
+    beyond 28 digits of hundred-millionths, or not finite, is left out like a null."""
+    total = F.sum(_units(col).try_cast("decimal(28,0)"))
     return (total.over(window) if window else total).cast("double") / _SCALE
 
 

@@ -17,8 +17,9 @@ def lookup(col: Column, table: dict, default) -> Column:
 
 
 def banded(col: Column, bands: list[tuple], below, *, upper: bool = False) -> Column:
-    """Points of the first band that holds ``col``: by upper edge (<=) or by lower edge (>=)."""
-    first = F.when(F.lit(False), F.lit(None))
+    """Points of the first band that holds ``col``: by upper edge (<=) or by lower edge (>=).
+    Null has no band and no points."""
+    first = F.when(col.isNull(), F.lit(None))
     return reduce(
         lambda acc, band: acc.when(col <= band[0] if upper else col >= band[0], band[1]), bands, first
     ).otherwise(below)
@@ -31,11 +32,11 @@ def risk_score(p: Column) -> Column:
 
 
 def risk_category(p: Column) -> Column:
-    return F.when(p >= c.HIGH_RISK, "High").when(p >= c.MEDIUM_RISK, "Medium").otherwise("Low")
+    return F.when(p >= c.HIGH_RISK, "High").when(p >= c.MEDIUM_RISK, "Medium").when(p.isNotNull(), "Low")
 
 
 def churn_label(p: Column, threshold: float = c.CHURN_THRESHOLD) -> Column:
-    return F.when(p >= threshold, "Churn").otherwise("No Churn")
+    return F.when(p >= threshold, "Churn").when(p.isNotNull(), "No Churn")
 
 
 def scorecard(tenure="tenure", charges="MonthlyCharges", inactive="InactiveDays",

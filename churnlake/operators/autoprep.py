@@ -9,11 +9,8 @@ from pyspark.sql.types import BooleanType
 
 from churnlake import config as c
 from churnlake.operators.cleaning import is_number
-from churnlake.operators.encoding import vocabularies
 from churnlake.operators.ordering import collect_quantiles, value_counts
 
-_ESTIMATE_ERROR = 0.05        # of the sketch; ten of them must separate a column from the limit
-
 
 @dataclass
 class PreparedTable:
@@ -38,25 +35,22 @@ def find_target(columns: list[str], hint: str = "churn") -> str:
 
 def target_flag(df: DataFrame, target: str) -> Column:
     if isinstance(df.schema[target].dataType, BooleanType) or is_number(df, target):
-        return F.coalesce(F.col(target).cast("int"), F.lit(0))
+        return F.coalesce(F.col(target).try_cast("int"), F.lit(0))
     return F.coalesce(F.lower(target).isin(c.POSITIVE_TOKENS).cast("int"), F.lit(0))
 
 
 def id_like_columns(df: DataFrame, columns: list[str], ratio: float = c.ID_LIKE_RATIO) -> list[str]:
     """Columns with more distinct values than ``ratio`` of the rows.
 
-    A sketch rules out the columns far below the limit; only the rest are counted exactly.
+    All are counted exactly, from one table of distinct cells.
     """
     if not columns:
         return []
-    row = df.agg(F.count("*").alias("n"), *[
-        F.approx_count_distinct(x, _ESTIMATE_ERROR).alias(f"d{i}") for i, x in enumerate(columns)]).first()
-    margin = 1 - 10 * _ESTIMATE_ERROR
-    near = [x for i, x in enumerate(columns) if row["n"] and row[f"d{i}"] > ratio * margin * row["n"]]
-    if not near:
-        return []
-    exact = df.agg(*[F.countDistinct(x).alias(f"d{i}") for i, x in enumerate(near)]).first()
-    return [x for i, x in enumerate(near) if exact[f"d{i}"] / row["n"] > ratio]
+    rows = df.count()
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(f"`{x}`").cast("string").alias("cell")) for x in columns]))
+    distinct = df.select(cells.alias("c")).select("c.*").where(F.col("cell").isNotNull()).distinct()
+    counts = {r["name"]: r["count"] for r in distinct.groupBy("name").count().collect()}
+    return [x for x in columns if rows and counts.get(x, 0) / rows > ratio]
 
 
 def smallest_modes(counts: DataFrame) -> dict[str, str]:
@@ -66,6 +60,14 @@ def smallest_modes(counts: DataFrame) -> dict[str, str]:
     return {r["metric"]: r["word"] for r in best}
 
 
+def _filled_words(counts: DataFrame, columns: list[str], modes: dict[str, str]) -> dict[str, list[str]]:
+    """Sorted words per column after nulls became the mode: the counted words are all there are."""
+    found: dict[str, set[str]] = {x: {modes.get(x, "unknown")} for x in columns}
+    for row in counts.where(F.col("word").isNotNull() & F.col("metric").isin(columns)).select("metric", "word").collect():
+        found[row["metric"]].add(row["word"])
+    return {x: sorted(values) for x, values in found.items()}
+
+
 def auto_prepare(df: DataFrame, hint: str = "churn", ratio: float = c.ID_LIKE_RATIO, keep: list[str] = ()) -> PreparedTable:
     """0/1 target, ID-like columns dropped, medians and modes filled, text as dummies, all numeric.
 
@@ -86,7 +88,7 @@ def auto_prepare(df: DataFrame, hint: str = "churn", ratio: float = c.ID_LIKE_RA
         **{x: F.coalesce(F.col(x).cast("double"), F.lit(medians[x]).cast("double"), F.lit(0.0)) for x in numeric},
         **{x: F.coalesce(F.col(x).cast("string"), F.lit(modes.get(x, "unknown"))) for x in [*text, *flags]},
     })
-    words = vocabularies(filled, text)
+    words = _filled_words(counts, text, modes)
     columns = {x: F.col(x) for x in used if x in numeric}
     columns |= {x: (F.col(x) == "true").cast("double") for x in flags}
     columns |= {f"{x}_{v}": F.when(F.col(x) == v, 1.0).otherwise(0.0) for x in text for v in words[x][1:]}

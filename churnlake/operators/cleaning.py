@@ -70,7 +70,7 @@ def encode_target(df: DataFrame, name: str = c.TARGET) -> Column:
     """1 for Yes / 1, else 0; numeric columns truncate to int."""
     if is_text(df, name):
         return F.coalesce(F.when(F.col(name).isin("Yes", "1"), 1), F.lit(0))
-    return F.coalesce(F.col(name).cast("int"), F.lit(0))
+    return F.coalesce(F.col(name).try_cast("int"), F.lit(0))
 
 
 def clean_customers(df: DataFrame, drop_duplicates: bool = True, charges_median: float | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def clean_customers(df: DataFrame, drop_duplicates: bool = True, charges_median:
         if name in df.columns and name != "TotalCharges":
             fixed[name] = F.coalesce(column_number(df, name), F.lit(0.0))
     if "SeniorCitizen" in df.columns:
-        fixed["SeniorCitizen"] = F.coalesce(column_number(df, "SeniorCitizen").cast("int"), F.lit(0))
+        fixed["SeniorCitizen"] = F.coalesce(column_number(df, "SeniorCitizen").try_cast("int"), F.lit(0))
     if c.TARGET in df.columns:
         fixed[c.TARGET] = encode_target(df)
     return df.withColumns(fixed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from churnlake import config as c
@@ -13,7 +13,6 @@ from churnlake.functions.scoring import lookup
 from churnlake.operators.ordering import collect_quantiles, value_counts
 
 _MISSING = "Missing"
-_MOST_WORDS = 5_000
 
 
 def vocabularies(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
@@ -22,13 +21,13 @@ def vocabularies(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
 
 
 def _vocabularies_of_counts(counts: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Words per column on the driver; refuses vocabularies too large to be columns."""
+    """Words per column on the driver: they are the names of the features."""
     words = counts.where(F.col("metric").isin(columns)).select(
         "metric", F.coalesce("word", F.lit(_MISSING)).alias("word")).distinct()
-    rows = words.limit(_MOST_WORDS + 1).collect()
-    if len(rows) > _MOST_WORDS:
-        raise ValueError(f"more than {_MOST_WORDS} categories: drop the free-text columns among {columns}")
-    return {x: sorted(r["word"] for r in rows if r["metric"] == x) for x in columns}
+    found: dict[str, list[str]] = {x: [] for x in columns}
+    for row in words.collect():
+        found[row["metric"]].append(row["word"])
+    return {x: sorted(values) for x, values in found.items()}
 
 
 @dataclass
@@ -46,12 +45,13 @@ class Encoder:
         kept = [f"{x}_{v}" for x, values in self.categories.items() for v in values[1:]]
         return [*self.medians, *kept, *self.binary]
 
-    def feature_columns(self) -> dict[str, Column]:
+    def feature_columns(self, words: bool = True) -> dict[str, Column]:
+        """A column for each feature; without ``words`` only the numeric and binary ones."""
         columns = {}
         for x, median in self.medians.items():
             filled = F.coalesce(F.col(x).cast("double"), F.lit(median))
             columns[x] = (filled - self.means[x]) / (self.deviations[x] or 1.0)
-        for x, values in self.categories.items():
+        for x, values in self.categories.items() if words else ():
             for v in values[1:]:
                 hit = F.coalesce(F.col(x).cast("string"), F.lit(_MISSING)) == v
                 columns[f"{x}_{v}"] = F.when(hit, 1.0).otherwise(0.0)
@@ -60,11 +60,30 @@ class Encoder:
         return columns
 
     def matrix(self, df: DataFrame, output: str = "features", keep: list[str] | None = None) -> DataFrame:
-        """Append the feature vector; ``keep`` limits the pass-through columns."""
+        """Append the feature vector; ``keep`` limits the pass-through columns.
+
+        Words are looked up in a hash table and become sparse vectors, however many there are.
+        """
         passed = df.columns if keep is None else keep
-        staged = {f"f{i}": col for i, col in enumerate(self.feature_columns().values())}
-        wide = df.select(*passed, *[col.alias(name) for name, col in staged.items()])
-        return VectorAssembler(inputCols=list(staged), outputCol=output).transform(wide).select(*passed, output)
+        plain = self.feature_columns(words=False)
+        numeric = [f"f{i}" for i in range(len(self.medians))]
+        flags = [f"f{i}" for i in range(len(self.medians), len(plain))]
+        nominal = {f"w{i}": (x, values[1:]) for i, (x, values) in enumerate(self.categories.items()) if len(values) > 1}
+        wide = df.select(*passed, *[col.alias(name) for name, col in zip([*numeric, *flags], plain.values())],
+                         *[F.coalesce(F.col(x).cast("string"), F.lit(_MISSING)).alias(w) for w, (x, _) in nominal.items()])
+        if nominal:
+            # the first word and unknown words share the index past the last, which has no place in the vector
+            indexer = StringIndexerModel.from_arrays_of_labels(
+                [values for _, values in nominal.values()], inputCols=list(nominal), outputCols=[f"{w}_i" for w in nominal],
+                handleInvalid="keep")
+            wide = indexer.transform(wide)
+            wide = wide.withColumns({f"{w}_i": F.col(f"{w}_i").alias(f"{w}_i", metadata={}) for w in nominal})
+            hot = OneHotEncoder(inputCols=[f"{w}_i" for w in nominal], outputCols=[f"{w}_v" for w in nominal], dropLast=True)
+            sizes = df.sparkSession.range(1).select(*[
+                F.lit(float(len(values))).alias(f"{w}_i") for w, (_, values) in nominal.items()])
+            wide = hot.fit(sizes).transform(wide)
+        inputs = [*numeric, *[f"{w}_v" for w in nominal], *flags]
+        return VectorAssembler(inputCols=inputs, outputCol=output).transform(wide).select(*passed, output)
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").write.mode("overwrite").text(path)

@@ -15,14 +15,10 @@ from churnlake.operators.training import CustomModel
 PREVIEW_ROWS = 100
 _PREVIEW = ["churn_probability", "risk_score", "risk_category", "churn_label"]
 
-# shape of a model's answer; scalars arrive as text and are cast by hand
-_RESPONSE = """
-    churn_probability string, segment string, explanation string,
-    top_risk_factors array<struct<factor: string, impact: string, detail: string>>,
-    recommendations array<struct<action: string, priority: int, estimated_savings: double, triggered_by: string>>,
-    revenue_risk struct<expected_monthly_loss: double, expected_annual_loss: double, ltv_at_risk: double>,
-    _bad string
-"""
+# the parts of a model's answer; each is parsed for itself, so that an odd optional part doesn't spoil the rest
+_FACTORS = "array<struct<factor: string, impact: string, detail: string>>"
+_ADVICE = "array<struct<action: string, priority: string, estimated_savings: string, triggered_by: string>>"
+_RISK = "struct<expected_monthly_loss: string, expected_annual_loss: string, ltv_at_risk: string>"
 
 
 def batch_summary(scored: DataFrame) -> DataFrame:
@@ -59,6 +55,18 @@ def score_custom(df: DataFrame, custom: CustomModel) -> DataFrame:
     }).drop("_p")
 
 
+_ADVISED = "array<struct<action: string, priority: int, estimated_savings: double, triggered_by: string>>"
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def _list_or_empty(col: Column, kind: str) -> Column:
+    """The entries that could be read; an empty array where there are none."""
+    return F.coalesce(F.filter(col, lambda x: F.to_json(x) != "{}"), _none(kind))
+
+
 def unfence(text: Column) -> Column:
     """Text inside a leading code fence, without its language tag."""
     stripped = F.btrim(text, F.lit(" \t\n\r"))
@@ -75,29 +83,42 @@ def normalise_responses(df: DataFrame, response: str = "response", charges: str
     """
     if order:
         df = with_row_number(df, order)
-    parsed = F.from_json(unfence(F.col(response)), _RESPONSE,
-                         {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
-    given = F.col("_a.churn_probability")
+    def part(name: str) -> Column:
+        return F.get_json_object("_text", f"$.{name}")
+
+    given = F.col("_given")
     value = F.when(given.isNull(), F.lit(0.5)).otherwise(given.try_cast("double"))
-    ok = F.col("_a").isNotNull() & F.col("_a._bad").isNull() & F.col("_value").isNotNull()
+    ok = F.col("_object") & F.col("_value").isNotNull() & ~F.isnan("_value")
+    advice = F.transform(F.col("_advice"), lambda x: F.struct(
+        x["action"].alias("action"), x["priority"].try_cast("int").alias("priority"),
+        x["estimated_savings"].try_cast("double").alias("estimated_savings"), x["triggered_by"].alias("triggered_by")))
+    numbers = {n: F.col(f"_risk.{n}").try_cast("double") for n in ("expected_monthly_loss", "expected_annual_loss", "ltv_at_risk")}
     p = F.when(ok, F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("_value")))).otherwise(0.5)
     monthly = F.coalesce(F.nullif(F.col(charges), F.lit(0.0)), F.lit(c.DEFAULT_CHARGE))
     risk = simple_risk(F.col("_p"), monthly)
-    stated = ok & (F.coalesce(F.col("_a.revenue_risk.expected_annual_loss"), F.lit(0.0)) != 0)
+    stated = ok & (F.coalesce(numbers["expected_annual_loss"], F.lit(0.0)) != 0)
     return (
-        df.withColumn("_a", parsed).withColumn("_value", value).withColumn("_p", p)
+        df.withColumn("_text", unfence(F.col(response)))
+        # a map of texts accepts any object and nothing else
+        .withColumn("_object", F.coalesce(F.size(F.map_keys(F.from_json("_text", "map<string, string>", {"mode": "PERMISSIVE"}))) >= 0,
+                                          F.lit(False)) & F.col("_text").startswith("{"))
+        .withColumns({"_given": part("churn_probability"), "_segment": part("segment"), "_explanation": part("explanation"),
+                      "_factors": F.from_json(part("top_risk_factors"), _FACTORS),
+                      "_advice": F.from_json(part("recommendations"), _ADVICE),
+                      "_risk": F.from_json(part("revenue_risk"), _RISK)})
+        .withColumn("_value", value).withColumn("_p", p)
         .select(
             *df.columns,
             half_even(F.col("_p"), 4).alias("churn_probability"),
             half_even(F.col("_p") * 100, 0).cast("int").alias("risk_score"),
             risk_category(F.col("_p")).alias("risk_category"),
             F.when(ok, churn_label(F.col("_p"))).otherwise("Unknown").alias("churn_label"),
-            F.when(ok, F.coalesce("_a.segment", F.when(F.col("_p") >= c.HIGH_RISK, "Risky").otherwise("Loyal")))
+            F.when(ok, F.coalesce("_segment", F.when(F.col("_p") >= c.HIGH_RISK, "Risky").otherwise("Loyal")))
             .otherwise("Unknown").alias("segment"),
-            F.when(ok, F.coalesce("_a.explanation", F.lit("")))
+            F.when(ok, F.coalesce("_explanation", F.lit("")))
             .otherwise("Could not parse AI response. Please try again.").alias("explanation"),
-            F.when(ok, F.col("_a.top_risk_factors")).alias("top_risk_factors"),
-            F.when(ok, F.col("_a.recommendations")).alias("recommendations"),
-            *[F.when(stated, F.col(f"_a.revenue_risk.{n}")).otherwise(x).alias(n) for n, x in risk.items()],
+            F.when(ok, _list_or_empty(F.col("_factors"), _FACTORS)).otherwise(_none(_FACTORS)).alias("top_risk_factors"),
+            F.when(ok, _list_or_empty(advice, _ADVISED)).otherwise(_none(_ADVISED)).alias("recommendations"),
+            *[F.when(stated, numbers[n]).otherwise(x).alias(n) for n, x in risk.items()],
         )
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from churnlake import config as c
 from churnlake.functions.rounding import exact_avg, exact_sum, half_even
-from churnlake.operators.activity import combine_rows, moment
+from churnlake.operators.activity import combine_rows, daily_trend, moment
 
 TOP_ENDPOINTS = 8
 
@@ -19,6 +19,8 @@ def trailing_series(df: DataFrame, keys: list[str], value: str, ts: str = "creat
                     seconds: int = c.TRAILING_SECONDS) -> DataFrame:
     """Per key and active second: count, sum and mean over the trailing window, both ends included.
 
+    Times count in whole seconds here: an event a fraction of a second older than the window is still in it.
+
     Events are counted per second first. Each second then belongs to its own time bucket and, as
     history, to the next one, so a window task holds two buckets of one key however long the log is.
     """
@@ -92,8 +94,22 @@ def dashboard(predictions: DataFrame, calls: DataFrame, as_of=None) -> DataFrame
     start = now - F.make_dt_interval(secs=F.lit(c.TRAILING_SECONDS))
     recent = predictions.where((F.col("created_at") >= start) & (F.col("created_at") <= now))
     last = trailing_totals(calls, "duration_ms", as_of)
+
+    def listed(rows: DataFrame, name: str, first: list[str]) -> DataFrame:
+        """A bounded frame as one array, ordered by its first fields."""
+        fields = [*first, *[x for x in rows.columns if x not in first]]
+        return rows.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+    endpoints = top_endpoints(calls).select((-F.col("calls")).alias("order"), "path", "calls")
+    slowest = F.coalesce(exact_avg(F.when(F.col("latency_ms") > 0, F.col("latency_ms"))), F.lit(0.0)) \
+        if "latency_ms" in predictions.columns else F.lit(0.0)
     return combine_rows({
         "predictions": prediction_counters(predictions),
+        "latency": predictions.agg(half_even(slowest, 1).alias("avg_prediction_ms")),
+        "endpoints": listed(endpoints, "top_endpoints", ["order", "path"]).select(F.transform(
+            "top_endpoints", lambda x: F.struct(x["path"].alias("path"), x["calls"].alias("calls"))).alias("top_endpoints")),
+        "days": listed(daily_trend(predictions, as_of), "prediction_trend", ["day"]),
+        "hours": listed(hourly_calls(calls, as_of), "hourly_calls", ["hour"]),
         "recent": recent.agg(F.count("*").alias("predictions_15min")),
         "errors": error_rate(calls),
         "users": active_users(calls),
@@ -105,7 +121,8 @@ def daily_usage(calls: DataFrame, predictions: DataFrame, recommendations: DataF
     """One row per day: calls, distinct users, predictions, High customers, completed actions."""
     day = F.to_date("created_at").alias("day")
     parts = [
-        calls.groupBy(day).agg(F.count("*").alias("api_calls"), F.countDistinct("user_id").alias("active_users")),
+        calls.groupBy(day).agg(F.count("*").alias("api_calls"),
+                               F.countDistinct(F.when(F.col("user_id") != 0, F.col("user_id"))).alias("active_users")),
         predictions.groupBy(day).agg(
             F.count("*").alias("predictions_generated"),
             F.countDistinct(F.when(F.col("prediction_label") == "High", F.col("customer_id")))

@@ -8,8 +8,6 @@ from churnlake import config as c
 from churnlake.session import cut_lineage
 
 _POSITION_BITS = 33            # monotonically_increasing_id: partition in the bits above, row below
-_WINDOW_VALUES = 1_000_000     # distinct values that may be summed up in one window per group
-_DEEP_PAGE = 100_000           # rows a top-n may hold before paging switches to row numbers
 
 
 def _sorted_slices(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -40,12 +38,11 @@ def clamp_page(page: int, size: int) -> tuple[int, int]:
 
 
 def page_rows(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page of a totally ordered frame. Deep pages go by row number instead of a growing top-n."""
+    """One page of a totally ordered frame, in order: row numbers over a range-partitioned sort, whatever the page."""
     page, size = clamp_page(page, size)
     skip = (page - 1) * size
-    if skip + size <= _DEEP_PAGE:
-        return df.orderBy(*order).offset(skip).limit(size)
-    return with_row_number(df, order, "_row").where(F.col("_row").between(skip + 1, skip + size)).drop("_row")
+    numbered = with_row_number(df, order, "_row").where(F.col("_row").between(skip + 1, skip + size))
+    return numbered.orderBy("_row").drop("_row")
 
 
 def page_info(df: DataFrame, page: int, size: int) -> DataFrame:
@@ -74,13 +71,9 @@ def value_counts(df: DataFrame, numeric: list[str], nominal: list[str] = (), key
 def _running_counts(counts: DataFrame, group: list[str]) -> DataFrame:
     """Append ``through`` (rows up to and including the value) and ``total`` of the group.
 
-    A short table of values takes one window per group. A long one is sorted by range; sums per slice
-    give each slice its offset, and windows stay inside a slice.
+    The values are sorted by range; sums per slice give each slice its offset, and windows stay inside a slice.
     """
     per_group = Window.partitionBy(*group)
-    if counts.count() <= _WINDOW_VALUES:
-        running = per_group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumns({"through": F.sum("n").over(running), "total": F.sum("n").over(per_group)})
     slices = _sorted_slices(counts, [F.col(x) for x in [*group, "value"]])
     earlier = per_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.groupBy(*group, "_slice").agg(F.sum("n").alias("_n")).select(   # at most groups + slices rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from churnlake import config as c
-from churnlake.operators.cleaning import canonical_columns, number
+from churnlake.operators.cleaning import canonical_columns, column_number, is_number, number
 from churnlake.functions.rounding import half_even
 
 # service columns that fall back to "No" when absent
@@ -23,9 +23,13 @@ def _filled(df: DataFrame, name: str, default: str) -> Column:
     return F.when(text != "", text).otherwise(default)
 
 
-def _whole(col: Column) -> Column:
-    """Non-negative int; negatives and unreadable values become 0."""
-    return F.greatest(F.coalesce(col.cast("string").try_cast("int"), F.lit(0)), F.lit(0))
+def _whole(df: DataFrame, name: str) -> Column:
+    """Non-negative int; negatives and unreadable values become 0. Numbers lose their fraction, text must be an int."""
+    if name in df.columns and is_number(df, name):
+        value = column_number(df, name).try_cast("int")
+    else:
+        value = _column(df, name).cast("string").try_cast("int")
+    return F.greatest(F.coalesce(value, F.lit(0)), F.lit(0))
 
 
 def _reasons(checks: dict[str, Column]) -> Column:
@@ -52,9 +56,9 @@ def validate_customers(df: DataFrame) -> DataFrame:
         "total_charges must be a number": F.when(blank_total, False).otherwise(number(total).isNull()),
     })
     normal = {
-        "tenure": _whole(_column(df, "tenure")),
+        "tenure": _whole(df, "tenure"),
         "MonthlyCharges": half_even(charges, 4),
-        "InactiveDays": _whole(_column(df, "InactiveDays")),
+        "InactiveDays": _whole(df, "InactiveDays"),
         "SeniorCitizen": F.when(senior.isin(c.TRUE_TOKENS), 1).otherwise(0),
         "gender": F.when(gender != "", gender),
         "InternetService": _filled(df, "InternetService", "DSL"),
@@ -63,7 +67,7 @@ def validate_customers(df: DataFrame) -> DataFrame:
         "SubscriptionType": F.when(plan.isin(c.SUBSCRIPTIONS), plan).otherwise("Standard"),
         **{x: _filled(df, x, "No") for x in _PLAIN_SERVICES},
     }
-    default_total = half_even(charges, 4) * _whole(_column(df, "tenure"))
+    default_total = half_even(charges, 4) * _whole(df, "tenure")
     normal["TotalCharges"] = F.when(blank_total, default_total).otherwise(number(total))
     return df.withColumns({**normal, "reasons": reasons})
 

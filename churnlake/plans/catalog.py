@@ -23,10 +23,6 @@ from churnlake.streaming import monitors
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Sizes for the registered queries; the library defaults are 300 trees, 300 rounds and 20 starts.
-SIZES = {"trees": 20, "rounds": 10, "forest_depth": 6, "boost_depth": 4}
-STARTS = 3
-
 # A linear model given by hand, one coefficient per feature in feature order.
 COEFFICIENTS = [round(((i * 37) % 19 - 9) / 10 + 0.05 + i / 1000, 3) for i in range(40)]
 
@@ -150,7 +146,7 @@ def scored_csv_export(spark, folder):
 @query
 def run_report(spark, folder):
     """The whole batch job; returns its JSON report."""
-    result = batch_run.run_batch(_raw(spark, folder), work_path(spark, "run"), ["logistic_regression"], 2, **SIZES)
+    result = batch_run.run_batch(_raw(spark, folder), work_path(spark, "run"))
     return result.report
 
 
@@ -381,26 +377,49 @@ def batch_preview(spark, folder):
 def normalised_responses(spark, folder):
     df = model_scoring.normalise_responses(adapters.model_responses(spark, folder), order=[F.col("prediction_id")])
     return df.select("row_number", "prediction_id", "churn_probability", "risk_score", "risk_category", "churn_label",
-                     "segment", "explanation", "expected_monthly_loss", "expected_annual_loss", "ltv_at_risk")
+                     "segment", "explanation", "expected_monthly_loss", "expected_annual_loss", "ltv_at_risk",
+                     F.array_join(F.col("top_risk_factors.factor"), ",").alias("factors"),
+                     F.array_join(F.col("recommendations.action"), ",").alias("actions"))
+
+
+_ARTEFACTS: dict[tuple, str] = {}
+
 
+def _artefact(spark, folder, name: str, make: Callable[[str], None]) -> str:
+    """The path of a trained artefact: trained and written once per application and folder, then loaded by every query."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _ARTEFACTS:
+        path = work_path(spark, name)
+        make(path)
+        _ARTEFACTS[key] = path
+    return _ARTEFACTS[key]
 
-_FITTED: dict = {}
+
+def _run_path(spark, folder) -> str:
+    def make(path: str) -> None:
+        run = training.train_customers(_customers(spark, folder))
+        training.save_run(run, path)
+        run.release()
+
+    return _artefact(spark, folder, "models", make)
 
 
 def _training_run(spark, folder) -> training.TrainingRun:
-    """One training per session and folder, shared by the queries that need a model."""
-    key = (spark.sparkContext.applicationId, folder, "run")
-    if key not in _FITTED:
-        _FITTED[key] = training.train_customers(_customers(spark, folder), **SIZES)
-    return _FITTED[key]
+    return training.load_run(spark, _run_path(spark, folder))
+
+
+def _custom_path(spark, folder) -> str:
+    return _artefact(spark, folder, "custom", lambda path: training.save_custom(
+        training.train_custom(_labelled(spark, folder), ["customerID"], industry="telecom"), spark, path))
+
+
+def _segmenter_path(spark, folder) -> str:
+    return _artefact(spark, folder, "segments", lambda path: segments.fit_segments(
+        engineer_features(entities.scored_customers(spark, folder))).save(spark, path))
 
 
 def _segmenter(spark, folder) -> segments.Segmenter:
-    key = (spark.sparkContext.applicationId, folder, "segments")
-    if key not in _FITTED:
-        df = engineer_features(entities.scored_customers(spark, folder))
-        _FITTED[key] = segments.fit_segments(df, starts=STARTS)
-    return _FITTED[key]
+    return segments.Segmenter.load(spark, _segmenter_path(spark, folder))
 
 
 @query
@@ -419,10 +438,8 @@ def raw_probabilities(spark, folder):
 
 @query
 def saved_model_scores(spark, folder):
-    """Save the run, load it again, score."""
-    path = work_path(spark, "models")
-    training.save_run(_training_run(spark, folder), path)
-    encoder, model, _ = training.load_model(spark, path)
+    """Load the saved best model, score."""
+    encoder, model, _ = training.load_model(spark, _run_path(spark, folder))
     return training.score_batch(_customers(spark, folder), encoder, model).select(
         "customerID", "churn_probability", "risk_category")
 
@@ -440,10 +457,7 @@ def full_customer_scoring(spark, folder):
 @query
 def custom_model_scores(spark, folder):
     """Train on a labelled table of unknown shape, save, load, score another shape."""
-    custom = training.train_custom(_labelled(spark, folder), ["customerID"], models=["logistic_regression"])
-    path = work_path(spark, "custom")
-    training.save_custom(custom, spark, path)
-    loaded = training.load_custom(spark, path)
+    loaded = training.load_custom(spark, _custom_path(spark, folder))
     return model_scoring.score_custom(_customers(spark, folder), loaded).select(
         "customerID", "churn_probability", "risk_score", "risk_category", "churn_label", "segment", "model_used",
         "industry", "revenue_risk")
@@ -500,8 +514,7 @@ def quality_gate(spark, folder):
 
 @query
 def custom_training(spark, folder):
-    custom = training.train_custom(_labelled(spark, folder), ["customerID"], industry="telecom", trees=10, rounds=5,
-                                   forest_depth=5)
+    custom = training.load_custom(spark, _custom_path(spark, folder))
     rows = [(n, r["accuracy"], r["f1"], r["roc_auc"], n == custom.kind) for n, r in custom.meta["model_results"].items()]
     return spark.createDataFrame(rows, "model string, accuracy double, f1 double, roc_auc double, best boolean")
 
@@ -891,7 +904,17 @@ def alert_stats(spark, folder):
 
 @query
 def monitoring_dashboard(spark, folder):
-    return monitoring.dashboard(_predictions(spark, folder), _calls(spark, folder))
+    """The dashboard row; its nested lists as text, one entry after the other."""
+    row = monitoring.dashboard(_predictions(spark, folder), _calls(spark, folder))
+
+    def listed(name: str, *fields: str):
+        return F.array_join(F.transform(name, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ";").alias(name)
+
+    plain = [x for x in row.columns if x not in ("top_endpoints", "prediction_trend", "hourly_calls")]
+    return row.select(*plain, listed("top_endpoints", "path", "calls"),
+                      listed("prediction_trend", "day", "total", "high", "medium"),
+                      F.array_join(F.transform("hourly_calls", lambda x: F.concat_ws(
+                          ":", F.date_format(x["hour"], "yyyyMMddHH"), x["calls"])), ";").alias("hourly_calls"))
 
 
 @query
@@ -900,37 +923,43 @@ def daily_usage(spark, folder):
                                   entities.recommendation_table(spark, folder))
 
 
+# the files of the event table are read in one trigger; a stream that lags across triggers needs its own figure
+LATENESS = "1 hour"
+_WINDOW = ["window_start", "window_end"]
+
+
 def _event_stream(spark, folder) -> DataFrame:
     return monitors.event_stream(spark, f"{folder}/events.parquet*")
 
 
 @query
 def stream_call_windows(spark, folder):
-    """Tumbling 15-minute windows the watermark has closed."""
-    calls = monitors.call_stream(_event_stream(spark, folder))
-    out = monitors.run_available(monitors.call_windows(calls, slide=None), "tumbling")
+    """Tumbling 15-minute windows, open ones included."""
+    calls = monitors.call_stream(_event_stream(spark, folder), LATENESS)
+    out = monitors.run_windows(monitors.call_windows(calls, slide=None), "tumbling", _WINDOW)
     return out.select("window_start", "window_end", "calls", "errors", F.col("duration").cast("double").alias("duration"))
 
 
 @query
 def stream_trailing_windows(spark, folder):
-    """Sliding 15-minute windows every 5 minutes that the watermark has closed."""
-    windows = monitors.call_windows(monitors.call_stream(_event_stream(spark, folder)), slide="5 minutes")
-    return monitors.run_available(windows, "sliding").select("window_start", "window_end", "calls", "errors")
+    """Sliding 15-minute windows every 5 minutes, open ones included."""
+    windows = monitors.call_windows(monitors.call_stream(_event_stream(spark, folder), LATENESS), slide="5 minutes")
+    return monitors.run_windows(windows, "sliding", _WINDOW).select("window_start", "window_end", "calls", "errors")
 
 
 @query
 def stream_metric_points(spark, folder):
-    """Tumbling hours as rows of the metrics table."""
-    windows = monitors.call_windows(monitors.call_stream(_event_stream(spark, folder)), "1 hour", None)
-    return monitors.run_available(monitors.call_metrics(windows), "points")
+    """Tumbling hours as rows of the metrics table; the approximate user count is in stream_active_users."""
+    windows = monitors.call_windows(monitors.call_stream(_event_stream(spark, folder), LATENESS), "1 hour", None)
+    points = monitors.call_metrics(monitors.run_windows(windows, "points", _WINDOW))
+    return points.where(F.col("metric_name") != "active_users").drop("metric_label")
 
 
 @query
 def stream_active_users(spark, folder):
     """Approximate distinct users per hour on the stream."""
-    calls = monitors.call_stream(_event_stream(spark, folder))
-    return monitors.run_available(monitors.call_windows(calls, "1 hour", None), "users").select(
+    calls = monitors.call_stream(_event_stream(spark, folder), LATENESS)
+    return monitors.run_windows(monitors.call_windows(calls, "1 hour", None), "users", _WINDOW).select(
         "window_start", "calls", "users")
 
 

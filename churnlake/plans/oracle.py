@@ -85,14 +85,10 @@ cust0 AS (SELECT k AS customerID,
     mc AS MonthlyCharges,
     CASE WHEN k % 33 = 0 THEN '' ELSE CAST(CAST(floor(mc * (k % 73)) AS BIGINT) AS VARCHAR) END AS TotalCharges,
     CAST(dsl % 91 AS INTEGER) AS InactiveDays,
-    CASE WHEN mc > 80 THEN 'Premium' WHEN mc > 50 THEN 'Standard' ELSE 'Basic' END AS SubscriptionType
+    CASE floor(k / 6) % 3 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Standard' ELSE 'Premium' END AS SubscriptionType,
+    CASE WHEN dsl > 365 THEN 1 ELSE 0 END AS Churn
     FROM base),
-cust AS (SELECT *, CASE WHEN ((customerID * 7919 + 104729) % 1000) / 1000.0e0 < greatest(0.02e0, least(0.95e0,
-      CASE WHEN Contract = 'Month-to-month' THEN 0.35e0 ELSE 0.0e0 END
-    + CASE WHEN PaymentMethod = 'Electronic check' THEN 0.15e0 ELSE 0.0e0 END
-    + CASE WHEN InternetService = 'Fiber optic' THEN 0.10e0 ELSE 0.0e0 END
-    + CASE WHEN PaperlessBilling = 'Yes' THEN 0.05e0 ELSE 0.0e0 END
-    + 0.20e0 / (tenure + 1) + InactiveDays * 0.15e0 / 90)) THEN 1 ELSE 0 END AS Churn FROM cust0)"""
+cust AS (SELECT * FROM cust0)"""
 
 PRED = f"""
 pred AS (SELECT o_orderkey AS prediction_id, o_custkey AS customer_id, o_totalprice / 500000 AS churn_probability,
@@ -449,7 +445,9 @@ ORACLES: dict[str, str] = {
         CASE WHEN ok THEN 'order ' || prediction_id ELSE 'Could not parse AI response. Please try again.' END AS explanation,
         CASE WHEN ok AND priced THEN 1.5e0 ELSE {he('p * m')} END AS expected_monthly_loss,
         CASE WHEN ok AND priced THEN 18.0e0 ELSE {he('p * m * 12')} END AS expected_annual_loss,
-        CASE WHEN ok AND priced THEN 20.25e0 ELSE {he('p * m * 24 * 0.65e0')} END AS ltv_at_risk FROM a""",
+        CASE WHEN ok AND priced THEN 20.25e0 ELSE {he('p * m * 24 * 0.65e0')} END AS ltv_at_risk,
+        CASE WHEN ok AND prediction_id % 17 = 0 THEN 'tenure' ELSE '' END AS factors,
+        CASE WHEN ok AND prediction_id % 13 = 0 THEN 'Call' ELSE '' END AS actions FROM a""",
     # evaluation
     "evaluation_metrics": f"""WITH {EVAL}, counts AS (SELECT Contract, {COUNTS} FROM ev GROUP BY Contract)
         SELECT Contract, {he(ratio('tp+tn', 'tp+fp+tn+fn').replace('CAST(tp+tn', 'CAST((tp+tn)'), 4)} AS accuracy,
@@ -632,9 +630,18 @@ ORACLES: dict[str, str] = {
         (SELECT {he('count(*) FILTER (status_code >= 500) * 100.0e0 / greatest(count(*), 1)')} FROM calls) AS error_rate_pct,
         (SELECT count(DISTINCT user_id) FROM calls WHERE user_id <> 0) AS active_users,
         (SELECT count(*) FROM recent) AS api_calls_15min,
-        (SELECT {he(he(mean('duration_ms'), 4), 1)} FROM recent) AS avg_latency_ms FROM pred""",
-    "daily_usage": f"""WITH {TABLE}, a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS api_calls, count(DISTINCT user_id) AS active_users
-            FROM events GROUP BY 1),
+        (SELECT {he(he(mean('duration_ms'), 4), 1)} FROM recent) AS avg_latency_ms, 0.0e0 AS avg_prediction_ms,
+        (SELECT string_agg(path || ':' || n, ';' ORDER BY n DESC, path) FROM (SELECT path, count(*) AS n FROM calls GROUP BY 1
+            ORDER BY n DESC, path LIMIT 8)) AS top_endpoints,
+        (SELECT string_agg(concat_ws(':', day, total, high, medium), ';' ORDER BY day) FROM (
+            SELECT CAST(created_at AS DATE) AS day, count(*) AS total, count(*) FILTER (prediction_label = 'High') AS high,
+            count(*) FILTER (prediction_label = 'Medium') AS medium FROM pred
+            WHERE created_at >= (SELECT max(created_at) FROM pred) - INTERVAL 7 DAY GROUP BY 1)) AS prediction_trend,
+        (SELECT string_agg(strftime(hour, '%Y%m%d%H') || ':' || n, ';' ORDER BY hour) FROM (
+            SELECT date_trunc('hour', created_at) AS hour, count(*) AS n FROM calls, m WHERE created_at >= t - INTERVAL 24 HOUR
+            GROUP BY 1)) AS hourly_calls FROM pred""",
+    "daily_usage": f"""WITH {TABLE}, a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS api_calls,
+            count(DISTINCT user_id) FILTER (user_id <> 0) AS active_users FROM events GROUP BY 1),
         b AS (SELECT CAST(created_at AS DATE) AS day, count(*) AS predictions_generated,
             count(DISTINCT customer_id) FILTER (prediction_label = 'High') AS high_risk_customers FROM pred GROUP BY 1),
         d AS (SELECT CAST(created_at AS DATE) AS day, count(*) FILTER (is_completed) AS retention_actions_taken FROM rec_table GROUP BY 1)
@@ -642,16 +649,18 @@ ORACLES: dict[str, str] = {
         coalesce(predictions_generated, 0) AS predictions_generated, coalesce(high_risk_customers, 0) AS high_risk_customers,
         coalesce(retention_actions_taken, 0) AS retention_actions_taken
         FROM a FULL JOIN b USING (day) FULL JOIN d USING (day)""",
-    # streams, over the windows the watermark has closed
+    # streams, over all windows
     "stream_call_windows": f"""WITH w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS calls,
             count(*) FILTER (event_type = 'error') AS errors, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS duration FROM events GROUP BY 1)
-        SELECT window_start, window_start + INTERVAL 15 MINUTE AS window_end, calls, errors, duration FROM w
-        WHERE window_start + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+        SELECT window_start, window_start + INTERVAL 15 MINUTE AS window_end, calls, errors, duration FROM w""",
     "stream_trailing_windows": """WITH e AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(o) AS window_start, event_type
             FROM events CROSS JOIN (VALUES (0), (5), (10)) AS t(o))
         SELECT window_start, window_start + INTERVAL 15 MINUTE AS window_end, count(*) AS calls,
-        count(*) FILTER (event_type = 'error') AS errors FROM e
-        WHERE window_start + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1""",
+        count(*) FILTER (event_type = 'error') AS errors FROM e GROUP BY 1""",
+    "stream_metric_points": """WITH w AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS calls,
+            count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)
+        SELECT 'api_calls' AS metric_name, CAST(calls AS DOUBLE) AS metric_value, window_start, window_start + INTERVAL 1 HOUR AS window_end FROM w
+        UNION ALL SELECT 'api_errors', CAST(errors AS DOUBLE), window_start, window_start + INTERVAL 1 HOUR FROM w""",
     "stream_call_log": f"WITH {CALLS} SELECT * FROM calls",
     "stream_alerts": f"WITH {ALERTS} SELECT {ALERT_COLUMNS} FROM alert",
     # scalars and audit

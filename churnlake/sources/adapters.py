@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnlake import schemas
 from churnlake.functions.scoring import churn_label, risk_category, risk_score
 
 
@@ -21,6 +20,8 @@ def _addon(divisor: int) -> str:
             "ELSE 'No' END")
 
 
+LAPSED_DAYS = 365
+
 # canonical column -> SQL over the joined customer row
 _CUSTOMER_COLUMNS = {
     "customerID": "k",
@@ -46,21 +47,17 @@ _CUSTOMER_COLUMNS = {
     "MonthlyCharges": "charges",
     "TotalCharges": "if(k % 33 = 0, '', cast(cast(floor(charges * (k % 73)) AS bigint) AS string))",
     "InactiveDays": "cast(idle % 91 AS int)",
-    "SubscriptionType": "CASE WHEN charges > 80 THEN 'Premium' WHEN charges > 50 THEN 'Standard' ELSE 'Basic' END",
+    "SubscriptionType": "element_at(array('Basic', 'Standard', 'Premium'), cast(floor(k / 6) % 3 + 1 AS int))",
+    # the label is what the orders show: a customer whose last order is long past has left
+    "Churn": f"cast(idle > {LAPSED_DAYS} AS int)",
 }
-_CHURNED = """
-    cast(((customerID * 7919 + 104729) % 1000) / 1000.0D < greatest(0.02D, least(0.95D,
-        if(Contract = 'Month-to-month', 0.35D, 0.0D) + if(PaymentMethod = 'Electronic check', 0.15D, 0.0D)
-        + if(InternetService = 'Fiber optic', 0.10D, 0.0D) + if(PaperlessBilling = 'Yes', 0.05D, 0.0D)
-        + 0.20D / (tenure + 1) + InactiveDays * 0.15D / 90)) AS int)
-"""
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer with the canonical subscription columns and the label."""
     orders = table(spark, folder, "orders")
     last = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"))
-    newest = orders.agg(F.max("o_orderdate")).scalar()
+    newest = last.agg(F.max("last_order")).scalar()
 
     joined = (
         table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -70,8 +67,7 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
                 F.expr("element_at(array('DSL', 'Fiber optic', 'No'), cast(c_custkey % 3 + 1 AS int))").alias("net"),
                 F.coalesce(F.datediff(newest, "last_order"), F.lit(90)).alias("idle"))
     )
-    columns = joined.selectExpr(*[f"{text} AS {name}" for name, text in _CUSTOMER_COLUMNS.items()])
-    return columns.withColumn("Churn", F.expr(_CHURNED))
+    return joined.selectExpr(*[f"{text} AS {name}" for name, text in _CUSTOMER_COLUMNS.items()])
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,19 +135,13 @@ def model_responses(spark: SparkSession, folder: str) -> DataFrame:
                     F.lit(', "explanation": "order '), k, F.lit('"'),
                     F.when(k % 7 == 0, ', "segment": "Premium"').otherwise(""),
                     F.when(k % 11 == 0, ', "revenue_risk": {"expected_monthly_loss": 1.5, '
-                                        '"expected_annual_loss": 18.0, "ltv_at_risk": 20.25}').otherwise(""))
+                                        '"expected_annual_loss": 18.0, "ltv_at_risk": 20.25}').otherwise(""),
+                    # optional parts of the right and of other types
+                    F.when(k % 13 == 0, ', "recommendations": [{"action": "Call", "priority": "high"}]')
+                    .when(k % 13 == 1, ', "recommendations": "none"').otherwise(""),
+                    F.when(k % 17 == 0, ', "top_risk_factors": [{"factor": "tenure", "impact": "high"}]')
+                    .when(k % 17 == 1, ', "top_risk_factors": ["tenure"]').otherwise(""))
     closed = F.when(k % 33 == 0, body).otherwise(F.concat(body, F.lit("}")))
     fenced = F.when(k % 20 == 0, F.concat(F.lit("```json\n"), closed, F.lit("\n```"))).otherwise(closed)
     charges = customers(spark, folder).select(F.col("customerID").alias("customer_id"), "MonthlyCharges")
     return p.select("prediction_id", "customer_id", fenced.alias("response")).join(charges, "customer_id", "left")
-
-
-ENTITY_VIEWS = {"customers": customers, "predictions": predictions, "api_calls": api_calls, "activity": activity}
-
-
-def register_views(spark: SparkSession, folder: str) -> None:
-    """Temp views with the operational tables' names."""
-    for name, view in ENTITY_VIEWS.items():
-        frame = view(spark, folder)
-        wanted = [x for x in schemas.TABLES[name].fieldNames() if x in frame.columns]
-        frame.select(*wanted).createOrReplaceTempView(name)

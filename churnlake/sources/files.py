@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from churnlake import config as c, schemas
@@ -33,11 +33,22 @@ def read_raw_customers(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, StructType([StructField(x, StringType()) for x in names]))
 
 
+def _typed(name: str) -> Column:
+    """A text column in its known type; numbers are read as doubles first, so that 3.0 is a whole number too."""
+    kind = _KNOWN_TYPES.get(name, StringType())
+    if isinstance(kind, StringType):
+        return F.col(f"`{name}`")
+    value = F.trim(f"`{name}`").try_cast("double")
+    return F.when(~F.isnan(value), value).try_cast(kind).alias(name)
+
+
 def read_scoring_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """CSV to score. Known columns get their type, others stay text: no inference pass over the data."""
-    names = _csv_columns(spark, path)
-    schema = StructType([StructField(x, _KNOWN_TYPES.get(x, StringType())) for x in names])
-    df = _csv(spark, path, schema)
+    """CSV to score. Known columns get their type, others stay text: no inference pass over the data.
+
+    A value that is there but unreadable becomes null; ``unreadable_values`` counts them.
+    """
+    text = read_raw_customers(spark, path)
+    df = text.select(*[_typed(x) for x in text.columns])
     if df.isEmpty():
         raise ValueError("the file holds no rows")
     if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
@@ -45,6 +56,15 @@ def read_scoring_csv(spark: SparkSession, path: str, max_rows: int | None = None
     return df
 
 
+def unreadable_values(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each known numeric column of a scoring CSV: values that are present but no number of its kind."""
+    text = read_raw_customers(spark, path)
+    names = [x for x in text.columns if not isinstance(_KNOWN_TYPES.get(x, StringType()), StringType)]
+    counts = text.agg(*[F.count_if((F.trim(f"`{x}`") != "") & _typed(x).isNull()).alias(x) for x in names])
+    return counts.select(F.explode(F.array(*[
+        F.struct(F.lit(x).alias("column"), F.col(f"`{x}`").alias("unreadable")) for x in names])).alias("r")).select("r.*")
+
+
 def is_utf8(spark: SparkSession, path: str) -> bool:
     """Whether every line is valid UTF-8; the text source hands the bytes through as they are."""
     return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()

@@ -1,20 +1,23 @@
 """Structured Streaming: call metrics and alerts from file sources.
 
-Event time with a ten-minute watermark. Results land in Parquet with a checkpoint, so a restarted
-query goes on where it stopped and writes nothing twice.
+Windows are written in update mode: every trigger writes the windows it changed under its own batch number, and the table holds each
+window's newest state, so windows that are still open are in it too and a repeated batch changes nothing. How late an event
+may be is the caller's to say; an event that came later still is never left out silently: the run fails and names the number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from churnlake import schemas
 from churnlake.operators.alerts import alerts
 from churnlake.session import work_path
 from churnlake.sources.adapters import calls_from_events
 
-LATENESS = "10 minutes"
+
+class LateRows(RuntimeError):
+    """Rows came after their window had been closed; read them in batch, or allow more lateness."""
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType = schemas.EVENT, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,10 +28,11 @@ def event_stream(spark: SparkSession, path: str, schema: StructType = schemas.EV
     return reader.parquet(path)
 
 
-def call_stream(events: DataFrame) -> DataFrame:
-    """API calls with a zoned event time under a watermark."""
+def call_stream(events: DataFrame, lateness: str) -> DataFrame:
+    """API calls with a zoned event time. ``lateness`` ("10 minutes") is how far behind the newest event one may be that was
+    read in an earlier trigger; windows are kept in state as long."""
     calls = calls_from_events(events)
-    return calls.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", LATENESS)
+    return calls.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", lateness)
 
 
 def call_windows(calls: DataFrame, length: str = "15 minutes", slide: str | None = "1 minute") -> DataFrame:
@@ -72,3 +76,26 @@ def run_available(stream: DataFrame, name: str, path: str | None = None, mode: s
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
+
+
+def run_windows(stream: DataFrame, name: str, keys: list[str], path: str | None = None) -> DataFrame:
+    """Process everything there is in update mode; returns the newest row of every key. Raises LateRows on dropped rows."""
+    spark = stream.sparkSession
+    base = path or work_path(spark, f"stream-{name}")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")    # every trigger's count of dropped rows
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    late = sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
+    if late:
+        raise LateRows(f"{late} rows of {name} came too late for their windows")
+    values = [x for x in stream.columns if x not in keys]
+    written = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/data")
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return newest.select(*keys, *[F.col(f"_v.{x}").alias(x) for x in values])
