@@ -82,33 +82,24 @@ class Units:
         return value[chosen], at[chosen]
 
 
-def _prints(docs: DataFrame) -> DataFrame:
-    """print, rank (of the document), key and place of the fingerprints."""
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                units = Units(words(batch.column("text")))
-                value, at = units.fingerprints()
-                text = np.searchsorted(units.bounds, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(np.asarray(batch.column("rank"))[text]),
-                     pa.array(np.asarray(batch.column("key"))[text]), pa.array((at - units.bounds[text]).astype(np.int32))],
-                    ["print", "rank", "key", "place"])
-
-    return docs.mapInArrow(run, "print long, rank long, key long, place int")
-
-
-def _unit_table(docs: DataFrame) -> DataFrame:
-    """key and units (binary hashes) of every document."""
+def _survey(docs: DataFrame) -> DataFrame:
+    """key, rank, units (binary hashes), and the fingerprints (prints) with the unit they start at (places) of every document."""
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 units = Units(words(batch.column("text")))
                 data, b = units.hashes.tobytes(), units.bounds
+                value, at = units.fingerprints()
+                text = np.searchsorted(b, at, "right") - 1
+                ends = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), pa.array([data[8 * x:8 * y] for x, y in zip(b, b[1:])], pa.binary())], ["key", "units"])
+                    [batch.column("key"), batch.column("rank"),
+                     pa.array([data[8 * x:8 * y] for x, y in zip(b, b[1:])], pa.binary()),
+                     pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64))),
+                     pa.ListArray.from_arrays(ends, pa.array((at - b[text]).astype(np.int32)))],
+                    ["key", "rank", "units", "prints", "places"])
 
-    return docs.mapInArrow(run, "key long, units binary")
+    return docs.mapInArrow(run, "key long, rank long, units binary, prints array<long>, places array<int>")
 
 
 def _extended(batches):
@@ -162,8 +153,11 @@ def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
     key, rank = free_name(docs, "key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     narrow = keyed.select(F.col(key).alias("key"), rank.alias("rank"), "text")
-    prints = _prints(narrow)
-    twice = kept_table(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("print"), "line-twice")
+    survey = kept_table(_survey(narrow), "line-survey")
+    twice = survey.select(F.explode("prints").alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+    twice = kept_table(twice.where(F.col("n") > 1).select("print"), "line-twice")
+    prints = survey.select("rank", "key", F.explode(F.arrays_zip("prints", "places")).alias("p")).select(
+        F.col("p.prints").alias("print"), "rank", "key", F.col("p.places").alias("place"))
     seen = kept_table(prints.join(twice, "print"), "line-seen")
     heads = kept_table(seen.groupBy("print").agg(F.min(F.struct("rank", "key", "place")).alias("head")), "line-heads")
     seeds = seen.join(heads, "print").where(F.struct("rank", "key", "place") > F.col("head"))
@@ -171,7 +165,7 @@ def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
         F.collect_set("place").alias("places"))         # as many as the text has runs
     seeds = kept_table(seeds, "line-seeds")
     ends = seeds.select("key").union(seeds.select("head_key")).distinct()
-    units = kept_table(_unit_table(narrow).join(ends, "key", "left_semi").dropDuplicates(["key"]), "line-units")
+    units = kept_table(survey.select("key", "units").join(ends, "key", "left_semi").dropDuplicates(["key"]), "line-units")
     met = seeds.join(units, "key").join(
         units.select(F.col("key").alias("head_key"), F.col("units").alias("head_units")), "head_key")
     stretches = met.select("key", "shift", "places", "units", "head_units").mapInArrow(_extended, "key long, first int, end int")
@@ -198,11 +192,15 @@ def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
     return joined.select(*columns, name).mapInArrow(run, f"{fields}, `{removed}` long")
 
 
-def keep_lines(docs: DataFrame) -> DataFrame:
-    """The documents without repeated runs; those of which nothing is left are dropped."""
+def keep_lines(docs: DataFrame, length: str | None = None) -> DataFrame:
+    """The documents without repeated runs; those of which nothing is left are dropped. ``length`` names a column with the number
+    of characters, which is brought up to date where a text was cut."""
     name = free_name(docs, "n_removed")
     out = dedup(docs, name)
-    return out.where((F.col(name) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    out = out.where((F.col(name) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if length:
+        out = out.withColumn(length, F.when(F.col(name) > 0, F.length("text")).otherwise(F.col(length)).cast(docs.schema[length].dataType))
+    return out.select(*docs.columns)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
