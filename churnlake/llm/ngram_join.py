@@ -7,7 +7,7 @@ count bounds the whole overlap from above, which drops nearly all pairs that don
 fragments of the rest of the order are counted separately and summed per pair; the sum decides exactly.
 
 Texts with equal n-gram sets are one class, whatever their number. Lists of classes that share a prefix n-gram are not expanded
-into all pairs: a class is first compared with the smallest class of its lists, and the links found join classes to components.
+into all pairs: a class is first compared with the most central class of its lists, and the links found join classes to components.
 Only then are pairs formed, and only between classes of different components, so a large group of near copies costs rows in
 proportion to its size. The components are those of all links.
 
@@ -132,9 +132,8 @@ def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
 
 
 def _lists(batches):
-    """Of rows sorted by gram, size and sig: those whose gram more than one class has, with the list's first class."""
-    gram = first = first_size = last = None
-    waiting = None          # the first row of a list, until a second class follows
+    """Of rows sorted by gram and sig: those whose gram more than one class has, each class once."""
+    gram = last = waiting = None        # waiting: the first row of a list, until a second class follows
     for batch in batches:
         g, s, z = (np.asarray(batch.column(c)) for c in ("gram", "sig", "size"))
         if not len(g):
@@ -146,25 +145,18 @@ def _lists(batches):
         repeat[1:] &= s[1:] != s[:-1]
         if not new[0]:
             repeat[0] = s[0] != last
-        at = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
-        head, head_size = np.where(at >= 0, s[at], first if first is not None else 0), np.where(at >= 0, z[at], first_size or 0)
-        after = np.zeros(len(g), bool)          # the list's first row goes out with its second
-        starts = at[repeat]
-        after[starts[starts >= 0]] = True
-        keep = repeat | after
-        out = [g[keep], s[keep], z[keep], head[keep], head_size[keep]]
-        if waiting is not None and (repeat & (at < 0)).any():
-            out = [np.insert(x, 0, w) for x, w in zip(out, waiting)]
-            waiting = None
-        elif new.any():
-            waiting = None
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))     # -1: the list began in an earlier batch
+        heads = begin[repeat]
+        keep = repeat.copy()
+        keep[heads[heads >= 0]] = True
+        out = [g[keep], s[keep], z[keep]]
+        if waiting is not None and (heads < 0).any():
+            out, waiting = [np.insert(x, 0, w) for x, w in zip(out, waiting)], None
         if new.any():
-            begin = np.flatnonzero(new)[-1]
-            first, first_size = s[begin], z[begin]
-            if not after[begin]:
-                waiting = (g[begin], s[begin], z[begin], s[begin], z[begin])
+            at = np.flatnonzero(new)[-1]
+            waiting = None if keep[at] else (g[at], s[at], z[at])
         gram, last = g[-1], s[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["gram", "sig", "size", "head", "head_size"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["gram", "sig", "size"])
 
 
 def _plausible(a: str, b: str, shared: str, percent: int):
@@ -230,13 +222,17 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
         return members.select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"))
     order = context.broadcast(_order(survey))
     entries = _prefixes(docs, order, n, percent)
-    lists = kept_table(entries.repartition("gram").sortWithinPartitions("gram", "size", "sig").mapInArrow(
-        _lists, "gram long, sig long, size long, head long, head_size long"), "ngram-lists")
-
-    # first each class with the head of its lists that it shares most with
-    heads = lists.where(F.col("sig") != F.col("head")).groupBy("sig", "size", "head", "head_size").agg(
+    lists = kept_table(entries.repartition("gram").sortWithinPartitions("gram", "sig").mapInArrow(
+        _lists, "gram long, sig long, size long"), "ngram-lists")
+
+    # first each class with the most central one of its lists, which shares most prefix n-grams with others
+    central = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("central"))
+    scored = kept_table(lists.join(central, "sig"), "ngram-scored")
+    heads = kept_table(scored.groupBy("gram").agg(F.max(F.struct("central", "sig", "size")).alias("m")).select(
+        "gram", F.col("m.sig").alias("head"), F.col("m.size").alias("head_size")), "ngram-heads")
+    shared = scored.join(heads, "gram").where(F.col("sig") != F.col("head")).groupBy("sig", "size", "head", "head_size").agg(
         F.count(F.lit(1)).alias("shared")).where(_plausible("size", "head_size", "shared", percent))
-    best = heads.groupBy("sig", "size").agg(F.max(F.struct("shared", "head", "head_size")).alias("m"))
+    best = shared.groupBy("sig", "size").agg(F.max(F.struct("shared", "head", "head_size")).alias("m"))
     pairs = best.select(F.col("m.head").alias("a"), F.col("sig").alias("b"), F.col("m.head_size").alias("size_a"),
                         F.col("size").alias("size_b"))
     near = kept_table(_linked(pairs, docs, classes, order, n, percent), "ngram-links")
