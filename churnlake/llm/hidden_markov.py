@@ -1,6 +1,6 @@
 """Scoring texts by a hidden Markov language model.
 
-Symbols are the ``HEAD`` most frequent training words, the end of a text, and one symbol for all rarer words, which are then drawn
+Symbols are the ``HEAD`` most frequent training words (seen twice or more), the end of a text, and one symbol for all rarer words, which are then drawn
 by their own smoothed frequency (with one place for unseen words), so the model is a proper distribution over word sequences.
 Baum-Welch trains the latent states: every task runs the forward and backward recursions over its sequences and emits
 expected counts, which are summed across partitions; all training texts count in every pass. The first pass starts
@@ -32,7 +32,8 @@ WARM_UP = 600           # sequences that the starting parameters are fitted on
 WARM_PASSES, PASSES = 12, 2
 BLOCK = 512             # tokens in a block of the recursions
 ROWS = 2048             # blocks worked on at a time
-PRIOR = 200.0           # tokens' worth of the unigram distribution in every state
+LEAST_COUNT = 2         # rarer words share the rare symbol
+DISCOUNT = 0.5          # taken from every expected count and given to the unigram distribution
 
 
 class Vocabulary(NamedTuple):
@@ -73,7 +74,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow().to_pandas()          # HEAD rows
+    top = counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(HEAD).toArrow().to_pandas()          # HEAD rows
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     hashes = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -160,7 +161,8 @@ def expected_counts(ids: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, n
 
 def _normalised(start, move, emit, vocab: Vocabulary) -> Parameters:
     prior = (vocab.counts + 0.5) / (vocab.counts + 0.5).sum()
-    emit = emit + PRIOR * prior[:, None]
+    cut = np.minimum(emit, DISCOUNT)
+    emit = emit - cut + (cut.sum(axis=0) + 1.0) * prior[:, None]
     return Parameters((start + 0.5) / (start + 0.5).sum(), (move + 0.5) / (move + 0.5).sum(axis=1, keepdims=True),
                       emit / emit.sum(axis=0))
 
