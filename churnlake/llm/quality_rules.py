@@ -1,8 +1,8 @@
 """Quality rules: counts over words and lines, then the distance of a document's histograms from its language's.
 
 Two histograms describe a document: code points by character class, and its words by the common words of its language
-(the rest in one bin). A language's reference is the mean of the normalised histograms of all its documents of
-``MIN_WORDS`` words and more. The Jensen-Shannon distance (base 2, 0 to 1) to the reference decides, for texts that are
+(the rest in one bin). A language's reference is the mean of the normalised histograms of its documents of
+``MIN_WORDS`` words and more, taken twice: over all, then over those no farther from that mean than the average. The Jensen-Shannon distance (base 2, 0 to 1) to the reference decides, for texts that are
 long enough to have a stable histogram. Everything is DataFrame functions; nothing leaves the JVM.
 
 Null text counts as no words. A language without word list is compared by character classes only, a language without
@@ -32,7 +32,8 @@ MAX_REPEATED_PERCENT = 30   # of words inside repeated windows
 WINDOW = 8                  # words in a window, a power of two
 MIN_CHARS_FOR_CLASSES = 100
 MIN_WORDS_FOR_COMMON = 60
-MAX_CLASS_DISTANCE = 0.25
+MAX_CLASS_DISTANCE = 0.17   # for long texts; CLASS_NOISE / sqrt(code points) is added, since short histograms scatter
+CLASS_NOISE = 0.8
 MAX_COMMON_DISTANCE = 0.50
 
 
@@ -106,18 +107,6 @@ def _shares(counts):
     return F.transform(counts, lambda x: x / _total(counts))
 
 
-def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Mean normalised histograms of every language with a word list, over all its documents of MIN_WORDS and more."""
-    df = measured.where(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_words") >= MIN_WORDS))
-    df = once(df, _whole=_total("_classes"))
-    longest = 1 + max(map(len, COMMON_WORDS.values()))
-    means = [F.avg(F.get("_classes", F.lit(i)) / F.col("_whole")).alias(f"p{i}") for i in range(N_CLASSES)]
-    means += [F.avg(F.get("_common", F.lit(i)) / F.col("n_words")).alias(f"q{i}") for i in range(longest)]
-    rows = df.groupBy("lang").agg(*means).collect()       # four rows at most
-    return {row["lang"]: ([row[f"p{i}"] for i in range(N_CLASSES)],
-                          [row[f"q{i}"] for i in range(len(COMMON_WORDS[row["lang"]]) + 1)]) for row in rows}
-
-
 def _distance(counts, total, reference: list[float]):
     """Jensen-Shannon distance of a histogram from a reference; 0 log 0 is 0."""
     def part(x, m):
@@ -128,16 +117,44 @@ def _distance(counts, total, reference: list[float]):
     return F.sqrt(F.greatest(F.lit(0.0), _total(terms) / 2))
 
 
+def _means(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    longest = 1 + max(map(len, COMMON_WORDS.values()))
+    means = [F.avg(F.get("_classes", F.lit(i)) / F.col("_whole")).alias(f"p{i}") for i in range(N_CLASSES)]
+    means += [F.avg(F.get("_common", F.lit(i)) / F.col("n_words")).alias(f"q{i}") for i in range(longest)]
+    rows = measured.groupBy("lang").agg(*means).collect()       # four rows at most
+    return {row["lang"]: ([row[f"p{i}"] for i in range(N_CLASSES)],
+                          [row[f"q{i}"] for i in range(len(COMMON_WORDS[row["lang"]]) + 1)]) for row in rows}
+
+
+def _to_classes(found: dict):
+    near = F.lit(None).cast("double")
+    for lang, (classes, _) in sorted(found.items()):
+        near = F.when(F.col("lang") == lang, _distance("_classes", F.col("_whole"), classes)).otherwise(near)
+    return near
+
+
+def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """Mean normalised histograms of every language with a word list: first over all its documents of MIN_WORDS and more, then over
+    those no farther from that mean than the average one, so that junk weighs little."""
+    df = measured.where(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_words") >= MIN_WORDS))
+    df = once(df, _whole=_total("_classes"))
+    df = once(df, _far=_to_classes(_means(df)))
+    average = {row["lang"]: row["far"] for row in df.groupBy("lang").agg(F.avg("_far").alias("far")).collect()}
+    limit = F.lit(None).cast("double")
+    for lang, far in sorted(average.items()):
+        limit = F.when(F.col("lang") == lang, F.lit(far)).otherwise(limit)
+    return _means(df.where(F.col("_far") <= limit + 1e-9))
+
+
 def judge(measured: DataFrame, found: dict) -> DataFrame:
     """Add class_distance, common_distance (null where not compared) and kept."""
     df = once(measured, _whole=_total("_classes"))
-    near, alike = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for lang, (classes, common) in sorted(found.items()):
-        near = F.when(F.col("lang") == lang, _distance("_classes", F.col("_whole"), classes)).otherwise(near)
+    alike = F.lit(None).cast("double")
+    for lang, (_, common) in sorted(found.items()):
         alike = F.when(F.col("lang") == lang, _distance("_common", F.col("n_words"), common)).otherwise(alike)
-    df = once(df, class_distance=F.when(F.col("_whole") >= MIN_CHARS_FOR_CLASSES, near),
+    df = once(df, class_distance=F.when(F.col("_whole") >= MIN_CHARS_FOR_CLASSES, _to_classes(found)),
               common_distance=F.when(F.col("n_words") >= MIN_WORDS_FOR_COMMON, alike))
-    far = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) \
+    far = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE + CLASS_NOISE / F.sqrt("_whole"), F.lit(False)) \
         | F.coalesce(F.col("common_distance") > MAX_COMMON_DISTANCE, F.lit(False))
     return once(df, kept=~F.col("base_failed") & ~far).drop("_whole", "_classes", "_common")
 
@@ -158,3 +175,55 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = kept_table(measure(docs).drop("text"), "quality")
     return judge(measured, references(measured)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    """The same in DuckDB SQL, by windows, set operations and unnested histograms."""
+    gap, steps = r"[\x20\x09-\x0D]", [r"regexp_replace(t, '[a-z\x20\x09-\x0D]+', '', 'g')"]
+    for _, pattern in CLASSES:
+        steps.append(f"regexp_replace({steps[-1]}, '{pattern}', '', 'g')")
+    left = ", ".join(f"length({step})" for step in steps)
+    listed = " ".join(f"WHEN '{lang}' THEN {words!r}" for lang, words in COMMON_WORDS.items())
+
+    part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((p + q) / 2)) ELSE 0 END"
+
+    def distance(out: str, name: str, rows: str) -> str:
+        return f"""{out} AS (SELECT rn, any_value(lang) AS lang, sqrt(greatest(0, sum({part.format('p')} + {part.format('q')}) / 2)) AS far
+            FROM (SELECT rn, lang, unnest({name}) AS p, generate_subscripts({name}, 1) AS k FROM m)
+            JOIN (SELECT lang, k, avg(v) AS q FROM (SELECT lang, unnest({name}) AS v, generate_subscripts({name}, 1) AS k FROM {rows})
+                GROUP BY lang, k) USING (lang, k) GROUP BY rn)"""
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{gap}+'), lambda x: x <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    CASE lang {listed} END AS listed, [{left}] AS rest FROM d),
+grams AS (SELECT rn, i, list_slice(words, i, i + {WINDOW - 1}) AS g
+    FROM (SELECT rn, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w WHERE len(words) >= {WINDOW})),
+twice AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT rn, count(DISTINCT j) AS n FROM (SELECT rn, unnest(range(i, i + {WINDOW})) AS j FROM twice) GROUP BY rn),
+c AS (SELECT rn, doc_id, lang, words, listed, rest, length(t) AS size, len(words) AS n_words,
+    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, rest[2] - rest[3] AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (rn)),
+h AS (SELECT *, list_transform(listed, lambda y: len(list_filter(words, lambda x: x = y))) AS hits,
+    [word_chars - rest[1], size - word_chars, rest[1] - rest[2], rest[2] - rest[3], rest[3] - rest[4], rest[4] - rest[5], rest[5]] AS counts
+    FROM c),
+m AS (SELECT *, list_transform(counts, lambda x: x / nullif(size, 0)) AS classes,
+    list_transform(list_append(hits, n_words - coalesce(list_sum(hits), 0)::BIGINT), lambda x: x / nullif(n_words, 0)) AS common FROM h),
+long_enough AS (SELECT * FROM m WHERE n_words >= {MIN_WORDS} AND listed IS NOT NULL),
+{distance('first_far', 'classes', 'long_enough')},
+typical AS (SELECT * FROM long_enough JOIN first_far USING (rn, lang) JOIN (
+    SELECT lang, avg(far) AS average FROM first_far JOIN long_enough USING (rn, lang) GROUP BY lang) USING (lang)
+    WHERE far <= average + 1e-9),
+{distance('classes_far', 'classes', 'typical')},
+{distance('common_far', 'common', 'typical')}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed,
+    NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words
+        OR listed IS NOT NULL AND size >= {MIN_CHARS_FOR_CLASSES} AND coalesce(classes_far.far > {MAX_CLASS_DISTANCE} + {CLASS_NOISE} / sqrt(size), FALSE)
+        OR listed IS NOT NULL AND n_words >= {MIN_WORDS_FOR_COMMON} AND coalesce(common_far.far > {MAX_COMMON_DISTANCE}, FALSE)) AS kept
+FROM m LEFT JOIN classes_far USING (rn) LEFT JOIN common_far USING (rn)
+"""
+
+
+ORACLE = _oracle()

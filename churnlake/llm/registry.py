@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_extendible_sharding": sharding.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
 }
