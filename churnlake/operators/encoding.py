@@ -71,17 +71,12 @@ class Encoder:
         nominal = {f"w{i}": (x, values[1:]) for i, (x, values) in enumerate(self.categories.items()) if len(values) > 1}
         wide = df.select(*passed, *[col.alias(name) for name, col in zip([*numeric, *flags], plain.values())],
                          *[F.coalesce(F.col(x).cast("string"), F.lit(_MISSING)).alias(w) for w, (x, _) in nominal.items()])
-        if nominal:
+        for w, (_, values) in nominal.items():
             # the first word and unknown words share the index past the last, which has no place in the vector
-            indexer = StringIndexerModel.from_arrays_of_labels(
-                [values for _, values in nominal.values()], inputCols=list(nominal), outputCols=[f"{w}_i" for w in nominal],
-                handleInvalid="keep")
-            wide = indexer.transform(wide)
-            wide = wide.withColumns({f"{w}_i": F.col(f"{w}_i").alias(f"{w}_i", metadata={}) for w in nominal})
-            hot = OneHotEncoder(inputCols=[f"{w}_i" for w in nominal], outputCols=[f"{w}_v" for w in nominal], dropLast=True)
-            sizes = df.sparkSession.range(1).select(*[
-                F.lit(float(len(values))).alias(f"{w}_i") for w, (_, values) in nominal.items()])
-            wide = hot.fit(sizes).transform(wide)
+            indexed = StringIndexerModel.from_labels(values, inputCol=w, outputCol=f"{w}_i", handleInvalid="keep").transform(wide)
+            wide = indexed.withColumn(f"{w}_i", F.col(f"{w}_i").alias(f"{w}_i", metadata={}))
+            largest = df.sparkSession.range(len(values), len(values) + 1).select(F.col("id").cast("double").alias(f"{w}_i"))
+            wide = OneHotEncoder(inputCol=f"{w}_i", outputCol=f"{w}_v", dropLast=True).fit(largest).transform(wide)
         inputs = [*numeric, *[f"{w}_v" for w in nominal], *flags]
         return VectorAssembler(inputCols=inputs, outputCol=output).transform(wide).select(*passed, output)
 
