@@ -15,19 +15,23 @@ import base64
 import hashlib
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlake.llm.tables import read_table
 from churnlake.llm.text_arrays import slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHED = 300_000        # pieces a worker remembers
+CACHED = 1_200_000      # pieces a worker remembers, some 250 MB
 _MIXED_GAP = re.compile(r"\s | \s")
+#: Pieces whose characters every Unicode version and regex library put in the same classes.
+plain = re.compile(r"[\t\n\r \x21-\x7e\xa1-\u017f]+").fullmatch
 _PIECES = 20_000        # distinct pieces encoded at a time
 
 
@@ -53,39 +57,70 @@ class Codec:
     """Encoder and decoder of one vocabulary. ``ids`` are little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer, token_bytes: list[bytes]):
-        self.tokenizer, self.token_bytes, self.known = tokenizer, token_bytes, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer, self.token_bytes = tokenizer, token_bytes
+        self.known: dict[str, bytes] = {}       # ids of pieces, without the space before them
+        self.words: dict[str, bytes] = {}       # ids of the words that the pattern cuts
+        self.shown = {b: c for b, c in enumerate(byte_characters())}
+        self.merge = tokenizer.model.tokenize
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one match of the pattern: its bytes as characters, merged by the model."""
+        ids = self.words.get(word)
+        if ids is None:
+            characters = word.encode().decode("latin-1").translate(self.shown)
+            ids = self.words[word] = array("I", [t.id for t in self.merge(characters)]).tobytes()
+        return ids
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Plain pieces are cut here and merged word by word; for others the library cuts them too."""
+        if len(self.words) > CACHED // 4:
+            self.words.clear()
+        merge, space, word, out, rest = self.merge, self.shown[32], self._word, [], []
+        for i, piece in enumerate(pieces):
+            body = piece[1:]
+            if body.isascii() and body.isalpha() and piece[0] == " ":       # a word: one match of the pattern
+                out.append(array("I", [t.id for t in merge(space + body)]).tobytes())
+            elif plain(piece):
+                if body[:-1].isalpha() and piece[0] == " " and body[-1] in ",.":
+                    out.append(word(piece[:-1]) + word(body[-1]))
+                elif body.isalpha() and piece[0] == " ":
+                    out.append(word(piece))
+                else:
+                    out.append(b"".join(map(word, self.cut(piece))))
+            else:
+                out.append(b"")
+                rest.append(i)
+        for i, ids in zip(rest, self._whole([pieces[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text."""
-        pieces: list[list[str] | None] = []
-        new: dict[str, None] = {}
+        if len(self.known) > CACHED:
+            self.known.clear()
+        known, cuts, new = self.known, [], set()
         for text in texts:
-            if not text:
-                pieces.append([])
-                continue
-            if _MIXED_GAP.search(text):
-                pieces.append(None)
-                continue
-            first, *rest = text.split(" ")
-            cut = [" " + x for x in rest]
-            if first:
-                cut.insert(0, first)
-            pieces.append(cut)
-            new.update(dict.fromkeys(x for x in cut if x not in self.known))
-        if len(self.known) + len(new) > CACHED:
-            needed = {x for cut in pieces if cut for x in cut}
-            self.known = {x: y for x, y in self.known.items() if x in needed}
+            cut = [] if not text else None if _MIXED_GAP.search(text) else text.split(" ")
+            cuts.append(cut)
+            if cut:
+                new.update(set(cut[1:]).difference(known))
         fresh = list(new)
         for low in range(0, len(fresh), _PIECES):
             part = fresh[low:low + _PIECES]
-            self.known.update(zip(part, self._ids(part)))
-        known = self.known
-        return [self._ids([text])[0] if cut is None else b"".join([known[x] for x in cut])
-                for text, cut in zip(texts, pieces)]
+            known.update(zip(part, self._ids([" " + x for x in part])))
+        first = iter(self._ids([cut[0] for cut in cuts if cut]))
+        out = []
+        for text, cut in zip(texts, cuts):
+            if cut:
+                out.append(next(first) + b"".join(map(known.__getitem__, cut[1:])))
+            else:
+                out.append(b"" if cut == [] else self._whole([text])[0])
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of the ids; a valid UTF-8 text if they are those of one."""
