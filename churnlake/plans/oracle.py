@@ -86,7 +86,8 @@ cust0 AS (SELECT k AS customerID,
     CASE WHEN k % 33 = 0 THEN '' ELSE CAST(CAST(floor(mc * (k % 73)) AS BIGINT) AS VARCHAR) END AS TotalCharges,
     CAST(dsl % 91 AS INTEGER) AS InactiveDays,
     CASE floor(k / 6) % 3 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Standard' ELSE 'Premium' END AS SubscriptionType,
-    CASE WHEN dsl > 365 THEN 1 ELSE 0 END AS Churn
+    CASE WHEN (CASE WHEN dsl % 91 > 45 THEN 1 ELSE 0 END + CASE WHEN seg IN ('MACHINERY', 'FURNITURE') THEN 0 ELSE 1 END
+        + CASE WHEN k % 73 < 24 THEN 1 ELSE 0 END >= 2) <> (k % 10 = 3) THEN 1 ELSE 0 END AS Churn
     FROM base),
 cust AS (SELECT * FROM cust0)"""
 

@@ -20,8 +20,6 @@ def _addon(divisor: int) -> str:
             "ELSE 'No' END")
 
 
-LAPSED_DAYS = 365
-
 # canonical column -> SQL over the joined customer row
 _CUSTOMER_COLUMNS = {
     "customerID": "k",
@@ -48,8 +46,9 @@ _CUSTOMER_COLUMNS = {
     "TotalCharges": "if(k % 33 = 0, '', cast(cast(floor(charges * (k % 73)) AS bigint) AS string))",
     "InactiveDays": "cast(idle % 91 AS int)",
     "SubscriptionType": "element_at(array('Basic', 'Standard', 'Premium'), cast(floor(k / 6) % 3 + 1 AS int))",
-    # the label is what the orders show: a customer whose last order is long past has left
-    "Churn": f"cast(idle > {LAPSED_DAYS} AS int)",
+    # the label: two of three signals (long idle, no contract, new), the other way for one customer in ten
+    "Churn": "cast((cast(idle % 91 > 45 AS int) + cast(c_mktsegment NOT IN ('MACHINERY', 'FURNITURE') AS int) "
+             "+ cast(k % 73 < 24 AS int) >= 2) <> (k % 10 = 3) AS int)",
 }
 
 
