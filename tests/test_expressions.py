@@ -30,7 +30,7 @@ def test_half_even(spark):
 
 def test_scorecard_personas(spark, personas):
     found = {r[0]: r[1] for r in personas.select("customerID", scoring.scorecard()).collect()}
-    # HIGH: .50+.25+.15+.30+.20+.10 clamps; LOW: .50-.20-.15-.25-.35-.10 clamps; MED: .50+.05+.05+.05-.05-.10
+    # HIGH: .50+.25+.15+.30+.20+.10 clamps; LOW: .50-.20+.00-.25-.35-.10 clamps; MED: .50-.10+.05+.05-.05+.05
     assert found == {"H1": 0.95, "L1": 0.05, "M1": 0.50}
 
 
