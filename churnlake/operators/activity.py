@@ -161,10 +161,6 @@ def find_user(users: DataFrame, email: str) -> DataFrame:
     return users.where(F.lower("email") == email.lower())
 
 
-def find_by_key(table: DataFrame, key: str, value) -> DataFrame:
-    return table.where(F.col(key) == value)
-
-
 def list_users(users: DataFrame) -> DataFrame:
     """Users newest first, without secrets."""
     wanted = [x for x in ("user_id", "name", "email", "role", "is_active", "created_at") if x in users.columns]

@@ -15,10 +15,12 @@ def stratified_split(df: DataFrame, label: str = c.TARGET, keys: list[str] = (c.
 
     A row is tested when the hash of its key is below its class's cut, the test-share quantile of the
     hashes in the class. The cuts (one number per class) are fixed on the driver, so that every later
-    evaluation of the frame gives the same split.
+    evaluation of the frame gives the same split. A label with more than two values is refused.
     """
     draw = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(_BUCKETS))
-    cuts = df.groupBy(label).agg(F.percentile_approx(draw, test_share, 100_000).alias("cut")).collect()
+    cuts = df.groupBy(label).agg(F.percentile_approx(draw, test_share, 100_000).alias("cut")).limit(4).collect()
+    if len(cuts) > 3:
+        raise ValueError(f"{label} has more values than 0, 1 and null")
     cut = F.lit(-1)
     for row in cuts:
         cut = F.when(F.col(label).eqNullSafe(row[label]), row["cut"]).otherwise(cut)
