@@ -3,9 +3,10 @@
 Documents are tokenised and closed with the end id; only longer ones than a sequence are cut, the first piece being the shorter one. What
 must be packed is then a histogram of at most ``CAPACITY`` lengths, whatever the corpus, and a configuration says how many pieces of
 each length fill a sequence. Multiplicative weights solve the fractional covering program: the lengths have prices, a knapsack dynamic
-program finds the configuration worth most, it is taken, and the prices of the lengths it covers fall. The averaged
-configurations are scaled and rounded down; the pieces left over, about as many as there are configurations, are packed best-fit. If
-plain best-fit decreasing over the whole histogram needs fewer sequences, that is taken.
+program finds the configuration worth most, as much of it is taken as its scarcest length allows, and the prices of the lengths it
+covers fall. The amounts are scaled by the average coverage and rounded down, never beyond what is left of a length, and the
+program is solved again on the histogram that remains, until rounding leaves nothing of a solution. Only those last pieces
+are packed best-fit.
 
 The plan is a table of runs (length, first rank, last rank, sequence, offset). Pieces are ranked within their length in two steps, by a
 hash bucket and inside it, so that a length that a third of all pieces have is not ranked by one task.
@@ -16,6 +17,7 @@ Null and empty texts are the end id alone. Repeated rows are packed each for its
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 
 import numpy as np
@@ -31,8 +33,9 @@ from churnlake.llm.text_arrays import slices
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
 END = 2
-ROUNDS = 400            # prices are updated so often
-STEP = 0.25
+ROUNDS = 0.25           # price updates per length that is left; a configuration covers several
+STEP = 1.0
+POWER = 1.2             # long pieces are the harder to place: first prices grow faster than lengths
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -86,38 +89,47 @@ def _dearest(price: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
     return counts
 
 
-def configurations(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, np.ndarray]]:
-    """(times, counts by length) that together hold exactly the histogram (index: length)."""
-    need = histogram.astype(np.int64).copy()
+def _fractional(need: np.ndarray, capacity: int) -> list[tuple[float, np.ndarray]]:
+    """(amount, counts by length) that cover every length about once on average, the largest amounts first."""
+    live = need > 0
+    worth, weight = np.arange(len(need)) ** POWER, np.where(live, 1.0, 0.0)
+    used: dict[bytes, list] = {}
+    for _ in range(math.ceil(ROUNDS * live.sum())):
+        counts = _dearest(weight * worth, need, capacity)
+        amount = (need[counts > 0] / counts[counts > 0]).min()
+        used.setdefault(counts.tobytes(), [0.0, counts])[0] += amount
+        weight = weight * np.exp(-STEP * amount * counts / np.maximum(need, 1))
+        weight /= weight.max()
+    covered = sum(amount * counts for amount, counts in used.values())
+    scale = 1 / (covered[live] / need[live]).mean()
+    return sorted(((amount * scale, counts) for amount, counts in used.values()), key=lambda x: -x[0])
+
+
+def program(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """(times, counts by length) of the rounded configuration program, and the histogram that rounding leaves."""
+    left = histogram.astype(np.int64).copy()
     plan: list[tuple[int, np.ndarray]] = []
-    if need[capacity]:
-        full = np.zeros_like(need)
+    if left[capacity]:
+        full = np.zeros_like(left)
         full[capacity] = 1
-        plan.append((int(need[capacity]), full))
-        need[capacity] = 0
-    used: dict[bytes, list] = {}
-    live = need > 0
-    if live.any():
-        share, weight = need / need.sum(), np.where(live, 1.0, 0.0)
-        for _ in range(ROUNDS):
-            # a unit of covering a length is worth its price, and scarcer lengths are dearer
-            counts = _dearest(np.where(live, weight * np.arange(len(need)), 0.0), need, capacity)
-            used.setdefault(counts.tobytes(), [0, counts])[0] += 1
-            ratio = np.where(live, counts / np.maximum(share, 1e-300), 0.0)
-            weight = np.where(live, weight * np.exp(-STEP * ratio / ratio.max()), 0.0)
-            weight /= weight.max()
-        covered = sum(times * counts for times, counts in used.values())
-        scale = (need[covered > 0] / covered[covered > 0]).min() if (covered > 0).any() else 0.0
-        left = need.copy()
-        for times, counts in sorted(used.values(), key=lambda x: -x[0]):
-            k = int(min(times * scale, (left[counts > 0] // counts[counts > 0]).min()))
+        plan.append((int(left[capacity]), full))
+        left[capacity] = 0
+    while left.any():
+        before = len(plan)
+        for amount, counts in _fractional(left, capacity):
+            k = int(min(amount + 1e-9, (left[counts > 0] // counts[counts > 0]).min()))
             if k:
                 plan.append((k, counts))
-                left -= k * counts
-        # what is left again by the configurations that fit it best
-        plan += best_fit(left, capacity)
-    plain = ([plan[0]] if histogram[capacity] else []) + best_fit(need, capacity)
-    return min(plan, plain, key=lambda p: sum(times for times, _ in p))
+                left = left - k * counts
+        if len(plan) == before:
+            break
+    return plan, left
+
+
+def configurations(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, np.ndarray]]:
+    """(times, counts by length) that together hold exactly the histogram (index: length)."""
+    plan, left = program(histogram, capacity)
+    return plan + best_fit(left, capacity)
 
 
 def best_fit(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, np.ndarray]]:

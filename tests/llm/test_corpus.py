@@ -113,6 +113,15 @@ def test_configurations_hold_the_histogram():
         assert sum(t for t, _ in plan) <= sum(t for t, _ in packing.best_fit(histogram))
 
 
+def test_program_places_nearly_all_sequences():
+    histogram = np.bincount(np.random.default_rng(3).integers(300, 700, 3000), minlength=1025)
+    histogram[[250, 720, 810]] = 1          # scarce lengths don't hold up the others
+    plan, left = packing.program(histogram)
+    placed, whole = sum(t for t, _ in plan), sum(t for t, _ in packing.configurations(histogram))
+    assert (left >= 0).all() and (sum(t * counts for t, counts in plan) + left == histogram).all()
+    assert placed >= 0.95 * whole and whole < sum(t for t, _ in packing.best_fit(histogram))
+
+
 def test_packing(odd, docs, empty):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
