@@ -3,8 +3,9 @@
 Symbols are the ``HEAD`` most frequent training words (seen twice or more), the end of a text, and one symbol for all rarer words, which are then drawn
 by their own smoothed frequency (with one place for unseen words), so the model is a proper distribution over word sequences.
 Baum-Welch trains the latent states: every task runs the forward and backward recursions over its sequences and emits
-expected counts, which are summed across partitions; all training texts count in every pass. The first pass starts
-from parameters fitted on ``WARM_UP`` sequences. The score is the exact sequence likelihood by the scaled forward
+expected counts, which are summed across partitions; all training texts count whole in every pass. The first pass starts
+from noise over the counts of all training texts. A long text is trained on block by block, and the forward and backward messages
+are handed from block to block, so the counts are those of the whole sequence. The score is the exact sequence likelihood by the scaled forward
 recursion; a long text is cut into blocks whose K x K products are multiplied up, which gives the same number.
 
 Texts are tokenised once, into a table of symbol ids in the shared folder; counts of rare words reach their texts by a join, since
@@ -28,10 +29,9 @@ from churnlake.llm.text_arrays import slices, words
 FOLDS, HELD_OUT = 5, 1
 HEAD = 32_768           # words with a symbol of their own
 STATES = 8
-WARM_UP = 600           # sequences that the starting parameters are fitted on
-WARM_PASSES, PASSES = 12, 2
+PASSES = 14
 BLOCK = 512             # tokens in a block of the recursions
-ROWS = 2048             # blocks worked on at a time
+ROWS = 2048             # blocks, or texts in training, worked on at a time
 LEAST_COUNT = 2         # rarer words share the rare symbol
 DISCOUNT = 0.5          # taken from every expected count and given to the unigram distribution
 
@@ -127,35 +127,62 @@ def _blocks(ids: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield text[part], number[part], length[part], padded
 
 
+def _padded(ids: list[np.ndarray], low: int, length: np.ndarray) -> np.ndarray:
+    padded = np.zeros((length[0], len(length)), np.int32)
+    for row, n in enumerate(length):
+        padded[:n, row] = ids[row][low:low + n]
+    return padded
+
+
 def expected_counts(ids: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of the sequences (Baum-Welch). Blocks after a text's first start evenly."""
+    """Expected starts, moves and emissions of the whole sequences (Baum-Welch)."""
     k = len(p.start)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(p.emit)
-    for _, number, length, padded in _blocks(ids):
-        steps, rows = padded.shape
-        alive = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")     # rows with a token at a step
-        forward, scale = np.zeros((steps, rows, k)), np.ones((steps, rows))
-        a = np.where((number == 0)[:, None], p.start, 1.0 / k)
-        for t in range(steps):
-            n = alive[t]
-            a = (a[:n] if t == 0 else a[:n] @ p.move) * p.emit[padded[t, :n]]
-            scale[t, :n] = a.sum(axis=1)
-            a /= scale[t, :n, None]
-            forward[t, :n] = a
-        back = np.ones((rows, k))
-        for t in range(steps - 1, 0, -1):
-            n = alive[t]
-            weighted = back[:n] * p.emit[padded[t, :n]] / scale[t, :n, None]
-            move += forward[t - 1, :n].T @ weighted
-            gamma = forward[t, :n] * back[:n]
-            forward[t, :n] = gamma
-            back[:n] = weighted @ p.move.T
-        forward[0] *= back
-        start += forward[0][number == 0].sum(axis=0)
-        live = np.arange(steps)[:, None] < length[None, :]
-        flat, seen = forward[live], padded[live]
-        for state in range(k):
-            emit[:, state] += np.bincount(seen, flat[:, state], len(emit))
+    ordered = sorted((x for x in ids if len(x)), key=len, reverse=True)
+    for first in range(0, len(ordered), ROWS):
+        texts = ordered[first:first + ROWS]
+        size = np.array([len(x) for x in texts])
+        # forward messages into every block; a block with a next one is full
+        entering = [np.zeros((0, k))]
+        for low in range(0, size[0] - BLOCK, BLOCK):
+            rows = int((size > low + BLOCK).sum())
+            padded = _padded(texts[:rows], low, np.full(rows, BLOCK))
+            for t in range(BLOCK):
+                a = (p.start if low == t == 0 else (a if t else entering[-1][:rows]) @ p.move) * p.emit[padded[t]]
+                a /= a.sum(axis=1)[:, None]
+            entering.append(a)
+        message = np.ones((0, k))       # from the next block, to the texts that have one
+        for block in range(len(entering) - 1, -1, -1):
+            rows, low = int((size > block * BLOCK).sum()), block * BLOCK
+            length = np.minimum(size[:rows] - low, BLOCK)
+            padded = _padded(texts[:rows], low, length)
+            steps = len(padded)
+            alive = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")     # rows with a token at a step
+            forward, scale = np.zeros((steps, rows, k)), np.ones((steps, rows))
+            a = entering[block] @ p.move if block else np.broadcast_to(p.start, (rows, k))
+            for t in range(steps):
+                n = alive[t]
+                a = (a[:n] if t == 0 else a[:n] @ p.move) * p.emit[padded[t, :n]]
+                scale[t, :n] = a.sum(axis=1)
+                a /= scale[t, :n, None]
+                forward[t, :n] = a
+            back = np.ones((rows, k))
+            back[:len(message)] = message
+            for t in range(steps - 1, -1, -1):
+                n = alive[t]
+                before = forward[t - 1, :n] if t else entering[block]
+                weighted = back[:n] * p.emit[padded[t, :n]] / scale[t, :n, None]
+                forward[t, :n] *= back[:n]
+                if t or block:
+                    move += before.T @ weighted
+                    back[:n] = weighted @ p.move.T
+            message = back
+            if not block:
+                start += forward[0].sum(axis=0)
+            live = np.arange(steps)[:, None] < length[None, :]
+            flat, seen = forward[live], padded[live]
+            for state in range(k):
+                emit[:, state] += np.bincount(seen, flat[:, state], len(emit))
     return start, move * p.move, emit
 
 
@@ -170,16 +197,10 @@ def _normalised(start, move, emit, vocab: Vocabulary) -> Parameters:
 def train(sequences: DataFrame, vocab: Vocabulary) -> Parameters:
     """Baum-Welch over the ids of the given sequences."""
     context = sequences.sparkSession.sparkContext
-    share = min(1.0, WARM_UP / max(1, sequences.count()))
-    picked = sequences.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    first = [np.frombuffer(row["ids"], "<i4")[:4 * BLOCK] for row in picked.select("ids").limit(2 * WARM_UP).collect()]
     rng = np.random.default_rng(7)
     noise = rng.gamma(1.0, 1.0, (len(vocab.counts), STATES))
     p = _normalised(np.ones(STATES), np.ones((STATES, STATES)) + 4 * np.eye(STATES),
                     vocab.counts[:, None] * noise, vocab)
-    for _ in range(WARM_PASSES):
-        p = _normalised(*expected_counts(first, p), vocab)
-
     for _ in range(PASSES):
         shipped = context.broadcast(p)
 

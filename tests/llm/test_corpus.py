@@ -217,6 +217,42 @@ def test_forward_recursion_is_exact():
     assert start.sum() == pytest.approx(4) and emit.sum() == pytest.approx(48) and move.sum() == pytest.approx(44)
 
 
+def test_expected_counts_are_those_of_whole_sequences():
+    rng = np.random.default_rng(4)
+    k, symbols = 3, 6
+    p = hidden_markov.Parameters(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k) / 9, k), rng.dirichlet(np.ones(symbols), k).T.copy())
+    ids = [rng.integers(0, symbols, n).astype(np.int32) for n in (1, 40, 511, 512, 513, 1024, 1500)]
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
+    for x in ids:
+        forward, back, scale = np.zeros((len(x), k)), np.ones((len(x), k)), np.zeros(len(x))
+        for t, i in enumerate(x):
+            a = (forward[t - 1] @ p.move if t else p.start) * p.emit[i]
+            scale[t] = a.sum()
+            forward[t] = a / scale[t]
+        for t in range(len(x) - 1, 0, -1):
+            weighted = back[t] * p.emit[x[t]] / scale[t]
+            back[t - 1] = p.move @ weighted
+            move += np.outer(forward[t - 1], weighted) * p.move
+        gamma = forward * back
+        start += gamma[0]
+        np.add.at(emit, x, gamma)
+    for got, expected in zip(hidden_markov.expected_counts(ids, p), (start, move, emit)):
+        assert np.allclose(got, expected, rtol=1e-9)
+
+
+def test_every_pass_sees_every_training_text(spark):
+    vocab = hidden_markov.Vocabulary(np.arange(3, dtype=np.uint64), np.arange(3), np.array([40.0, 30, 20, 1300, 0]), 1390, 4)
+    texts = [np.array([0, 1, 2][:i % 4] + [3], "<i4") for i in range(1300)]
+    rows = [(None if i % 3 == 0 else 7, bytearray(x.tobytes())) for i, x in enumerate(texts)]
+    got = hidden_markov.train(spark.createDataFrame(rows, "doc_id long, ids binary").repartition(5), vocab)
+    rng = np.random.default_rng(7)
+    k = hidden_markov.STATES
+    p = hidden_markov._normalised(np.ones(k), np.ones((k, k)) + 4 * np.eye(k), vocab.counts[:, None] * rng.gamma(1.0, 1.0, (5, k)), vocab)
+    for _ in range(hidden_markov.PASSES):
+        p = hidden_markov._normalised(*hidden_markov.expected_counts(texts, p), vocab)
+    assert all(np.allclose(x, y, rtol=1e-6) for x, y in zip(got, p))
+
+
 def test_hidden_markov(odd, docs, empty):
     for df in (odd, docs):
         rows = hidden_markov.scored(df).collect()
