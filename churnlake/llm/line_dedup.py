@@ -1,10 +1,10 @@
 """Removing repeated runs of lines across a corpus, by winnowing.
 
-A unit is a line, and lines are cut further after words picked by their hash (one in ``CUT``), so that a passage falls into the same
-units wherever it stands, also within a line. Every run of units with ``GRAM_WORDS`` words is hashed; of each ``WINDOW`` such hashes
-in a row the smallest is a fingerprint, so two texts that share a longer run are certain to share a fingerprint of it. The positions
+Every run of ``GRAM_WORDS`` words is hashed, across line ends and at every word, so that a passage gives the same hashes wherever
+it stands, also within a line; of each ``WINDOW`` such hashes in a row the smallest is a fingerprint. Two texts that share
+GRAM_WORDS + WINDOW - 1 = ``RUN_WORDS`` words in a row are therefore certain to share a fingerprint of them. The positions
 of a fingerprint are joined with its earliest one (smallest doc_id, then place), never with each other. A match is extended both
-ways over equal units; the stretches found in a text are merged, and those of ``RUN_WORDS`` words or more are deleted. The earliest
+ways word by word; the stretches found in a text are merged, and those of ``RUN_WORDS`` words or more are deleted. The earliest
 copy of a passage stays.
 
 Words are compared with A-Z lower-cased and without regard to white space. Null and empty texts stay as they are. A text that is
@@ -23,111 +23,96 @@ from pyspark.sql import functions as F
 from churnlake.llm.tables import free_name, kept_table, read_table
 from churnlake.llm.text_arrays import Words, mix, slices, words
 
-GRAM_WORDS = 16
-WINDOW = 3
+GRAM_WORDS = 16         # a power of two
+WINDOW = 10
 RUN_WORDS = 25
-CUT = 6                 # one word in so many ends a unit
 _LAST = (1 << 63) - 1
 
 
-class Units:
-    """Units of a batch: first word, hash, and the bounds by text."""
-
-    def __init__(self, found: Words):
-        self.words = found
-        n = len(found.hashes)
-        ends = np.zeros(n, bool)
-        if n:
-            last = found.starts + found.lengths - 1
-            ends = found.hashes % np.uint64(CUT) == 0
-            breaks = np.flatnonzero(found.data == 10)
-            following = np.append(found.starts[1:], len(found.data))
-            ends |= np.searchsorted(breaks, last) < np.searchsorted(breaks, following)
-            ends[found.bounds[1:][np.diff(found.bounds) > 0] - 1] = True
-        self.first = np.concatenate([[0], np.flatnonzero(ends) + 1])           # first word of each unit, and the end
-        self.bounds = np.searchsorted(self.first, found.bounds)
-        place = (np.arange(n) - np.repeat(self.first[:-1], np.diff(self.first))).astype(np.uint64)
-        value = mix(found.hashes + place * np.uint64(0x9E3779B97F4A7C15))
-        self.hashes = mix(np.add.reduceat(value, self.first[:-1])) if n else np.zeros(0, np.uint64)
-
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and unit number (in the batch) of the selected runs."""
-        n = len(self.hashes)
-        if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        text_end = np.repeat(self.bounds[1:], np.diff(self.bounds))
-        # the first unit boundary GRAM_WORDS words on
-        stop = np.searchsorted(self.first, self.first[:-1] + GRAM_WORDS)
-        whole = stop <= text_end
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes)])
-        stop = np.minimum(stop, n)
-        size = (stop - np.arange(n)).astype(np.uint64)
-        # sums alone would not see the order of units, so the first and last count twice
-        gram = mix(sums[stop] - sums[:-1] + mix(self.hashes + size) + mix(self.hashes[stop - 1] ^ np.uint64(0xA5A5A5A5)))
-        at = np.flatnonzero(whole)
-        if not len(at):
-            return np.zeros(0, np.uint64), at
-        value, text = gram[at], np.searchsorted(self.bounds, at, "right")
-        chosen = np.zeros(len(at), bool)
-        width = min(WINDOW, len(at))
-        low = np.arange(len(at) - width + 1)
-        spans = np.lib.stride_tricks.sliding_window_view(value, width)
-        same = text[low] == text[low + width - 1]
+def fingerprints(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word (number in the batch) of the selected runs."""
+    gram, size = found.hashes, 1
+    while size < GRAM_WORDS:        # the hash of a run is built from those of its halves
+        gram = mix(gram[:-size] * np.uint64(0x9E3779B97F4A7C15) + gram[size:]) if len(gram) > size else gram[:0]
+        size *= 2
+    text = np.repeat(np.arange(len(found.bounds) - 1), np.diff(found.bounds))
+    at = np.flatnonzero(text[:len(gram)] == text[GRAM_WORDS - 1:]) if len(gram) else np.zeros(0, np.int64)
+    value, text = gram[at], text[at]
+    chosen = np.zeros(len(at), bool)
+    if len(at) >= WINDOW:
+        low = np.arange(len(at) - WINDOW + 1)
+        spans = np.lib.stride_tricks.sliding_window_view(value, WINDOW)
+        same = text[low] == text[low + WINDOW - 1]
         chosen[(low + np.argmin(spans, axis=1))[same]] = True
-        # texts with fewer runs than a window give the smallest
-        counts = np.bincount(text, minlength=len(self.bounds) + 1)
-        for t in np.flatnonzero((counts > 0) & (counts < WINDOW)):
-            rows = np.flatnonzero(text == t) if len(at) < 64 else np.arange(*np.searchsorted(text, [t, t + 1]))
-            chosen[rows[np.argmin(value[rows])]] = True
-        return value[chosen], at[chosen]
+    # texts with fewer runs than a window give the smallest
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    for a, b in zip(first, np.append(first[1:], len(at))):
+        if b - a < WINDOW:
+            chosen[a + np.argmin(value[a:b])] = True
+    return value[chosen], at[chosen]
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """key, rank, units (binary hashes), and the fingerprints (prints) with the unit they start at (places) of every document."""
+    """key, rank, and the fingerprints (prints) with the word they start at (places) of every document."""
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                units = Units(words(batch.column("text")))
-                data, b = units.hashes.tobytes(), units.bounds
-                value, at = units.fingerprints()
+                found = words(batch.column("text"))
+                b = found.bounds
+                value, at = fingerprints(found)
                 text = np.searchsorted(b, at, "right") - 1
                 ends = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key"), batch.column("rank"),
-                     pa.array([data[8 * x:8 * y] for x, y in zip(b, b[1:])], pa.binary()),
                      pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64))),
                      pa.ListArray.from_arrays(ends, pa.array((at - b[text]).astype(np.int32)))],
-                    ["key", "rank", "units", "prints", "places"])
+                    ["key", "rank", "prints", "places"])
 
-    return docs.mapInArrow(run, "key long, rank long, units binary, prints array<long>, places array<int>")
+    return docs.mapInArrow(run, "key long, rank long, prints array<long>, places array<int>")
+
+
+def _hashed(batches):
+    """key and the hashes of the text's words (binary)."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            found = words(batch.column("text"))
+            data, b = found.hashes.tobytes(), found.bounds
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array([data[8 * x:8 * y] for x, y in zip(b, b[1:])], pa.binary())], ["key", "words"])
 
 
 def _extended(batches):
-    """key and stretch (first, end) in its units, for seeds on one diagonal of two texts."""
+    """key and stretch (first, end) in its words, for the seeds of two texts."""
     for batch in batches:
         keys, starts, ends = [], [], []
-        columns = (batch.column(c).to_pylist() for c in ("key", "shift", "places", "units", "head_units"))
-        for key, shift, places, mine, theirs in zip(*columns):
+        columns = (batch.column(c).to_pylist() for c in ("key", "places", "head_places", "words", "head_words"))
+        for key, places, head_places, mine, theirs in zip(*columns):
             mine, theirs = np.frombuffer(mine, np.uint64), np.frombuffer(theirs, np.uint64)
-            low, high = max(0, shift), min(len(mine), len(theirs) + shift)
-            if high <= low:
-                continue
-            differ = np.flatnonzero(mine[low:high] != theirs[low - shift:high - shift]) + low
-            # a seed's stretch lies between the differing units around it
-            around = np.unique(np.searchsorted(differ, np.array(places)))
-            edges = np.concatenate([[low - 1], differ, [high]])
-            for i in around.tolist():
-                if edges[i + 1] - edges[i] > 1:
-                    keys.append(key)
-                    starts.append(int(edges[i]) + 1)
-                    ends.append(int(edges[i + 1]))
+            places = np.array(places)
+            shifts = places - np.array(head_places)
+            order = np.argsort(shifts, kind="stable")
+            cuts = np.flatnonzero(np.diff(shifts[order])) + 1
+            for on in np.split(order, cuts):        # the seeds of a diagonal
+                shift = int(shifts[on[0]])
+                low, high = max(0, shift), min(len(mine), len(theirs) + shift)
+                if high <= low:
+                    continue
+                differ = np.flatnonzero(mine[low:high] != theirs[low - shift:high - shift]) + low
+                # a seed's stretch lies between the differing words around it
+                around = np.unique(np.searchsorted(differ, places[on]))
+                edges = np.concatenate([[low - 1], differ, [high]])
+                for i in around.tolist():
+                    if edges[i + 1] - edges[i] > 1:
+                        keys.append(key)
+                        starts.append(int(edges[i]) + 1)
+                        ends.append(int(edges[i + 1]))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
                                          ["key", "first", "end"])
 
 
-def _cut(text: str, found: Words, units: Units, i: int, stretches) -> tuple[str, int]:
+def _cut(text: str, found: Words, i: int, stretches) -> tuple[str, int]:
     """The text without its long stretches, and the number of words deleted."""
-    base, merged = int(units.bounds[i]), []
+    base, merged = int(found.bounds[i]), []
     for s in sorted((s["first"], s["end"]) for s in stretches):
         if merged and s[0] <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], s[1])
@@ -137,7 +122,7 @@ def _cut(text: str, found: Words, units: Units, i: int, stretches) -> tuple[str,
     gap = re.match(rb"[\x20\x09-\x0D]*", data).end()
     offset = int(found.starts[found.bounds[i]]) - gap       # of the text in the batch's bytes
     for first, end in merged:
-        a, b = int(units.first[base + first]), int(units.first[base + end])
+        a, b = base + first, base + end
         if b - a < RUN_WORDS:
             continue
         low = int(found.starts[a]) - offset
@@ -161,14 +146,15 @@ def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
     seen = kept_table(prints.join(twice, "print"), "line-seen")
     heads = kept_table(seen.groupBy("print").agg(F.min(F.struct("rank", "key", "place")).alias("head")), "line-heads")
     seeds = seen.join(heads, "print").where(F.struct("rank", "key", "place") > F.col("head"))
-    seeds = seeds.groupBy("key", F.col("head.key").alias("head_key"), (F.col("place") - F.col("head.place")).alias("shift")).agg(
-        F.collect_set("place").alias("places"))         # as many as the text has runs
+    seeds = seeds.groupBy("key", F.col("head.key").alias("head_key")).agg(
+        F.collect_list("place").alias("places"), F.collect_list("head.place").alias("head_places"))    # as many as the text has runs
     seeds = kept_table(seeds, "line-seeds")
     ends = seeds.select("key").union(seeds.select("head_key")).distinct()
-    units = kept_table(survey.select("key", "units").join(ends, "key", "left_semi").dropDuplicates(["key"]), "line-units")
-    met = seeds.join(units, "key").join(
-        units.select(F.col("key").alias("head_key"), F.col("units").alias("head_units")), "head_key")
-    stretches = met.select("key", "shift", "places", "units", "head_units").mapInArrow(_extended, "key long, first int, end int")
+    texts = narrow.select("key", "text").join(ends, "key", "left_semi").dropDuplicates(["key"])
+    hashed = kept_table(texts.mapInArrow(_hashed, "key long, words binary"), "line-words")
+    met = seeds.join(hashed, "key").join(
+        hashed.select(F.col("key").alias("head_key"), F.col("words").alias("head_words")), "head_key")
+    stretches = met.select("key", "places", "head_places", "words", "head_words").mapInArrow(_extended, "key long, first int, end int")
     by_text = kept_table(stretches.distinct().groupBy(F.col("key").alias(key)).agg(
         F.collect_list(F.struct("first", "end")).alias("stretches")), "line-stretches")
     name = free_name(docs, "stretches")
@@ -180,11 +166,11 @@ def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = words(batch.column(at))
-                units, lists = Units(found), batch.column(name).to_pylist()
+                lists = batch.column(name).to_pylist()
                 texts, gone = batch.column(at).to_pylist(), np.zeros(batch.num_rows, np.int64)
                 for i, stretch in enumerate(lists):
                     if stretch:
-                        texts[i], gone[i] = _cut(texts[i], found, units, i, stretch)
+                        texts[i], gone[i] = _cut(texts[i], found, i, stretch)
                 out = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(gone)], [*columns, removed])
 

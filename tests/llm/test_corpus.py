@@ -296,6 +296,16 @@ def test_line_dedup_cuts_later_copies(spark):
             assert " ".join(prose(90, 100 + 10 * j + k).split()[:80 if k != 2 else 90][10:]) in texts[k]
 
 
+def test_line_dedup_finds_every_run_of_its_length(spark):
+    rows = []
+    for j in range(400):
+        passage = prose(51 if j % 2 else 25, 3000 + j)
+        rows += [(2 * j + k, f"{prose(70 + j % 13, 5000 + 2 * j + k)} {passage} {prose(70, 8000 + 2 * j + k)}") for k in range(2)]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for j in range(400):
+        assert got[2 * j].n_removed == 0 and (51 if j % 2 else 25) <= got[2 * j + 1].n_removed <= 55
+
+
 def test_line_dedup_odd_input(spark, odd, empty):
     got = line_dedup.dedup(odd)
     assert got.columns == [*odd.columns, "n_removed"] and got.count() == odd.count()
