@@ -5,12 +5,15 @@ Two histograms describe a document: code points by character class, and its word
 ``MIN_WORDS`` words and more, taken twice: over all, then over those no farther from that mean than the average. The Jensen-Shannon distance (base 2, 0 to 1) to the reference decides, for texts that are
 long enough to have a stable histogram. Everything is DataFrame functions; nothing leaves the JVM.
 
-Null text counts as no words. A language without word list is compared by character classes only, a language without
-reference (no document of it is long enough) is not compared. Repeated ids and rows are judged each for itself.
+Null text counts as no words. A language without word list is compared by character classes only. Documents without language, and
+those of a language without word list that has fewer than ``MIN_DOCUMENTS`` such documents, are compared with the classes of the whole
+corpus. Repeated ids and rows are judged each for itself.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ CLASSES = [("upper", "[A-Z]+"), ("symbol", "[#*$%&|<>]+"), ("digit", "[0-9]+"),
 N_CLASSES = len(CLASSES) + 3
 
 MIN_WORDS = 20              # fewer words fail the base rule and are left out of the references
+MIN_DOCUMENTS = 20          # fewer make no reference of their own, unless the language has a word list
+MOST_SHIPPED = 20_000       # languages, up to which their references are broadcast
 MAX_REPEATED_PERCENT = 30   # of words inside repeated windows
 WINDOW = 8                  # words in a window, a power of two
 MIN_CHARS_FOR_CLASSES = 100
@@ -107,56 +112,73 @@ def _shares(counts):
     return F.transform(counts, lambda x: x / _total(counts))
 
 
-def _distance(counts, total, reference: list[float]):
-    """Jensen-Shannon distance of a histogram from a reference; 0 log 0 is 0."""
+def _distance(counts, total, reference):
+    """Jensen-Shannon distance of a histogram from a reference (null without one); 0 log 0 is 0."""
     def part(x, m):
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    terms = F.zip_with(F.transform(counts, lambda x: x / total), F.array(*map(F.lit, reference)),
+    terms = F.zip_with(F.transform(counts, lambda x: x / total), reference,
                        lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), _total(terms) / 2))
+    return F.when(terms.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), _total(terms) / 2)))
 
 
-def _means(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    longest = 1 + max(map(len, COMMON_WORDS.values()))
-    means = [F.avg(F.get("_classes", F.lit(i)) / F.col("_whole")).alias(f"p{i}") for i in range(N_CLASSES)]
-    means += [F.avg(F.get("_common", F.lit(i)) / F.col("n_words")).alias(f"q{i}") for i in range(longest)]
-    rows = measured.groupBy("lang").agg(*means).collect()       # four rows at most
-    return {row["lang"]: ([row[f"p{i}"] for i in range(N_CLASSES)],
-                          [row[f"q{i}"] for i in range(len(COMMON_WORDS[row["lang"]]) + 1)]) for row in rows}
+class References(NamedTuple):
+    classes: DataFrame                  # lang and _reference (mean shares of the classes)
+    every: list[float] | None           # the same of the whole corpus; None without documents
+    common: dict[str, list[float]]      # of the languages with word list
+
+
+def _literals(values: list[float] | None):
+    return F.lit(None).cast("array<double>") if values is None else F.array(*map(F.lit, values))
+
 
+def _mean_classes():
+    return F.array(*[F.avg(F.get("_classes", F.lit(i)) / F.col("_whole")) for i in range(N_CLASSES)])
 
-def _to_classes(found: dict):
-    near = F.lit(None).cast("double")
-    for lang, (classes, _) in sorted(found.items()):
-        near = F.when(F.col("lang") == lang, _distance("_classes", F.col("_whole"), classes)).otherwise(near)
-    return near
 
+def _mean_of_all(df: DataFrame) -> list[float] | None:
+    found = df.agg(_mean_classes().alias("m")).first()["m"]
+    return None if None in found else found
 
-def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Mean normalised histograms of every language with a word list: first over all its documents of MIN_WORDS and more, then over
+
+def _beside(df: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows with the columns of their language, null where it has none."""
+    return df.join(F.broadcast(table) if table.count() <= MOST_SHIPPED else table, "lang", "left")
+
+
+def references(measured: DataFrame) -> References:
+    """Mean normalised histograms of every language and of the corpus: first over all documents of MIN_WORDS and more, then over
     those no farther from that mean than the average one, so that junk weighs little."""
-    df = measured.where(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_words") >= MIN_WORDS))
-    df = once(df, _whole=_total("_classes"))
-    df = once(df, _far=_to_classes(_means(df)))
-    average = {row["lang"]: row["far"] for row in df.groupBy("lang").agg(F.avg("_far").alias("far")).collect()}
-    limit = F.lit(None).cast("double")
-    for lang, far in sorted(average.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(far)).otherwise(limit)
-    return _means(df.where(F.col("_far") <= limit + 1e-9))
+    listed = F.col("lang").isin(list(COMMON_WORDS))
+    df = once(measured.where(F.col("n_words") >= MIN_WORDS), _whole=_total("_classes"))
+    own = df.where(F.col("lang").isNotNull()).groupBy("lang").agg(_mean_classes().alias("_reference"), F.count(F.lit(1)).alias("_n"))
+    own = kept_table(own.where(listed | (F.col("_n") >= MIN_DOCUMENTS)).drop("_n"), "quality-means")
+    every = _mean_of_all(df)
+    df = once(_beside(df, own), _far=_distance("_classes", F.col("_whole"), F.col("_reference")),
+              _far_off=_distance("_classes", F.col("_whole"), _literals(every))).drop("_reference")
+    limits = kept_table(df.where(F.col("_far").isNotNull()).groupBy("lang").agg(F.avg("_far").alias("_limit")), "quality-limits")
+    typical = _beside(df, limits).where(F.col("_far") <= F.col("_limit") + 1e-9)
+    classes = kept_table(typical.groupBy("lang").agg(_mean_classes().alias("_reference")), "quality-references")
+    longest = 1 + max(map(len, COMMON_WORDS.values()))
+    means = [F.avg(F.get("_common", F.lit(i)) / F.col("n_words")).alias(f"q{i}") for i in range(longest)]
+    common = {row["lang"]: [row[f"q{i}"] for i in range(len(COMMON_WORDS[row["lang"]]) + 1)]
+              for row in typical.where(listed).groupBy("lang").agg(*means).collect()}       # four rows at most
+    average = df.agg(F.avg("_far_off").alias("far")).first()["far"]
+    return References(classes, None if every is None else _mean_of_all(df.where(F.col("_far_off") <= average + 1e-9)), common)
 
 
-def judge(measured: DataFrame, found: dict) -> DataFrame:
+def judge(measured: DataFrame, found: References) -> DataFrame:
     """Add class_distance, common_distance (null where not compared) and kept."""
-    df = once(measured, _whole=_total("_classes"))
+    df = once(_beside(measured, found.classes), _whole=_total("_classes"))
     alike = F.lit(None).cast("double")
-    for lang, (_, common) in sorted(found.items()):
-        alike = F.when(F.col("lang") == lang, _distance("_common", F.col("n_words"), common)).otherwise(alike)
-    df = once(df, class_distance=F.when(F.col("_whole") >= MIN_CHARS_FOR_CLASSES, _to_classes(found)),
+    for lang, common in sorted(found.common.items()):
+        alike = F.when(F.col("lang") == lang, _distance("_common", F.col("n_words"), _literals(common))).otherwise(alike)
+    near = _distance("_classes", F.col("_whole"), F.coalesce(F.col("_reference"), _literals(found.every)))
+    df = once(df, class_distance=F.when(F.col("_whole") >= MIN_CHARS_FOR_CLASSES, near),
               common_distance=F.when(F.col("n_words") >= MIN_WORDS_FOR_COMMON, alike))
     far = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE + CLASS_NOISE / F.sqrt("_whole"), F.lit(False)) \
         | F.coalesce(F.col("common_distance") > MAX_COMMON_DISTANCE, F.lit(False))
-    return once(df, kept=~F.col("base_failed") & ~far).drop("_whole", "_classes", "_common")
+    return once(df, kept=~F.col("base_failed") & ~far).drop("_whole", "_classes", "_common", "_reference")
 
 
 def apply(docs: DataFrame) -> DataFrame:

@@ -102,6 +102,20 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert not kept & set(range(len(prose), len(rows))) and len(kept) >= 0.8 * len(prose)
 
 
+def test_quality_judges_every_language(spark):
+    folder = "/root/testdata/sf0.01"
+    good = read_table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    texts = read_table(spark, folder, "documents").where("lang = 'en' AND n_chars > 800").join(good, "doc_id").orderBy("doc_id")
+    prose = [r.text for r in texts.limit(60).collect()]
+    langs = ["en"] * 30 + ["it"] * 24 + [None] * 3 + ["nl"] * 3         # nl has too few documents for a reference
+    junk = [" ".join(w + "###" for w in t.split()) for t in prose[:8]]
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(prose + junk, langs + [None, None, "it", "it", "nl", "nl", "en", "en"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality_rules.keep_good(df).collect()}
+    assert not kept & set(range(60, 68)) and len(kept & set(range(30))) >= 24 and len(kept & set(range(30, 60))) >= 24
+    assert quality_rules.apply(df).where("lang IS NULL AND class_distance IS NULL").count() == 0
+
+
 # -- packing ---------------------------------------------------------------------------------------
 def test_configurations_hold_the_histogram():
     rng = np.random.default_rng(3)
