@@ -3,7 +3,9 @@
 A page is split into blocks, the runs of text between block-level tags. Text length, punctuation and link text are aggregated by
 root-to-leaf tag path; length and punctuation per block are smoothed along the page, fused, and a path whose blocks reach a share of
 the page's typical value is a content path. Blocks of elements that never hold main text (menus, footers, asides, forms, scripts, and
-elements whose class, id or role says so) take no part. The content region is the deepest element that holds nearly all text of
+containers of which a whole token of class, id or role says so) take no part; headings, paragraphs and the like are never judged by
+these. Inside an article or main element an id, and a class of several words, is only a hint: such blocks take part, and are dropped
+if theirs is no content path. The content region is the deepest element that holds nearly all text of
 the content paths, widened to the article it lies in and to headings before it; every block in it is kept but for lists of links.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by an empty line. Null, empty and textless
@@ -43,8 +45,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCES = set("ul ol dl table article section main div body".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-WORD = re.compile(r"[A-Za-z][a-z]*")
+#: Words beside marked ones that say where or how large an element is.
+NEUTRAL = set("""area bar block bottom box center container content footer header inner item items left list main outer page panel post posts
+    region right section site top wrap wrapper""".split())
+#: Elements that class, id and role may mark; the others are headings, paragraphs, tables, quotes and inline text.
+CONTAINERS = set("center dd details div dl dt figure header hgroup li ol section span ul".split())
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 CONTENT_SHARE = 0.3         # of the typical fused value, for a content path
@@ -57,26 +64,34 @@ class Block(NamedTuple):
     path: tuple[str, ...]
     text: str
     linked: int                 # characters in links
+    doubtful: bool              # in an element that may hold no main text
 
 
-def _marked(attributes: str, inside: bool) -> bool:
-    for name, value in HINT.findall(attributes):
+def _marked(element: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the element certainly, and whether it perhaps holds no main text."""
+    perhaps = False
+    for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none", value, re.I):
-                return True
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True, True
+        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return True, True
+        if name not in ("class", "id", "role") or element not in CONTAINERS:
             continue
-        words = {w.lower() for w in WORD.findall(value)}
-        if words & MARKED or not inside and words & MARKED_OUTSIDE:
-            return True
-    return False
+        for token in value.split():
+            words = [w.lower() for w in WORD.findall(token)]
+            marks = MARKED if inside else MARKED | MARKED_OUTSIDE
+            if marks.isdisjoint(words) or not all(w in marks or w in NEUTRAL for w in words):
+                continue
+            if not inside or name != "id" and len(words) == 1:
+                return True, True
+            perhaps = True
+    return False, perhaps
 
 
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks outside of elements that never hold main text."""
-    names, nodes, alive = [], [], []        # open elements, their numbers, and whether they may hold main text
+    names, nodes, alive, doubts = [], [], [], []        # open elements, their numbers, whether they may hold main text, and may not
     parts, linked, count, links, at = [], 0, 0, 0, 0
 
     def flush():
@@ -86,7 +101,7 @@ def blocks(page: str) -> Iterator[Block]:
         n, linked = linked, 0
         if text:
             path = [(i, x) for i, x in zip(nodes, names) if x in BLOCKS]
-            yield Block(tuple(i for i, _ in path), tuple(x for _, x in path), text, n)
+            yield Block(tuple(i for i, _ in path), tuple(x for _, x in path), text, n, any(doubts))
 
     def add(raw: str):
         nonlocal linked
@@ -99,7 +114,7 @@ def blocks(page: str) -> Iterator[Block]:
     def close(k: int):
         nonlocal links
         links -= sum(x == "a" for x in names[k:])
-        del names[k:], nodes[k:], alive[k:]
+        del names[k:], nodes[k:], alive[k:], doubts[k:]
 
     size = len(page)
     while at < size:
@@ -145,12 +160,13 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         inside = "article" in names or "main" in names
         whole = name in ("html", "body", "article", "main")
-        live = (not alive or alive[-1]) and name not in NEVER and not (name == "header" and not inside) \
-            and not (attributes and not whole and _marked(attributes, inside))
+        marked, doubtful = _marked(name, attributes, inside) if attributes and not whole else (False, False)
+        live = (not alive or alive[-1]) and name not in NEVER and not (name == "header" and not inside) and not marked
         count += 1
         names.append(name)
         nodes.append(count)
         alive.append(live)
+        doubts.append(doubtful)
         links += name == "a"
     yield from flush()
 
@@ -217,7 +233,7 @@ def main_text(page: str | None) -> str:
     for b, c in zip(found, content):
         if top and (len(b.nodes) < top or b.nodes[top - 1] != line.nodes[top - 1]):
             continue
-        if not c and b.linked > MOST_LINKED * len(b.text):
+        if not c and (b.doubtful or b.linked > MOST_LINKED * len(b.text)):
             continue
         keep.append(b.text)
     return "\n\n".join(keep)

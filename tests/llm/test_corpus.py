@@ -423,3 +423,17 @@ def test_tag_paths(spark):
     got = tag_paths.extract(df).collect()
     assert sorted(r.text for r in got) == sorted([text, text, "", "", "just text <b>", "deep"])
     assert all(r.n_chars == len(r.text) for r in got) and tag_paths.extract(df.limit(0)).count() == 0
+
+
+def test_tag_paths_keeps_sections_with_marked_words():
+    def body(k):
+        return f"Paragraph {k} of the article, which is long enough. It goes on, and on, to its end."
+    parts = ['<h2 id="side-effects">Side effects</h2>', '<section id="form-validation"><p>{}</p></section>',
+             '<section id="related-work"><p>{}</p></section>', '<div class="notice-period"><p>{}</p></div>',
+             '<p title="The hidden valley">{}</p>', '<div data-overflow="hidden"><p>{}</p></div>', '<div data-id="comment-3"><p>{}</p></div>',
+             '<section id="discussion"><p>{}</p></section>']
+    texts = [body(k) for k in range(len(parts))]
+    page = "<body><article><p>" + body(99) + "</p>" + "".join(x.format(t) for x, t in zip(parts, texts)) \
+        + '<div id="related-posts"><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></div>' \
+        + '<div hidden><p>Not shown, at all.</p></div></article><div id="cookie-notice">We use cookies, accept.</div></body>'
+    assert tag_paths.main_text(page) == "\n\n".join([body(99), "Side effects", *texts[1:]])
