@@ -13,10 +13,10 @@ FOLDER = "/root/testdata/sf0.001"
 def test_every_operator_has_a_query():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op1_extendible_sharding", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_extendible_sharding", "op10_quality_rules", "op12_toivonen_phrases", "op13_filter_audit"])
 def test_oracles(spark, name):
     import __spark_entry__ as entry
     from compare import difference, duck
