@@ -15,10 +15,13 @@ Null and empty texts are the end id alone. Texts are never cut. An empty table h
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlake.llm.tables import kept_table, read_table
+from churnlake.llm.byte_bpe import byte_characters
+from churnlake.llm.tables import read_table
 from churnlake.llm.text_arrays import slices
 from churnlake.session import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-FILE_IDS = 1 << 24          # ids in a file, about; smaller tables get a file for each shuffle partition
+FILE_BYTES = 1 << 26        # bytes of text in a file, about; smaller tables get a file for each shuffle partition
 READ_IDS = 1 << 21          # ids a reader holds at a time; a longer document is read whole
 READ_DOCS = 1 << 16         # documents of one reading task
 SAMPLE = 64                 # ones of the unary part between two noted places
@@ -183,32 +187,63 @@ def write_file(folder: str, name: str, width: int, documents) -> tuple[int, int]
 
 
 # -- encoding --------------------------------------------------------------------------------------
+#: Words of letters and signs whose cutting, composing and lower-casing need no tables: no digit, no apostrophe, no mark to compose.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_SIGNS = "!-&(-/:-@\\[-`{-~"
+_plain = re.compile(f"[{_LETTERS}{_SIGNS}]+").fullmatch
+_parts = re.compile(f"[{_LETTERS}]+|[{_SIGNS}]+").findall
+
+
 class WordCodec:
     """Ids of texts by a tokenizer that drops white space: no token and no step of it reaches across ASCII white space, so each distinct
-    word between such gaps is encoded once per worker, by the library."""
+    word between such gaps is encoded once per worker. A plain word is cut into runs of letters and of signs, as the tokenizer's
+    pattern does, and each distinct run is merged by its model; all others, and those that may hold a special token, go to the
+    library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark has a task for every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = {2: "H", 4: "I"}[self.width]
+        self.shown = {b: c for b, c in enumerate(byte_characters())}
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def end(self, i: int) -> bytes:
-        return np.array([i], f"<u{self.width}").tobytes()
+        return array(self.code, [i]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
+            ids = self.runs[run] = array(self.code, [t.id for t in self.merge(shown)]).tobytes()
+        return ids
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        rest = []
+        for word in fresh:
+            text = word.decode()
+            if _plain(text) and "<|" not in text:
+                text = text.lower()
+                self.known[word] = self._run(text) if text.isalpha() else b"".join(map(self._run, _parts(text)))
+            else:
+                rest.append(word)
+        for low in range(0, len(rest), 20_000):
+            part = rest[low:low + 20_000]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.known.update(zip(part, [array(self.code, x.ids).tobytes() for x in found]))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of UTF-8 texts, ``width`` bytes each."""
+        """The ids of UTF-8 texts, ``width`` bytes each, little-endian."""
         if len(self.known) > CACHED:
             self.known.clear()
-        known, kind = self.known, f"<u{self.width}"
+            self.runs.clear()
+        known = self.known
         cut = [text.split() if text else [] for text in texts]      # bytes are split at ASCII white space only
-        fresh = list(set().union(*cut).difference(known))
-        for low in range(0, len(fresh), 20_000):
-            part = fresh[low:low + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, [np.array(x.ids, kind).tobytes() for x in found]))
+        self._learn(list(set().union(*cut).difference(known)))
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
@@ -217,56 +252,46 @@ def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, n (ids with the end id), ids (binary) of every text."""
-    def run(batches):
-        words = codec(path)
-        close = words.end(end)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                ids = [x + close for x in words.encode(batch.column("text").cast(pa.large_binary()).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(x) // words.width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "n", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+def encode(texts: pa.Array, words: WordCodec, end: int) -> list[bytes]:
+    """The ids of every text with the end id."""
+    close = words.end(end)
+    return [ids + close for ids in words.encode(texts.cast(pa.large_binary()).to_pylist())]
 
 
 # -- tables of files -------------------------------------------------------------------------------
 def write_ids(docs: DataFrame, folder: str, path: str, end: int = END) -> DataFrame:
     """Write the ids of all texts (columns doc_id and text) below ``folder``; returns the manifest: file, shard, n_docs, n_ids, width and
-    the ids before it (start), a row for each file."""
+    the ids before it (start), a row for each file.
+
+    Texts are sorted by ranges of doc_id, encoded where they are sorted and written from there, so ids go through no shuffle. ``docs`` must be
+    a table as read or a checkpoint: its rows have the same places however often they are read.
+    """
     spark = docs.sparkSession
     files, base = _place(folder)
     files.create_dir(f"{base}/ids", recursive=True)
-    # the place of a row is noted when it is written, so every attempt of a later task sees the same
-    rows = kept_table(encoded(docs, path, end).withColumn("place", F.monotonically_increasing_id()), "ids")
-    total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_IDS))
-    ranged = rows.repartitionByRange(parts, "doc_id", "place").sortWithinPartitions("doc_id", "place")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+    ranged = rows.repartitionByRange(parts, "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
 
     def run(batches):
-        width, shard = codec(path).width, TaskContext.get().partitionId()
-        name = f"{shard:08d}-{uuid.uuid4().hex}.ids"
+        words, shard = codec(path), TaskContext.get().partitionId()
 
         def documents():
-            for batch in batches:
-                yield from zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist())
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    yield from zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"), words, end))
 
         rows = documents()
         first = next(rows, None)
         if first is None:
             return
-
-        def all_rows():
-            yield first
-            yield from rows
-
-        n_docs, n_ids = write_file(f"{folder}/ids", name, width, all_rows())
+        name = f"{shard:08d}-{uuid.uuid4().hex}.ids"
+        n_docs, n_ids = write_file(f"{folder}/ids", name, words.width, itertools.chain([first], rows))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": [n_docs], "n_ids": [n_ids],
-                                          "width": pa.array([width], pa.int32())})
+                                          "width": pa.array([words.width], pa.int32())})
 
-    made = ranged.select("doc_id", "ids").mapInArrow(run, "shard int, file string, n_docs long, n_ids long, width int")
+    made = ranged.mapInArrow(run, "shard int, file string, n_docs long, n_ids long, width int")
     made.write.parquet(f"{folder}/written")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)         # a row per file
     spark.read.schema(made.schema).parquet(f"{folder}/written").withColumn(
