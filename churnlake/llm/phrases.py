@@ -1,18 +1,22 @@
 """Collocations by Toivonen mining.
 
-A phrase is at least as frequent as any phrase it is part of, so a phrase of k words can only be frequent if its first and its last k - 1 words are. A
+A phrase is at most as frequent as any phrase that is part of it, so k words can only be frequent if their first and their last k - 1 are. A
 sample of the documents, one in ``SAMPLE_OF`` at a lowered threshold, proposes phrases word by word longer. One pass over all documents then
-counts the proposed phrases exactly, together with their negative border: every phrase that was not proposed although all its
-parts were, above all every single word. Where a border phrase turns out frequent the sample had missed it; what contains it is not counted yet, and
-another pass counts just the phrases whose parts are all proposed or missed and one of them missed, until no pass finds such a
-phrase. The result is exact whatever the sample held; a bad sample costs passes.
+counts the proposed phrases together with their negative border: every phrase that was not proposed although all its parts were, above
+all every single word. Where a border phrase turns out frequent the sample had missed it; what contains it is not counted yet, and another
+pass counts just the phrases whose parts are all proposed or missed and one of them missed, until no pass finds such a phrase.
+The result is exact whatever the sample held; a bad sample costs passes.
 
-Which phrases may be counted is told to the tasks by a bit filter of bounded size (``FILTER_BITS`` at most, 32 MB, ``PER_PHRASE`` bits
-a phrase below that): a phrase it takes for proposed in error is counted too, exactly, so the filter's size
-changes the work and no result. Counts meet per task as numpy arrays under 64-bit hashes, then by phrase in Spark.
+These passes count 64-bit hashes: a task sends the hashes of its texts as sorted arrays cut by range, and ranges are added up as arrays, so a
+border of mostly unique phrases costs eight bytes each and no row. Phrases with one hash would be counted together, which can only let
+too much through: the last pass counts the phrases of frequent hashes once more, as texts, and these counts are the result.
 
-Everything is per language; a null language is ``und``. Null and empty texts have no words. A missing phrase table (no frequent words, an empty
-corpus) gives no rows. Repeated rows count each.
+Which phrases are counted is told to the tasks by bit filters of bounded size (``FILTER_BITS`` at most, 32 MB, ``PER_PHRASE`` bits a
+phrase below that): a phrase that a filter takes for a proposed one in error is counted too, so the filter's size changes the work
+and no result.
+
+Everything is per language; a null language is ``und``. Null and empty texts have no words. An empty corpus, and one without frequent
+phrases, gives no rows. Repeated rows count each.
 """
 
 from __future__ import annotations
@@ -33,36 +37,36 @@ INSIDE_PERCENT = 80     # a longer candidate with this share of the occurrences
 SCALE = 2_000_000
 TOP = 2000              # phrases reported a language
 SAMPLE_OF = 8
-SAMPLE_LEAST = 2        # of 30 occurrences the sample holds 3.75 on average
+SAMPLE_LEAST = 3        # of 30 occurrences the sample holds 3.75 on average
 FILTER_BITS = 1 << 28
 PER_PHRASE = 16
 _PROBES = 3
-_SLICE = 16 << 20       # bytes of text worked on at a time
+_SLICE = 6 << 20        # bytes of text worked on at a time
+_RANGE = 16 << 20       # bytes of text for each range of hashes that one task adds up
+_ROWS = 1 << 16         # phrases of an Arrow batch
 _CUT = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])      # between pieces
 _GAP = _CUT | np.isin(np.arange(256), [0x20, 0x09])                        # between words
 _NEXT = mix(np.arange(11, 11 + LONGEST, dtype=np.uint64)) | np.uint64(1)
-_COUNTS = "lang string, size int, phrase string, n long"
-_FREQUENT = "size = 0 OR n >= {least}"
 
 
 # -- in the tasks ----------------------------------------------------------------------------------
 class Keys:
     """Hashes of all phrases of some texts: ``by_size[k][i]`` of the k words from word i on, where ``valid[k][i]``."""
 
-    def __init__(self, texts: pa.Array, langs: pa.Array):
+    def __init__(self, texts: pa.Array, langs: pa.Array, longest: int = LONGEST):
         self.words = found = words(texts, _GAP)
         self.langs = langs.fill_null("und").dictionary_encode()
         names = words(self.langs.dictionary, np.zeros(256, bool), lower=False)
         code = np.full(len(self.langs.dictionary), 0x5F, np.uint64)         # an empty name has no word
         code[np.diff(names.bounds) > 0] = mix(names.hashes * _NEXT[0])        # a word may have the name of a language
         counts = np.diff(found.bounds)
-        self.lang = np.repeat(np.asarray(self.langs.indices), counts)
+        self.lang = np.repeat(np.asarray(self.langs.indices, np.int32), counts)
         key = mix(found.hashes ^ code[self.lang])
         begin, end = (int(found.starts[0]), int(found.starts[-1])) if len(key) else (0, 0)
         cuts = np.cumsum(_CUT[found.data[begin:end + 1]], dtype=np.int32)
         piece = cuts[found.starts - begin] + np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         self.by_size, self.valid = [None, key], [None, np.ones(len(key), bool)]
-        for k in range(2, LONGEST + 1):
+        for k in range(2, longest + 1):
             longer, fits = np.zeros(len(key), np.uint64), np.zeros(len(key), bool)
             if len(key) >= k:
                 longer[:1 - k] = mix(self.by_size[-1][:1 - k] * _NEXT[k - 1] + key[k - 1:])
@@ -116,40 +120,84 @@ def _wanted(keys: Keys, sizes: list[int], old: list[Filter], new: Filter | None)
         at = np.flatnonzero(keys.valid[k])
         parts = keys.by_size[k - 1]
 
-        def known(i: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(i), bool)
-            for one in old:
-                out |= one.holds(parts[i])
-            return out
-
-        first, last = known(at), known(at + 1)
+        first, last = _any(old, parts[at]), _any(old, parts[at + 1])
         if new is None:
             yield k, at[first & last]
         else:
             yield k, at[~(first & last) & (first | new.holds(parts[at])) & (last | new.holds(parts[at + 1]))]
 
 
-def _counts(docs: DataFrame, sizes: list[int], old: list[Filter], new: Filter | None = None) -> DataFrame:
-    """Rows (lang, size, phrase, n) of the wanted phrases, counted over all documents. Size 0 counts the words of a language."""
-    told = docs.sparkSession.sparkContext.broadcast(([x.bits for x in old], None if new is None else new.bits))     # FILTER_BITS at most
+# -- counting passes -------------------------------------------------------------------------------
+def _told(spark: SparkSession, filters: list[Filter | None]):
+    return spark.sparkContext.broadcast([None if x is None else x.bits for x in filters])       # FILTER_BITS each at most
+
+
+def _heard(told) -> list[Filter | None]:
+    return [None if bits is None else Filter(bits) for bits in told.value]
+
+
+def _frequent_hashes(docs: DataFrame, sizes: list[int], least: int, ranges: int, old: list[Filter], new: Filter | None = None) -> DataFrame:
+    """Rows (size, hash) of the wanted phrases whose hash occurs ``least`` times or more in all documents, kept."""
+    told = _told(docs.sparkSession, [*old, new])
+    shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
+
+    def count(batches):
+        *filters, extra = _heard(told)
+        for whole in batches:
+            for batch in slices(whole, "text", _SLICE):
+                keys = Keys(batch.column("text"), batch.column("lang"), max(sizes))
+                for k, at in _wanted(keys, sizes, filters, extra):
+                    found, n = np.unique(keys.by_size[k][at], return_counts=True)
+                    once, often, n = found[n == 1], found[n > 1], n[n > 1].astype("<u4")
+                    parts = np.unique(np.concatenate([once >> shift, often >> shift]))
+                    cuts = [np.searchsorted(x >> shift, [parts, parts + np.uint64(1)]).T.tolist() for x in (once, often)]
+                    rows = [(once[a:b].tobytes(), often[c:d].tobytes(), n[c:d].tobytes()) for (a, b), (c, d) in zip(*cuts)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(rows), k, np.int32)), pa.array(parts.astype(np.int64)),
+                             *[pa.array(x, pa.binary()) for x in zip(*rows)]], ["size", "part", "once", "often", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        """One range: a few bytes for each different hash in it, whatever the number of its occurrences."""
+        def joined(name, kind):
+            return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+
+        once, often = joined("once", "<u8"), joined("often", "<u8")
+        keys = np.concatenate([once, often])
+        n = np.concatenate([np.ones(len(once), np.int64), joined("counts", "<u4").astype(np.int64)])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        heavy = keys[first][np.add.reduceat(n[order], first) >= least]
+        return pa.table({"size": pa.array(np.full(len(heavy), table.column("size")[0].as_py(), np.int32)), "hash": heavy.view(np.int64)})
+
+    sent = docs.select("lang", "text").mapInArrow(count, "size int, part long, once binary, often binary, counts binary")
+    return kept_table(sent.groupBy("size", "part").applyInArrow(add, "size int, hash long"), "phrase-hashes")
+
+
+def _phrases(docs: DataFrame, filters: list[Filter], least: int) -> DataFrame:
+    """Rows (lang, size, phrase, n) of the phrases the filters hold that occur ``least`` times or more, counted as texts; size 0 counts all
+    words of a language."""
+    told = _told(docs.sparkSession, filters)
 
     def run(batches):
-        old_bits, new_bits = told.value
-        filters, extra = [Filter(x) for x in old_bits], None if new_bits is None else Filter(new_bits)
+        held = _heard(told)
         for whole in batches:
             for batch in slices(whole, "text", _SLICE):
                 keys = Keys(batch.column("text"), batch.column("lang"))
                 names = keys.langs.dictionary
-                if 1 in sizes:
-                    n = np.bincount(keys.lang, minlength=len(names))
-                    yield _batch(names, 0, pa.array([""] * len(names)), n)
-                for k, at in _wanted(keys, sizes, filters, extra):
+                yield _batch(names, 0, pa.array([""] * len(names)), np.bincount(keys.lang, minlength=len(names)))
+                for k in range(1, LONGEST + 1):
+                    at = np.flatnonzero(keys.valid[k])
+                    at = at[_any(held, keys.by_size[k][at])]
                     _, first, n = np.unique(keys.by_size[k][at], return_index=True, return_counts=True)
-                    at = at[first]
-                    yield _batch(names.take(pa.array(keys.lang[at])), k, keys.texts(at, k), n)
+                    for low in range(0, len(n), _ROWS):
+                        part = at[first[low:low + _ROWS]]
+                        yield _batch(names.take(pa.array(keys.lang[part])), k, keys.texts(part, k), n[low:low + _ROWS])
 
-    counted = docs.select("lang", "text").mapInArrow(run, _COUNTS)
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, n long")
+    summed = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return kept_table(summed.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
 
 
 def _batch(langs: pa.Array, size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
@@ -158,60 +206,51 @@ def _batch(langs: pa.Array, size: int, phrases: pa.Array, n: np.ndarray) -> pa.R
         ["lang", "size", "phrase", "n"])
 
 
-def _phrase_keys(batch: pa.RecordBatch) -> np.ndarray:
-    keys = Keys(batch.column("phrase"), batch.column("lang"))
-    sizes = np.diff(keys.words.bounds)
-    out = np.zeros(len(sizes), np.uint64)
-    for k in range(1, LONGEST + 1):
-        rows = np.flatnonzero(sizes == k)
-        out[rows] = keys.by_size[k][keys.words.bounds[rows]]
+# -- filters ---------------------------------------------------------------------------------------
+def _any(filters: list[Filter], keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(keys), bool)
+    for one in filters:
+        rest = np.flatnonzero(~out)
+        out[rest] = one.holds(keys[rest])
     return out
 
 
-# -- filters ---------------------------------------------------------------------------------------
-def _filter_of(phrases: DataFrame) -> Filter:
-    """The filter of a table of phrases (lang, phrase), put together from its set words."""
-    n = phrases.count()
-    size = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (n * PER_PHRASE).bit_length()))
+def _filter_of(hashes: DataFrame) -> Filter:
+    """The filter of a table of hashes, put together from its set words."""
+    size = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (hashes.count() * PER_PHRASE).bit_length()))
 
     def run(batches):
         for batch in batches:
-            slot = Filter.slots(_phrase_keys(batch), size)
-            word, inverse = np.unique(slot >> np.uint64(6), return_inverse=True)
-            bits = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(bits, inverse, np.uint64(1) << (slot & np.uint64(63)))
+            slot = np.sort(Filter.slots(np.asarray(batch.column("hash")).view(np.uint64), size))
+            word, first = np.unique(slot >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), first) if len(slot) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], ["word", "bits"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(run, "word int, bits long").groupBy("word").agg(
+    found = hashes.select("hash").mapInArrow(run, "word int, bits long").groupBy("word").agg(
         F.bit_or("bits").alias("bits")).toArrow()           # a row for each 64 bits of the filter at most
     bits = np.zeros(size // 64, np.uint64)
     bits[np.asarray(found["word"])] = np.asarray(found["bits"]).view(np.uint64)
     return Filter(bits)
 
 
-def _outside(phrases: DataFrame, old: list[Filter]) -> DataFrame:
-    """The phrases that no filter holds."""
-    told = phrases.sparkSession.sparkContext.broadcast([x.bits for x in old])
+def _outside(hashes: DataFrame, filters: list[Filter]) -> DataFrame:
+    """The rows whose hash no filter holds, kept."""
+    told = _told(hashes.sparkSession, filters)
 
     def run(batches):
-        filters = [Filter(x) for x in told.value]
+        held = _heard(told)
         for batch in batches:
-            held = np.zeros(batch.num_rows, bool)
-            keys = _phrase_keys(batch)
-            for one in filters:
-                held |= one.holds(keys)
-            yield batch.filter(pa.array(~held))
+            yield batch.filter(pa.array(~_any(held, np.asarray(batch.column("hash")).view(np.uint64))))
 
-    return phrases.mapInArrow(run, phrases.schema)
+    return kept_table(hashes.mapInArrow(run, hashes.schema), "phrase-hashes-missed")
 
 
 # -- mining ----------------------------------------------------------------------------------------
-def propose(sample: DataFrame, least: int = SAMPLE_LEAST) -> list[Filter]:
+def propose(sample: DataFrame, least: int, ranges: int) -> list[Filter]:
     """Filters of the phrases of up to LONGEST - 1 words that are frequent in a sample, found word by word longer."""
     filters: list[Filter] = []
     for k in range(1, LONGEST):
-        found = kept_table(_counts(sample, [k], filters).where((F.col("size") == k) & (F.col("n") >= least)), "phrases-proposed")
-        filters.append(_filter_of(found))
+        filters.append(_filter_of(_frequent_hashes(sample, [k], least, ranges, filters)))
     return filters
 
 
@@ -220,17 +259,20 @@ def mine(docs: DataFrame, least: int = LEAST, sample_of: int = SAMPLE_OF, sample
     all words of a language."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", "doc_id")
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_of)) == 0
-    old = propose(kept_table(docs.where(chosen).select("lang", "text"), "phrases-sample"), sample_least)
-    frequent = kept_table(_counts(docs, list(range(1, LONGEST + 1)), old).where(_FREQUENT.format(least=least)), "phrases")
-    found, fresh = frequent, frequent
+    sample = kept_table(docs.where(chosen).select("lang", "text"), "phrases-sample")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _RANGE)
+    old = propose(sample, sample_least, ranges)
+    fresh = _frequent_hashes(docs, list(range(1, LONGEST + 1)), least, ranges, old)
+    frequent = [_filter_of(fresh)]
     while True:
-        missed = kept_table(_outside(fresh.where(F.col("size").between(1, LONGEST - 1)), old), "phrases-missed")
-        sizes = [r["size"] + 1 for r in missed.select("size").distinct().collect()]         # LONGEST - 1 at most
+        missed = _outside(fresh.where(F.col("size") < LONGEST), old)
+        sizes = sorted(r["size"] + 1 for r in missed.select("size").distinct().collect())         # LONGEST - 1 at most
         if not sizes:
-            return found
+            return _phrases(docs, frequent, least)
         new = _filter_of(missed)
-        fresh = kept_table(_counts(docs, sorted(sizes), old, new).where(_FREQUENT.format(least=least)), "phrases")
-        found = found.unionByName(fresh)
+        fresh = _frequent_hashes(docs, sizes, least, ranges, old, new)
+        frequent.append(_filter_of(fresh))
         old = [*old, new]
 
 
