@@ -16,7 +16,7 @@ from churnlake.operators import (
     ordering, portfolio, recommend, scenarios, segments, splitting, training, validation,
 )
 from churnlake.plans import batch_run, customer_scoring, entities, summary
-from churnlake.session import cut_lineage, work_path
+from churnlake.session import cut_lineage, staged, work_path
 from churnlake.sources import adapters, files
 from churnlake.streaming import monitors
 
@@ -919,44 +919,73 @@ def daily_usage(spark, folder):
                                   entities.recommendation_table(spark, folder))
 
 
-# the files of the event table are read in one trigger; a stream that lags across triggers needs its own figure
-LATENESS = "1 hour"
-_WINDOW = ["window_start", "window_end"]
+LATENESS = 3600         # seconds a pane stays open
 
 
 def _event_stream(spark, folder) -> DataFrame:
     return monitors.event_stream(spark, f"{folder}/events.parquet*")
 
 
+def _panes(spark, folder, name: str, seconds: int) -> monitors.PaneLog:
+    log = monitors.run_panes(_event_stream(spark, folder), name, seconds, LATENESS)
+    log.merge_late()
+    return log
+
+
 @query
 def stream_call_windows(spark, folder):
     """Tumbling 15-minute windows, open ones included."""
-    calls = monitors.call_stream(_event_stream(spark, folder), LATENESS)
-    out = monitors.run_windows(monitors.call_windows(calls, slide=None), "tumbling", _WINDOW)
+    out = _panes(spark, folder, "tumbling", 900).windows()
     return out.select("window_start", "window_end", "calls", "errors", F.col("duration").cast("double").alias("duration"))
 
 
 @query
 def stream_trailing_windows(spark, folder):
-    """Sliding 15-minute windows every 5 minutes, open ones included."""
-    windows = monitors.call_windows(monitors.call_stream(_event_stream(spark, folder), LATENESS), slide="5 minutes")
-    return monitors.run_windows(windows, "sliding", _WINDOW).select("window_start", "window_end", "calls", "errors")
+    """Sliding 15-minute windows every 5 minutes, open ones included, from panes of 5 minutes."""
+    return _panes(spark, folder, "sliding", 300).windows(900, 300).select("window_start", "window_end", "calls", "errors")
 
 
 @query
 def stream_metric_points(spark, folder):
     """Tumbling hours as rows of the metrics table; the approximate user count is in stream_active_users."""
-    windows = monitors.call_windows(monitors.call_stream(_event_stream(spark, folder), LATENESS), "1 hour", None)
-    points = monitors.call_metrics(monitors.run_windows(windows, "points", _WINDOW))
+    points = monitors.call_metrics(_panes(spark, folder, "points", 900).windows(3600))
     return points.where(F.col("metric_name") != "active_users").drop("metric_label")
 
 
 @query
 def stream_active_users(spark, folder):
-    """Approximate distinct users per hour on the stream."""
-    calls = monitors.call_stream(_event_stream(spark, folder), LATENESS)
-    return monitors.run_windows(monitors.call_windows(calls, "1 hour", None), "users", _WINDOW).select(
-        "window_start", "calls", "users")
+    """Approximate distinct users per hour from the sketches of the panes."""
+    return _panes(spark, folder, "users", 900).windows(3600).select("window_start", "calls", "users")
+
+
+@query
+def stream_daily_users(spark, folder):
+    """Users a day, rolled up from the sketches of the stream's panes, and whether that is within 5 % of the exact batch count."""
+    estimates = monitors.daily_users(_panes(spark, folder, "days", 900).panes())
+    exact = _calls(spark, folder).groupBy(F.to_date("created_at").alias("day")).agg(
+        F.countDistinct(F.when(F.col("user_id") != 0, F.col("user_id"))).alias("exact"))
+    off = F.abs(F.col("active_users") - F.col("exact"))
+    return estimates.join(exact, "day", "full").select("day", "exact", (20 * off <= F.greatest("exact", F.lit(20))).alias("within_bound"))
+
+
+@query
+def stream_late_rows(spark, folder):
+    """The event files read newest day first, a file a trigger: calls that came too late, and windows before and after they are merged."""
+    events = adapters.table(spark, folder, "events")
+    path = work_path(spark, "event-days")
+    names = [r["day"] for r in events.select(F.to_date("ts").alias("day")).distinct().orderBy(F.desc("day")).limit(2).collect()]
+    log = None
+    for day in names:            # the stream stops and goes on between the two days
+        events.where(F.to_date("ts") == F.lit(day)).write.mode("append").parquet(path)
+        log = monitors.run_panes(monitors.event_stream(spark, path), "late", 900, LATENESS, path=f"{path}-log")
+    before = log.windows(86400).select("window_start", F.col("calls").alias("calls_before"))
+    before = staged(before, "late-before")
+    late = log.late_rows().groupBy(F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("window_start")).agg(
+        F.count("*").alias("late"))
+    late = staged(late, "late-counts")
+    log.merge_late()
+    after = log.windows(86400).select("window_start", "calls", "errors")
+    return after.join(before, "window_start", "left").join(late, "window_start", "left").na.fill(0, ["calls_before", "late"])
 
 
 @query

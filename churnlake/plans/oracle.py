@@ -662,6 +662,15 @@ ORACLES: dict[str, str] = {
             count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)
         SELECT 'api_calls' AS metric_name, CAST(calls AS DOUBLE) AS metric_value, window_start, window_start + INTERVAL 1 HOUR AS window_end FROM w
         UNION ALL SELECT 'api_errors', CAST(errors AS DOUBLE), window_start, window_start + INTERVAL 1 HOUR FROM w""",
+    "stream_daily_users": """SELECT CAST(ts AS DATE) AS day, count(DISTINCT CASE WHEN user_id <> 0 THEN user_id END) AS exact,
+        TRUE AS within_bound FROM events GROUP BY 1""",
+    # of the two newest days the older one comes last; what lies an hour behind the newest call is late
+    "stream_late_rows": """WITH d AS (SELECT CAST(ts AS DATE) AS day, ts, event_type FROM events
+            WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) AS x FROM events ORDER BY x DESC LIMIT 2)),
+        j AS (SELECT *, day < max(day) OVER () AND time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE
+            <= max(ts) OVER () - INTERVAL 1 HOUR AS late FROM d)
+        SELECT CAST(day AS TIMESTAMP) AS window_start, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors,
+            count(*) FILTER (NOT late) AS calls_before, count(*) FILTER (late) AS late FROM j GROUP BY day""",
     "stream_call_log": f"WITH {CALLS} SELECT * FROM calls",
     "stream_alerts": f"WITH {ALERTS} SELECT {ALERT_COLUMNS} FROM alert",
     # scalars and audit

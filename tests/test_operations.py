@@ -90,33 +90,114 @@ def test_stream_alerts_equal_batch(spark, folder):
     assert found.count() == batch.count() and found.exceptAll(batch).isEmpty()
 
 
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def batch_windows(calls, minutes):
+    """Sums per window straight from the calls."""
+    window = F.window(F.col("created_at").cast("timestamp"), f"{minutes} minutes").alias("w")
+    return calls.groupBy(window, "path").agg(F.count("*").alias("calls"), F.count_if(F.col("status_code") >= 500).alias("errors"),
+                                             F.sum(F.col("duration_ms").cast("decimal(18,4)")).cast("double").alias("duration")).select(
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "path", "calls", "errors", "duration")
+
+
+def shown(windows):
+    return windows.select("window_start", "path", "calls", "errors", F.col("duration").cast("double").alias("duration"))
+
+
 def test_stream_windows_equal_batch(spark, folder):
     events = monitors.event_stream(spark, f"{folder}/events.parquet*")
-    found = monitors.run_windows(monitors.call_windows(monitors.call_stream(events, "1 hour"), slide=None), "t",
-                                 ["window_start", "window_end"])
-    batch = adapters.api_calls(spark, folder).groupBy(F.window(F.col("created_at").cast("timestamp"), "15 minutes").alias("w")).agg(
-        F.count("*").alias("calls"), F.count_if(F.col("status_code") >= 500).alias("errors"))
-    batch = batch.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "calls", "errors")
-    found = found.select("window_start", "calls", "errors")
-    assert found.exceptAll(batch).isEmpty() and batch.exceptAll(found).isEmpty()
+    log = monitors.run_panes(events, "t", 300, keys=["path"])
+    calls = adapters.api_calls(spark, folder)
+    for minutes in (5, 15, 60):
+        assert same(shown(log.windows(60 * minutes)), batch_windows(calls, minutes))
+    sliding = log.windows(900, 300).groupBy("path").agg(F.sum("calls").alias("n"))
+    assert same(sliding, calls.groupBy("path").agg((3 * F.count("*")).alias("n")))      # each call is in three windows
+    assert log.late_rows().isEmpty()
+    with pytest.raises(ValueError):
+        log.windows(400)
+
+
+def test_panes_do_not_depend_on_windows(spark, folder):
+    """What a trigger writes has a row for each pane it touched, however long the windows are and however many overlap."""
+    log = monitors.run_panes(monitors.event_stream(spark, f"{folder}/events.parquet*"), "t", 60)
+    minutes = adapters.api_calls(spark, folder).select(F.date_trunc("minute", "created_at")).distinct().count()
+    assert log.panes().count() == minutes == log._parts().count()
+    assert log.windows(3600, 60).agg(F.sum("calls")).first()[0] == 60 * 1000
+
+
+def test_late_rows_of_a_second_run(spark, folder):
+    """500 newer events, then 500 older ones, in two runs: late ones wait in their table, and merged they give the batch windows."""
+    from churnlake.session import work_path
+    path = work_path(spark, "late-files")
+    events = adapters.table(spark, folder, "events")
+    newer = [r.event_id for r in events.orderBy(F.desc("ts")).limit(500).collect()]
+    events.where(F.col("event_id").isin(newer)).write.mode("append").parquet(path)
+
+    def run():
+        return monitors.run_panes(monitors.event_stream(spark, path), "t", 900, 600, ["path"], f"{path}-log")
+    first = run()
+    assert first.late_rows().isEmpty() and first.windows().agg(F.sum("calls")).first()[0] == 500
+    events.where(~F.col("event_id").isin(newer)).write.mode("append").parquet(path)
+    for _ in range(3):          # again, with nothing new
+        second = run()
+        late, in_time = second.late_rows().count(), second.windows().agg(F.sum("calls")).first()[0]
+        assert late > 400 and late + in_time == 1000
+    assert {r.batch for r in second.late_rows().select("batch").distinct().collect()} == {1}
+    calls = adapters.api_calls(spark, folder)
+    for _ in range(2):          # merging twice adds nothing
+        second.merge_late()
+        assert same(shown(second.windows()), batch_windows(calls, 15))
+    assert run().windows().agg(F.sum("calls")).first()[0] == 1000       # and the stream goes on with what was merged
 
 
 def test_stream_of_many_files(spark, folder):
-    """One file per trigger gives the table of one trigger, or fails and names the rows that came too late."""
+    """One file a trigger: with panes left open the same table as in one trigger, else the rest of it is in the late rows."""
     from churnlake.session import work_path
     path = work_path(spark, "event-files")
     spark.read.parquet(f"{folder}/events.parquet").repartition(4, F.xxhash64("event_id")).write.parquet(path)
+    calls = adapters.api_calls(spark, folder)
+
+    def log(lateness):
+        return monitors.run_panes(monitors.event_stream(spark, path, files_per_trigger=1), "t", 900, lateness, ["path"])
 
-    def windows(lateness, files=None):
-        events = monitors.event_stream(spark, path, files_per_trigger=files)
-        calls = monitors.call_windows(monitors.call_stream(events, lateness), slide=None)
-        return monitors.run_windows(calls, "t", ["window_start", "window_end"]).drop("users")
+    patient = log(3650 * 86400)
+    assert patient.late_rows().isEmpty() and same(shown(patient.windows()), batch_windows(calls, 15))
+    hasty = log(60)
+    late = hasty.late_rows()
+    assert late.count() > 0 and late.count() + hasty.windows().agg(F.sum("calls")).first()[0] == 1000
+    hasty.merge_late()
+    assert same(shown(hasty.windows()), batch_windows(calls, 15))
 
-    together = windows("1 minute")
-    apart = windows("3650 days", 1)
-    assert together.exceptAll(apart).isEmpty() and apart.exceptAll(together).isEmpty()
-    with pytest.raises(monitors.LateRows, match="rows of t came too late"):
-        windows("1 minute", 1)
+
+def test_repeated_batch_changes_nothing(spark, folder):
+    """A trigger that is run again after a failure writes the same panes and late rows."""
+    from churnlake.session import work_path
+    calls = adapters.api_calls(spark, folder)
+    middle = calls.agg(F.expr("percentile_approx(created_at, 0.5)")).first()[0]
+    log = monitors.PaneLog(spark, work_path(spark, "again"), 900, 60, [])
+    log.add(calls.where(F.col("created_at") >= F.lit(middle)), 0)
+    log.add(calls.where(F.col("created_at") < F.lit(middle)), 1)
+    once = (log.panes().drop("users").collect(), log.late_rows().count())
+    log.add(calls.where(F.col("created_at") < F.lit(middle)), 1)
+    log.add(calls.where(F.col("created_at") >= F.lit(middle)), 0)
+    assert (sorted(log.panes().drop("users").collect()), log.late_rows().count()) == (sorted(once[0]), once[1])
+
+
+def test_user_sketches(spark):
+    """United sketches of panes and days stay within 5 % of the exact count; null and 0 are no users."""
+    rng = random.Random(6)
+    rows = [(i, "p", 200, rng.choice([None, 0]) if i % 50 == 0 else rng.randrange(1, 9000), 1.0, T0 + timedelta(seconds=5 * i)) for i in range(40_000)]
+    calls = spark.createDataFrame(rows, "id long, path string, status_code int, user_id long, duration_ms double, created_at timestamp_ntz")
+    panes = monitors.pane_sums(calls, 600)
+    users = {d: {r[3] for r in rows if r[5].date() == d and r[3]} for d in {r[5].date() for r in rows}}
+    got = {r.day: r.active_users for r in monitors.daily_users(panes).collect()}
+    assert got.keys() == users.keys()
+    assert all(abs(got[d] - len(users[d])) <= max(1, 0.05 * len(users[d])) for d in got)
+    hours = monitors.windows_of(panes, 600, 3600)
+    again = hours.groupBy(F.to_date("window_start").alias("day")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+    assert {r.day: r.n for r in again.collect()} == pytest.approx(got, rel=0.02)        # from hours as from panes
 
 
 def test_restarted_stream_adds_nothing(spark, folder):
