@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from churnlake import config as c
 from churnlake.operators.activity import combine_rows
 from churnlake.operators.ordering import exact_quantiles
+from churnlake.operators.sketches import sketched_quantiles
 
 REQUIRED = ["tenure", "MonthlyCharges", "Contract", "PaymentMethod", "Churn"]
 
 
-def audit(df: DataFrame) -> DataFrame:
-    """Rows (check, value, passed): one aggregate over the table plus an exact 99th percentile."""
+def audit(df: DataFrame, sketched: bool = False) -> DataFrame:
+    """Rows (check, value, passed): one aggregate over the table plus the 99th percentile, exact or from a sketch."""
     limits = c.AUDIT_LIMITS
     missing = [x for x in REQUIRED if x not in df.columns]
     checks: list[tuple[str, Column, Column]] = [
@@ -31,7 +32,8 @@ def audit(df: DataFrame) -> DataFrame:
         F.max("tenure").alias("max_tenure"),
         F.avg(positive.cast("int")).alias("churn_rate"),
         *[F.count_if(F.col(x).isNull()).alias(f"null_{x}") for x in ("tenure", "MonthlyCharges", "Contract")])
-    p99 = exact_quantiles(df, ["MonthlyCharges"], [0.99]).select(F.col("value").alias("p99"))
+    quantiles = sketched_quantiles if sketched else exact_quantiles
+    p99 = quantiles(df, ["MonthlyCharges"], [0.99]).select(F.col("value").alias("p99"))
     at = F.col
     none = lambda x: (at(x).cast("double"), at(x) == 0)     # noqa: E731
     checks += [

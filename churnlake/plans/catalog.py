@@ -13,7 +13,7 @@ from churnlake.functions.features import engineer_features, feature_columns
 from churnlake.functions.rounding import half_even
 from churnlake.operators import (
     activity, alerts, audit, autoprep, cleaning, encoding, evaluation, explain, maintenance, model_scoring, monitoring,
-    ordering, portfolio, recommend, scenarios, segments, splitting, training, validation,
+    ordering, portfolio, recommend, scenarios, segments, sketches, splitting, training, validation,
 )
 from churnlake.plans import batch_run, customer_scoring, entities, summary
 from churnlake.session import cut_lineage, staged, work_path
@@ -1003,6 +1003,21 @@ def stream_alerts(spark, folder):
     return monitors.run_available(found, "alerts").select(*_ALERT)
 
 
+@query
+def sketched_quantiles(spark, folder):
+    """Quantiles of order prices by priority from sketches merged over order days, and whether their true rank is within the stated error."""
+    priced = _predictions(spark, folder).select("model_used", F.to_date("created_at").alias("day"), "churn_probability")
+    days = sketches.quantile_sketches(priced, ["churn_probability"], ["model_used", "day"])
+    found = sketches.quantiles_of_sketches(sketches.merged_sketches(days, ["model_used"]), [0.1, 0.5, 0.9])
+    found = cut_lineage(found.select("model_used", "probability", "value"))         # a row for each priority and probability
+    ranks = priced.join(F.broadcast(found), "model_used").groupBy("model_used", "probability").agg(
+        F.avg((F.col("churn_probability") < F.col("value")).cast("double")).alias("low"),
+        F.avg((F.col("churn_probability") <= F.col("value")).cast("double")).alias("high"), F.count("*").alias("rows"))
+    error = 2 * sketches.rank_error()
+    return ranks.select("model_used", "probability", "rows",
+                        ((F.col("low") - error <= F.col("probability")) & (F.col("probability") <= F.col("high") + error)).alias("within_bound"))
+
+
 # -- scalars and audit -----------------------------------------------------------------------------
 @query
 def masked_emails(spark, folder):

@@ -662,6 +662,8 @@ ORACLES: dict[str, str] = {
             count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)
         SELECT 'api_calls' AS metric_name, CAST(calls AS DOUBLE) AS metric_value, window_start, window_start + INTERVAL 1 HOUR AS window_end FROM w
         UNION ALL SELECT 'api_errors', CAST(errors AS DOUBLE), window_start, window_start + INTERVAL 1 HOUR FROM w""",
+    "sketched_quantiles": """SELECT o_orderpriority AS model_used, p AS probability, count(*) AS rows, TRUE AS within_bound
+        FROM orders, (VALUES (0.1e0), (0.5e0), (0.9e0)) AS v(p) GROUP BY 1, 2""",
     "stream_daily_users": """SELECT CAST(ts AS DATE) AS day, count(DISTINCT CASE WHEN user_id <> 0 THEN user_id END) AS exact,
         TRUE AS within_bound FROM events GROUP BY 1""",
     # of the two newest days the older one comes last; what lies an hour behind the newest call is late

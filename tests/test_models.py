@@ -1,12 +1,14 @@
 """Training, evaluation, explanation and segmentation."""
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from churnlake.functions.features import engineer_features
 from churnlake.functions.scoring import with_scorecard
-from churnlake.operators import evaluation, explain, model_scoring, segments, training
+from churnlake.operators import evaluation, explain, model_scoring, segments, sketches, training
+from churnlake.operators.ordering import exact_quantiles
 from churnlake.plans import batch_run, customer_scoring
 from churnlake.session import work_path
 from churnlake.sources import adapters
@@ -116,6 +118,56 @@ def test_segments_of_four_blocks(spark):
     assert profile["Premium"].median_MonthlyCharges == 95.0 and profile["Risky"].pct_of_total == 25.0
 
 
+def test_many_starts_in_one_pass(spark, customers):
+    """Each start is what a fit of its own ends at, and the best of them is no worse than Spark's best."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    from churnlake.operators import kmeans
+    matrix = customers.select(*[(F.col(x) / s).cast("double").alias(n) for n, x, s in
+                                (("a", "tenure", 24.0), ("b", "MonthlyCharges", 30.0), ("c", "InactiveDays", 26.0))]).persist()
+    fits = kmeans.all_starts(matrix, 4, 6, 300, 1)
+    rows = np.array([tuple(r) for r in matrix.collect()])
+    for fit in fits:
+        centers = np.array(fit.centers)
+        far = ((rows[:, None] - centers) ** 2).sum(axis=2)
+        owner = far.argmin(axis=1)
+        assert fit.cost == pytest.approx(far.min(axis=1).sum())
+        assert all(np.allclose(rows[owner == j].mean(axis=0), centers[j], atol=1e-3) for j in range(4))     # at rest
+    best = kmeans.best_clusters(matrix, 4, 6, 300, 1)
+    assert best.cost == min(x.cost for x in fits)
+    vectors = VectorAssembler(inputCols=matrix.columns, outputCol="features").transform(matrix)
+    spark_best = min(KMeans(k=4, maxIter=300, seed=s).fit(vectors).summary.trainingCost for s in range(3))
+    assert best.cost <= spark_best * 1.01
+    got = [r[0] for r in matrix.select(best.nearest([F.col(x) for x in matrix.columns])).collect()]
+    assert got == ((rows[:, None] - np.array(best.centers)) ** 2).sum(axis=2).argmin(axis=1).tolist()
+    same = spark.createDataFrame([(1.0, 2.0)] * 9, "a double, b double")
+    assert kmeans.best_clusters(same, 4, 2, 10, 0).cost == 0.0
+    with pytest.raises(ValueError):
+        kmeans.best_clusters(same.limit(0), 2, 1, 5, 0)
+
+
+def test_quantile_sketches(spark):
+    """The rank of a sketched quantile is within the stated error, for sketches of all rows and merged from parts."""
+    rng = np.random.default_rng(3)
+    values = {"g": rng.normal(size=60_000), "h": np.floor(rng.exponential(50, 60_000)), "small": np.arange(5.0)}
+    rows = [(k, i % 7, float(x)) for k, v in values.items() for i, x in enumerate(v)] + [("none", 0, None), ("g", 0, None)]
+    df = spark.createDataFrame(rows, "key string, day int, x double")
+    whole = sketches.sketched_quantiles(df, ["x"], [0.01, 0.5, 0.99], ["key"])
+    days = sketches.quantile_sketches(df, ["x"], ["key", "day"])
+    merged = sketches.quantiles_of_sketches(sketches.merged_sketches(days, ["key"]), [0.01, 0.5, 0.99])
+    bound = 2 * sketches.rank_error()
+    for found in (whole, merged):
+        got = {(r.key, r.probability): r.value for r in found.collect()}
+        assert set(got) == {(k, p) for k in values for p in (0.01, 0.5, 0.99)}
+        for (k, p), x in got.items():
+            low, high = np.mean(values[k] < x), np.mean(values[k] <= x)
+            assert low - bound <= p <= high + bound or k == "small"
+    exact = {r.key: r.value for r in exact_quantiles(df, ["x"], [0.5], ["key"]).collect()}
+    near = {r.key: r.value for r in whole.where("probability = 0.5").collect()}
+    assert near["g"] == pytest.approx(exact["g"], abs=0.02) and near["small"] == exact["small"] == 2.0
+    assert sketches.rank_error(200) == pytest.approx(0.0133, abs=1e-4)
+
+
 def test_full_scoring(spark, run, customers):
     seg = segments.fit_segments(engineer_features(with_scorecard(customers)), starts=1)
     rows = customer_scoring.score_customers(customers, run.encoder, run.best_model, seg,
