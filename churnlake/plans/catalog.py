@@ -12,8 +12,8 @@ from churnlake.functions.arrays import unfold
 from churnlake.functions.features import engineer_features, feature_columns
 from churnlake.functions.rounding import half_even
 from churnlake.operators import (
-    activity, alerts, audit, autoprep, cleaning, encoding, evaluation, explain, maintenance, model_scoring, monitoring,
-    ordering, portfolio, recommend, scenarios, segments, sketches, splitting, training, validation,
+    activity, alerts, audit, autoprep, bucketed, cleaning, encoding, evaluation, explain, maintenance, model_scoring, monitoring,
+    ordering, paging, portfolio, recommend, scenarios, segments, sketches, splitting, training, validation,
 )
 from churnlake.plans import batch_run, customer_scoring, entities, summary
 from churnlake.session import cut_lineage, staged, work_path
@@ -232,6 +232,55 @@ def insert_new_users(spark, folder):
                                         "email", ["user_id"])
 
 
+def _stored(spark, df: DataFrame, name: str, key: str, buckets: int = 16) -> bucketed.BucketedTable:
+    return bucketed.BucketedTable.create(df, work_path(spark, name), key, buckets)
+
+
+@query
+def bucketed_update(spark, folder):
+    """Long contracts for the customers of the newest day's High predictions, in the buckets of these customers only."""
+    table = _stored(spark, _customers(spark, folder).select("customerID", "tenure", "Contract", "MonthlyCharges", "gender"), "customers", "customerID")
+    predictions = _predictions(spark, folder)
+    newest = predictions.where(F.col("created_at") == predictions.agg(F.max("created_at")).scalar())
+    changes = newest.where("prediction_label = 'High'").select(F.col("customer_id").alias("customerID"), F.lit("Two year").alias("Contract"),
+                                                              F.lit("Other").alias("gender")).distinct()
+    table.update(changes, maintenance.CUSTOMER_UPDATES)
+    return table.read()
+
+
+@query
+def bucketed_changes(spark, folder):
+    """Append, delete, replace and insert-if-absent, one after the other, on a stored activity table."""
+    history = adapters.activity(spark, folder).select("history_id", "user_id", "entry_type")
+    table = _stored(spark, history.where(F.col("history_id") % 10 != 0), "activity", "history_id")
+    table.append(history.where(F.col("history_id") % 10 == 0))
+    table.delete(history.where(F.col("history_id") % 7 == 0).select("history_id"))
+    table.replace(history.where(F.col("history_id") % 9 == 0).withColumn("entry_type", F.lit("replaced")))
+    table.insert_if_absent(history.where(F.col("history_id") % 14 == 0).withColumn("entry_type", F.lit("again")), ["user_id"])
+    return table.read()
+
+
+@query
+def update_users(spark, folder):
+    """Name, role and state of users may change, their address may not."""
+    users = adapters.users(spark, folder).select("user_id", "email", "role", "name").withColumn("is_active", F.lit(True))
+    u = F.col("user_id")
+    changes = users.select("user_id", F.when(u % 4 == 0, F.lit("admin")).alias("role"), F.lit("nobody@t0.io").alias("email"),
+                           F.lit(False).alias("is_active"), (u % 3 == 0).alias("set_is_active"))
+    return maintenance.update_by_key(users, changes, "user_id", maintenance.USER_UPDATES)
+
+
+@query
+def update_alerts(spark, folder):
+    """Delivery state of alerts: failed ones get an address and a status, other columns stay."""
+    alerts_ = entities.alert_table(spark, folder).select("prediction_id", "customer_id", "email_sent", "risk_category").withColumns(
+        {"email_address": F.lit(None).cast("string"), "email_status": F.lit("new")})
+    failed = alerts_.where(~F.col("email_sent")).select(
+        "prediction_id", F.lit(True).alias("email_sent"), F.concat(F.lit("c"), "customer_id", F.lit("@t.io")).alias("email_address"),
+        F.lit("sent").alias("email_status"), F.lit("Low").alias("risk_category"))
+    return maintenance.update_by_key(alerts_, failed, "prediction_id", maintenance.ALERT_UPDATES)
+
+
 # -- cleaning and encoding -------------------------------------------------------------------------
 @query
 def cleaned_customers(spark, folder):
@@ -749,8 +798,21 @@ def prediction_list(spark, folder):
 
 @query
 def prediction_page(spark, folder):
-    """Third page of the newest predictions."""
-    return ordering.page_rows(_predictions(spark, folder), [F.desc("created_at"), F.desc("prediction_id")], 3, 50)
+    """Third page of the newest predictions, by the index of that order."""
+    def make(path: str) -> None:
+        paging.PageIndex.create(_predictions(spark, folder), "prediction_id", [("created_at", True), ("prediction_id", True)], path)
+
+    index = paging.PageIndex(spark, _artefact(spark, folder, "page-index", make), "prediction_id", paging.SLICE_ROWS, "bigint")
+    return index.page(_predictions(spark, folder), 3, 50)
+
+
+@query
+def bucketed_page(spark, folder):
+    """A page whose rows are read from the buckets of their keys alone."""
+    base, order = work_path(spark, "bucketed-page"), [("churn_probability", True), ("prediction_id", False)]
+    predictions = _predictions(spark, folder)
+    table = bucketed.BucketedTable.create(predictions, f"{base}/table", "prediction_id", 32)
+    return paging.PageIndex.create(predictions, "prediction_id", order, f"{base}/index", 500).page(table, 12, 45)
 
 
 @query

@@ -381,6 +381,16 @@ ORACLES: dict[str, str] = {
         CASE WHEN prediction_label = 'High' THEN 'One year' ELSE Contract END AS Contract, MonthlyCharges, gender,
         CASE WHEN prediction_label IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' END AS updated_at
         FROM cust LEFT JOIN latest1 ON customer_id = customerID""",
+    "bucketed_update": f"""WITH {CUST}, {PRED} SELECT customerID, tenure, CASE WHEN customerID IN (SELECT customer_id FROM pred
+        WHERE prediction_label = 'High' AND created_at = (SELECT max(created_at) FROM pred)) THEN 'Two year' ELSE Contract END AS Contract,
+        MonthlyCharges, gender FROM cust""",
+    "bucketed_changes": """SELECT event_id AS history_id, user_id, CASE WHEN event_id % 9 = 0 THEN 'replaced' WHEN event_id % 14 = 0 THEN 'again'
+        ELSE event_type END AS entry_type FROM events WHERE event_id % 7 <> 0 OR event_id % 9 = 0 OR event_id % 14 = 0""",
+    "update_users": f"""WITH {USERS} SELECT user_id, email, CASE WHEN user_id % 4 = 0 THEN 'admin' ELSE role END AS role, name,
+        user_id % 3 <> 0 AS is_active FROM users""",
+    "update_alerts": f"""WITH {ALERTS} SELECT prediction_id, customer_id, TRUE AS email_sent, risk_category,
+        CASE WHEN prediction_id % 10 >= 7 THEN 'c' || customer_id || '@t.io' END AS email_address,
+        CASE WHEN prediction_id % 10 >= 7 THEN 'sent' ELSE 'new' END AS email_status FROM alert""",
     "delete_history": """SELECT event_id AS history_id, user_id, event_type AS entry_type FROM events
         WHERE event_type <> 'error'""",
     "cascade_delete": f"""WITH {TABLE}, {ALERTS[len(CUST) + 1 + len(PRED) + 1:]},
@@ -562,6 +572,7 @@ ORACLES: dict[str, str] = {
     "prediction_list": f"""WITH {CUST}, {PRED} SELECT pred.*, MonthlyCharges, Contract, tenure FROM pred
         LEFT JOIN cust ON customerID = customer_id WHERE prediction_label = 'Medium'""",
     "prediction_page": f"WITH {PRED} SELECT * FROM pred ORDER BY created_at DESC, prediction_id DESC LIMIT 50 OFFSET 100",
+    "bucketed_page": f"WITH {PRED} SELECT * FROM pred ORDER BY churn_probability DESC, prediction_id LIMIT 45 OFFSET 495",
     "numbered_predictions": f"""WITH {PRED} SELECT row_number() OVER (ORDER BY created_at DESC, prediction_id DESC) AS row_number,
         prediction_id FROM pred""",
     "page_info": """SELECT count(*) AS total, 3 AS page, 200 AS page_size, greatest(1, CAST(ceil(count(*) / 200) AS BIGINT)) AS pages,
