@@ -147,17 +147,17 @@ def train_customers(df: DataFrame, models: list[str] | None = None, **sizes) ->
     return TrainingRun(encoder, fitted, best, aucs, seconds, encoder.feature_count, train, test)
 
 
-def probability(df: DataFrame, encoder: Encoder, model, output: str = "_p") -> DataFrame:
-    """Append the unrounded churn probability; every input row and column stays."""
+def probability(df: DataFrame, encoder: Encoder, model, output: str = "_p", features: str | None = None) -> DataFrame:
+    """Append the unrounded churn probability; every input row and column stays. ``features`` names a column that keeps the vector."""
     packed = df.withColumn("_row", F.struct("*"))
     matrix = encoder.matrix(model_input(packed, encoder.medians.get("TotalCharges", 0.0)), keep=["_row"])
-    scored = model.transform(matrix).select("_row.*", vector_to_array("probability")[1].alias(output))
-    return scored
+    vector = [F.col("features").alias(features)] if features else []
+    return model.transform(matrix).select("_row.*", vector_to_array("probability")[1].alias(output), *vector)
 
 
-def score_batch(df: DataFrame, encoder: Encoder, model, threshold: float = c.CHURN_THRESHOLD) -> DataFrame:
+def score_batch(df: DataFrame, encoder: Encoder, model, threshold: float = c.CHURN_THRESHOLD, features: str | None = None) -> DataFrame:
     """Append probability (4 places), label, score and category; derived from the unrounded value."""
-    return with_risk(probability(df, encoder, model), F.col("_p"), threshold).drop("_p")
+    return with_risk(probability(df, encoder, model, features=features), F.col("_p"), threshold).drop("_p")
 
 
 def raw_probabilities(df: DataFrame, encoder: Encoder, model) -> DataFrame:

@@ -11,6 +11,7 @@ from churnlake.functions.features import engineer_features
 from churnlake.operators import explain, portfolio, recommend, segments, training
 from churnlake.operators.activity import combine_rows
 from churnlake.operators.cleaning import canonical_columns, clean_customers, with_defaults
+from churnlake.session import intermediate_tables
 from churnlake.sources import files
 
 
@@ -32,8 +33,14 @@ def run_batch(raw: DataFrame, path: str, models: list[str] | None = None, starts
               **sizes) -> BatchResult:
     """Run every stage over a raw customer table and write cleaned, models, scored and report below ``path``.
 
-    Each stage reads the table the one before it wrote, so a lost executor never replays the whole job.
+    Each stage reads the table the one before it wrote, so a lost executor never replays the whole job. Tables staged in between
+    are gone when it ends.
     """
+    with intermediate_tables(raw.sparkSession):
+        return _run(raw, path, models, starts, **sizes)
+
+
+def _run(raw: DataFrame, path: str, models: list[str] | None, starts: int, **sizes) -> BatchResult:
     spark: SparkSession = raw.sparkSession
     files.write_cleaned(clean_customers(with_defaults(canonical_columns(raw))), f"{path}/cleaned")
     cleaned = spark.read.parquet(f"{path}/cleaned")

@@ -16,7 +16,7 @@ from churnlake.operators import (
     ordering, paging, portfolio, recommend, scenarios, segments, sketches, splitting, training, validation,
 )
 from churnlake.plans import batch_run, customer_scoring, entities, summary
-from churnlake.session import cut_lineage, staged, work_path
+from churnlake.session import cut_lineage, intermediate_tables, staged, work_path
 from churnlake.sources import adapters, files
 from churnlake.streaming import monitors
 
@@ -435,7 +435,8 @@ def _artefact(spark, folder, name: str, make: Callable[[str], None]) -> str:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _ARTEFACTS:
         path = work_path(spark, name)
-        make(path)
+        with intermediate_tables(spark):        # only what was saved stays
+            make(path)
         _ARTEFACTS[key] = path
     return _ARTEFACTS[key]
 

@@ -10,19 +10,20 @@ from churnlake.operators import explain, recommend
 from churnlake.operators.cleaning import canonical_columns, column_number, with_defaults
 from churnlake.operators.encoding import Encoder
 from churnlake.operators.segments import Segmenter
-from churnlake.operators.training import model_input, score_batch
+from churnlake.operators.training import score_batch
 
+_VECTOR = "_features"
 
-def with_explanation(df: DataFrame, encoder: Encoder, model, means: list[float], top_n: int = 10) -> DataFrame:
-    """Append the explanation array: linear terms where the model has them, else importances."""
-    packed = df.withColumn("_row", F.struct("*"))
-    matrix = encoder.matrix(model_input(packed, encoder.medians.get("TotalCharges", 0.0)), keep=["_row"])
+
+def with_explanation(scored: DataFrame, encoder: Encoder, model, means: list[float], top_n: int = 10,
+                     features: str = _VECTOR) -> DataFrame:
+    """The vector's explanation in its place: linear terms where the model has them, else importances."""
     names = encoder.feature_names
     if hasattr(model, "coefficients"):
-        out = explain.explain_rows(matrix, names, [float(x) for x in model.coefficients], means, top_n)
+        out = explain.explain_rows(scored, names, [float(x) for x in model.coefficients], means, top_n, features)
     else:
-        out = explain.importance_rows(matrix, names, model, top_n)
-    return out.select("_row.*", "explanation")
+        out = explain.importance_rows(scored, names, model, top_n, features)
+    return out.drop(features)
 
 
 def score_customers(df: DataFrame, encoder: Encoder, model, segmenter: Segmenter, means: list[float]) -> DataFrame:
@@ -30,7 +31,7 @@ def score_customers(df: DataFrame, encoder: Encoder, model, segmenter: Segmenter
     ready = with_defaults(canonical_columns(df))
     ready = ready.withColumns({x: F.coalesce(column_number(ready, x), F.lit(0.0))
                                for x in ("tenure", "MonthlyCharges", "InactiveDays") if x in ready.columns})
-    scored = segmenter.assign(engineer_features(score_batch(ready, encoder, model)))
+    scored = segmenter.assign(engineer_features(score_batch(ready, encoder, model, features=_VECTOR)))      # one vector for all
     advised = recommend.recommend(scored)
     risk = customer_risk(F.col("churn_probability"), F.col("MonthlyCharges"), F.col("recommendations"))
     priced = advised.withColumn("revenue_risk", F.struct(*[x.alias(n) for n, x in risk.items()]))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +55,44 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[application]
 
 
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("churnlake_scopes", default=())
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/churnlake/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, noted in the open scope if there is one."""
+    path = f"{shared_folder(spark).rstrip('/')}/churnlake/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES.get()[-1:]:
+        scope.append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, in whatever store it is; a missing one is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """A scope of a job: what is staged inside is removed at its end, also when the job fails. Write results that outlast it to paths of
+    their own before. Scopes nest; each removes what was staged in itself."""
+    paths: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), paths))
+    try:
+        yield paths
+    finally:
+        _SCOPES.reset(token)
+        for path in paths:
+            remove_path(spark, path)
+
+
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``make()``, written; every table staged on the way is removed. The result belongs to the scope around, if any."""
+    path = work_path(spark, name)
+    with intermediate_tables(spark):
+        rows = make()
+        rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -65,7 +103,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: freezes the rows so that later stages all see the same values."""
+    """Freezes the rows so that later stages all see the same values: a staged table inside a scope, else a reliable checkpoint, which
+    Spark's cleaner removes when nothing refers to it any more."""
+    if _SCOPES.get():
+        return staged(df, "frozen")
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
