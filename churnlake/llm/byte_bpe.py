@@ -58,6 +58,8 @@ class Codec:
 
     def __init__(self, tokenizer, token_bytes: list[bytes]):
         self.tokenizer, self.token_bytes = tokenizer, token_bytes
+        #: Strings that the library takes for one token wherever they stand: a text that holds one is encoded whole.
+        self.added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}       # ids of pieces, without the space before them
         self.words: dict[str, bytes] = {}       # ids of the words that the pattern cuts
         self.shown = {b: c for b, c in enumerate(byte_characters())}
@@ -105,7 +107,7 @@ class Codec:
             self.known.clear()
         known, cuts, new = self.known, [], set()
         for text in texts:
-            cut = [] if not text else None if _MIXED_GAP.search(text) else text.split(" ")
+            cut = [] if not text else None if _MIXED_GAP.search(text) or any(x in text for x in self.added) else text.split(" ")
             cuts.append(cut)
             if cut:
                 new.update(set(cut[1:]).difference(known))
@@ -155,12 +157,11 @@ def from_ranks(path: str) -> Codec:
 
 @lru_cache(maxsize=2)
 def from_json(path: str) -> Codec:
-    """The codec of a tokenizer file; the strings of special tokens in a text are ordinary text."""
+    """The codec of a tokenizer file, with the file's added tokens as the library finds them in a text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     back = {c: b for b, c in enumerate(byte_characters())}
     table = [b""] * tokenizer.get_vocab_size()
     for token, i in tokenizer.get_vocab().items():

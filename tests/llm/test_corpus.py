@@ -139,7 +139,6 @@ def test_program_places_nearly_all_sequences():
 def test_packing(odd, docs, empty):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    plain.encode_special_tokens = True
     for df in (odd, docs):
         texts = collections.Counter((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect())
         rows = packing.pack_documents(df, keep_ids=True).collect()
@@ -437,3 +436,14 @@ def test_tag_paths_keeps_sections_with_marked_words():
         + '<div id="related-posts"><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></div>' \
         + '<div hidden><p>Not shown, at all.</p></div></article><div id="cookie-notice">We use cookies, accept.</div></body>'
     assert tag_paths.main_text(page) == "\n\n".join([body(99), "Side effects", *texts[1:]])
+
+
+def test_added_tokens():
+    """The string of an added token in a text is that token, as in the library; around it nothing changes."""
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(packing.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endof text|>", "no such token here", "<|endoftext|><|endoftext|> é\n\n z"]
+    found = byte_bpe.from_json(path).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(found[0], "<u4").tolist() == [64, 220, 50256, 275]
