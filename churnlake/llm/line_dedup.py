@@ -1,11 +1,16 @@
 """Removing repeated runs of lines across a corpus, by winnowing.
 
 Every run of ``GRAM_WORDS`` words is hashed, across line ends and at every word, so that a passage gives the same hashes wherever
-it stands, also within a line; of each ``WINDOW`` such hashes in a row the smallest is a fingerprint. Two texts that share
-GRAM_WORDS + WINDOW - 1 = ``RUN_WORDS`` words in a row are therefore certain to share a fingerprint of them. The positions
-of a fingerprint are joined with its earliest one (smallest doc_id, then place), never with each other. A match is extended both
-ways word by word; the stretches found in a text are merged, and those of ``RUN_WORDS`` words or more are deleted. The earliest
-copy of a passage stays.
+it stands, also within a line; of each ``WINDOW`` such hashes in a row the smallest is a fingerprint. The words of a window are a run
+of GRAM_WORDS + WINDOW - 1 = ``RUN_WORDS`` words, and which hash it selects depends on these words alone: equal runs select equal
+fingerprints, so a run can only be repeated where its fingerprint is.
+
+The positions of a fingerprint that occurs again are extended both ways over the windows that selected it. Positions that agree in all these
+words are one class: all but the earliest (smallest doc_id, then place) are repeated runs. The earliest of each class, if its fingerprint
+has several, is compared with those of the other classes window by window, so that a run counts as repeated if and only if
+all its words stand in a row at an earlier place, whatever stands around them there. Overlapping repeated runs make one stretch, so a
+match reaches as far as the words agree. Every word of a repeated run is deleted, no other is, and the earliest copy of a run stays.
+A run may overlap its earlier copy: of one word said a hundred times the first stays.
 
 Words are compared with A-Z lower-cased and without regard to white space. Null and empty texts stay as they are. A text that is
 deleted wholly becomes empty. Rows with equal id and text are one document; rows with a null id come after all others.
@@ -14,6 +19,7 @@ deleted wholly becomes empty. Rows with equal id and text are one document; rows
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,96 +28,115 @@ from pyspark.sql import functions as F
 
 from churnlake.llm.tables import free_name, kept_table, read_table
 from churnlake.llm.text_arrays import Words, mix, slices, words
+from churnlake.session import finished
 
 GRAM_WORDS = 16         # a power of two
-WINDOW = 10
-RUN_WORDS = 25
+WINDOW = 10             # at most GRAM_WORDS
+RUN_WORDS = GRAM_WORDS + WINDOW - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = (1 << 63) - 1
 
 
-def fingerprints(found: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word (number in the batch) of the selected runs."""
+class Prints(NamedTuple):
+    """Fingerprints of a batch, in order of the texts; words are numbered in the batch."""
+    value: np.ndarray       # hash of the selected run of GRAM_WORDS words
+    kind: np.ndarray        # hash of all words of the windows that selected it, and of its place among them
+    first: np.ndarray       # first word of these windows
+    windows: np.ndarray     # their number, WINDOW at most
+
+
+def _runs(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of GRAM_WORDS and of RUN_WORDS words that start at each word, across texts."""
     gram, size = found.hashes, 1
     while size < GRAM_WORDS:        # the hash of a run is built from those of its halves
-        gram = mix(gram[:-size] * np.uint64(0x9E3779B97F4A7C15) + gram[size:]) if len(gram) > size else gram[:0]
+        gram = mix(gram[:-size] * _ODD + gram[size:]) if len(gram) > size else gram[:0]
         size *= 2
+    step = WINDOW - 1
+    return gram, mix(gram[:-step] * _ODD + gram[step:]) if len(gram) > step else gram[:0]
+
+
+def fingerprints(found: Words) -> Prints:
+    gram, run = _runs(found)
     text = np.repeat(np.arange(len(found.bounds) - 1), np.diff(found.bounds))
-    at = np.flatnonzero(text[:len(gram)] == text[GRAM_WORDS - 1:]) if len(gram) else np.zeros(0, np.int64)
-    value, text = gram[at], text[at]
-    chosen = np.zeros(len(at), bool)
-    if len(at) >= WINDOW:
-        low = np.arange(len(at) - WINDOW + 1)
-        spans = np.lib.stride_tricks.sliding_window_view(value, WINDOW)
-        same = text[low] == text[low + WINDOW - 1]
-        chosen[(low + np.argmin(spans, axis=1))[same]] = True
-    # texts with fewer runs than a window give the smallest
-    first = np.flatnonzero(np.diff(text, prepend=-1))
-    for a, b in zip(first, np.append(first[1:], len(at))):
-        if b - a < WINDOW:
-            chosen[a + np.argmin(value[a:b])] = True
-    return value[chosen], at[chosen]
+    start = np.flatnonzero(text[:len(run)] == text[RUN_WORDS - 1:]) if len(run) else np.zeros(0, np.int64)
+    if not len(start):
+        return Prints(np.zeros(0, np.uint64), np.zeros(0, np.uint64), start, start)
+    least = np.argmin(np.lib.stride_tricks.sliding_window_view(gram, WINDOW), axis=1)[start] + start
+    new = np.ones(len(start), bool)
+    new[1:] = (least[1:] != least[:-1]) | (np.diff(start) != 1)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(start)) - 1
+    first, windows = start[at], last - at + 1
+    shape = ((least[at] - first) * WINDOW + windows).astype(np.uint64)
+    kind = mix((run[first] * _ODD + run[start[last]]) * _ODD + shape)
+    return Prints(gram[least[at]], kind, first, windows)
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """key, rank, and the fingerprints (prints) with the word they start at (places) of every document."""
+    """key, rank, and the fingerprints of every document: hash, kind and place (first word and number of the windows in one number)."""
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = words(batch.column("text"))
-                b = found.bounds
-                value, at = fingerprints(found)
-                text = np.searchsorted(b, at, "right") - 1
+                b, prints = found.bounds, fingerprints(found)
+                text = np.searchsorted(b, prints.first, "right") - 1
                 ends = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("rank"),
-                     pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64))),
-                     pa.ListArray.from_arrays(ends, pa.array((at - b[text]).astype(np.int32)))],
-                    ["key", "rank", "prints", "places"])
+                place = (prints.first - b[text]) * 16 + prints.windows
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (
+                    prints.value.view(np.int64), prints.kind.view(np.int64), place.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rank"), *lists],
+                                                 ["key", "rank", "print", "kind", "place"])
 
-    return docs.mapInArrow(run, "key long, rank long, prints array<long>, places array<int>")
+    return docs.mapInArrow(run, "key long, rank long, print array<long>, kind array<long>, place array<long>")
 
 
-def _hashed(batches):
-    """key and the hashes of the text's words (binary)."""
+def _windows(batches):
+    """run (hash), rank, key and place (its first word) of the windows at the wanted places of the texts."""
     for whole in batches:
         for batch in slices(whole, "text"):
             found = words(batch.column("text"))
-            data, b = found.hashes.tobytes(), found.bounds
+            _, run = _runs(found)
+            lists = batch.column("places")
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            place = np.asarray(lists.flatten())
+            count = place % 16
+            row, place = np.repeat(row, count), np.repeat(place // 16, count)
+            place = place + np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+            value = run[found.bounds[row] + place]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([data[8 * x:8 * y] for x, y in zip(b, b[1:])], pa.binary())], ["key", "words"])
-
-
-def _extended(batches):
-    """key and stretch (first, end) in its words, for the seeds of two texts."""
-    for batch in batches:
-        keys, starts, ends = [], [], []
-        columns = (batch.column(c).to_pylist() for c in ("key", "places", "head_places", "words", "head_words"))
-        for key, places, head_places, mine, theirs in zip(*columns):
-            mine, theirs = np.frombuffer(mine, np.uint64), np.frombuffer(theirs, np.uint64)
-            places = np.array(places)
-            shifts = places - np.array(head_places)
-            order = np.argsort(shifts, kind="stable")
-            cuts = np.flatnonzero(np.diff(shifts[order])) + 1
-            for on in np.split(order, cuts):        # the seeds of a diagonal
-                shift = int(shifts[on[0]])
-                low, high = max(0, shift), min(len(mine), len(theirs) + shift)
-                if high <= low:
-                    continue
-                differ = np.flatnonzero(mine[low:high] != theirs[low - shift:high - shift]) + low
-                # a seed's stretch lies between the differing words around it
-                around = np.unique(np.searchsorted(differ, places[on]))
-                edges = np.concatenate([[low - 1], differ, [high]])
-                for i in around.tolist():
-                    if edges[i + 1] - edges[i] > 1:
-                        keys.append(key)
-                        starts.append(int(edges[i]) + 1)
-                        ends.append(int(edges[i + 1]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                                         ["key", "first", "end"])
+                [pa.array(value.view(np.int64)), batch.column("rank").take(pa.array(row)), batch.column("key").take(pa.array(row)),
+                 pa.array(place.astype(np.int64))], ["run", "rank", "key", "place"])
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """key and stretches (first word, end) of the documents (key, rank, text) that hold repeated runs."""
+    spark, position = docs.sparkSession, F.struct("rank", "key", "place")
+
+    def again() -> DataFrame:
+        survey = kept_table(_survey(docs), "line-survey")
+        twice = survey.select(F.explode("print").alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+        twice = kept_table(twice.where(F.col("n") > 1).select("print"), "line-twice")
+        prints = survey.select("rank", "key", F.explode(F.arrays_zip("print", "kind", "place")).alias("p"))
+        return prints.select("p.print", "p.kind", "rank", "key", "p.place").join(twice, "print", "left_semi")
+
+    seen = finished(spark, "line-seen", again)
+    heads = kept_table(seen.groupBy("print", "kind").agg(F.min(position).alias("head")), "line-heads")
+    whole = seen.join(heads, ["print", "kind"]).where(position > F.col("head")).select(
+        "key", F.expr("place div 16").alias("first"), F.expr(f"place div 16 + place % 16 + {RUN_WORDS - 1}").alias("end"))
+    several = heads.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    wanted = heads.join(several, "print", "left_semi").groupBy(F.col("head.key").alias("key")).agg(
+        F.collect_list("head.place").alias("places"))       # as many as the text has fingerprints
+    runs = kept_table(docs.join(wanted, "key").select("rank", "key", "text", "places").mapInArrow(
+        _windows, "run long, rank long, key long, place long"), "line-runs")
+    earliest = runs.groupBy("run").agg(F.min(position).alias("head"), F.max(position).alias("last")).where(
+        F.col("last") > F.col("head")).select("run", "head")
+    parts = runs.join(earliest, "run").where(position > F.col("head")).select(
+        "key", F.col("place").alias("first"), (F.col("place") + RUN_WORDS).alias("end"))
+    return whole.union(parts).groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("stretches"))
 
 
 def _cut(text: str, found: Words, i: int, stretches) -> tuple[str, int]:
-    """The text without its long stretches, and the number of words deleted."""
+    """The text without its stretches, and the number of words deleted."""
     base, merged = int(found.bounds[i]), []
     for s in sorted((s["first"], s["end"]) for s in stretches):
         if merged and s[0] <= merged[-1][1]:
@@ -123,8 +148,6 @@ def _cut(text: str, found: Words, i: int, stretches) -> tuple[str, int]:
     offset = int(found.starts[found.bounds[i]]) - gap       # of the text in the batch's bytes
     for first, end in merged:
         a, b = base + first, base + end
-        if b - a < RUN_WORDS:
-            continue
         low = int(found.starts[a]) - offset
         high = int(found.starts[b]) - offset if b < found.bounds[i + 1] else len(data)
         out.append(data[at:low])
@@ -138,25 +161,7 @@ def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
     key, rank = free_name(docs, "key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     narrow = keyed.select(F.col(key).alias("key"), rank.alias("rank"), "text")
-    survey = kept_table(_survey(narrow), "line-survey")
-    twice = survey.select(F.explode("prints").alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
-    twice = kept_table(twice.where(F.col("n") > 1).select("print"), "line-twice")
-    prints = survey.select("rank", "key", F.explode(F.arrays_zip("prints", "places")).alias("p")).select(
-        F.col("p.prints").alias("print"), "rank", "key", F.col("p.places").alias("place"))
-    seen = kept_table(prints.join(twice, "print"), "line-seen")
-    heads = kept_table(seen.groupBy("print").agg(F.min(F.struct("rank", "key", "place")).alias("head")), "line-heads")
-    seeds = seen.join(heads, "print").where(F.struct("rank", "key", "place") > F.col("head"))
-    seeds = seeds.groupBy("key", F.col("head.key").alias("head_key")).agg(
-        F.collect_list("place").alias("places"), F.collect_list("head.place").alias("head_places"))    # as many as the text has runs
-    seeds = kept_table(seeds, "line-seeds")
-    ends = seeds.select("key").union(seeds.select("head_key")).distinct()
-    texts = narrow.select("key", "text").join(ends, "key", "left_semi").dropDuplicates(["key"])
-    hashed = kept_table(texts.mapInArrow(_hashed, "key long, words binary"), "line-words")
-    met = seeds.join(hashed, "key").join(
-        hashed.select(F.col("key").alias("head_key"), F.col("words").alias("head_words")), "head_key")
-    stretches = met.select("key", "places", "head_places", "words", "head_words").mapInArrow(_extended, "key long, first int, end int")
-    by_text = kept_table(stretches.distinct().groupBy(F.col("key").alias(key)).agg(
-        F.collect_list(F.struct("first", "end")).alias("stretches")), "line-stretches")
+    by_text = finished(docs.sparkSession, "line-stretches", lambda: _repeated(narrow)).withColumnRenamed("key", key)
     name = free_name(docs, "stretches")
     joined = keyed.join(by_text.withColumnRenamed("stretches", name), key, "left").drop(key)
     columns = docs.columns

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.session import shared_folder
+from churnlake.session import work_path
 
 #: Code points between words; everything else belongs to a word.
 WORD_GAP = r"[\x20\x09-\x0D]"
@@ -20,9 +18,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def kept_table(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once below ``spark.checkpoint.dir`` and read back, so that every later reader sees the same rows
-    and a lost executor costs a re-read and no recomputation."""
+    and a lost executor costs a re-read and no recomputation. Inside a scope of ``session`` it is removed at the scope's end."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, f"llm-{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -319,6 +319,55 @@ def test_line_dedup_finds_every_run_of_its_length(spark):
         assert got[2 * j].n_removed == 0 and (51 if j % 2 else 25) <= got[2 * j + 1].n_removed <= 55
 
 
+def plain_line_dedup(rows, n=25):
+    """Words that stay, by id: a word goes if a run of n words around it stands earlier, in an earlier text or further up."""
+    earliest, out = {}, {}
+    for doc_id, text in sorted(rows):
+        tokens, gone = found_words(text), set()
+        for p in range(len(tokens) - n + 1):
+            if earliest.setdefault(tuple(tokens[p:p + n]), (doc_id, p)) != (doc_id, p):
+                gone.update(range(p, p + n))
+        out[doc_id] = [w for i, w in enumerate(tokens) if i not in gone], len(gone)
+    return out
+
+
+def check_line_dedup(spark, rows):
+    shuffled = random.Random(1).sample(rows, len(rows))
+    got = line_dedup.dedup(spark.createDataFrame(shuffled, "doc_id long, text string").repartition(5))
+    got = {r.doc_id: (found_words(r.text), r.n_removed) for r in got.collect()}
+    assert got == plain_line_dedup(rows)
+    return got
+
+
+def test_line_dedup_equals_brute_force(spark):
+    draw = random.Random(7)
+    pool = [prose(60, 20_000 + k).split() for k in range(30)]
+    rows = []
+    for i in range(300):
+        tokens = []
+        for _ in range(draw.randint(0, 6)):
+            tokens += prose(draw.randint(0, 30), draw.random()).split()
+            run, size = draw.choice(pool), draw.randint(16, 60)
+            at = draw.randint(0, 60 - size)
+            tokens += [w.upper() if draw.random() < 0.1 else w for w in run[at:at + size]]
+        rows.append((i, "".join(w + draw.choice([" ", " ", "  ", "\n"]) for w in tokens)))
+    rows += [(300, "ha " * 100), (301, " ".join(["a", "b"] * 60)), (302, rows[5][1]), (303, rows[5][1] + " end")]
+    got = check_line_dedup(spark, rows)
+    assert sum(n for _, n in got.values()) > 5000
+
+
+def test_line_dedup_fingerprints_with_other_heads(spark):
+    """Earlier texts that hold the words of each fingerprint, or of pieces, but no run of 25: they neither hide a repeat nor make one."""
+    rows = []
+    for j in range(20):
+        passage = prose(40, 30_000 + j).split()
+        pieces = [" ".join(passage[at:at + 16]) for at in range(25)]
+        rows += [(100 * j + k, f"{prose(20, 31_000 + 100 * j + k)} {piece} {prose(20, 35_000 + 100 * j + k)}") for k, piece in enumerate(pieces)]
+        rows += [(100 * j + 50 + k, f"{prose(30, 40_000 + 2 * j + k)} {' '.join(passage)} {prose(30, 41_000 + 2 * j + k)}") for k in range(2)]
+    got = check_line_dedup(spark, rows)
+    assert all(got[100 * j + 50][1] == 0 and got[100 * j + 51][1] == 40 for j in range(20))
+
+
 def test_line_dedup_odd_input(spark, odd, empty):
     got = line_dedup.dedup(odd)
     assert got.columns == [*odd.columns, "n_removed"] and got.count() == odd.count()
