@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlake.llm import line_dedup, ngram_join, packing, quality_rules, toxicity
-from churnlake.llm.tables import kept_table, read_table
+from churnlake.llm.tables import read_table
+from churnlake.session import finished
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = kept_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = finished(spark, f"stage-{name}", lambda: stage(spark, docs, sf_dir))
     return docs
