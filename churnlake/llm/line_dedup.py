@@ -120,8 +120,8 @@ def _repeated(docs: DataFrame) -> DataFrame:
         return prints.select("p.print", "p.kind", "rank", "key", "p.place").join(twice, "print", "left_semi")
 
     seen = finished(spark, "line-seen", again)
-    heads = kept_table(seen.groupBy("print", "kind").agg(F.min(position).alias("head")), "line-heads")
-    whole = seen.join(heads, ["print", "kind"]).where(position > F.col("head")).select(
+    heads = kept_table(seen.groupBy("print", "kind").agg(F.min(position).alias("head"), F.max(position).alias("last")), "line-heads")
+    whole = seen.join(heads.where(F.col("last") > F.col("head")), ["print", "kind"]).where(position > F.col("head")).select(
         "key", F.expr("place div 16").alias("first"), F.expr(f"place div 16 + place % 16 + {RUN_WORDS - 1}").alias("end"))
     several = heads.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
     wanted = heads.join(several, "print", "left_semi").groupBy(F.col("head.key").alias("key")).agg(
@@ -170,12 +170,12 @@ def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = words(batch.column(at))
                 lists = batch.column(name).to_pylist()
                 texts, gone = batch.column(at).to_pylist(), np.zeros(batch.num_rows, np.int64)
-                for i, stretch in enumerate(lists):
-                    if stretch:
-                        texts[i], gone[i] = _cut(texts[i], found, i, stretch)
+                touched = [i for i, stretch in enumerate(lists) if stretch]
+                found = words(batch.column(at).take(pa.array(touched, pa.int64())))
+                for k, i in enumerate(touched):
+                    texts[i], gone[i] = _cut(texts[i], found, k, lists[i])
                 out = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(gone)], [*columns, removed])
 
