@@ -1,8 +1,9 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill overlap.
 
 A node is split by a random direction where few points lie near the cut (between the quarters of its sample), and points within
-``MARGIN`` of the cut go to both sides. Splits are fitted on at most ``SAMPLE`` vectors of a node and route all its vectors; nodes that are
-still large are split again in the next round, by tasks of their own, so neither the driver nor a task sees more than a sample. A node whose
+``MARGIN`` of the cut go to both sides. Splits are fitted on at most ``SAMPLE`` vectors of a node and route all its vectors, in slices of about
+as many, each of which meets one copy of the node's tree; nodes that are still large are split again in the next round, by tasks of their
+own, so neither the driver nor a task sees more than a sample. A node whose
 points lie so near together that a cut would send nearly all to both sides becomes a leaf whatever its size; leaves above
 ``BLOCK`` vectors are compared in tiles of two blocks.
 
@@ -24,9 +25,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from churnlake.llm.components import components
 from churnlake.llm.tables import kept_table, read_table
+from churnlake.session import finished
 
 LEAST_COSINE = 0.95
 TREES = 4
@@ -38,9 +41,9 @@ BLOCK = 1024
 _ROUNDS = 12
 
 
-def _matrix(values: list[bytes]) -> np.ndarray:
-    """Unit vectors in double precision."""
-    x = np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
+def _matrix(values: list[bytes], width: int) -> np.ndarray:
+    """Unit vectors in double precision; ``width`` is the number of bytes a component is stored in."""
+    x = np.frombuffer(b"".join(values), f"<f{width}").reshape(len(values), -1).astype("<f8")
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -85,54 +88,41 @@ def route(tree, x: np.ndarray, rows: np.ndarray, name: str):
     yield from route(right, x, rows[along >= cut - MARGIN], name + "1")
 
 
-def _fit(key, frame: pd.DataFrame) -> pd.DataFrame:
-    name = key[0]
-    share = len(frame) / frame["n"].iloc[0]
-    seed = int.from_bytes(name.encode()[-6:], "little")
-    tree = fit_tree(_matrix(frame["vec"].tolist()), LEAF * share, np.random.default_rng(seed))
-    # a node that no round makes smaller is compared as it is
-    return pd.DataFrame({"leaf": [name], "tree": [pickle.dumps(True if tree is False else tree)]})
-
-
-def _routed(batches):
-    for batch in batches:
-        leaf, row = batch.column("leaf").to_pylist(), np.asarray(batch.column("row"))
-        names, rows = [], []
-        order = np.array(sorted(range(len(leaf)), key=leaf.__getitem__), int)
-        start = 0
-        vectors, trees = batch.column("vec").to_pylist(), batch.column("tree").to_pylist()
-        while start < len(order):
-            end = start
-            while end < len(order) and leaf[order[end]] == leaf[order[start]]:
-                end += 1
-            part = order[start:end]
-            x = _matrix([vectors[i] for i in part])
-            for name, got in route(pickle.loads(trees[part[0]]), x, np.arange(len(part)), leaf[part[0]]):
-                names += [name] * len(got)
-                rows.append(row[part[got]])
-            start = end
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.zeros(0, np.int64), *rows])), pa.array(names, pa.string())], ["row", "leaf"])
-
-
-def leaves(vectors: DataFrame) -> DataFrame:
+def leaves(vectors: DataFrame, width: int) -> DataFrame:
     """row and leaf for rows (row, vec, dims): every leaf of every tree that a vector reaches."""
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        name = key[0]
+        share = len(frame) / frame["n"].iloc[0]
+        seed = int.from_bytes(name.encode()[-6:], "little")
+        tree = fit_tree(_matrix(frame["vec"].tolist(), width), LEAF * share, np.random.default_rng(seed))
+        # a node that no round makes smaller is compared as it is
+        return pd.DataFrame({"leaf": [name], "tree": [pickle.dumps(True if tree is False else tree)]})
+
+    def routed(key: tuple, frame: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({"row": [], "leaf": []}).astype({"row": "int64", "leaf": "object"})
+        x, row = _matrix(frame["vec"].tolist(), width), frame["row"].to_numpy()
+        got = list(route(pickle.loads(trees["tree"].iloc[0]), x, np.arange(len(x)), key[0]))
+        return pd.DataFrame({"row": row[np.concatenate([at for _, at in got])],
+                             "leaf": np.repeat(np.array([name for name, _ in got], object), [len(at) for _, at in got])})
+
     pending = vectors.select("row", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.concat_ws(":", "dims", t, F.lit("")))).alias("leaf"))
     pending, done = kept_table(pending, "forest-leaves"), []
+    slices = F.ceil(F.col("n") / SAMPLE).cast("int")
     for _ in range(_ROUNDS):
         sizes = kept_table(pending.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "forest-sizes")
         large = sizes.where((F.col("n") > LEAF) & ~F.col("leaf").endswith("!"))
         done.append(pending.join(sizes.where((F.col("n") <= LEAF) | F.col("leaf").endswith("!")), "leaf").select("row", "leaf"))
         if large.isEmpty():
             break
-        picked = pending.join(large, "leaf").where(
-            F.pmod(F.xxhash64("row", "leaf"), F.lit(1 << 40)) < F.lit(SAMPLE * (1 << 40)) / F.col("n"))
-        trees = picked.join(vectors.select("row", "vec"), "row").select("leaf", "n", "vec").groupBy("leaf").applyInPandas(
-            _fit, "leaf string, tree binary")
-        trees = kept_table(trees, "forest-trees")
-        pending = kept_table(pending.join(trees, "leaf").join(vectors.select("row", "vec"), "row").select(
-            "row", "leaf", "vec", "tree").mapInArrow(_routed, "row long, leaf string"), "forest-leaves")
+        placed = pending.join(large, "leaf").join(vectors.select("row", "vec"), "row")
+        picked = placed.where(F.pmod(F.xxhash64("row", "leaf"), F.lit(1 << 40)) < F.lit(SAMPLE * (1 << 40)) / F.col("n"))
+        trees = kept_table(picked.select("leaf", "n", "vec").groupBy("leaf").applyInPandas(fit, "leaf string, tree binary"), "forest-trees")
+        copies = trees.join(large, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "tree")
+        parts = placed.select("leaf", F.pmod(F.xxhash64("row"), slices).cast("int").alias("slice"), "row", "vec")
+        pending = kept_table(parts.groupBy("leaf", "slice").cogroup(copies.groupBy("leaf", "slice")).applyInPandas(
+            routed, "row long, leaf string"), "forest-leaves")
     else:
         done.append(pending)
     out = done[0]
@@ -152,14 +142,14 @@ def _first_shared(a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
     return out
 
 
-def _compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _compare(key: tuple, frame: pd.DataFrame, width: int) -> pd.DataFrame:
     """row, links (weighted) and root (a spanning link) of the linked vectors of a tile."""
     leaf, first, second = key
     left = frame[frame["block"] == first]
     right = left if first == second else frame[frame["block"] == second]
     if not len(left) or not len(right):
         return pd.DataFrame({"row": [], "links": [], "root": []}).astype("int64")
-    cosine = _matrix(left["vec"].tolist()) @ _matrix(right["vec"].tolist()).T
+    cosine = _matrix(left["vec"].tolist(), width) @ _matrix(right["vec"].tolist(), width).T
     i, j = np.nonzero(np.triu(cosine >= LEAST_COSINE, 1) if first == second else cosine >= LEAST_COSINE)
 
     def padded(side):
@@ -199,10 +189,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         item, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False)) \
         & F.coalesce(F.exists(item, lambda x: x != 0), F.lit(False))
     listed = vectors.select("vec_id", F.when(good, number).alias("embedding"))
+    width = 4 if vectors.schema["embedding"].dataType.elementType == FloatType() else 8     # floats are stored as they come
 
     def packed(batches):
         for batch in batches:
-            values = [None if x is None else np.array(x, "<f8").tobytes() for x in batch.column("embedding").to_pylist()]
+            values = [None if x is None else np.array(x, f"<f{width}").tobytes() for x in batch.column("embedding").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(values, pa.binary())], ["vec_id", "vec"])
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
@@ -210,8 +201,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     distinct = rows.where(F.col("vec").isNotNull()).groupBy("vec").agg(
         F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
     distinct = kept_table(distinct.withColumn("row", F.monotonically_increasing_id()).withColumn(
-        "dims", F.octet_length("vec") / 8), "forest-vectors")
-    reached = kept_table(leaves(distinct.select("row", "vec", F.col("dims").cast("int").alias("dims"))).distinct(), "forest-reached")
+        "dims", F.octet_length("vec") / width), "forest-vectors")
+    reached = finished(vectors.sparkSession, "forest-reached", lambda: leaves(
+        distinct.select("row", "vec", F.col("dims").cast("int").alias("dims")), width).distinct())
     tiles = reached.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     lists = reached.groupBy("row").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))     # a few dozen of a vector
     met = reached.join(tiles, "leaf").join(lists, "row").join(distinct.select("row", "vec", "weight"), "row")
@@ -219,8 +211,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = met.select("row", "leaf", "vec", "weight", "leaves", "block", other)
     met = met.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-    found = met.groupBy("leaf", "first", "second").applyInPandas(_compare, "row long, links long, root long")
-    found = kept_table(found, "forest-links")
+
+    def compared(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return _compare(key, frame, width)
+
+    found = kept_table(met.groupBy("leaf", "first", "second").applyInPandas(compared, "row long, links long, root long"), "forest-links")
     counts = found.groupBy("row").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("row").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("row"), "component")
     named = distinct.select("row", "vec", "weight", "least").join(counts, "row", "left").join(groups, "row", "left").withColumn(
@@ -228,10 +223,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = kept_table(named.join(least, "component").select(
         "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "forest-named")
-    out = rows.join(named, "vec", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = rows.join(named, "vec").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.union(rows.where(F.col("vec").isNull()).select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return finished(spark, "forest-result", lambda: near_duplicates(vectors))

@@ -205,6 +205,30 @@ def test_projection_forest(spark):
     assert projection_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_projection_forest_hot_leaf_and_floats(spark):
+    """A group that no cut parts, above two blocks, beside scattered pairs; floats; components and kept against brute force."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((700, 64))
+    x = np.vstack([base, base[5] + 0.015 * rng.standard_normal((2300, 64)), base[100:220] + 0.1 * rng.standard_normal((120, 64))]).astype("f4")
+    order = rng.permutation(len(x))
+    rows = [(int(i), x[k].tolist()) for i, k in enumerate(order)]
+    got = {r.vec_id: r for r in projection_forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    unit = x[order].astype("f8")
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert (links <= close.sum(axis=1)).all() and links.sum() >= 0.99 * close.sum()
+    least = np.arange(len(x))
+    while True:
+        new = np.minimum(least, np.where(close, least[None, :], len(x)).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    same = sum(got[i].component_id == least[i] for i in range(len(x)))
+    assert same >= 0.99 * len(x) and all(got[i].kept == (got[i].component_id == i) for i in got)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (502, 500), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
