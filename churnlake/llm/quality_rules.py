@@ -6,8 +6,8 @@ Two histograms describe a document: code points by character class, and its word
 long enough to have a stable histogram. Everything is DataFrame functions; nothing leaves the JVM.
 
 Null text counts as no words. A language without word list is compared by character classes only. Documents without language, and
-those of a language without word list that has fewer than ``MIN_DOCUMENTS`` such documents, are compared with the classes of the whole
-corpus. Repeated ids and rows are judged each for itself.
+those of any language that has fewer than ``MIN_DOCUMENTS`` documents of that length, are compared with the character classes of the whole
+corpus, so that no few documents judge themselves. Repeated ids and rows are judged each for itself.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ CLASSES = [("upper", "[A-Z]+"), ("symbol", "[#*$%&|<>]+"), ("digit", "[0-9]+"),
 N_CLASSES = len(CLASSES) + 3
 
 MIN_WORDS = 20              # fewer words fail the base rule and are left out of the references
-MIN_DOCUMENTS = 20          # fewer make no reference of their own, unless the language has a word list
+MIN_DOCUMENTS = 20          # fewer make no reference of their own
 MOST_SHIPPED = 20_000       # languages, up to which their references are broadcast
 MAX_REPEATED_PERCENT = 30   # of words inside repeated windows
 WINDOW = 8                  # words in a window, a power of two
@@ -152,7 +152,7 @@ def references(measured: DataFrame) -> References:
     listed = F.col("lang").isin(list(COMMON_WORDS))
     df = once(measured.where(F.col("n_words") >= MIN_WORDS), _whole=_total("_classes"))
     own = df.where(F.col("lang").isNotNull()).groupBy("lang").agg(_mean_classes().alias("_reference"), F.count(F.lit(1)).alias("_n"))
-    own = kept_table(own.where(listed | (F.col("_n") >= MIN_DOCUMENTS)).drop("_n"), "quality-means")
+    own = kept_table(own.where(F.col("_n") >= MIN_DOCUMENTS).drop("_n"), "quality-means")
     every = _mean_of_all(df)
     df = once(_beside(df, own), _far=_distance("_classes", F.col("_whole"), F.col("_reference")),
               _far_off=_distance("_classes", F.col("_whole"), _literals(every))).drop("_reference")
@@ -209,11 +209,11 @@ def _oracle() -> str:
 
     part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((p + q) / 2)) ELSE 0 END"
 
-    def distance(out: str, name: str, rows: str) -> str:
-        return f"""{out} AS (SELECT rn, any_value(lang) AS lang, sqrt(greatest(0, sum({part.format('p')} + {part.format('q')}) / 2)) AS far
-            FROM (SELECT rn, lang, unnest({name}) AS p, generate_subscripts({name}, 1) AS k FROM m)
-            JOIN (SELECT lang, k, avg(v) AS q FROM (SELECT lang, unnest({name}) AS v, generate_subscripts({name}, 1) AS k FROM {rows})
-                GROUP BY lang, k) USING (lang, k) GROUP BY rn)"""
+    def distance(out: str, name: str, judged: str, rows: str) -> str:
+        return f"""{out} AS (SELECT rn, ref, sqrt(greatest(0, sum({part.format('p')} + {part.format('q')}) / 2)) AS far
+            FROM (SELECT rn, ref, unnest({name}) AS p, generate_subscripts({name}, 1) AS k FROM {judged})
+            JOIN (SELECT ref, k, avg(v) AS q FROM (SELECT ref, unnest({name}) AS v, generate_subscripts({name}, 1) AS k FROM {rows})
+                GROUP BY ref, k) USING (ref, k) GROUP BY rn, ref)"""
 
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -232,19 +232,23 @@ h AS (SELECT *, list_transform(listed, lambda y: len(list_filter(words, lambda x
     FROM c),
 m AS (SELECT *, list_transform(counts, lambda x: x / nullif(size, 0)) AS classes,
     list_transform(list_append(hits, n_words - coalesce(list_sum(hits), 0)::BIGINT), lambda x: x / nullif(n_words, 0)) AS common FROM h),
-long_enough AS (SELECT * FROM m WHERE n_words >= {MIN_WORDS} AND listed IS NOT NULL),
-{distance('first_far', 'classes', 'long_enough')},
-typical AS (SELECT * FROM long_enough JOIN first_far USING (rn, lang) JOIN (
-    SELECT lang, avg(far) AS average FROM first_far JOIN long_enough USING (rn, lang) GROUP BY lang) USING (lang)
+long_enough AS (SELECT * FROM m WHERE n_words >= {MIN_WORDS}),
+own AS (SELECT lang, 'of ' || lang AS ref FROM long_enough WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {MIN_DOCUMENTS}),
+judged AS (SELECT m.*, coalesce(own.ref, 'all') AS ref FROM m LEFT JOIN own USING (lang)),
+base AS (SELECT rn, ref, classes, common FROM long_enough JOIN own USING (lang)
+    UNION ALL SELECT rn, 'all', classes, common FROM long_enough),
+{distance('first_far', 'classes', 'base', 'base')},
+typical AS (SELECT * FROM base JOIN first_far USING (rn, ref) JOIN (SELECT ref, avg(far) AS average FROM first_far GROUP BY ref) USING (ref)
     WHERE far <= average + 1e-9),
-{distance('classes_far', 'classes', 'typical')},
-{distance('common_far', 'common', 'typical')}
+worded AS (SELECT * FROM judged WHERE listed IS NOT NULL AND ref <> 'all'),
+{distance('classes_far', 'classes', 'judged', 'typical')},
+{distance('common_far', 'common', 'worded', 'typical')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed,
     NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words
-        OR listed IS NOT NULL AND size >= {MIN_CHARS_FOR_CLASSES} AND coalesce(classes_far.far > {MAX_CLASS_DISTANCE} + {CLASS_NOISE} / sqrt(size), FALSE)
-        OR listed IS NOT NULL AND n_words >= {MIN_WORDS_FOR_COMMON} AND coalesce(common_far.far > {MAX_COMMON_DISTANCE}, FALSE)) AS kept
-FROM m LEFT JOIN classes_far USING (rn) LEFT JOIN common_far USING (rn)
+        OR size >= {MIN_CHARS_FOR_CLASSES} AND coalesce(classes_far.far > {MAX_CLASS_DISTANCE} + {CLASS_NOISE} / sqrt(size), FALSE)
+        OR n_words >= {MIN_WORDS_FOR_COMMON} AND coalesce(common_far.far > {MAX_COMMON_DISTANCE}, FALSE)) AS kept
+FROM judged LEFT JOIN classes_far USING (rn) LEFT JOIN common_far USING (rn)
 """
 
 

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -116,6 +117,21 @@ def test_quality_judges_every_language(spark):
     assert quality_rules.apply(df).where("lang IS NULL AND class_distance IS NULL").count() == 0
 
 
+def test_quality_few_documents_do_not_judge_themselves(spark, tmp_path):
+    """A lone document of a language with a word list meets the corpus; the oracle agrees on every language, null too."""
+    folder = "/root/testdata/sf0.01"
+    texts = [r.text for r in read_table(spark, folder, "documents").where("lang = 'en' AND n_chars > 800").orderBy("doc_id").limit(70).collect()]
+    junk = [" ".join(w + "###" for w in t.split()) for t in texts[:4]]
+    langs = ["en"] * 40 + ["it"] * 25 + [None] * 5 + ["de", "xx", None, "en"]
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(texts + junk, langs))] + [(99, None, None), (100, "short one", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in quality_rules.op10_quality_rules(spark, str(tmp_path)).collect()}
+    assert not {r[0] for r in got if r[-1]} & {70, 71, 72, 73} and sum(r[-1] for r in got) >= 40
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == set(con.execute(quality_rules.ORACLE).fetchall())
+
+
 # -- packing ---------------------------------------------------------------------------------------
 def test_configurations_hold_the_histogram():
     rng = np.random.default_rng(3)
