@@ -1,14 +1,18 @@
 """Jaccard join of texts on word n-grams, by vertical partitioning.
 
-A global order puts rare n-grams first: n-grams are counted over all texts in ``2 ** BUCKET_BITS`` hash buckets (a table of fixed size),
-and an n-gram is ordered by its bucket's count, then by its hash. The order is cut into fragments. The first fragment of each
-text is its prefix, long enough that two texts that link must share an n-gram in it; overlaps in prefixes are counted per pair, and the
-count bounds the whole overlap from above, which drops nearly all pairs that don't link. For the others the overlaps of the
-fragments of the rest of the order are counted separately and summed per pair; the sum decides exactly.
-
-Texts with equal n-gram sets are one class, whatever their number. Lists of classes that share a prefix n-gram are not expanded
-into all pairs: a class is first compared with the most central class of its lists, and the links found join classes to components.
-Only then are pairs formed, and only between classes of different components, so a large group of near copies costs rows in
+Texts with equal n-gram sets are one class, whatever their number. N-grams are counted exactly over the classes; one that a single class has
+is in no overlap and goes. A class whose remaining n-grams are fewer than a link needs can't link, so its rows go too, which leaves further
+n-grams with one class; this is repeated while the table shrinks by a tenth.
+
+The global order puts rare n-grams first: by the octave of their count, then by hash. The n-grams that went come before all others, since no
+two classes share them. The first fragment of each class is its prefix, long enough that two classes that link must share an n-gram in it;
+overlaps in prefixes are counted per pair, and the count bounds the whole overlap from above, which drops nearly all pairs that don't link.
+For the others the overlaps of the fragments of the order (octaves, cut again by the leading bits of the hash) are counted separately and
+summed per pair; the sum decides exactly.
+
+Lists of classes that share a prefix n-gram are not expanded into all pairs: a class is compared with one class of its lists, at first with
+the most central, then with others, and the links found join classes to components, as long as a round finds links for a twentieth of the
+classes. Only then are pairs formed, and only between classes of different components, so a large group of near copies costs rows in
 proportion to its size. The components are those of all links.
 
 Hashes have 64 bits; a chance collision inside a pair of texts is what could change a count. Null ids and null, empty or blank texts link
@@ -17,25 +21,22 @@ with nothing. A text with fewer words than n has one n-gram, all its words. Repe
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlake.llm.components import components
 from churnlake.llm.tables import free_name, kept_table, read_table
 from churnlake.llm.text_arrays import grams, mix, slices, words
+from churnlake.session import finished
 
-BUCKET_BITS = 20
-FRAGMENTS = 8
-_LOW = 64 - BUCKET_BITS
-
-
-class Order(NamedTuple):
-    rank: np.ndarray        # by bucket: its place in the global order
-    cuts: np.ndarray        # ranks at which fragments begin, but the first
+SHRINK = 0.9            # rows that a round must leave at most for another one
+FRESH = 20              # another round of comparisons if one class in so many was linked
+_ROWS = "gram long, sig long, size long"
+BITS = 2                # leading bits of the hash that cut an octave into fragments
 
 
 def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,42 +60,15 @@ def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """A row (id, size, sig) for each text and rows (bucket, texts) that count the n-grams of a task's texts."""
-    kind = docs.schema["id"].dataType.simpleString()
-
+    """A row (id, size, sig) for each text."""
     def run(batches):
-        counts, ids = np.zeros(1 << BUCKET_BITS, np.int64), None
-        names = ["id", "size", "sig", "bucket", "texts"]
         for whole in batches:
             for batch in slices(whole, "text"):
                 hashes, bounds = _sets(batch.column("text"), n)
-                counts += np.bincount((hashes >> np.uint64(_LOW)).astype(np.int64), minlength=len(counts))
                 sizes, sig = np.diff(bounds), _signatures(hashes, bounds).view(np.int64)
-                ids, none = batch.column("id"), pa.nulls(batch.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sig, mask=sizes == 0), none, none], names)
-        at = np.flatnonzero(counts)
-        if len(at):
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), ids.type), none, none, pa.array(at), pa.array(counts[at])], names)
-
-    return docs.mapInArrow(run, f"id {kind}, size long, sig long, bucket long, texts long")
-
-
-def _order(survey: DataFrame) -> Order:
-    sums = survey.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("texts").alias("n")).toArrow().to_pandas()
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)            # 2 ** BUCKET_BITS rows at most
-    counts[sums["bucket"].to_numpy().astype(np.int64)] = sums["n"].to_numpy()
-    order = np.argsort(counts, kind="stable")
-    rank = np.empty(len(counts), np.uint32)
-    rank[order] = np.arange(len(counts), dtype=np.uint32)
-    mass = np.cumsum(counts[order])
-    return Order(rank, np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS).astype(np.uint64))
-
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(sig, mask=sizes == 0)], ["id", "size", "sig"])
 
-def _ranked(hashes: np.ndarray, order: Order) -> np.ndarray:
-    """The hashes as numbers in the global order: bucket's rank, then the rest of the hash."""
-    rank = order.rank[(hashes >> np.uint64(_LOW)).astype(np.int64)].astype(np.uint64)
-    return (rank << np.uint64(_LOW)) | (hashes & np.uint64((1 << _LOW) - 1))
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, size long, sig long")
 
 
 def _least(size, percent: int):
@@ -102,14 +76,14 @@ def _least(size, percent: int):
     return (size * percent + 99) // 100 if isinstance(size, np.ndarray) else F.expr(f"({size} * {percent} + 99) div 100")
 
 
-def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """gram, sig and size for the prefix n-grams of every class a task sees."""
+def _entries(docs: DataFrame, n: int) -> DataFrame:
+    """gram, sig and size for the n-grams of every class a task sees."""
     def run(batches):
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "text"):
                 hashes, bounds = _sets(batch.column("text"), n)
-                sig, sizes = _signatures(hashes, bounds), np.diff(bounds)
+                sig, sizes = _signatures(hashes, bounds).view(np.int64), np.diff(bounds)
                 usable = (sizes > 0) & np.asarray(batch.column("id").is_valid())
                 fresh = np.zeros(len(sig), bool)
                 for i in np.flatnonzero(usable).tolist():
@@ -117,18 +91,12 @@ def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                         seen.add(s)
                         fresh[i] = True
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                hashes, owner = _ranked(hashes[fresh[owner]], order.value), owner[fresh[owner]]
-                by = np.lexsort((hashes, owner))
-                hashes, owner = hashes[by], owner[by]
-                first = np.searchsorted(owner, np.arange(len(sizes)))
-                place = np.arange(len(owner)) - first[owner]
-                take = place <= sizes[owner] - _least(sizes, percent)[owner]
+                take = fresh[owner]
                 hashes, owner = hashes[take], owner[take]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(sig.view(np.int64)[owner]), pa.array(sizes[owner])],
-                    ["gram", "sig", "size"])
+                    [pa.array(hashes.view(np.int64)), pa.array(sig[owner]), pa.array(sizes[owner])], ["gram", "sig", "size"])
 
-    return docs.mapInArrow(run, "gram long, sig long, size long")
+    return docs.mapInArrow(run, _ROWS)
 
 
 def _lists(batches):
@@ -166,94 +134,116 @@ def _plausible(a: str, b: str, shared: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (bound >= least)
 
 
-def _fragments(docs: DataFrame, needed: DataFrame, order, n: int) -> DataFrame:
-    """sig, fragment and grams (binary, sorted) of the needed classes, read from one text of each."""
-    wanted = docs.join(needed, "id")
+def _shared_grams(entries: DataFrame) -> DataFrame:
+    """The rows whose n-gram more than one class has, each class once."""
+    return entries.repartition("gram").sortWithinPartitions("gram", "sig").mapInArrow(_lists, _ROWS)
 
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                hashes, bounds = _sets(batch.column("text"), n)
-                right = _signatures(hashes, bounds).view(np.int64) == np.asarray(batch.column("sig"))
-                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                owner, hashes = owner[right[owner]], _ranked(hashes, order.value)[right[owner]]
-                by = np.lexsort((hashes, owner))
-                hashes, owner = hashes[by], owner[by]
-                part = np.searchsorted(order.value.cuts, hashes >> np.uint64(_LOW), "right")
-                key = owner * FRAGMENTS + part
-                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-                data, ends = hashes.tobytes(), np.append(starts[1:], len(key))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(batch.column("sig"))[owner[starts]]), pa.array(part[starts].astype(np.int32)),
-                     pa.array([data[8 * a:8 * b] for a, b in zip(starts, ends)], pa.binary())], ["sig", "fragment", "grams"])
 
-    # a repeated id can bring the text of a class more than once
-    return wanted.mapInArrow(run, "sig long, fragment int, grams binary").dropDuplicates(["sig", "fragment"])
+def _able(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of classes that have n-grams enough for a link, and ``own``, the number of those."""
+    counted = rows.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+    return counted.where(F.col("own") >= _least("size", percent))
 
 
-def _overlaps(batches):
-    for batch in batches:
-        shared = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                  for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "size_a", "size_b")),
-                                          pa.array(shared, pa.int64())], ["a", "b", "size_a", "size_b", "shared"])
+def _ordered(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """gram, sig, size and octave of the n-grams that can be part of a link."""
+    rows = kept_table(_shared_grams(_entries(docs, n)), "ngram-shared")
+    before = rows.count()
+    while before:
+        rows = kept_table(_shared_grams(_able(rows, percent).drop("own")), "ngram-shared")
+        after = rows.count()
+        if after > SHRINK * before:
+            break
+        before = after
+    counts = rows.groupBy("gram").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("octave"))
+    return rows.join(counts, "gram").select("gram", "sig", "size", "octave")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b, size_a, size_b) whose whole overlap is large enough."""
+def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
+    """gram, sig and size of the prefixes."""
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("octave", "gram"))
+    able = _able(ordered, percent).withColumn("place", place)
+    return _shared_grams(able.where(F.col("place") <= F.col("own") - _least("size", percent) + 1).select("gram", "sig", "size"))
+
+
+def _linked(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, size_a, size_b) whose whole overlap is large enough."""
     pairs = kept_table(pairs, "ngram-pairs")
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    parts = kept_table(_fragments(docs, classes.join(ends, "sig").select("id", "sig"), order, n), "ngram-fragments")
+    fragment = (F.col("octave") * (1 << BITS) + F.shiftrightunsigned("gram", 64 - BITS)).alias("fragment")
+    parts = kept_table(ordered.join(ends, "sig", "left_semi").groupBy("sig", fragment).agg(
+        F.collect_list("gram").alias("grams")), "ngram-fragments")
     side = {x: parts.select(F.col("sig").alias(x), "fragment", F.col("grams").alias(f"grams_{x}")) for x in "ab"}
-    met = pairs.join(side["b"], "b").join(side["a"], ["a", "fragment"]).select("a", "b", "size_a", "size_b", "grams_a", "grams_b")
-    counted = met.mapInArrow(_overlaps, "a long, b long, size_a long, size_b long, shared long")
-    sums = counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
+    met = pairs.join(side["b"], "b").join(side["a"], ["a", "fragment"])
+    sums = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("shared"))
     return sums.where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b")
 
 
-def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n_shingles and component_id (the smallest id reachable by links) for rows (id, text)."""
-    context = docs.sparkSession.sparkContext
-    survey = kept_table(_survey(docs, n), "ngram-survey")
-    members = survey.where(F.col("bucket").isNull()).select("id", "size", "sig")
-    classes = kept_table(members.where(F.col("sig").isNotNull() & F.col("id").isNotNull()).groupBy("sig").agg(
-        F.min("id").alias("id")), "ngram-classes")
-    if classes.isEmpty():
-        return members.select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"))
-    order = context.broadcast(_order(survey))
-    entries = _prefixes(docs, order, n, percent)
-    lists = kept_table(entries.repartition("gram").sortWithinPartitions("gram", "sig").mapInArrow(
-        _lists, "gram long, sig long, size long"), "ngram-lists")
-
-    # first each class with the most central one of its lists, which shares most prefix n-grams with others
-    central = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("central"))
-    scored = kept_table(lists.join(central, "sig"), "ngram-scored")
-    heads = kept_table(scored.groupBy("gram").agg(F.max(F.struct("central", "sig", "size")).alias("m")).select(
-        "gram", F.col("m.sig").alias("head"), F.col("m.size").alias("head_size")), "ngram-heads")
-    shared = scored.join(heads, "gram").where(F.col("sig") != F.col("head")).groupBy("sig", "size", "head", "head_size").agg(
-        F.count(F.lit(1)).alias("shared")).where(_plausible("size", "head_size", "shared", percent))
+def _near(rows: DataFrame, ordered: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links of the classes with one class of another component in their lists (rows: gram, sig, size, root), the one that shares most of
+    their prefix. A list offers its most central class in the first turn, any other one by a hash in later turns."""
+    if turn:
+        rows = rows.withColumn("central", F.xxhash64("sig", F.lit(turn)))
+    else:
+        rows = rows.join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("central")), "sig")
+    rows = kept_table(rows, "ngram-scored")
+    heads = rows.groupBy("gram").agg(F.max(F.struct("central", "sig", "size", "root")).alias("m")).select(
+        "gram", F.col("m.sig").alias("head"), F.col("m.size").alias("head_size"), F.col("m.root").alias("head_root"))
+    met = rows.join(heads, "gram").where(
+        (F.col("root") != F.col("head_root")) & (100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size")))
+    shared = met.groupBy("sig", "size", "head", "head_size").agg(F.count(F.lit(1)).alias("shared")).where(
+        _plausible("size", "head_size", "shared", percent))
     best = shared.groupBy("sig", "size").agg(F.max(F.struct("shared", "head", "head_size")).alias("m"))
-    pairs = best.select(F.col("m.head").alias("a"), F.col("sig").alias("b"), F.col("m.head_size").alias("size_a"),
-                        F.col("size").alias("size_b"))
-    near = kept_table(_linked(pairs, docs, classes, order, n, percent), "ngram-links")
-    roots = components(near).select(F.col("node").alias("sig"), "component")
-
-    # then all pairs of classes of different components that share a prefix n-gram
-    rows = kept_table(lists.join(roots, "sig", "left").select(
-        "gram", "sig", "size", F.coalesce("component", "sig").alias("root")).distinct(), "ngram-rows")
-    groups = kept_table(rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k")), "ngram-groups")
-    meet = groups.select("gram", F.col("root").alias("root_a")).join(
-        groups.select("gram", F.col("root").alias("root_b")), "gram").where(F.col("root_a") < F.col("root_b"))
+    return _linked(best.select(F.col("m.head").alias("a"), F.col("sig").alias("b"), F.col("m.head_size").alias("size_a"),
+                               F.col("size").alias("size_b")), ordered, percent)
+
+
+def _far(rows: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """All links between classes of different components (rows: gram, sig, size, root)."""
+    groups = kept_table(rows.groupBy("gram", "root").agg(F.min("size").alias("low"), F.max("size").alias("high")), "ngram-groups")
+    one, two = (groups.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "low", "high")]) for x in "ab")
+    meet = one.join(two, "gram").where(
+        (F.col("root_a") < F.col("root_b")) & (100 * F.col("high_a") >= percent * F.col("low_b"))
+        & (100 * F.col("high_b") >= percent * F.col("low_a"))).select("gram", "root_a", "root_b")
     side = {x: rows.select("gram", F.col("root").alias(f"root_{x}"), F.col("sig").alias(x), F.col("size").alias(f"size_{x}"))
             for x in "ab"}
     met = meet.join(side["a"], ["gram", "root_a"]).join(side["b"], ["gram", "root_b"])
     met = met.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    rest = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared")).where(
-        _plausible("size_a", "size_b", "shared", percent)).drop("shared")
-    far = _linked(rest, docs, classes, order, n, percent)
+    return _linked(met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared")).where(
+        _plausible("size_a", "size_b", "shared", percent)).drop("shared"), ordered, percent)
+
 
-    found = components(near.union(far)).select(F.col("node").alias("sig"), "component")
-    named = classes.join(found, "sig", "left").select("sig", "id", F.coalesce("component", "sig").alias("root"))
+def _roots(lists: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """sig and root for the classes that link with another one."""
+    spark = lists.sparkSession
+    rows, classes = lists.withColumn("root", F.col("sig")), lists.select("sig").distinct().count()
+    links = None
+    if not classes:
+        return lists.select("sig", F.col("sig").alias("root"))
+
+    def merged() -> DataFrame:
+        return components(links).select(F.col("node").alias("sig"), F.col("component").alias("root"))
+
+    for turn in count():
+        found = finished(spark, "ngram-links", lambda: _near(rows, ordered, percent, turn))
+        links = found if links is None else links.union(found)
+        roots = finished(spark, "ngram-roots", merged)
+        rows = kept_table(lists.join(roots, "sig", "left").select("gram", "sig", "size", F.coalesce("root", "sig").alias("root")), "ngram-rows")
+        if FRESH * found.count() <= classes:
+            break
+    links = links.union(finished(spark, "ngram-links", lambda: _far(rows, ordered, percent)))
+    return finished(spark, "ngram-roots", merged)
+
+
+def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, n_shingles and component_id (the smallest id reachable by links) for rows (id, text)."""
+    spark = docs.sparkSession
+    members = kept_table(_survey(docs, n), "ngram-survey")
+    classes = members.where(F.col("sig").isNotNull() & F.col("id").isNotNull()).groupBy("sig").agg(F.min("id").alias("id"))
+    ordered = finished(spark, "ngram-ordered", lambda: _ordered(docs, n, percent))
+    lists = finished(spark, "ngram-lists", lambda: _prefixes(ordered, percent))
+    found = finished(spark, "ngram-found", lambda: _roots(lists, ordered, percent))
+    named = classes.join(found, "sig", "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     by_class = kept_table(named.join(least, "root").select("sig", "component_id"), "ngram-named")
     out = members.join(by_class, "sig", "left")
