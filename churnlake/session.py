@@ -86,19 +86,34 @@ def intermediate_tables(spark: SparkSession) -> Iterator[list[str]]:
             remove_path(spark, path)
 
 
+#: Spark's own setting: the shuffle files of a job go when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Write Parquet; the shuffle files of the write, which no later job reads, go at its end. A lost executor during the write costs its part anew, as ever."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
+
+
 def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The rows of ``make()``, written; every table staged on the way is removed. The result belongs to the scope around, if any."""
     path = work_path(spark, name)
     with intermediate_tables(spark):
         rows = make()
-        rows.write.parquet(path)
+        write_table(rows, path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later stages scan only the columns they need."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
