@@ -204,10 +204,13 @@ def _far(rows: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     one, two = (groups.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "low", "high")]) for x in "ab")
     meet = one.join(two, "gram").where(
         (F.col("root_a") < F.col("root_b")) & (100 * F.col("high_a") >= percent * F.col("low_b"))
-        & (100 * F.col("high_b") >= percent * F.col("low_a"))).select("gram", "root_a", "root_b")
+        & (100 * F.col("high_b") >= percent * F.col("low_a"))).select("gram", "root_a", "root_b", "low_b", "high_b")
     side = {x: rows.select("gram", F.col("root").alias(f"root_{x}"), F.col("sig").alias(x), F.col("size").alias(f"size_{x}"))
             for x in "ab"}
-    met = meet.join(side["a"], ["gram", "root_a"]).join(side["b"], ["gram", "root_b"])
+    # of the first component only the classes whose size some class of the second one allows
+    met = meet.join(side["a"], ["gram", "root_a"]).where(
+        (100 * F.col("size_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("size_a")))
+    met = met.join(side["b"], ["gram", "root_b"])
     met = met.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     return _linked(met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared")).where(
         _plausible("size_a", "size_b", "shared", percent)).drop("shared"), ordered, percent)

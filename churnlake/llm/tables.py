@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.session import work_path
+from churnlake.session import work_path, write_table
 
 #: Code points between words; everything else belongs to a word.
 WORD_GAP = r"[\x20\x09-\x0D]"
@@ -21,7 +21,7 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs a re-read and no recomputation. Inside a scope of ``session`` it is removed at the scope's end."""
     spark = df.sparkSession
     path = work_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
