@@ -22,17 +22,23 @@ def trailing_series(df: DataFrame, keys: list[str], value: str, ts: str = "creat
     Times count in whole seconds here: an event a fraction of a second older than the window is still in it.
 
     Events are counted per second first. Each second then belongs to its own time bucket and, as
-    history, to the next one, so a window task holds two buckets of one key however long the log is.
+    history, to the next one, where it also leaves the window: a running sum adds and takes away, so a
+    task holds two buckets of one key however long the log is, and a second costs the same however many are in its window.
     """
     per_second = df.groupBy(*keys, epoch_seconds(F.col(ts)).alias("second")).agg(
         F.count("*").alias("n"), F.coalesce(exact_sum(F.col(value)), F.lit(0.0)).alias("s"))
     bucket = F.floor(F.col("second") / seconds)
-    homes = F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")),
-                              F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own"))))
-    window = Window.partitionBy(*keys, "home.bucket").orderBy("second").rangeBetween(-seconds, 0)
+
+    def home(bucket: Column, own: bool, at: Column, sign: Column) -> Column:
+        return F.struct(bucket.alias("bucket"), F.lit(own).alias("own"), at.alias("at"), sign.alias("sign"))
+    second = F.col("second")
+    homes = F.explode(F.array(home(bucket, True, second, F.lit(1)), home(bucket + 1, False, second, F.lit(1)),
+                              home(bucket + 1, False, second + seconds + 1, F.when(second.isNull(), 0).otherwise(-1))))
+    window = Window.partitionBy(*keys, "home.bucket").orderBy("home.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         per_second.withColumn("home", homes)
-        .withColumns({"calls": F.sum("n").over(window), "total": exact_sum(F.col("s"), window)})
+        .withColumns({"calls": F.sum(F.col("n") * F.col("home.sign")).over(window),
+                      "total": exact_sum(F.col("s") * F.col("home.sign"), window)})
         .where("home.own")
         .select(*keys, F.timestamp_seconds("second").cast("timestamp_ntz").alias("second"), "calls",
                 "total", half_even(F.col("total") / F.col("calls"), 4).alias("mean"))

@@ -208,3 +208,15 @@ def test_restarted_stream_adds_nothing(spark, folder):
         events = monitors.event_stream(spark, f"{folder}/events.parquet*")
         return monitors.run_available(adapters.calls_from_events(events), "log", path).count()
     assert once() == once() == 1000
+
+
+def test_trailing_series_keeps_a_running_sum(spark):
+    """Full windows, an edge at exactly the window's length and one second beyond it; the plan has no sliding frame."""
+    at = [T0 + timedelta(seconds=x) for x in (*range(0, 40), 900, 939, 940, 1801)]
+    df = spark.createDataFrame([("a", x, float(i)) for i, x in enumerate(at)], "path string, created_at timestamp_ntz, duration_ms double")
+    rows = monitoring.trailing_series(df, ["path"], "duration_ms")
+    found = {r.second: (r.calls, r.total) for r in rows.collect()}
+    for x in at:
+        inside = [i for i, y in enumerate(at) if x - timedelta(seconds=900) <= y <= x]
+        assert found[x] == (len(inside), float(sum(inside)))
+    assert "unboundedpreceding" in rows._jdf.queryExecution().optimizedPlan().toString().lower()
