@@ -1,7 +1,7 @@
 """Lloyd's k-means for many starts at a time.
 
-An iteration reads the table once: every row is copied to the starts that still move, finds its nearest centre in each by plain arithmetic, and one
-aggregate sums rows by (start, cluster). Only these sums, starts x clusters of them, reach the driver, which moves the centres. A start
+An iteration reads the table once: each task finds the nearest centres of its rows, which are packed in blocks, for all starts that still move, and sends
+its sums by (start, cluster); one aggregate adds them up. Only these, starts x clusters of them, reach the driver, which moves the centres. A start
 rests when none of its centres moves more than ``TOLERANCE``; the cheapest start of all wins, the first on a tie.
 
 First centres are drawn by k-means++ from at most ``SEED_ROWS`` rows with the smallest hashes, whatever the size of the table; everything
@@ -10,14 +10,17 @@ after that is over all rows. A cluster that loses all its rows keeps its centre.
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 SEED_ROWS = 2000
 TOLERANCE = 1e-4
+_TILE = 2048                    # rows whose distances to all centres are in memory at a time
 
 
 @dataclass
@@ -57,22 +60,52 @@ def _first_centers(rows: np.ndarray, k: int, seed: int) -> list[list[float]]:
     return [[float(v) for v in x] for x in centers]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The doubles of each batch, column after column, as one binary value: passes needn't turn rows into batches again."""
+    for batch in batches:
+        if batch.num_rows:
+            values = np.stack([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary())], ["block"])
+
+
+def _nearest_sums(batches: Iterator[pa.RecordBatch], starts: list[int], centers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One task's (start, cluster, rows, cost, sums of the columns) of packed blocks. ``centers`` is starts x clusters x columns; distances add up
+    in the order of the columns, as those of ``Clusters.nearest`` do, and the first centre wins a tie."""
+    count, k, width = centers.shape
+    sums = np.zeros((count, k, width + 2))
+    for block in (value.as_buffer() for batch in batches for value in batch.column(0)):
+        values = np.frombuffer(block).reshape(width, -1)
+        for first in range(0, values.shape[1], _TILE):
+            rows = values[:, first:first + _TILE]
+            far = np.zeros((count, k, rows.shape[1]))
+            for i in range(width):
+                far += (rows[i] - centers[:, :, i, None]) ** 2
+            found = far.argmin(axis=1)
+            best = np.take_along_axis(far, found[:, None, :], axis=1)[:, 0]
+            for s in range(count):
+                for i, weights in enumerate([None, best[s], *rows]):        # no weights: the rows themselves
+                    sums[s, :, i] += np.bincount(found[s], weights, k)
+    used = [(s, j) for s in range(count) for j in range(k) if sums[s, j, 0]]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([starts[s] for s, _ in used], pa.int32()), pa.array([j for _, j in used], pa.int32()),
+         pa.array([int(sums[s, j, 0]) for s, j in used], pa.int64()),
+         *[pa.array([sums[s, j, i] for s, j in used], pa.float64()) for i in range(1, width + 2)]],
+        ["start", "cluster", "n", "cost", *[f"sum{i}" for i in range(width)]])
+
+
 class _Pass:
-    """One scan: (rows, cost, sums of the columns) by start and cluster. Expressions are built once; centres are a constant."""
+    """One scan: (rows, cost, sums of the columns) by start and cluster, a row per task and pair before they are summed."""
 
-    def __init__(self, matrix: DataFrame, k: int):
-        self.matrix, self.columns = matrix, matrix.columns
-        fields = [f"c{j}_{i}" for j in range(k) for i in range(len(self.columns))]
-        self.schema = "array<struct<start: int, " + ", ".join(f"{x}: double" for x in fields) + ">>"
-        self.fields = fields
-        number, best = _nearest([[F.col(f"s.c{j}_{i}") for i in range(len(self.columns))] for j in range(k)], [F.col(x) for x in self.columns])
-        self.found = [F.col("s.start").alias("start"), number.alias("cluster"), best.alias("far"), *self.columns]
-        self.sums = [F.count("*").alias("n"), F.sum("far").alias("cost"), *[F.sum(x).alias(x) for x in self.columns]]
+    def __init__(self, matrix: DataFrame):
+        self.blocks = matrix.mapInArrow(_packed, "block binary").persist(StorageLevel.MEMORY_AND_DISK)
+        sums = [f"sum{i}" for i in range(len(matrix.columns))]
+        self.schema = "start int, cluster int, n long, cost double, " + ", ".join(f"{x} double" for x in sums)
+        self.sums = [F.sum(x).alias(x) for x in ["n", "cost", *sums]]
 
     def __call__(self, centers: dict[int, list[list[float]]]) -> dict[tuple[int, int], tuple]:
-        text = json.dumps([{"start": s, **dict(zip(self.fields, [v for x in found for v in x]))} for s, found in centers.items()])
-        copies = self.matrix.select(*self.columns, F.explode(F.from_json(F.lit(text), self.schema)).alias("s"))
-        sums = copies.select(*self.found).groupBy("start", "cluster").agg(*self.sums)
+        starts, places = list(centers), np.array(list(centers.values()), float)
+        found = self.blocks.mapInArrow(lambda batches: _nearest_sums(batches, starts, places), self.schema)
+        sums = found.groupBy("start", "cluster").agg(*self.sums)
         return {(r["start"], r["cluster"]): (r["n"], r["cost"], list(r[4:])) for r in sums.collect()}      # starts x k rows
 
 
@@ -83,7 +116,7 @@ def all_starts(matrix: DataFrame, k: int, starts: int, iterations: int, seed: in
         raise ValueError("no rows to cluster")
     rows = np.array([tuple(r) for r in chosen], float)
     centers = {s: _first_centers(rows, k, seed + s) for s in range(starts)}
-    moving, sums_of = set(centers), _Pass(matrix, k)
+    moving, sums_of = set(centers), _Pass(matrix)
     for _ in range(iterations):
         sums = sums_of({s: centers[s] for s in sorted(moving)})
         for s in sorted(moving):
@@ -94,6 +127,7 @@ def all_starts(matrix: DataFrame, k: int, starts: int, iterations: int, seed: in
         if not moving:
             break
     final = sums_of(centers)
+    sums_of.blocks.unpersist()
     return [Clusters(centers[s], sum(c for (start, _), (_, c, _) in final.items() if start == s)) for s in sorted(centers)]
 
 

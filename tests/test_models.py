@@ -1,6 +1,7 @@
 """Training, evaluation, explanation and segmentation."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -209,3 +210,29 @@ def test_batch_run(spark, folder, customers):
                                   "revenue_risk struct<total_customers: int>").alias("r")).first().r
     assert report.best_model == "logistic_regression" and report.revenue_risk.total_customers == 150
     assert sum(s["count"] for s in report.segment_profile) == 150
+
+
+def test_one_pass_sends_a_row_per_task_and_cluster(spark):
+    """Sums of a pass against numpy, and what its tasks send: no row is copied to the starts."""
+    from churnlake.operators import kmeans
+    rows = np.random.default_rng(3).normal(size=(5000, 3)).round(1)
+    matrix = spark.createDataFrame([tuple(map(float, x)) for x in rows], "f0 double, f1 double, f2 double").repartition(2)
+    centers = {s: [[float(v) for v in x] for x in rows[s:s + 4]] for s in (0, 7)}
+    found = kmeans._Pass(matrix)(centers)
+    for s, places in centers.items():
+        far = np.array([[sum((r[i] - p[i]) ** 2 for i in range(3)) for p in places] for r in rows])
+        nearest = far.argmin(axis=1)
+        for j in range(4):
+            n, cost, sums = found[s, j]
+            mine = nearest == j
+            assert n == mine.sum() and cost == pytest.approx(far[mine].min(axis=1).sum()) and sums == pytest.approx(rows[mine].sum(axis=0).tolist())
+    sent = list(kmeans._nearest_sums(kmeans._packed(pa.Table.from_arrays([*rows.T], ["a", "b", "c"]).to_batches()), [0, 7], np.array([*centers.values()])))
+    assert sum(x.num_rows for x in sent) == len(found)
+
+
+def test_rows_spread_over_cores(spark):
+    from churnlake.session import LEAST_ROWS, MOST_ROWS, spread
+    one = spark.range(0, 3 * LEAST_ROWS, 1, 1)
+    assert spread(one, 3 * LEAST_ROWS).rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism)
+    assert spread(one, LEAST_ROWS).rdd.getNumPartitions() == 1
+    assert spread(one, 40 * MOST_ROWS).rdd.getNumPartitions() >= 40
