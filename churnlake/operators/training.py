@@ -24,6 +24,7 @@ from churnlake.operators.encoding import Encoder, fit_encoder, moments
 from churnlake.operators.evaluation import evaluate
 from churnlake.operators.splitting import stratified_split
 from churnlake.operators.vocabulary import Vocabulary, name_table, names_of, sparse_vectors
+from churnlake.session import spread
 
 MODELS = ["logistic_regression", "random_forest", "boosted_trees"]
 _LOADERS = {
@@ -138,7 +139,7 @@ def train_customers(df: DataFrame, models: list[str] | None = None, **sizes) ->
     ready = model_input(df, drop_duplicates=True).persist(StorageLevel.MEMORY_AND_DISK)
     split = stratified_split(ready)
     encoder = fit_encoder(split.where(F.col("split") == "train").drop("split"))
-    matrix = encoder.matrix(split, keep=[c.ID, c.TARGET, "split"]).withColumn("label", F.col(c.TARGET).cast("double"))
+    matrix = encoder.matrix(spread(split, ready.count()), keep=[c.ID, c.TARGET, "split"]).withColumn("label", F.col(c.TARGET).cast("double"))
     train = matrix.where(F.col("split") == "train").select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
     test = matrix.where(F.col("split") == "test").select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
     train.count(), test.count()
@@ -236,7 +237,8 @@ def train_custom(df: DataFrame, key: list[str] | None = None, hint: str = "churn
     _, deviations = moments(train, {x: 0.0 for x in ready.plain}) if ready.plain else ({}, {})
     words = ready.vocabulary.scaled(ready.word_counts(train), train.count())
     custom = CustomModel(name or industry, None, "", deviations, words, {})
-    matrix = custom.prepared_vectors(split.withColumn("label", F.col(ready.target).cast("double")), ["label", "split"])
+    labelled = split.withColumn("label", F.col(ready.target).cast("double"))
+    matrix = custom.prepared_vectors(spread(labelled, labelled.count()), ["label", "split"])
     parts = {x: matrix.where(F.col("split") == x).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
              for x in ("train", "test")}
     options = {"trees": 100, "rounds": 100, "balanced": False, "forest_depth": 15, "boost_depth": 3, "step": 0.1,

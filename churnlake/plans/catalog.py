@@ -16,7 +16,7 @@ from churnlake.operators import (
     ordering, paging, portfolio, recommend, scenarios, segments, sketches, splitting, training, validation,
 )
 from churnlake.plans import batch_run, customer_scoring, entities, summary
-from churnlake.session import cut_lineage, intermediate_tables, staged, work_path
+from churnlake.session import cut_lineage, intermediate_tables, over_all_cores, staged, work_path
 from churnlake.sources import adapters, files
 from churnlake.streaming import monitors
 
@@ -471,14 +471,14 @@ def _segmenter(spark, folder) -> segments.Segmenter:
 @query
 def model_scores(spark, folder):
     run = _training_run(spark, folder)
-    return training.score_batch(_customers(spark, folder), run.encoder, run.best_model).select(
+    return training.score_batch(over_all_cores(_customers(spark, folder)), run.encoder, run.best_model).select(
         "customerID", "churn_probability", "churn_label", "risk_score", "risk_category")
 
 
 @query
 def raw_probabilities(spark, folder):
     run = _training_run(spark, folder)
-    return training.raw_probabilities(_customers(spark, folder), run.encoder, run.best_model).select(
+    return training.raw_probabilities(over_all_cores(_customers(spark, folder)), run.encoder, run.best_model).select(
         "customerID", "p0", "p1")
 
 
@@ -486,7 +486,7 @@ def raw_probabilities(spark, folder):
 def saved_model_scores(spark, folder):
     """Load the saved best model, score."""
     encoder, model, _ = training.load_model(spark, _run_path(spark, folder))
-    return training.score_batch(_customers(spark, folder), encoder, model).select(
+    return training.score_batch(over_all_cores(_customers(spark, folder)), encoder, model).select(
         "customerID", "churn_probability", "risk_category")
 
 
@@ -495,7 +495,7 @@ def full_customer_scoring(spark, folder):
     run = _training_run(spark, folder)
     means = explain.background_means(run.train)
     return customer_scoring.score_customers(
-        _customers(spark, folder), run.encoder, run.best_model, _segmenter(spark, folder), means).select(
+        over_all_cores(_customers(spark, folder)), run.encoder, run.best_model, _segmenter(spark, folder), means).select(
         "customerID", "churn_probability", "risk_score", "risk_category", "churn_label", "segment",
         "recommendations", "revenue_risk", "explanation", "model_used")
 
@@ -504,7 +504,7 @@ def full_customer_scoring(spark, folder):
 def custom_model_scores(spark, folder):
     """Train on a labelled table of unknown shape, save, load, score another shape."""
     loaded = training.load_custom(spark, _custom_path(spark, folder))
-    return model_scoring.score_custom(_customers(spark, folder), loaded).select(
+    return model_scoring.score_custom(over_all_cores(_customers(spark, folder)), loaded).select(
         "customerID", "churn_probability", "risk_score", "risk_category", "churn_label", "segment", "model_used",
         "industry", "revenue_risk")
 
@@ -603,7 +603,7 @@ def importance_fallback(spark, folder):
 @query
 def importance_fallback_rows(spark, folder):
     run = _training_run(spark, folder)
-    ready = training.model_input(_customers(spark, folder), run.encoder.medians["TotalCharges"])
+    ready = training.model_input(over_all_cores(_customers(spark, folder)), run.encoder.medians["TotalCharges"])
     matrix = run.encoder.matrix(ready, keep=["customerID"])
     return explain.importance_rows(matrix, run.features, run.models["random_forest"]).select("customerID", "explanation")
 
@@ -761,7 +761,7 @@ def scenario_totals(spark, folder):
 @query
 def model_scenario_totals(spark, folder):
     run = _training_run(spark, folder)
-    scored = scenarios.simulate(_customers(spark, folder), scorer=training.scorer(run.encoder, run.best_model))
+    scored = scenarios.simulate(over_all_cores(_customers(spark, folder)), scorer=training.scorer(run.encoder, run.best_model))
     return scenarios.scenario_totals(scored)
 
 
