@@ -4,9 +4,9 @@ Symbols are the ``HEAD`` most frequent training words (seen twice or more), the
 by their own smoothed frequency (with one place for unseen words), so the model is a proper distribution over word sequences.
 Baum-Welch trains the latent states: every task runs the forward and backward recursions over its sequences and emits
 expected counts, which are summed across partitions; all training texts count whole in every pass. The first pass starts
-from noise over the counts of all training texts. A long text is trained on block by block, and the forward and backward messages
-are handed from block to block, so the counts are those of the whole sequence. The score is the exact sequence likelihood by the scaled forward
-recursion; a long text is cut into blocks whose K x K products are multiplied up, which gives the same number.
+from noise over the counts of all training texts. Sequences lie packed step by step, without padding, and their messages are kept, in groups of
+``TOKENS`` tokens. A longer text is trained on block by block, and the forward and backward messages are handed from block to block, so the
+counts are those of the whole sequence. The score is the exact sequence likelihood by the scaled forward recursion, handed on likewise.
 
 Texts are tokenised once, into a table of symbol ids in the shared folder; counts of rare words reach their texts by a join, since
 their number grows with the corpus. Null texts are empty, and an empty text is the end symbol alone. Repeated rows are scored
@@ -30,8 +30,9 @@ FOLDS, HELD_OUT = 5, 1
 HEAD = 32_768           # words with a symbol of their own
 STATES = 8
 PASSES = 14
-BLOCK = 512             # tokens in a block of the recursions
-ROWS = 2048             # blocks, or texts in training, worked on at a time
+SCALED = 8              # steps of the recursions from one scaling to the next
+TOKENS = 1 << 19        # tokens worked on at a time, a multiple of SCALED
+CHUNK = 1024            # rows of the table of expected counts that are shuffled as one value
 LEAST_COUNT = 2         # rarer words share the rare symbol
 DISCOUNT = 0.5          # taken from every expected count and given to the unigram distribution
 
@@ -97,11 +98,11 @@ def _encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     at = np.minimum(np.searchsorted(v.words, found.hashes), len(v.words) - 1)
                     ids = np.where(v.words[at] == found.hashes, v.symbols[at], v.rare).astype("<i4")
                 ends = found.bounds[1:]
-                ids = np.insert(ids, ends, v.end)
+                is_rare = np.flatnonzero(ids == v.rare)
+                rare = found.hashes[is_rare].tobytes()
+                is_rare = np.searchsorted(is_rare, found.bounds)
+                text = np.insert(ids, ends, v.end).tobytes()
                 bounds = found.bounds + np.arange(len(found.bounds))
-                text = ids.tobytes()
-                is_rare = np.concatenate([[0], np.cumsum(ids == v.rare)])[bounds]
-                rare = found.hashes[np.delete(ids, ends + np.arange(len(ends))) == v.rare].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(found.bounds)),
                      pa.array([text[4 * a:4 * b] for a, b in zip(bounds, bounds[1:])], pa.binary()),
@@ -112,77 +113,93 @@ def _encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                                 "ids binary, rare binary")
 
 
-def _blocks(ids: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of at most BLOCK tokens, longest first, ROWS at a time: text, number in the text, length, padded ids."""
-    text = np.concatenate([np.full(-(-len(x) // BLOCK), i) for i, x in enumerate(ids)] or [np.zeros(0, int)])
-    number = np.concatenate([np.arange(-(-len(x) // BLOCK)) for x in ids] or [np.zeros(0, int)])
-    length = np.minimum([len(ids[t]) - BLOCK * k for t, k in zip(text, number)], BLOCK).astype(int)
-    order = np.argsort(-length, kind="stable")
-    for low in range(0, len(order), ROWS):
-        part = order[low:low + ROWS]
-        padded = np.zeros((length[part[0]], len(part)), np.int32)
-        for row, i in enumerate(part):
-            k = BLOCK * number[i]
-            padded[:length[i], row] = ids[text[i]][k:k + length[i]]
-        yield text[part], number[part], length[part], padded
+def _groups(ids: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of the sequences that aren't empty, longest first, in groups of at most TOKENS tokens; a longer one alone."""
+    size = np.array([len(x) for x in ids], np.int64)
+    group, total = [], 0
+    for i in np.argsort(-size, kind="stable")[:np.count_nonzero(size)].tolist():
+        if group and total + size[i] > TOKENS:
+            yield group
+            group, total = [], 0
+        group.append(i)
+        total += size[i]
+    if group:
+        yield group
+
+
+def _packed(texts: list[np.ndarray]) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Ids of the texts (longest first) step by step, where each step begins, and the place of each text's last id."""
+    size, n = np.array([len(x) for x in texts]), np.arange(len(texts))
+    at = np.concatenate([[0], np.cumsum(np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right"))])
+    place = np.concatenate([at[:length] for length in size])
+    place += np.repeat(n, size)
+    packed = np.empty(at[-1], np.intp)
+    packed[place] = np.concatenate(texts)
+    return packed, at.tolist(), at[size - 1] + n
+
+
+def _forward(p: Parameters, ids: np.ndarray, at: list[int], first: np.ndarray, room: list[np.ndarray]):
+    """Forward messages and emissions (K x tokens), and the scales by step: every SCALED-th message is brought to a sum of one."""
+    k = len(p.start)
+    if not room or len(room[0]) < k * len(ids):         # kept from group to group
+        room[:] = [np.empty(k * len(ids)) for _ in range(2)]
+    emit, forward = (x[:k * len(ids)].reshape(k, -1) for x in room)
+    for state in range(k):
+        p.emit[:, state].take(ids, out=emit[state], mode="clip")
+    scales, move = {}, p.move.T.copy()
+    for t in range(len(at) - 1):
+        low, high = at[t], at[t + 1]
+        a = forward[:, low:high]
+        if t:
+            np.matmul(move, forward[:, at[t - 1]:at[t - 1] + high - low], out=a)
+            a *= emit[:, low:high]
+        else:
+            np.multiply(first[:, None], emit[:, :high], out=a)
+        if t % SCALED == SCALED - 1:
+            scales[t] = a.sum(axis=0)
+            a /= scales[t]
+    return forward, emit, scales
 
 
-def _padded(ids: list[np.ndarray], low: int, length: np.ndarray) -> np.ndarray:
-    padded = np.zeros((length[0], len(length)), np.int32)
-    for row, n in enumerate(length):
-        padded[:n, row] = ids[row][low:low + n]
-    return padded
+def _blocks(texts: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """A group as one block, a text of more than TOKENS tokens as several."""
+    return [[texts[0][low:low + TOKENS]] for low in range(0, len(texts[0]), TOKENS)] if len(texts[0]) > TOKENS else [texts]
 
 
 def expected_counts(ids: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions of the whole sequences (Baum-Welch)."""
     k = len(p.start)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(p.emit)
-    ordered = sorted((x for x in ids if len(x)), key=len, reverse=True)
-    for first in range(0, len(ordered), ROWS):
-        texts = ordered[first:first + ROWS]
-        size = np.array([len(x) for x in texts])
-        # forward messages into every block; a block with a next one is full
-        entering = [np.zeros((0, k))]
-        for low in range(0, size[0] - BLOCK, BLOCK):
-            rows = int((size > low + BLOCK).sum())
-            padded = _padded(texts[:rows], low, np.full(rows, BLOCK))
-            for t in range(BLOCK):
-                a = (p.start if low == t == 0 else (a if t else entering[-1][:rows]) @ p.move) * p.emit[padded[t]]
-                a /= a.sum(axis=1)[:, None]
-            entering.append(a)
-        message = np.ones((0, k))       # from the next block, to the texts that have one
-        for block in range(len(entering) - 1, -1, -1):
-            rows, low = int((size > block * BLOCK).sum()), block * BLOCK
-            length = np.minimum(size[:rows] - low, BLOCK)
-            padded = _padded(texts[:rows], low, length)
-            steps = len(padded)
-            alive = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")     # rows with a token at a step
-            forward, scale = np.zeros((steps, rows, k)), np.ones((steps, rows))
-            a = entering[block] @ p.move if block else np.broadcast_to(p.start, (rows, k))
-            for t in range(steps):
-                n = alive[t]
-                a = (a[:n] if t == 0 else a[:n] @ p.move) * p.emit[padded[t, :n]]
-                scale[t, :n] = a.sum(axis=1)
-                a /= scale[t, :n, None]
-                forward[t, :n] = a
-            back = np.ones((rows, k))
-            back[:len(message)] = message
-            for t in range(steps - 1, -1, -1):
-                n = alive[t]
-                before = forward[t - 1, :n] if t else entering[block]
-                weighted = back[:n] * p.emit[padded[t, :n]] / scale[t, :n, None]
-                forward[t, :n] *= back[:n]
-                if t or block:
-                    move += before.T @ weighted
-                    back[:n] = weighted @ p.move.T
-            message = back
-            if not block:
-                start += forward[0].sum(axis=0)
-            live = np.arange(steps)[:, None] < length[None, :]
-            flat, seen = forward[live], padded[live]
+    room: list[np.ndarray] = []
+    for group in _groups(ids):
+        blocks = _blocks([ids[i] for i in group])
+        entering = []               # forward messages at the ends of the blocks that have a next one, whose sum is one
+        for block in blocks[:-1]:
+            packed, at, last = _packed(block)
+            entering.append(_forward(p, packed, at, entering[-1] @ p.move if entering else p.start, room)[0][:, last[0]].copy())
+        message = None              # from the next block
+        for number in range(len(blocks) - 1, -1, -1):
+            packed, at, last = _packed(blocks[number])
+            forward, weighted, scales = _forward(p, packed, at, entering[number - 1] @ p.move if number else p.start, room)
+            back = np.empty((k, len(last)))
+            back[:] = 1 / forward[:, last].sum(axis=0) if message is None else message
+            for t in range(len(at) - 2, -1, -1):
+                low, high = at[t], at[t + 1]
+                b, w = back[:, :high - low], weighted[:, low:high]
+                w *= b
+                if t in scales:
+                    w /= scales[t]
+                forward[:, low:high] *= b
+                if t:
+                    move += forward[:, at[t - 1]:at[t - 1] + high - low] @ w.T
+                    np.matmul(p.move, w, out=b)
+            if number:
+                move += np.outer(entering[number - 1], weighted[:, 0])
+                message = p.move @ weighted[:, :1]
+            else:
+                start += forward[:, :at[1]].sum(axis=1)
             for state in range(k):
-                emit[:, state] += np.bincount(seen, flat[:, state], len(emit))
+                emit[:, state] += np.bincount(packed, forward[state], len(emit))
     return start, move * p.move, emit
 
 
@@ -194,6 +211,16 @@ def _normalised(start, move, emit, vocab: Vocabulary) -> Parameters:
                       emit / emit.sum(axis=0))
 
 
+def _added(batches):
+    """The sums of the tasks' counts by chunk; all rows of a chunk are in one partition."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, x in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+            sums[i] = sums[i] + np.frombuffer(x) if i in sums else np.frombuffer(x)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+                                     ["chunk", "counts"])
+
+
 def train(sequences: DataFrame, vocab: Vocabulary) -> Parameters:
     """Baum-Welch over the ids of the given sequences."""
     context = sequences.sparkSession.sparkContext
@@ -213,62 +240,34 @@ def train(sequences: DataFrame, vocab: Vocabulary) -> Parameters:
             if total is None:
                 return
             start, move, emit = total
-            at = np.flatnonzero(emit.any(axis=1))
-            rows = np.concatenate([start[None], move, emit[at]])
-            slot = np.concatenate([np.arange(-1 - STATES, 0), at])
-            yield pa.RecordBatch.from_arrays([pa.array(slot), *[pa.array(rows[:, i].copy()) for i in range(STATES)]],
-                                             ["slot", *[f"c{i}" for i in range(STATES)]])
-
-        counted = sequences.select("ids").mapInArrow(run, "slot long, " + ", ".join(f"c{i} double" for i in range(STATES)))
-        sums = counted.groupBy("slot").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(STATES)]).toArrow().to_pandas()
+            table = np.concatenate([start[None], move, emit])
+            chunks = [(i, table[low:low + CHUNK]) for i, low in enumerate(range(0, len(table), CHUNK))]
+            chunks = [(i, x.tobytes()) for i, x in chunks if x.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunks]), pa.array([x for _, x in chunks], pa.binary())],
+                                             ["chunk", "counts"])
+
+        counted = sequences.select("ids").mapInArrow(run, "chunk long, counts binary")
+        sums = counted.repartition("chunk").mapInArrow(_added, "chunk long, counts binary").toArrow()
         table = np.zeros((1 + STATES + len(vocab.counts), STATES))      # bounded by HEAD
-        table[sums["slot"].to_numpy().astype(int) + 1 + STATES] = sums[[f"c{i}" for i in range(STATES)]].to_numpy()
+        for i, x in zip(sums.column("chunk").to_pylist(), sums.column("counts").to_pylist()):
+            table[i * CHUNK:(i + 1) * CHUNK] = np.frombuffer(x).reshape(-1, STATES)
         p = _normalised(table[0], table[1:1 + STATES], table[1 + STATES:], vocab)
     return p
 
 
 def log10_likelihood(ids: list[np.ndarray], p: Parameters) -> np.ndarray:
-    """log10 probability of every sequence: blocks of long texts carry one row for each state they may start from."""
-    k = len(p.start)
-    out = np.zeros(len(ids))
-    texts, numbers, products, logs = [], [], [], []
-    for text, number, length, padded in _blocks(ids):
-        for late in (False, True):
-            rows = np.flatnonzero((number > 0) == late)
-            if not len(rows):
-                continue
-            alive = np.searchsorted(-length[rows], -np.arange(1, padded.shape[0] + 1), side="right")
-            a = np.broadcast_to(p.move if late else p.start[None], (len(rows), k if late else 1, k)).copy()
-            log = np.zeros(len(rows))
-            for t in range(length[rows[0]]):
-                n = alive[t]
-                emit = p.emit[padded[t, rows[:n]]][:, None, :]
-                step = a[:n] if t == 0 else (a[:n].reshape(-1, k) @ p.move).reshape(n, -1, k)
-                a[:n] = step * emit
-                if t % 8 == 7 or t == padded.shape[0] - 1 or n < len(rows):
-                    size = a[:n].max(axis=(1, 2))
-                    a[:n] /= size[:, None, None]
-                    log[:n] += np.log10(size)
-            if not late:
-                whole = a[:, 0, :]
-                first = np.array([len(ids[i]) <= BLOCK for i in text[rows]])
-                out[text[rows][first]] = log[first] + np.log10(whole[first].sum(axis=1))
-                rows, a, log = rows[~first], a[~first], log[~first]
-            texts += text[rows].tolist()
-            numbers += number[rows].tolist()
-            products += list(a)
-            logs += log.tolist()
-    at, state = -1, None
-    for i in sorted(range(len(texts)), key=lambda i: (texts[i], numbers[i])):
-        if texts[i] != at:
-            at, state = texts[i], products[i][0]
-            out[at] = logs[i]
-        else:
-            state = state @ products[i]
-            out[at] += logs[i]
-        size = state.sum()
-        state = state / size
-        out[at] += np.log10(size)
+    """log10 probability of every sequence."""
+    out, room = np.zeros(len(ids)), []
+    for group in _groups(ids):
+        first, log = p.start, np.zeros(len(group))
+        for block in _blocks([ids[i] for i in group]):
+            packed, at, last = _packed(block)
+            forward, _, scales = _forward(p, packed, at, first, room)
+            for scale in scales.values():
+                log[:len(scale)] += np.log10(scale)
+            ends = forward[:, last]
+            first = ends[:, 0] @ p.move         # a block with a next one is scaled at its end
+        out[group] = log + np.log10(ends.sum(axis=0))
     return out
 
 

@@ -13,13 +13,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 16
 _SPACES = [0x20, *range(0x09, 0x0E)]
 #: Bytes between words, by kind: white space only, or everything that is no letter (bytes of non-ASCII letters count as letters).
 WHITE = np.isin(np.arange(256), _SPACES)
 NO_LETTER = ~np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
-_LOWER = np.where((np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
-_SAME = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A), np.arange(256) + 32, np.arange(256)).astype(np.uint8).tobytes()
+_SAME = bytes(range(256))
 _PLACES = 64
 
 
@@ -74,10 +74,12 @@ def words(texts: pa.Array, gap: np.ndarray = WHITE, lower: bool = True) -> Words
     """All words of the texts."""
     data, offsets = text_bytes(texts)
     table = _LOWER if lower else _SAME
+    solid_bytes = (~gap).tobytes()
+    numbers = np.where(gap[np.arange(len(_TABLE)) & 255], np.uint64(0), _TABLE)       # bytes between words add nothing
     hashes, starts, lengths = [], [], []
     for low, high in _cuts(data, offsets, gap):
-        piece = table[data[low:high]]
-        solid = ~gap[piece]
+        raw = data[low:high].tobytes().translate(table)
+        piece, solid = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(solid_bytes), bool)
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         inside = offsets[np.searchsorted(offsets, low):np.searchsorted(offsets, high)] - low
@@ -85,18 +87,22 @@ def words(texts: pa.Array, gap: np.ndarray = WHITE, lower: bool = True) -> Words
         begin = np.flatnonzero(first)
         if not len(begin):
             continue
-        solid = np.flatnonzero(solid)
-        at = np.searchsorted(solid, begin)
-        size = np.diff(np.append(at, len(solid)))
-        place = np.arange(len(solid)) - np.repeat(at, size)
-        key = (place << 8) | piece[solid]
-        value = _TABLE[np.minimum(key, len(_TABLE) - 1)]
+        last = solid.copy()
+        last[:-1] &= ~solid[1:] | first[1:]
+        place = np.arange(len(piece))
+        place[:begin[0]] = 0
+        place[begin[0]:] -= np.repeat(begin, np.diff(begin, append=len(piece)))
+        key = (place << 8) | piece
         far = np.flatnonzero(place >= _PLACES)
         if len(far):
-            value[far] = mix((key[far].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        hashes.append(mix(np.add.reduceat(value, at)))
+            beyond = np.where(solid[far], mix((key[far].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0))
+            key[far] = 0
+        value = numbers.take(key)
+        if len(far):
+            value[far] = beyond
+        hashes.append(mix(np.add.reduceat(value, begin)))
         starts.append(begin + low)
-        lengths.append(size)
+        lengths.append(np.flatnonzero(last) + 1 - begin)
     if not hashes:
         none = np.zeros(0, np.int64)
         return Words(none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64), data)

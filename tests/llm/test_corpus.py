@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +294,30 @@ def test_expected_counts_are_those_of_whole_sequences():
         assert np.allclose(got, expected, rtol=1e-9)
 
 
+@pytest.mark.parametrize("tokens", (8, 104, 1 << 19))
+def test_long_texts_are_handed_from_block_to_block(monkeypatch, tokens):
+    rng = np.random.default_rng(6)
+    k, symbols = 3, 6
+    p = hidden_markov.Parameters(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(symbols), k).T.copy())
+    ids = [rng.integers(0, symbols, n).astype(np.int32) for n in (7, 0, 8, 9, 50, 104, 105, 500, 1, 9)]
+    whole, score = hidden_markov.expected_counts(ids, p), hidden_markov.log10_likelihood(ids, p)
+    monkeypatch.setattr(hidden_markov, "TOKENS", tokens)
+    assert all(np.allclose(x, y, rtol=1e-9) for x, y in zip(hidden_markov.expected_counts(ids, p), whole))
+    assert np.allclose(hidden_markov.log10_likelihood(ids, p), score, rtol=1e-9) and score[1] == 0
+    assert np.array_equal(whole[2].sum(axis=1).round(6), np.bincount(np.concatenate(ids), minlength=symbols))
+
+
+def test_a_task_sends_few_rows_of_expected_counts(spark):
+    """The counts of 5,000 symbols leave a task as a few values, which are summed by chunk."""
+    seen = 5 * hidden_markov.CHUNK
+    rows = [(i % 7, np.arange(i % 7, seen, 7, dtype=np.float64)) for i in range(14)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], ["chunk", "counts"]) for i, x in rows]
+    out, = hidden_markov._added(batches)
+    assert sorted(out.column("chunk").to_pylist()) == list(range(7))
+    for i, x in zip(out.column("chunk").to_pylist(), out.column("counts").to_pylist()):
+        assert np.array_equal(np.frombuffer(x), 2 * rows[i][1])
+
+
 def test_every_pass_sees_every_training_text(spark):
     vocab = hidden_markov.Vocabulary(np.arange(3, dtype=np.uint64), np.arange(3), np.array([40.0, 30, 20, 1300, 0]), 1390, 4)
     texts = [np.array([0, 1, 2][:i % 4] + [3], "<i4") for i in range(1300)]
