@@ -18,16 +18,16 @@ deleted wholly becomes empty. Rows with equal id and text are one document; rows
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake.llm.tables import free_name, kept_table, read_table
-from churnlake.llm.text_arrays import Words, mix, slices, words
+from churnlake.llm.text_arrays import Words, mix, slices, text_bytes, words
 from churnlake.session import finished
 
 GRAM_WORDS = 16         # a power of two
@@ -35,6 +35,7 @@ WINDOW = 10             # at most GRAM_WORDS
 RUN_WORDS = GRAM_WORDS + WINDOW - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = (1 << 63) - 1
+LENGTHS = 64            # more than the words of a stretch, RUN_WORDS + WINDOW - 1 at most
 
 
 class Prints(NamedTuple):
@@ -55,13 +56,23 @@ def _runs(found: Words) -> tuple[np.ndarray, np.ndarray]:
     return gram, mix(gram[:-step] * _ODD + gram[step:]) if len(gram) > step else gram[:0]
 
 
+def _least(gram: np.ndarray) -> np.ndarray:
+    """Place of the first smallest hash of each WINDOW in a row, put together from shorter windows."""
+    least, at, size = gram, np.arange(len(gram)), 1
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        at = np.where(least[step:] < least[:-step], at[step:], at[:-step])
+        least, size = np.minimum(least[step:], least[:-step]), size + step
+    return at
+
+
 def fingerprints(found: Words) -> Prints:
     gram, run = _runs(found)
     text = np.repeat(np.arange(len(found.bounds) - 1), np.diff(found.bounds))
     start = np.flatnonzero(text[:len(run)] == text[RUN_WORDS - 1:]) if len(run) else np.zeros(0, np.int64)
     if not len(start):
         return Prints(np.zeros(0, np.uint64), np.zeros(0, np.uint64), start, start)
-    least = np.argmin(np.lib.stride_tricks.sliding_window_view(gram, WINDOW), axis=1)[start] + start
+    least = _least(gram)[start]
     new = np.ones(len(start), bool)
     new[1:] = (least[1:] != least[:-1]) | (np.diff(start) != 1)
     at = np.flatnonzero(new)
@@ -76,7 +87,7 @@ def _survey(docs: DataFrame) -> DataFrame:
     """key, rank, and the fingerprints of every document: hash, kind and place (first word and number of the windows in one number)."""
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 found = words(batch.column("text"))
                 b, prints = found.bounds, fingerprints(found)
                 text = np.searchsorted(b, prints.first, "right") - 1
@@ -109,7 +120,7 @@ def _windows(batches):
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
-    """key and stretches (first word, end) of the documents (key, rank, text) that hold repeated runs."""
+    """key and stretches (first word and length in one number) of the documents (key, rank, text) that hold repeated runs."""
     spark, position = docs.sparkSession, F.struct("rank", "key", "place")
 
     def again() -> DataFrame:
@@ -122,7 +133,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
     seen = finished(spark, "line-seen", again)
     heads = kept_table(seen.groupBy("print", "kind").agg(F.min(position).alias("head"), F.max(position).alias("last")), "line-heads")
     whole = seen.join(heads.where(F.col("last") > F.col("head")), ["print", "kind"]).where(position > F.col("head")).select(
-        "key", F.expr("place div 16").alias("first"), F.expr(f"place div 16 + place % 16 + {RUN_WORDS - 1}").alias("end"))
+        "key", F.expr(f"place div 16 * {LENGTHS} + place % 16 + {RUN_WORDS - 1}").alias("stretch"))
     several = heads.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
     wanted = heads.join(several, "print", "left_semi").groupBy(F.col("head.key").alias("key")).agg(
         F.collect_list("head.place").alias("places"))       # as many as the text has fingerprints
@@ -131,29 +142,33 @@ def _repeated(docs: DataFrame) -> DataFrame:
     earliest = runs.groupBy("run").agg(F.min(position).alias("head"), F.max(position).alias("last")).where(
         F.col("last") > F.col("head")).select("run", "head")
     parts = runs.join(earliest, "run").where(position > F.col("head")).select(
-        "key", F.col("place").alias("first"), (F.col("place") + RUN_WORDS).alias("end"))
-    return whole.union(parts).groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("stretches"))
-
-
-def _cut(text: str, found: Words, i: int, stretches) -> tuple[str, int]:
-    """The text without its stretches, and the number of words deleted."""
-    base, merged = int(found.bounds[i]), []
-    for s in sorted((s["first"], s["end"]) for s in stretches):
-        if merged and s[0] <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], s[1])
-        else:
-            merged.append([*s])
-    data, out, at, removed = text.encode(), [], 0, 0
-    gap = re.match(rb"[\x20\x09-\x0D]*", data).end()
-    offset = int(found.starts[found.bounds[i]]) - gap       # of the text in the batch's bytes
-    for first, end in merged:
-        a, b = base + first, base + end
-        low = int(found.starts[a]) - offset
-        high = int(found.starts[b]) - offset if b < found.bounds[i + 1] else len(data)
-        out.append(data[at:low])
-        at, removed = high, removed + b - a
-    out.append(data[at:])
-    return b"".join(out).decode(), removed
+        "key", (F.col("place") * LENGTHS + RUN_WORDS).alias("stretch"))
+    return whole.union(parts).groupBy("key").agg(F.collect_set("stretch").alias("stretches"))
+
+
+def _cut(texts: pa.Array, stretches: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts without their stretches, and the number of words deleted from each."""
+    found, (data, offsets) = words(texts), text_bytes(texts)
+    value = np.asarray(stretches.flatten())
+    row = np.repeat(np.arange(len(texts)), np.asarray(stretches.value_lengths()))
+    first = found.bounds[row] + value // LENGTHS
+    end = first + value % LENGTHS
+    order = np.lexsort((first, row))
+    row, first, reach = row[order], first[order], np.maximum.accumulate(end[order])        # no stretch leaves its text
+    new = np.ones(len(row), bool)
+    new[1:] = (first[1:] > reach[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    row, first, end = row[at], first[at], reach[np.append(at[1:], len(new)) - 1]
+    low, base = found.starts[first], offsets[0]         # bytes go from the first word to the next one that stays, or to the text's end
+    high = np.where(end < found.bounds[row + 1], found.starts[np.minimum(end, len(found.starts) - 1)], offsets[row + 1])
+    change = np.zeros(offsets[-1] - base + 1, np.int8)
+    change[low - base] += 1
+    change[high - base] -= 1
+    stay = data[base:offsets[-1]][np.cumsum(change[:-1], dtype=np.int8) == 0]
+    gone = np.bincount(row, high - low, len(texts)).astype(np.int64)
+    ends = offsets - base - np.concatenate([[0], np.cumsum(gone)])
+    cut = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(stay))
+    return cut.cast(pa.string()), np.bincount(row, end - first, len(texts)).astype(np.int64)
 
 
 def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
@@ -170,13 +185,13 @@ def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                lists = batch.column(name).to_pylist()
-                texts, gone = batch.column(at).to_pylist(), np.zeros(batch.num_rows, np.int64)
-                touched = [i for i, stretch in enumerate(lists) if stretch]
-                found = words(batch.column(at).take(pa.array(touched, pa.int64())))
-                for k, i in enumerate(touched):
-                    texts[i], gone[i] = _cut(texts[i], found, k, lists[i])
-                out = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(columns))]
+                text, lists, gone = batch.column(at), batch.column(name), np.zeros(batch.num_rows, np.int64)
+                touched = np.asarray(lists.is_valid())
+                if touched.any():
+                    mask = pa.array(touched)
+                    cut, gone[touched] = _cut(text.filter(mask), lists.filter(mask))
+                    text = pc.replace_with_mask(text, mask, cut)
+                out = [text if j == at else batch.column(j) for j in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(gone)], [*columns, removed])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

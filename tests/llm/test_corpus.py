@@ -307,6 +307,26 @@ def test_long_texts_are_handed_from_block_to_block(monkeypatch, tokens):
     assert np.array_equal(whole[2].sum(axis=1).round(6), np.bincount(np.concatenate(ids), minlength=symbols))
 
 
+def test_places_of_words():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 300, 40_000):
+        sorted_words = np.unique(np.concatenate([rng.integers(0, 2 ** 64, n, np.uint64), np.arange(n // 3, dtype=np.uint64) + np.uint64(5)]))
+        begins = np.searchsorted(sorted_words, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
+        hashes = np.concatenate([sorted_words, rng.integers(0, 2 ** 64, 999, np.uint64), np.array([0, 2 ** 64 - 1], np.uint64)])
+        at = hidden_markov._places(sorted_words, begins, hashes)
+        assert np.array_equal(sorted_words[at] == hashes, np.isin(hashes, sorted_words))
+
+
+def test_places_of_words():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 300, 40_000):
+        sorted_words = np.unique(np.concatenate([rng.integers(0, 2 ** 64, n, np.uint64), np.arange(n // 3, dtype=np.uint64) + np.uint64(5)]))
+        begins = np.searchsorted(sorted_words, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
+        hashes = np.concatenate([sorted_words, rng.integers(0, 2 ** 64, 999, np.uint64), np.array([0, 2 ** 64 - 1], np.uint64)])
+        at = hidden_markov._places(sorted_words, begins, hashes)
+        assert np.array_equal(sorted_words[at] == hashes, np.isin(hashes, sorted_words))
+
+
 def test_a_task_sends_few_rows_of_expected_counts(spark):
     """The counts of 5,000 symbols leave a task as a few values, which are summed by chunk."""
     seen = 5 * hidden_markov.CHUNK
@@ -433,6 +453,23 @@ def test_line_dedup_fingerprints_with_other_heads(spark):
     assert all(got[100 * j + 50][1] == 0 and got[100 * j + 51][1] == 40 for j in range(20))
 
 
+def test_line_dedup_cuts_whole_batches():
+    """Texts lose their stretches by a few array operations on a batch, also in a slice of one, at both ends, and next to each other."""
+    texts = pa.array(["never", "  a b  c\nd é ", "x y", "p q r s t u", "not"])[1:4]
+    size = line_dedup.LENGTHS
+    lists = pa.array([[], [0 * size + 1, 3 * size + 2], [0 * size + 2], [2 * size + 2, 1 * size + 2, 5 * size + 1]], pa.list_(pa.int64()))[1:]
+    cut, gone = line_dedup._cut(texts, lists)
+    assert cut.to_pylist() == ["  b  c\n", "", "p t "] and gone.tolist() == [3, 2, 4]
+
+
+def test_smallest_hash_of_each_window():
+    rng = np.random.default_rng(5)
+    for n in (10, 11, 500):
+        gram = rng.integers(0, 40, n).astype(np.uint64)
+        windows = np.lib.stride_tricks.sliding_window_view(gram, line_dedup.WINDOW)
+        assert np.array_equal(line_dedup._least(gram), np.argmin(windows, axis=1) + np.arange(len(windows)))
+
+
 def test_line_dedup_odd_input(spark, odd, empty):
     got = line_dedup.dedup(odd)
     assert got.columns == [*odd.columns, "n_removed"] and got.count() == odd.count()
