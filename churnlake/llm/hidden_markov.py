@@ -30,6 +30,7 @@ FOLDS, HELD_OUT = 5, 1
 HEAD = 32_768           # words with a symbol of their own
 STATES = 8
 PASSES = 14
+BEGIN_BITS = 18         # leading bits by which a word's place in the head is looked up
 SCALED = 8              # steps of the recursions from one scaling to the next
 TOKENS = 1 << 19        # tokens worked on at a time, a multiple of SCALED
 CHUNK = 1024            # rows of the table of expected counts that are shuffled as one value
@@ -84,18 +85,31 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     return Vocabulary(hashes[order], order.astype(np.int64), by_symbol, tokens + texts, int(sums["v"]) + bool(texts))
 
 
+def _places(sorted_words: np.ndarray, begins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash among the words if it is one of them, else any place; ``begins`` has the first place by leading bits."""
+    last = len(sorted_words) - 1
+    at = np.minimum(begins.take((hashes >> np.uint64(64 - BEGIN_BITS)).astype(np.intp)), last)
+    late = np.flatnonzero(sorted_words[at] < hashes)
+    while len(late):            # a step for each word with the same leading bits
+        late = late[at[late] < last]
+        at[late] += 1
+        late = late[sorted_words[at[late]] < hashes[late]]
+    return at
+
+
 def _encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """doc_id, held_out, n_words, ids (little-endian int32 symbols with the end) and rare (hashes of the rare words)."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
         v = shipped.value
+        begins = np.searchsorted(v.words, np.arange(1 << BEGIN_BITS, dtype=np.uint64) << np.uint64(64 - BEGIN_BITS))
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 found = words(batch.column("text"))
                 ids = np.full(len(found.hashes), v.rare, np.int32)
                 if len(v.words):
-                    at = np.minimum(np.searchsorted(v.words, found.hashes), len(v.words) - 1)
+                    at = _places(v.words, begins, found.hashes)
                     ids = np.where(v.words[at] == found.hashes, v.symbols[at], v.rare).astype("<i4")
                 ends = found.bounds[1:]
                 is_rare = np.flatnonzero(ids == v.rare)
