@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from churnlake.llm.tables import free_name, kept_table, read_table
 from churnlake.llm.text_arrays import Words, mix, slices, text_bytes, words
-from churnlake.session import finished
+from churnlake.session import finished, hashed_joins
 
 GRAM_WORDS = 16         # a power of two
 WINDOW = 10             # at most GRAM_WORDS
@@ -176,7 +176,8 @@ def dedup(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
     key, rank = free_name(docs, "key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     narrow = keyed.select(F.col(key).alias("key"), rank.alias("rank"), "text")
-    by_text = finished(docs.sparkSession, "line-stretches", lambda: _repeated(narrow)).withColumnRenamed("key", key)
+    with hashed_joins(docs.sparkSession):
+        by_text = finished(docs.sparkSession, "line-stretches", lambda: _repeated(narrow)).withColumnRenamed("key", key)
     name = free_name(docs, "stretches")
     joined = keyed.join(by_text.withColumnRenamed("stretches", name), key, "left").drop(key)
     columns = docs.columns

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from churnlake import session
 from churnlake.llm import (
     byte_bpe, components, hidden_markov, line_dedup, ngram_join, packing, projection_forest, quality_rules, sharding, tag_paths, toxicity,
 )
@@ -470,6 +471,14 @@ def test_smallest_hash_of_each_window():
         assert np.array_equal(line_dedup._least(gram), np.argmin(windows, axis=1) + np.arange(len(windows)))
 
 
+def test_joins_are_hashed_inside_the_scope_only(spark):
+    before = spark.conf.get(session.HASHED_JOINS, None)
+    with pytest.raises(ValueError), session.hashed_joins(spark):
+        assert spark.conf.get(session.HASHED_JOINS) != before
+        raise ValueError
+    assert spark.conf.get(session.HASHED_JOINS, None) == before
+
+
 def test_line_dedup_odd_input(spark, odd, empty):
     got = line_dedup.dedup(odd)
     assert got.columns == [*odd.columns, "n_removed"] and got.count() == odd.count()
