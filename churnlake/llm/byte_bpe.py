@@ -2,7 +2,7 @@
 
 A rank file becomes a vocabulary of characters (every byte stands for one printable character) and merges: all ways to make a token of two
 others, in order of the token's rank. Texts are cut before spaces that follow a word and precede one, where no token can cross, and each
-distinct piece is encoded once per worker; a text with other runs of white space around spaces is encoded whole. The ids of a
+distinct piece is encoded once per worker, when it is first looked up; a text with other runs of white space around spaces is encoded whole. The ids of a
 text are then joined from its pieces. Decoding joins the tokens' bytes by the reversed byte table, so characters that are split between
 tokens come back whole; ids outside the vocabulary have no bytes.
 
@@ -29,10 +29,8 @@ from churnlake.llm.text_arrays import slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CACHED = 1_200_000      # pieces a worker remembers, some 250 MB
-_MIXED_GAP = re.compile(r"\s | \s")
 #: Pieces whose characters every Unicode version and regex library put in the same classes.
 plain = re.compile(r"[\t\n\r \x21-\x7e\xa1-\u017f]+").fullmatch
-_PIECES = 20_000        # distinct pieces encoded at a time
 
 
 @lru_cache(maxsize=1)
@@ -53,6 +51,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Found(dict):
+    """What ``find`` says of each key, asked once."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        value = self[key] = self.find(key)
+        return value
+
+
 class Codec:
     """Encoder and decoder of one vocabulary. ``ids`` are little-endian unsigned 32-bit integers."""
 
@@ -60,68 +70,61 @@ class Codec:
         self.tokenizer, self.token_bytes = tokenizer, token_bytes
         #: Strings that the library takes for one token wherever they stand: a text that holds one is encoded whole.
         self.added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}       # ids of pieces, without the space before them
-        self.words: dict[str, bytes] = {}       # ids of the words that the pattern cuts
+        #: Ids of pieces without the space before them, None for those that have white space at an end, beside a space.
+        self.known = Found(lambda piece: None if not piece or piece[0].isspace() or piece[-1].isspace() else self._piece(piece))
+        self.words = Found(self._word)          # ids of the words that the pattern cuts
         self.shown = {b: c for b, c in enumerate(byte_characters())}
         self.merge = tokenizer.model.tokenize
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of one match of the pattern: its bytes as characters, merged by the model."""
-        ids = self.words.get(word)
-        if ids is None:
-            characters = word.encode().decode("latin-1").translate(self.shown)
-            ids = self.words[word] = array("I", [t.id for t in self.merge(characters)]).tobytes()
-        return ids
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Plain pieces are cut here and merged word by word; for others the library cuts them too."""
-        if len(self.words) > CACHED // 4:
-            self.words.clear()
-        merge, space, word, out, rest = self.merge, self.shown[32], self._word, [], []
-        for i, piece in enumerate(pieces):
-            body = piece[1:]
-            if body.isascii() and body.isalpha() and piece[0] == " ":       # a word: one match of the pattern
-                out.append(array("I", [t.id for t in merge(space + body)]).tobytes())
-            elif plain(piece):
-                if body[:-1].isalpha() and piece[0] == " " and body[-1] in ",.":
-                    out.append(word(piece[:-1]) + word(body[-1]))
-                elif body.isalpha() and piece[0] == " ":
-                    out.append(word(piece))
-                else:
-                    out.append(b"".join(map(word, self.cut(piece))))
-            else:
-                out.append(b"")
-                rest.append(i)
-        for i, ids in zip(rest, self._whole([pieces[i] for i in rest])):
-            out[i] = ids
-        return out
+        return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.shown))]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece behind a space. A plain one is cut here and merged word by word; the library cuts others too."""
+        if piece.isascii() and piece.isalpha():                     # a word: one match of the pattern
+            return array("I", [t.id for t in self.merge(self.shown[32] + piece)]).tobytes()
+        if plain(piece):
+            body = piece[:-1]
+            if body.isalpha() and piece[-1] in ",.":
+                return self.words[" " + body] + self.words[piece[-1]]
+            if piece.isalpha():
+                return self.words[" " + piece]
+            return b"".join(map(self.words.__getitem__, self.cut(" " + piece)))
+        return self._library(" " + piece)
+
+    def _ids(self, text: str) -> bytes:
+        """Ids of a text that has no space, or only ones that no token can hold together with what stands before them."""
+        return b"".join(map(self.words.__getitem__, self.cut(text))) if plain(text) else self._library(text)
+
+    def _text(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self._library(text)
+        first, *rest = text.split(" ")
+        if not rest:
+            return self._ids(first)
+        last = rest.pop()
+        if first[-1:].isspace() or last[:1].isspace():
+            return self._library(text)
+        try:
+            middle = b"".join(map(self.known.__getitem__, rest))
+        except TypeError:               # None: more white space beside a space
+            return self._library(text)
+        return self._ids(first) + middle + (self.known[last] if last and not last[-1].isspace() else self._ids(" " + last))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        known, cuts, new = self.known, [], set()
-        for text in texts:
-            cut = [] if not text else None if _MIXED_GAP.search(text) or any(x in text for x in self.added) else text.split(" ")
-            cuts.append(cut)
-            if cut:
-                new.update(set(cut[1:]).difference(known))
-        fresh = list(new)
-        for low in range(0, len(fresh), _PIECES):
-            part = fresh[low:low + _PIECES]
-            known.update(zip(part, self._ids([" " + x for x in part])))
-        first = iter(self._ids([cut[0] for cut in cuts if cut]))
         out = []
-        for text, cut in zip(texts, cuts):
-            if cut:
-                out.append(next(first) + b"".join(map(known.__getitem__, cut[1:])))
-            else:
-                out.append(b"" if cut == [] else self._whole([text])[0])
+        for text in texts:
+            if len(self.known) > CACHED:
+                self.known.clear()
+            if len(self.words) > CACHED // 4:
+                self.words.clear()
+            out.append(self._text(text) if text else b"")
         return out
 
     def decode(self, ids: bytes) -> bytes:

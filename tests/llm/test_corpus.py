@@ -607,3 +607,16 @@ def test_added_tokens():
     found = byte_bpe.from_json(path).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert np.frombuffer(found[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_pieces_are_encoded_when_first_looked_up(monkeypatch):
+    """Each distinct piece once, in one pass over a text; odd white space makes no difference to the library's ids."""
+    path = public_tokenizers.path(packing.TOKENIZER)
+    codec = byte_bpe.Codec(byte_bpe.from_json(path).tokenizer, [])
+    asked = []
+    monkeypatch.setattr(codec, "_piece", lambda piece, find=codec._piece: asked.append(piece) or find(piece))
+    texts = ["x the cat, the cat's 12 \u4e2d the\ncat.", "y the cat, the cat z", None, "", " ", "  a b", "a b ", "a  b c", "a \tb c", "a\n b", "\n a b\n"]
+    found = codec.encode(texts)
+    assert len(asked) == len(set(asked)) and asked[:5] == ["the", "cat,", "cat's", "12", "\u4e2d"]
+    plain = codec.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [x.ids for x in plain]
