@@ -6,7 +6,9 @@ Baum-Welch trains the latent states: every task runs the forward and backward re
 expected counts, which are summed across partitions; all training texts count whole in every pass. The first pass starts
 from noise over the counts of all training texts. Sequences lie packed step by step, without padding, and their messages are kept, in groups of
 ``TOKENS`` tokens. A longer text is trained on block by block, and the forward and backward messages are handed from block to block, so the
-counts are those of the whole sequence. The score is the exact sequence likelihood by the scaled forward recursion, handed on likewise.
+counts are those of the whole sequence. Within a block, texts of more than ``SEGMENT`` tokens go as segments side by side: the product of a segment's
+steps, a matrix of states by states, says beforehand which messages enter it from both sides, so few long texts cost no steps of their own.
+The score is the exact sequence likelihood by the scaled forward recursion, handed on likewise.
 
 Texts are tokenised once, into a table of symbol ids in the shared folder; counts of rare words reach their texts by a join, since
 their number grows with the corpus. Null texts are empty, and an empty text is the end symbol alone. Repeated rows are scored
@@ -32,7 +34,8 @@ STATES = 8
 PASSES = 14
 BEGIN_BITS = 18         # leading bits by which a word's place in the head is looked up
 SCALED = 8              # steps of the recursions from one scaling to the next
-TOKENS = 1 << 19        # tokens worked on at a time, a multiple of SCALED
+SEGMENT = 1 << 11       # tokens of a text gone through one after another; the segments of a longer text go side by side
+TOKENS = 1 << 19        # tokens worked on at a time
 CHUNK = 1024            # rows of the table of expected counts that are shuffled as one value
 LEAST_COUNT = 2         # rarer words share the rare symbol
 DISCOUNT = 0.5          # taken from every expected count and given to the unigram distribution
@@ -153,7 +156,8 @@ def _packed(texts: list[np.ndarray]) -> tuple[np.ndarray, list[int], np.ndarray]
 
 
 def _forward(p: Parameters, ids: np.ndarray, at: list[int], first: np.ndarray, room: list[np.ndarray]):
-    """Forward messages and emissions (K x tokens), and the scales by step: every SCALED-th message is brought to a sum of one."""
+    """Forward messages and emissions (K x tokens), and the scales by step: every SCALED-th message is brought to a sum of one. ``first`` (K x
+    sequences) are the probabilities of their first states."""
     k = len(p.start)
     if not room or len(room[0]) < k * len(ids):         # kept from group to group
         room[:] = [np.empty(k * len(ids)) for _ in range(2)]
@@ -168,7 +172,7 @@ def _forward(p: Parameters, ids: np.ndarray, at: list[int], first: np.ndarray, r
             np.matmul(move, forward[:, at[t - 1]:at[t - 1] + high - low], out=a)
             a *= emit[:, low:high]
         else:
-            np.multiply(first[:, None], emit[:, :high], out=a)
+            np.multiply(first, emit[:, :high], out=a)
         if t % SCALED == SCALED - 1:
             scales[t] = a.sum(axis=0)
             a /= scales[t]
@@ -180,6 +184,73 @@ def _blocks(texts: list[np.ndarray]) -> list[list[np.ndarray]]:
     return [[texts[0][low:low + TOKENS]] for low in range(0, len(texts[0]), TOKENS)] if len(texts[0]) > TOKENS else [texts]
 
 
+class Segments(NamedTuple):
+    ids: list[np.ndarray]       # longest first
+    text: np.ndarray            # number of the text
+    before: np.ndarray          # number of the segment before it in the text, -1 for the first
+
+
+def _segments(texts: list[np.ndarray]) -> Segments:
+    """The texts (longest first) in segments of at most SEGMENT tokens."""
+    cuts = [(i, low) for i, x in enumerate(texts) for low in range(0, len(x), SEGMENT)]
+    ids = [texts[i][low:low + SEGMENT] for i, low in cuts]
+    order = np.argsort([-len(x) for x in ids], kind="stable")
+    place = np.empty(len(ids) + 1, np.int64)
+    place[order], place[-1] = np.arange(len(ids)), -1
+    before = place[[k - 1 if low else -1 for k, (_, low) in enumerate(cuts)]]
+    return Segments([ids[k] for k in order.tolist()], np.array([i for i, _ in cuts])[order], before[order])
+
+
+def _through(p: Parameters, ids: list[np.ndarray]) -> np.ndarray:
+    """Of each segment (longest first) the matrix from its first state to its last one, all emissions included, but for a factor."""
+    k, size = len(p.start), np.array([len(x) for x in ids])
+    table = np.zeros((len(ids), size[0]), np.intp)
+    for row, x in zip(table, ids):
+        row[:len(x)] = x
+    live = np.searchsorted(-size, -np.arange(size[0])).tolist()        # longer ones than so many steps
+    out, log = p.emit[table[:, 0]][:, None, :] * np.eye(k), np.zeros((len(ids), k))
+    for t in range(1, size[0]):
+        now = out[:live[t]]
+        now[:] = (now.reshape(-1, k) @ p.move).reshape(now.shape)
+        now *= p.emit[table[:live[t], t]][:, None, :]
+        if t % SCALED == SCALED - 1:
+            scale = now.sum(axis=2)
+            now /= scale[:, :, None]
+            log[:live[t]] += np.log(scale)
+    return out * np.exp(log - log.max(axis=1, keepdims=True))[:, :, None]
+
+
+def _handed(p: Parameters, cut: Segments, first: np.ndarray, message: np.ndarray | None = None):
+    """Three tables (K x segments): probabilities of the segments' first states, the forward messages that enter them (sum one) where
+    there is a segment before, and the backward messages at their ends, but for a factor. ``message`` is that at the end of a single text."""
+    n = len(cut.ids)
+    firsts, entering, back = np.repeat(first[:, None], n, axis=1), np.zeros((len(first), n)), np.ones((len(first), n))
+    if message is not None:
+        back[:, np.setdiff1d(np.arange(n), cut.before)] = message[:, None]
+    later = np.flatnonzero(cut.before >= 0)
+    if len(later):
+        among = np.union1d(later, cut.before[later])
+        through = dict(zip(among.tolist(), _through(p, [cut.ids[i] for i in among.tolist()])))
+        links = [(int(cut.before[i]), i) for i in later[np.argsort(cut.text[later], kind="stable")].tolist()]     # in order of a text
+        for a, b in links:
+            end = firsts[:, a] @ through[a]
+            entering[:, b] = end / end.sum()
+            firsts[:, b] = entering[:, b] @ p.move
+        for a, b in reversed(links):
+            start = p.move @ (through[b] @ back[:, b])
+            back[:, a] = start / start.sum()
+    return firsts, entering, back
+
+
+def _leaving(p: Parameters, text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The forward message at the end of a text, brought to a sum of one."""
+    for through in _through(p, [text[low:low + SEGMENT] for low in range(0, len(text), SEGMENT)]):
+        end = first @ through
+        end /= end.sum()
+        first = end @ p.move
+    return end
+
+
 def expected_counts(ids: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions of the whole sequences (Baum-Welch)."""
     k = len(p.start)
@@ -187,16 +258,19 @@ def expected_counts(ids: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, n
     room: list[np.ndarray] = []
     for group in _groups(ids):
         blocks = _blocks([ids[i] for i in group])
-        entering = []               # forward messages at the ends of the blocks that have a next one, whose sum is one
+        leaving = []                # forward messages at the ends of the blocks that have a next one
         for block in blocks[:-1]:
-            packed, at, last = _packed(block)
-            entering.append(_forward(p, packed, at, entering[-1] @ p.move if entering else p.start, room)[0][:, last[0]].copy())
+            leaving.append(_leaving(p, block[0], leaving[-1] @ p.move if leaving else p.start))
         message = None              # from the next block
         for number in range(len(blocks) - 1, -1, -1):
-            packed, at, last = _packed(blocks[number])
-            forward, weighted, scales = _forward(p, packed, at, entering[number - 1] @ p.move if number else p.start, room)
-            back = np.empty((k, len(last)))
-            back[:] = 1 / forward[:, last].sum(axis=0) if message is None else message
+            cut = _segments(blocks[number])
+            first, entering, back = _handed(p, cut, leaving[number - 1] @ p.move if number else p.start, message)
+            handed = cut.before >= 0
+            if number:
+                entering[:, ~handed] = leaving[number - 1][:, None]
+            packed, at, last = _packed(cut.ids)
+            forward, weighted, scales = _forward(p, packed, at, first, room)
+            back /= (forward[:, last] * back).sum(axis=0)
             for t in range(len(at) - 2, -1, -1):
                 low, high = at[t], at[t + 1]
                 b, w = back[:, :high - low], weighted[:, low:high]
@@ -207,11 +281,11 @@ def expected_counts(ids: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, n
                 if t:
                     move += forward[:, at[t - 1]:at[t - 1] + high - low] @ w.T
                     np.matmul(p.move, w, out=b)
+            move += entering @ weighted[:, :at[1]].T
             if number:
-                move += np.outer(entering[number - 1], weighted[:, 0])
-                message = p.move @ weighted[:, :1]
+                message = p.move @ weighted[:, np.flatnonzero(~handed)[0]]
             else:
-                start += forward[:, :at[1]].sum(axis=1)
+                start += forward[:, :at[1]][:, ~handed].sum(axis=1)
             for state in range(k):
                 emit[:, state] += np.bincount(packed, forward[state], len(emit))
     return start, move * p.move, emit
@@ -275,13 +349,17 @@ def log10_likelihood(ids: list[np.ndarray], p: Parameters) -> np.ndarray:
     for group in _groups(ids):
         first, log = p.start, np.zeros(len(group))
         for block in _blocks([ids[i] for i in group]):
-            packed, at, last = _packed(block)
-            forward, _, scales = _forward(p, packed, at, first, room)
-            for scale in scales.values():
-                log[:len(scale)] += np.log10(scale)
+            cut = _segments(block)
+            packed, at, last = _packed(cut.ids)
+            forward, _, scales = _forward(p, packed, at, _handed(p, cut, first)[0], room)
             ends = forward[:, last]
-            first = ends[:, 0] @ p.move         # a block with a next one is scaled at its end
-        out[group] = log + np.log10(ends.sum(axis=0))
+            parts = np.log10(ends.sum(axis=0))
+            for scale in scales.values():
+                parts[:len(scale)] += np.log10(scale)
+            log += np.bincount(cut.text, parts, len(log))
+            end = ends[:, np.setdiff1d(np.arange(len(cut.ids)), cut.before)[0]]
+            first = end / end.sum() @ p.move        # of the block's only text, if it has a next block
+        out[group] = log
     return out
 
 

@@ -620,3 +620,20 @@ def test_pieces_are_encoded_when_first_looked_up(monkeypatch):
     assert len(asked) == len(set(asked)) and asked[:5] == ["the", "cat,", "cat's", "12", "\u4e2d"]
     plain = codec.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [x.ids for x in plain]
+
+
+@pytest.mark.parametrize("tokens", (64, 1 << 19))
+def test_segments_of_long_texts_go_side_by_side(monkeypatch, tokens):
+    """One long text costs no steps of its own, and segments of any length change nothing."""
+    rng = np.random.default_rng(9)
+    k, symbols = 3, 6
+    p = hidden_markov.Parameters(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k) / 9, k), rng.dirichlet(np.ones(symbols), k).T.copy())
+    ids = [rng.integers(0, symbols, n).astype(np.int32) for n in (900, 3, 16, 17, 32, 0, 45, 100)]
+    whole, score = hidden_markov.expected_counts(ids, p), hidden_markov.log10_likelihood(ids, p)
+    steps, packed = [], hidden_markov._packed
+    monkeypatch.setattr(hidden_markov, "_packed", lambda texts: steps.append(len(texts[0])) or packed(texts))
+    monkeypatch.setattr(hidden_markov, "TOKENS", tokens)
+    monkeypatch.setattr(hidden_markov, "SEGMENT", 16)
+    assert all(np.allclose(x, y, rtol=1e-9) for x, y in zip(hidden_markov.expected_counts(ids, p), whole))
+    assert np.allclose(hidden_markov.log10_likelihood(ids, p), score, rtol=1e-9)
+    assert max(steps) == 16
