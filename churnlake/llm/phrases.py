@@ -102,12 +102,21 @@ class Filter:
         step = mix(keys + np.uint64(0x9E3779B97F4A7C15))
         return np.concatenate([(keys + np.uint64(j) * step) & np.uint64(size - 1) for j in range(_PROBES)])
 
+    def _set(self, slot: np.ndarray) -> np.ndarray:
+        slot &= self.mask
+        return (self.bits.take((slot >> np.uint64(6)).view(np.int64)) >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        step = mix(keys + np.uint64(0x9E3779B97F4A7C15))
-        out = np.ones(len(keys), bool)
-        for j in range(_PROBES):
-            slot = (keys + np.uint64(j) * step) & self.mask
-            out &= (self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        """Most keys that aren't in it fail the first probe; the others are for what passes."""
+        out = self._set(keys.copy())
+        at = np.flatnonzero(out)
+        slot = keys[at]
+        step = mix(slot + np.uint64(0x9E3779B97F4A7C15))
+        for _ in range(1, _PROBES):
+            slot = slot + step
+            found = self._set(slot.copy())
+            out[at[~found]] = False
+            at, slot, step = at[found], slot[found], step[found]
         return out
 
 
@@ -118,13 +127,13 @@ def _wanted(keys: Keys, sizes: list[int], old: list[Filter], new: Filter | None)
             yield k, np.arange(len(keys.by_size[1]))
             continue
         at = np.flatnonzero(keys.valid[k])
-        parts = keys.by_size[k - 1]
-
-        first, last = _any(old, parts[at]), _any(old, parts[at + 1])
+        parts, fits = keys.by_size[k - 1], keys.valid[k - 1]
+        known = _any(_of_size(old, k - 1), parts, fits)         # each part once, though it is the first of one phrase and the last of another
         if new is None:
-            yield k, at[first & last]
+            yield k, at[known[at] & known[at + 1]]
         else:
-            yield k, at[~(first & last) & (first | new.holds(parts[at])) & (last | new.holds(parts[at + 1]))]
+            possible = known | _any([new], parts, fits & ~known)
+            yield k, at[~(known[at] & known[at + 1]) & possible[at] & possible[at + 1]]
 
 
 # -- counting passes -------------------------------------------------------------------------------
@@ -187,9 +196,11 @@ def _phrases(docs: DataFrame, filters: list[Filter], least: int) -> DataFrame:
                 keys = Keys(batch.column("text"), batch.column("lang"))
                 names = keys.langs.dictionary
                 yield _batch(names, 0, pa.array([""] * len(names)), np.bincount(keys.lang, minlength=len(names)))
+                frequent = np.ones(len(keys.by_size[1]) + 1, bool)
                 for k in range(1, LONGEST + 1):
-                    at = np.flatnonzero(keys.valid[k])
-                    at = at[_any(held, keys.by_size[k][at])]
+                    # only a phrase whose parts are frequent can be
+                    frequent[:-1] = _any(held, keys.by_size[k], keys.valid[k] & frequent[:-1] & frequent[1:])
+                    at = np.flatnonzero(frequent[:-1])
                     _, first, n = np.unique(keys.by_size[k][at], return_index=True, return_counts=True)
                     for low in range(0, len(n), _ROWS):
                         part = at[first[low:low + _ROWS]]
@@ -207,11 +218,18 @@ def _batch(langs: pa.Array, size: int, phrases: pa.Array, n: np.ndarray) -> pa.R
 
 
 # -- filters ---------------------------------------------------------------------------------------
-def _any(filters: list[Filter], keys: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(keys), bool)
+def _of_size(filters: list[Filter], size: int) -> list[Filter]:
+    """Those that tell of phrases of so many words, by all passes alike: the one that ``propose`` made for the size, and the later ones, for all sizes."""
+    return [filters[size - 1], *filters[LONGEST - 1:]]
+
+
+def _any(filters: list[Filter], keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether a filter holds the key, for the ``asked`` ones; no for the others."""
+    out, rest = np.zeros(len(keys), bool), np.flatnonzero(asked)
     for one in filters:
-        rest = np.flatnonzero(~out)
-        out[rest] = one.holds(keys[rest])
+        found = one.holds(keys[rest])
+        out[rest[found]] = True
+        rest = rest[~found]
     return out
 
 
@@ -234,13 +252,16 @@ def _filter_of(hashes: DataFrame) -> Filter:
 
 
 def _outside(hashes: DataFrame, filters: list[Filter]) -> DataFrame:
-    """The rows whose hash no filter holds, kept."""
+    """The rows whose hash no filter of their size holds, kept."""
     told = _told(hashes.sparkSession, filters)
 
     def run(batches):
         held = _heard(told)
         for batch in batches:
-            yield batch.filter(pa.array(~_any(held, np.asarray(batch.column("hash")).view(np.uint64))))
+            size, known = np.asarray(batch.column("size")), np.zeros(batch.num_rows, bool)
+            for k in np.unique(size).tolist():
+                known |= _any(_of_size(held, k), np.asarray(batch.column("hash")).view(np.uint64), size == k)
+            yield batch.filter(pa.array(~known))
 
     return kept_table(hashes.mapInArrow(run, hashes.schema), "phrase-hashes-missed")
 

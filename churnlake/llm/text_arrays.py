@@ -25,9 +25,11 @@ _PLACES = 64
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: multiplications and shifts that spread every input bit."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 _TABLE = mix(np.arange(1, (_PLACES << 8) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -190,6 +190,18 @@ def test_phrase_scores_past_64_bits(spark):
     assert phrases.scored(table).first()["score"] == 2_000_000 * big // (5 * big)
 
 
+def test_each_part_is_looked_up_once(monkeypatch):
+    """A part is the first one of a phrase and the last one of another; one filter tells of it, that of its size."""
+    texts = pa.array(["a b c d e f g h", "b c d. e f", "x y z"])
+    keys = phrases.Keys(texts, pa.array(["en", "en", None]))
+    asked, holds = [], phrases.Filter.holds
+    monkeypatch.setattr(phrases.Filter, "holds", lambda one, x: asked.append(len(x)) or holds(one, x))
+    none = phrases.Filter(np.zeros(16, np.uint64))
+    found = dict(phrases._wanted(keys, [1, 2, 3, 4], [none, none, none], None))
+    assert [len(found[k]) for k in (1, 2, 3, 4)] == [16, 0, 0, 0]
+    assert asked == [16, 12, 8]
+
+
 def test_phrase_filter():
     keys = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
     size = 1 << 17
