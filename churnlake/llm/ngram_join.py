@@ -9,7 +9,9 @@ fragments of the rest of the order are counted separately and summed per pair; t
 Texts with equal n-gram sets are one class, whatever their number. Lists of classes that share a prefix n-gram are not expanded
 into all pairs: a class is first compared with the most central class of its lists, and the links found join classes to components.
 Only then are pairs formed, and only between classes of different components, so a large group of near copies costs rows in
-proportion to its size. The components are those of all links.
+proportion to its size. Sizes and places decide inside the joins which classes meet: behind the first n-gram that two classes share both must
+have as many as a link needs, so an n-gram in the back of both prefixes, where the common ones stand, pairs nothing.
+The components are those of all links.
 
 Hashes have 64 bits; a chance collision inside a pair of texts is what could change a count. Null ids and null, empty or blank texts link
 with nothing. A text with fewer words than n has one n-gram, all its words. Repeated rows are one class.
@@ -31,6 +33,8 @@ from churnlake.llm.text_arrays import grams, mix, slices, words
 BUCKET_BITS = 20
 FRAGMENTS = 8
 _LOW = 64 - BUCKET_BITS
+_NAMES = ["gram", "sig", "size", "place"]       # place: of the n-gram among those of its class, in the global order
+_ROWS = "gram long, sig long, size long, place int"
 
 
 class Order(NamedTuple):
@@ -103,7 +107,7 @@ def _least(size, percent: int):
 
 
 def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """gram, sig and size for the prefix n-grams of every class a task sees."""
+    """gram, sig, size and place for the prefix n-grams of every class a task sees."""
     def run(batches):
         seen: set[int] = set()
         for whole in batches:
@@ -123,19 +127,19 @@ def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                 first = np.searchsorted(owner, np.arange(len(sizes)))
                 place = np.arange(len(owner)) - first[owner]
                 take = place <= sizes[owner] - _least(sizes, percent)[owner]
-                hashes, owner = hashes[take], owner[take]
+                hashes, owner, place = hashes[take], owner[take], place[take]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(sig.view(np.int64)[owner]), pa.array(sizes[owner])],
-                    ["gram", "sig", "size"])
+                    [pa.array(hashes.view(np.int64)), pa.array(sig.view(np.int64)[owner]), pa.array(sizes[owner]),
+                     pa.array(place.astype(np.int32))], _NAMES)
 
-    return docs.mapInArrow(run, "gram long, sig long, size long")
+    return docs.mapInArrow(run, _ROWS)
 
 
 def _lists(batches):
     """Of rows sorted by gram and sig: those whose gram more than one class has, each class once."""
     gram = last = waiting = None        # waiting: the first row of a list, until a second class follows
     for batch in batches:
-        g, s, z = (np.asarray(batch.column(c)) for c in ("gram", "sig", "size"))
+        g, s, *rest = (np.asarray(batch.column(c)) for c in _NAMES)
         if not len(g):
             continue
         new = np.ones(len(g), bool)
@@ -149,14 +153,14 @@ def _lists(batches):
         heads = begin[repeat]
         keep = repeat.copy()
         keep[heads[heads >= 0]] = True
-        out = [g[keep], s[keep], z[keep]]
+        out = [x[keep] for x in (g, s, *rest)]
         if waiting is not None and (heads < 0).any():
             out, waiting = [np.insert(x, 0, w) for x, w in zip(out, waiting)], None
         if new.any():
             at = np.flatnonzero(new)[-1]
-            waiting = None if keep[at] else (g[at], s[at], z[at])
+            waiting = None if keep[at] else [x[at] for x in (g, s, *rest)]
         gram, last = g[-1], s[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["gram", "sig", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], _NAMES)
 
 
 def _plausible(a: str, b: str, shared: str, percent: int):
@@ -166,6 +170,43 @@ def _plausible(a: str, b: str, shared: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (bound >= least)
 
 
+def _fit(low_a, high_a, reach_a, low_b, high_b, reach_b, percent: int):
+    """Whether a class with a size from low_a to high_a can link with one from low_b to high_b if the first n-gram that they share leaves
+    at most reach_a and reach_b n-grams, itself included, in the global order: those must be enough for the whole overlap."""
+    least = percent * (F.col(low_a) + F.col(low_b))
+    return ((100 * F.col(high_a) >= percent * F.col(low_b)) & (100 * F.col(high_b) >= percent * F.col(low_a))
+            & ((100 + percent) * F.col(reach_a) >= least) & ((100 + percent) * F.col(reach_b) >= least))
+
+
+def _apart(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) of classes of different components that share an n-gram so early in both that they can link, from rows
+    (gram, sig, size, place, root). Rows that fit none of their list go first; then components are paired, then their members."""
+    spans = rows.groupBy("gram").agg(F.min("size").alias("low"), (F.min("root") != F.max("root")).alias("several"))
+    reach, least = F.col("size") - F.col("place"), F.greatest("low", _least("size", percent))
+    live = rows.join(spans.where("several"), "gram").where((100 + percent) * reach >= percent * (F.col("size") + least))
+    live = kept_table(live.select("gram", "sig", "size", reach.alias("reach"), "root"), "ngram-live")
+    groups = kept_table(live.groupBy("gram", "root").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max("reach").alias("reach")), "ngram-groups")
+    one, two = (groups.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "low", "high", "reach"))) for x in "ab")
+    meet = one.join(two, "gram").where((F.col("root_a") < F.col("root_b")) & _fit(
+        "low_a", "high_a", "reach_a", "low_b", "high_b", "reach_b", percent)).select("gram", "root_a", "root_b", "low_b", "high_b", "reach_b")
+    a, b = (live.select("gram", F.col("root").alias(f"root_{x}"), F.col("sig").alias(x), F.col("size").alias(f"size_{x}"),
+                        F.col("reach").alias(f"left_{x}")) for x in "ab")
+    half = meet.join(a, ["gram", "root_a"]).where(_fit("size_a", "size_a", "left_a", "low_b", "high_b", "reach_b", percent))
+    met = half.join(b, ["gram", "root_b"]).where(_fit("size_a", "size_a", "left_a", "size_b", "size_b", "left_b", percent))
+    return met.select("a", "b", "size_a", "size_b").distinct()
+
+
+def _shared_prefixes(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough n-grams for a link."""
+    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    heads = kept_table(lists.join(ends, "sig", "left_semi").groupBy("sig").agg(F.collect_list("gram").alias("grams")), "ngram-prefixes")
+    side = {x: heads.select(F.col("sig").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab"}
+    met = pairs.join(side["a"], "a").join(side["b"], "b")
+    counted = met.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("shared"))
+    return counted.where(_plausible("size_a", "size_b", "shared", percent)).drop("shared")
+
+
 def _fragments(docs: DataFrame, needed: DataFrame, order, n: int) -> DataFrame:
     """sig, fragment and grams (binary, sorted) of the needed classes, read from one text of each."""
     wanted = docs.join(needed, "id")
@@ -223,7 +264,7 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     order = context.broadcast(_order(survey))
     entries = _prefixes(docs, order, n, percent)
     lists = kept_table(entries.repartition("gram").sortWithinPartitions("gram", "sig").mapInArrow(
-        _lists, "gram long, sig long, size long"), "ngram-lists")
+        _lists, _ROWS), "ngram-lists")
 
     # first each class with the most central one of its lists, which shares most prefix n-grams with others
     central = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("central"))
@@ -238,18 +279,9 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     near = kept_table(_linked(pairs, docs, classes, order, n, percent), "ngram-links")
     roots = components(near).select(F.col("node").alias("sig"), "component")
 
-    # then all pairs of classes of different components that share a prefix n-gram
-    rows = kept_table(lists.join(roots, "sig", "left").select(
-        "gram", "sig", "size", F.coalesce("component", "sig").alias("root")).distinct(), "ngram-rows")
-    groups = kept_table(rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k")), "ngram-groups")
-    meet = groups.select("gram", F.col("root").alias("root_a")).join(
-        groups.select("gram", F.col("root").alias("root_b")), "gram").where(F.col("root_a") < F.col("root_b"))
-    side = {x: rows.select("gram", F.col("root").alias(f"root_{x}"), F.col("sig").alias(x), F.col("size").alias(f"size_{x}"))
-            for x in "ab"}
-    met = meet.join(side["a"], ["gram", "root_a"]).join(side["b"], ["gram", "root_b"])
-    met = met.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    rest = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared")).where(
-        _plausible("size_a", "size_b", "shared", percent)).drop("shared")
+    # then the pairs of classes of different components
+    rows = lists.join(roots, "sig", "left").select(*_NAMES, F.coalesce("component", "sig").alias("root"))
+    rest = _shared_prefixes(kept_table(_apart(kept_table(rows, "ngram-rows"), percent), "ngram-met"), lists, percent)
     far = _linked(rest, docs, classes, order, n, percent)
 
     found = components(near.union(far)).select(F.col("node").alias("sig"), "component")

@@ -559,6 +559,30 @@ def test_ngram_join(spark, odd, n, percent):
     assert [r.component_id for r in rows if r.id is None] == [None]
 
 
+def test_ngram_join_pairs_by_size_and_place(spark):
+    rows = [(1, s, 100, 15, s) for s in range(300)]                                     # 85 n-grams are left, a link needs 92
+    rows += [(2, 400, 100, 0, 400), (2, 401, 86, 0, 401), (2, 402, 84, 0, 402)]         # 84 is too small for 100, not for 86
+    rows += [(3, s, 50, 0, 500) for s in range(500, 800)]                               # one component
+    df = spark.createDataFrame(rows, "gram long, sig long, size long, place int, root long")
+    got = ngram_join._apart(df, 85).collect()
+    assert sorted((r.a, r.b, r.size_a, r.size_b) for r in got) == [(400, 401, 100, 86), (401, 402, 86, 84)]
+
+
+@pytest.mark.parametrize("n,percent", [(1, 85), (4, 80)])
+def test_ngram_join_of_texts_of_many_sizes(spark, n, percent):
+    draw = random.Random(9)
+    texts = {}
+    for group in range(12):
+        words = [f"g{group}w{k}" for k in range(90)]
+        for k in range(14):     # beginnings, ends and changed words: links near the limit, with and without common words
+            low, high = draw.randint(0, 9), draw.randint(70, 90)
+            copy = [w if draw.random() > 0.015 else f"x{draw.random()}" for w in words[low:high]]
+            texts[100 * group + k] = " ".join(copy + [f"common{j}" for j in range(draw.choice([0, 4, 12]))])
+    expected, sizes = plain_components(texts, n, percent)
+    rows = ngram_join.join(spark.createDataFrame(list(texts.items()), "id long, text string"), n, percent).collect()
+    assert {r.id: (r.component_id, r.n_shingles) for r in rows} == {i: (expected[i], sizes[i]) for i in texts}
+
+
 def test_ngram_join_keeps_one(spark, odd, empty):
     kept = ngram_join.keep_one(odd)
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
