@@ -84,21 +84,20 @@ def fingerprints(found: Words) -> Prints:
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """key, rank, and the fingerprints of every document: hash, kind and place (first word and number of the windows in one number)."""
+    """A row for each fingerprint of every document: hash, kind, rank and key of the document, and place (first word and number of the
+    windows in one number)."""
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 found = words(batch.column("text"))
                 b, prints = found.bounds, fingerprints(found)
                 text = np.searchsorted(b, prints.first, "right") - 1
-                ends = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-                place = (prints.first - b[text]) * 16 + prints.windows
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (
-                    prints.value.view(np.int64), prints.kind.view(np.int64), place.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rank"), *lists],
-                                                 ["key", "rank", "print", "kind", "place"])
+                place, row = (prints.first - b[text]) * 16 + prints.windows, pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prints.value.view(np.int64)), pa.array(prints.kind.view(np.int64)), batch.column("rank").take(row),
+                     batch.column("key").take(row), pa.array(place.astype(np.int64))], ["print", "kind", "rank", "key", "place"])
 
-    return docs.mapInArrow(run, "key long, rank long, print array<long>, kind array<long>, place array<long>")
+    return docs.mapInArrow(run, "print long, kind long, rank long, key long, place long")
 
 
 def _windows(batches):
@@ -125,22 +124,22 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
     def again() -> DataFrame:
         survey = kept_table(_survey(docs), "line-survey")
-        twice = survey.select(F.explode("print").alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
-        twice = kept_table(twice.where(F.col("n") > 1).select("print"), "line-twice")
-        prints = survey.select("rank", "key", F.explode(F.arrays_zip("print", "kind", "place")).alias("p"))
-        return prints.select("p.print", "p.kind", "rank", "key", "p.place").join(twice, "print", "left_semi")
+        twice = survey.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("print")
+        return survey.join(kept_table(twice, "line-twice"), "print", "left_semi")
 
     seen = finished(spark, "line-seen", again)
-    heads = kept_table(seen.groupBy("print", "kind").agg(F.min(position).alias("head"), F.max(position).alias("last")), "line-heads")
-    whole = seen.join(heads.where(F.col("last") > F.col("head")), ["print", "kind"]).where(position > F.col("head")).select(
+    # rows of a kind have the same words, so the same print
+    heads = kept_table(seen.groupBy("kind").agg(
+        F.min("print").alias("print"), F.min(position).alias("head"), F.count(F.lit(1)).alias("n")), "line-heads")
+    whole = seen.join(heads.where(F.col("n") > 1).select("kind", "head"), "kind").where(position > F.col("head")).select(
         "key", F.expr(f"place div 16 * {LENGTHS} + place % 16 + {RUN_WORDS - 1}").alias("stretch"))
     several = heads.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
     wanted = heads.join(several, "print", "left_semi").groupBy(F.col("head.key").alias("key")).agg(
         F.collect_list("head.place").alias("places"))       # as many as the text has fingerprints
     runs = kept_table(docs.join(wanted, "key").select("rank", "key", "text", "places").mapInArrow(
         _windows, "run long, rank long, key long, place long"), "line-runs")
-    earliest = runs.groupBy("run").agg(F.min(position).alias("head"), F.max(position).alias("last")).where(
-        F.col("last") > F.col("head")).select("run", "head")
+    earliest = runs.groupBy("run").agg(F.min(position).alias("head"), F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > 1).select("run", "head")
     parts = runs.join(earliest, "run").where(position > F.col("head")).select(
         "key", (F.col("place") * LENGTHS + RUN_WORDS).alias("stretch"))
     return whole.union(parts).groupBy("key").agg(F.collect_set("stretch").alias("stretches"))

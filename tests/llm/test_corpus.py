@@ -442,6 +442,17 @@ def test_line_dedup_equals_brute_force(spark):
     assert sum(n for _, n in got.values()) > 5000
 
 
+def test_line_dedup_surveys_a_row_a_fingerprint(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, 5, text), (2, 6, None), (3, 7, f"\n{text.upper()} "), (4, 8, "w0 " * 40)], "key long, rank long, text string")
+    rows = line_dedup._survey(docs).collect()
+    found = {k: sorted((r.place // 16, r.place % 16, r.print, r.kind) for r in rows if r.key == k) for k in (1, 2, 3, 4)}
+    assert found[1] == found[3] and not found[2] and {(r.key, r.rank) for r in rows} == {(1, 5), (3, 7), (4, 8)}
+    for k, windows in ((1, 60 - line_dedup.RUN_WORDS + 1), (4, 40 - line_dedup.RUN_WORDS + 1)):     # every window has one fingerprint
+        assert [w for first, n, *_ in found[k] for w in range(first, first + n)] == list(range(windows))
+    assert len({r.kind for r in rows}) == len({(r.print, r.kind) for r in rows})
+
+
 def test_line_dedup_fingerprints_with_other_heads(spark):
     """Earlier texts that hold the words of each fingerprint, or of pieces, but no run of 25: they neither hide a repeat nor make one."""
     rows = []
