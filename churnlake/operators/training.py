@@ -23,6 +23,7 @@ from churnlake.operators.cleaning import binary_encode, canonical_columns, clean
 from churnlake.operators.encoding import Encoder, fit_encoder, moments
 from churnlake.operators.evaluation import evaluate
 from churnlake.operators.splitting import stratified_split
+from churnlake.operators.trees import fit_boosted, fit_forest
 from churnlake.operators.vocabulary import Vocabulary, name_table, names_of, sparse_vectors
 from churnlake.session import spread
 
@@ -101,25 +102,45 @@ class TrainingRun:
                 .withColumn("feature_count", F.lit(self.feature_count)))
 
 
-def with_class_weight(df: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
-    """Weight rows / (2 x rows of the class), and the row count."""
+def class_weights(df: DataFrame, label: str = "label") -> tuple[tuple[float, float], int]:
+    """Rows / (2 x rows of the class) for classes 0 and 1, and the row count."""
     row = df.agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos")).first()
     n, pos = row["n"], row["pos"]
     if pos in (0, n):
         raise ValueError("both classes are needed to train")
-    weight = F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
-    return df.withColumn("weight", weight), n
+    return (n / (2.0 * (n - pos)), n / (2.0 * pos)), n
 
 
-def train_all(train: DataFrame, test: DataFrame, models: list[str] | None = None, **sizes) -> tuple[dict, dict, dict, str]:
-    """Fit each model, measure the AUC on the test rows; the first of the best wins."""
-    weighted, rows = with_class_weight(train)
+def with_class_weight(df: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
+    """Weight rows / (2 x rows of the class), and the row count."""
+    (zero, one), n = class_weights(df, label)
+    return df.withColumn("weight", F.when(F.col(label) == 1, one).otherwise(zero)), n
+
+
+def fit_in_blocks(estimator, weighted: DataFrame, rows: int, weights: tuple[float, float]):
+    """Fit the trees by passes over packed blocks, any other estimator as it is."""
+    data = weighted.select("features", "label")
+    if isinstance(estimator, GBTClassifier):
+        return fit_boosted(data, rows, estimator)
+    if isinstance(estimator, RandomForestClassifier):
+        return fit_forest(data, rows, estimator, weights if estimator.isSet("weightCol") else (1.0, 1.0), float(rows))
+    return estimator.fit(weighted)
+
+
+def train_all(train: DataFrame, test: DataFrame, models: list[str] | None = None, blocks: bool = False,
+              **sizes) -> tuple[dict, dict, dict, str]:
+    """Fit each model, measure the AUC on the test rows; the first of the best wins. ``blocks``: trees by passes over packed blocks,
+    for features of which a byte a row fits into the tasks."""
+    weights, rows = class_weights(train)
+    weighted = train.withColumn("weight", F.when(F.col("label") == 1, weights[1]).otherwise(weights[0]))
     judge = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
     wanted = {name: x for name, x in estimators(rows, **sizes).items() if not models or name in models}
 
     def fit(name: str):
         begin = time.perf_counter()
-        return wanted[name].setFeaturesCol("features").setLabelCol("label").fit(weighted), time.perf_counter() - begin
+        estimator = wanted[name].setFeaturesCol("features").setLabelCol("label")
+        model = fit_in_blocks(estimator, weighted, rows, weights) if blocks else estimator.fit(weighted)
+        return model, time.perf_counter() - begin
 
     with ThreadPoolExecutor(len(wanted)) as pool:       # the fits don't depend on each other
         found = dict(zip(wanted, pool.map(fit, wanted)))
@@ -144,7 +165,7 @@ def train_customers(df: DataFrame, models: list[str] | None = None, **sizes) ->
     test = matrix.where(F.col("split") == "test").select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
     train.count(), test.count()
     ready.unpersist()
-    fitted, seconds, aucs, best = train_all(train, test, models, **sizes)
+    fitted, seconds, aucs, best = train_all(train, test, models, blocks=True, **sizes)
     return TrainingRun(encoder, fitted, best, aucs, seconds, encoder.feature_count, train, test)
 
 
