@@ -23,7 +23,7 @@ from churnlake.operators.cleaning import binary_encode, canonical_columns, clean
 from churnlake.operators.encoding import Encoder, fit_encoder, moments
 from churnlake.operators.evaluation import evaluate
 from churnlake.operators.splitting import stratified_split
-from churnlake.operators.trees import fit_boosted, fit_forest
+from churnlake.operators.trees import fit_boosted, fit_forest, scores
 from churnlake.operators.vocabulary import Vocabulary, name_table, names_of, sparse_vectors
 from churnlake.session import spread
 
@@ -79,8 +79,7 @@ class TrainingRun:
 
     def scored_test(self) -> DataFrame:
         """model, label and unrounded probability of the held-out rows."""
-        frames = [m.transform(self.test).select(F.lit(name).alias("model"), "label",
-                                                vector_to_array("probability")[1].alias("churn_probability"))
+        frames = [scored(self.test, m, p="churn_probability").select(F.lit(name).alias("model"), "label", "churn_probability")
                   for name, m in self.models.items()]
         out = frames[0]
         for frame in frames[1:]:
@@ -127,13 +126,21 @@ def fit_in_blocks(estimator, weighted: DataFrame, rows: int, weights: tuple[floa
     return estimator.fit(weighted)
 
 
+def scored(df: DataFrame, model, raw: str = "_raw", p: str = "_p1") -> DataFrame:
+    """Append the raw prediction and the probability of class 1 of a frame with features."""
+    if isinstance(model, (GBTClassificationModel, RandomForestClassificationModel)):
+        margin, chance = scores(model)
+        return df.withColumns({raw: margin, p: chance})
+    return model.transform(df).select(*df.columns, vector_to_array("rawPrediction")[1].alias(raw), vector_to_array("probability")[1].alias(p))
+
+
 def train_all(train: DataFrame, test: DataFrame, models: list[str] | None = None, blocks: bool = False,
               **sizes) -> tuple[dict, dict, dict, str]:
     """Fit each model, measure the AUC on the test rows; the first of the best wins. ``blocks``: trees by passes over packed blocks,
     for features of which a byte a row fits into the tasks."""
     weights, rows = class_weights(train)
     weighted = train.withColumn("weight", F.when(F.col("label") == 1, weights[1]).otherwise(weights[0]))
-    judge = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
+    judge = BinaryClassificationEvaluator(rawPredictionCol="_raw", metricName="areaUnderROC", numBins=0)
     wanted = {name: x for name, x in estimators(rows, **sizes).items() if not models or name in models}
 
     def fit(name: str):
@@ -145,7 +152,7 @@ def train_all(train: DataFrame, test: DataFrame, models: list[str] | None = None
     with ThreadPoolExecutor(len(wanted)) as pool:       # the fits don't depend on each other
         found = dict(zip(wanted, pool.map(fit, wanted)))
     fitted, seconds = {n: m for n, (m, _) in found.items()}, {n: s for n, (_, s) in found.items()}
-    aucs = {name: round(judge.evaluate(model.transform(test)), 6) for name, model in fitted.items()}
+    aucs = {name: round(judge.evaluate(scored(test, model)), 6) for name, model in fitted.items()}
     best = max(aucs, key=lambda name: aucs[name])
     return fitted, seconds, aucs, best
 
@@ -174,7 +181,7 @@ def probability(df: DataFrame, encoder: Encoder, model, output: str = "_p", feat
     packed = df.withColumn("_row", F.struct("*"))
     matrix = encoder.matrix(model_input(packed, encoder.medians.get("TotalCharges", 0.0)), keep=["_row"])
     vector = [F.col("features").alias(features)] if features else []
-    return model.transform(matrix).select("_row.*", vector_to_array("probability")[1].alias(output), *vector)
+    return scored(matrix, model).select("_row.*", F.col("_p1").alias(output), *vector)
 
 
 def score_batch(df: DataFrame, encoder: Encoder, model, threshold: float = c.CHURN_THRESHOLD, features: str | None = None) -> DataFrame:

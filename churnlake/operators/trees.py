@@ -25,7 +25,7 @@ from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from churnlake.session import remove_path, shared_folder, work_path
 
@@ -551,3 +551,70 @@ def _model(spark: SparkSession, kind, estimator, trees: list[Tree], cuts: list[n
     model = kind.load(f"{path}/model")
     remove_path(spark, path)
     return model
+
+
+# -- scores ----------------------------------------------------------------------------------------
+@dataclass
+class Nodes:
+    """The nodes of all trees: of tree t from ``starts[t]`` on, children by number in their tree; a leaf is its own child."""
+
+    starts: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    child: np.ndarray               # left and right, side by side
+    value: np.ndarray
+    weights: list[float]
+    depth: int
+
+
+def _nodes_of(model) -> Nodes:
+    """Read from the model as it is saved."""
+    spark, boosted = SparkSession.active(), isinstance(model, GBTClassificationModel)
+    path = work_path(spark, "nodes")
+    model.write().overwrite().save(path)
+    stats = F.col("nodeData.impurityStats")
+    table = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+        (F.col("nodeData.prediction") if boosted else F.try_divide(stats[1], stats[0] + stats[1])).alias("value")).toArrow()
+    remove_path(spark, path)
+    tree, number, left, right, feature, threshold, value = (x.to_numpy() for x in table.columns)
+    order = np.lexsort((number, tree))
+    leaf, number = left[order] < 0, number[order]
+    starts = np.searchsorted(tree[order], np.arange(model.getNumTrees + 1))
+    children = np.stack([np.where(leaf, number, left[order]), np.where(leaf, number, right[order])], axis=1).reshape(-1)
+    return Nodes(starts, np.where(leaf, 0, feature[order]).astype(np.int64), np.nan_to_num(threshold[order]), children.astype(np.int64),
+                 np.nan_to_num(value[order]), list(model.treeWeights), model.getOrDefault("maxDepth"))
+
+
+def _summed(values: np.ndarray, nodes: Nodes) -> np.ndarray:
+    """The weighted sum over all trees of the values of the leaves that the rows come to."""
+    n, width = values.shape
+    flat, first, total = values.reshape(-1), np.arange(n) * width, np.zeros(n)
+    for t, weight in enumerate(nodes.weights):
+        part = slice(nodes.starts[t], nodes.starts[t + 1])
+        feature, threshold, value = nodes.feature[part], nodes.threshold[part], nodes.value[part]
+        child, at = nodes.child[2 * part.start:2 * part.stop], np.zeros(n, np.int64)
+        for _ in range(nodes.depth):
+            more = ~(flat[first + feature[at]] <= threshold[at])
+            at *= 2
+            at += more
+            at = child[at]
+        total += weight * value[at]
+    return total
+
+
+def scores(model, features: str = "features") -> tuple[Column, Column]:
+    """Raw prediction and probability of class 1 of Spark ML's tree ensembles, as columns: each batch of rows goes through all trees once."""
+    if not hasattr(model, "_sent_nodes"):
+        model._sent_nodes = SparkSession.active().sparkContext.broadcast(_nodes_of(model))
+    sent = model._sent_nodes
+
+    @F.arrow_udf("double")
+    def raw(vectors: pa.Array) -> pa.Array:
+        return pa.array(_summed(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1), sent.value))
+
+    found = raw(vector_to_array(features))
+    if isinstance(model, GBTClassificationModel):
+        return found, 1.0 - 1.0 / (1.0 + F.exp(2.0 * found))
+    return found, found / model.getNumTrees

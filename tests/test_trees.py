@@ -76,3 +76,19 @@ def test_a_tree_of_all_features_by_hand(spark):
     at = max(gains, key=gains.get)
     assert (best[0], best[1]) == at == (1, 1) and best[2] == pytest.approx(gains[at])
     assert best[3:5].sum() == w[bins[1] <= 1].sum() and best[5] == 0
+
+
+def test_scores_are_sparks(spark, table):
+    """Sums over batches of rows against Spark's own transform, also of missing numbers, and only one pass through the trees in a plan."""
+    n = table.count()
+    boosted = trees.fit_boosted(table, n, GBTClassifier(maxIter=6, maxDepth=4, seed=3))
+    forest = RandomForestClassifier(numTrees=9, maxDepth=7, seed=3).fit(table)
+    odd = table.unionByName(spark.createDataFrame([(Vectors.dense([float("nan"), 1.0, 0, 0, 0, 0, 1, 0]), 0.0)], table.schema))
+    for model in (boosted, forest):
+        rows = model.transform(training.scored(odd, model)).select("_raw", "_p1", "rawPrediction", "probability").collect()
+        assert [r._raw for r in rows] == pytest.approx([r.rawPrediction[1] for r in rows], abs=1e-12)
+        assert [r._p1 for r in rows] == pytest.approx([r.probability[1] for r in rows], abs=1e-12)
+        assert len(rows) == n + 1
+    from churnlake.functions.scoring import with_risk
+    plan = with_risk(training.scored(table, boosted), F.col("_p1")).drop("_raw", "_p1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
